@@ -201,13 +201,13 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", n_bytes: str =
         known = counts.__getitem__
         for batch in batches:
             sizes, tokens = [], []
-            for t in batch.column(batch.schema.get_field_index("\0text")).to_pylist():
+            for t in batch.column(len(kept_names)).to_pylist():
                 sizes.append(len(t.encode("utf-8")) if t else 0)
                 tokens.append(sum(map(known, v.chunks(t))) if t else 0)
-            rest = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "\0text"]
+            rest = [batch.column(i) for i in range(len(kept_names))]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], names=[*kept_names, n_bytes, n_tokens])
 
-    picked = docs.select(*(F.col(f"`{c}`") for c in kept_names), F.col(f"`{text}`").alias("\0text"))
+    picked = docs.select(*(F.col(f"`{c}`") for c in kept_names), F.col(f"`{text}`").alias("__text"))
     fields = docs.select(*(F.col(f"`{c}`") for c in kept_names)).schema.add(n_bytes, "long").add(n_tokens, "long")
     return picked.mapInArrow(run, fields)
 
@@ -252,7 +252,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
             out += [pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())] if digests else []
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return docs.select(*keep, F.col(text).alias("\0text")).mapInArrow(run, fields)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, fields)
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
