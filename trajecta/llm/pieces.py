@@ -17,6 +17,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -221,7 +222,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
     """
     fields = docs.select(*keep).schema.add("n_tokens", "long")
     if ids:
-        fields = fields.add("ids", "array<int>")
+        fields = fields.add("ids", T.ArrayType(T.IntegerType()))
     if decoded:
         fields = fields.add("decoded", "string")
     if digests:
