@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import partenum, pieces, winnow
+from trajecta.llm import partenum, pieces, rules, winnow
 
 PIECES = "piece_bpe_32k.model"
 
@@ -32,6 +32,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(docs, public_tokenizers.path(PIECES), ids=False, decoded=False, digests=True)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return partenum.jaccard_components(docs).select("doc_id", "n_shingles", "component_id", "class_key")
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_quality_rules": op6_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
 }
 
