@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import partenum, pieces, rules, winnow
+from trajecta.llm import lm, partenum, pieces, rules, winnow
 
 PIECES = "piece_bpe_32k.model"
 
@@ -41,12 +41,20 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(docs).select("doc_id", "n_shingles", "component_id", "class_key")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.withColumn("held_out", lm.remainder(F.col("doc_id"), 7) == 2)
+    scored = lm.score(docs, docs.where("not held_out"), keep=("doc_id", "held_out"))
+    return scored.withColumn("perplexity", lm.perplexity(F.col("score"), F.col("n_tokens")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_quality_rules": op6_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
