@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import lm, partenum, pieces, rules, spans, winnow
+from trajecta.llm import lm, partenum, pieces, quality, rules, spans, winnow
 
 PIECES = "piece_bpe_32k.model"
 
@@ -19,6 +19,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    held_out = lm.remainder(F.col("doc_id"), 5) == 0
+    docs = docs.withColumn("held_out", held_out)
+    scored = quality.ranked(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out, keep=("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = winnow.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -54,6 +62,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_decontamination": op3_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_substring_dedup": op5_substring_dedup,
