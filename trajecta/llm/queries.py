@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import lm, partenum, pieces, quality, rules, spans, winnow
+from trajecta.llm import lm, partenum, pieces, quality, rules, spans, urls, winnow
 
 PIECES = "piece_bpe_32k.model"
 
@@ -53,6 +53,16 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(docs).select("doc_id", "n_shingles", "component_id", "class_key")
 
 
+#: Given rules of op9: action, and host with path.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the row of labels with its number: quality 0 is a block."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("block"))
+    return urls.judged(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), labels, URL_RULES)
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.withColumn("held_out", lm.remainder(F.col("doc_id"), 7) == 2)
@@ -68,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_url_filters": op9_url_filters,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
