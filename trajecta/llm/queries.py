@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import lm, partenum, pieces, quality, rules, spans, urls, winnow
+from trajecta.llm import lm, pages, partenum, pieces, quality, rules, spans, urls, winnow
 
 PIECES = "piece_bpe_32k.model"
 
@@ -48,6 +48,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return partenum.jaccard_components(docs).select("doc_id", "n_shingles", "component_id", "class_key")
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_html_extraction": op7_html_extraction,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filters": op9_url_filters,
     "op10_lm_scoring": op10_lm_scoring,
