@@ -61,13 +61,18 @@ def _runs(frame: DataFrame, length: int) -> DataFrame:
     return frame
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What rows of one doc_id and text share."""
+    return F.xxhash64(doc_id, text)
+
+
 def contaminated(n_hit: Column, n_words: Column) -> Column:
     """A twentieth of the words or more are hit."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, items) of every document; items: the sorted ids, as strings, of items with a window in it.
+    """(doc_id, row_key, n_words, n_hit, items) of every document; items: the sorted ids, as strings, of items with a window in it.
 
     Words are runs of digits, letters and all non-ASCII characters, with A-Z as a-z. A window is 13 consecutive words
     of an item, or all words of an item of fewer; every document word inside an occurrence of a window is hit.
@@ -77,7 +82,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "winnow")
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).withColumn("rid", F.xxhash64(F.col("id"), F.col("t")))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).withColumn("rid", row_key(F.col("id"), F.col("t")))
     items = scratch.table(benchmark.select(F.col(item_id).cast("string").alias("item"), word_list(F.col(item_text)).alias("ws")).where("size(ws) > 0 and item is not null").distinct())
     short = sorted(r[0] for r in items.where(f"size(ws) < {WINDOW}").select(F.size("ws")).distinct().collect())
     long_items = _least(_hashes(items.where(f"size(ws) >= {WINDOW}")))
@@ -115,6 +120,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     which = hits.select("rid", "item").distinct().groupBy("rid").agg(F.sort_array(F.collect_list("item")).alias("items"))
     out = met.join(covered, "rid", "left").join(which, "rid", "left")
     out = out.select(
-        F.col("id").alias(doc_id), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+        F.col("id").alias(doc_id), F.col("rid").alias("row_key"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")
     )
     return out.drop("copy")
