@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta.functions import renal, sequences, times
-from trajecta.operators import cleaning, evaluation, joins, series, tables, trajectories
+from trajecta.operators import alignment, cleaning, clustering, cohort, evaluation, joins, modelling, series, tables, trajectories
 from trajecta.plans.stages import measurements, peak_stages, stages_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -475,3 +475,126 @@ def q_euclid(spark, d):
 @query("q_cityblock", f"with {PAIRS} select i, j, round(list_sum(list_transform(range(1, 65), lambda k: abs(a[k] - b[k]))) / (64 * 4), 5) d from p")
 def q_cityblock(spark, d):
     return _vector_pairs(spark, d).select(F.col("vec_id").alias("i"), F.col("vec_id2").alias("j"), F.round(sequences.norm_cityblock(F.col("v"), F.col("v2")), 5).alias("d"))
+
+
+# clusters, folds, alignments
+
+LABELLED = f"""with {PAIRS}, d as (select i, j, list_sum(list_transform(range(1, 65), lambda k: abs(a[k] - b[k]))) / 256 d from p), e as (select i x, j y, d from d union all select j, i, d from d),
+ l as (select e.x, e.y, e.d, u.label lx, v.label ly from e join embeddings u on e.x = u.vec_id join embeddings v on e.y = v.vec_id)"""
+
+
+def _edges(spark, d):
+    pairs = _vector_pairs(spark, d).select(F.col("vec_id").alias("id1"), F.col("vec_id2").alias("id2"), sequences.norm_cityblock(F.col("v"), F.col("v2")).alias("d"))
+    return clustering.both_ways(pairs), table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+
+
+@query("q_intra_inter", LABELLED + " select x id, lx as label, round(avg(d) filter (lx = ly), 6) intra, round(avg(d) filter (lx <> ly), 6) inter from l group by 1, 2")
+def q_intra_inter(spark, d):
+    return clustering.intra_inter(*_edges(spark, d)).select("id", "label", r6("intra").alias("intra"), r6("inter").alias("inter"))
+
+
+@query("q_silhouette", LABELLED + ", m as (select x, lx, ly, avg(d) m from l group by all), s as (select x, lx, max(m) filter (lx = ly) a, min(m) filter (lx <> ly) b from m group by all) select x id, lx as label, round(coalesce((b - a) / greatest(a, b), 0), 5) + 0.0 silhouette from s")
+def q_silhouette(spark, d):
+    return clustering.silhouette(*_edges(spark, d)).select("id", "label", (F.round("silhouette", 5) + 0.0).alias("silhouette"))
+
+
+@query("q_medoid", LABELLED + ", t as (select lx, x, sum(d) total from l where lx = ly group by all) select lx as label, arg_min(x, total) id, round(min(total), 5) total from t group by lx")
+def q_medoid(spark, d):
+    return clustering.medoids(*_edges(spark, d)).withColumn("total", F.round("total", 5))
+
+
+@query("q_nmi", "with c as (select c_mktsegment a, (o_orderkey % 3)::int b, count(*) n from orders join customer on o_custkey = c_custkey group by all), p as (select n / sum(n) over () p, sum(n) over (partition by a) / sum(n) over () pa, sum(n) over (partition by b) / sum(n) over () pb from c) select round(2 * sum(p * ln(p / (pa * pb))) / (-sum(p * ln(pa)) - sum(p * ln(pb))), 8) nmi from p")
+def q_nmi(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("a"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), (F.col("o_orderkey") % 3).alias("b")).join(c, "c_custkey")
+    return clustering.agreement(o, "a", "b").select(F.round("nmi", 8).alias("nmi"))
+
+
+@query("q_folds", "select doc_id, quality, ((row_number() over (partition by quality order by md5('1:' || doc_id), doc_id) - 1) % 5)::int fold from labels")
+def q_folds(spark, d):
+    return modelling.folds(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "quality", 5)
+
+
+@query("q_balance", "with r as (select doc_id, quality, row_number() over (partition by quality order by md5('1:' || doc_id), doc_id) rn from labels) select doc_id, quality from r where rn <= least((select count(*) from labels where quality = 1), (select count(*) from labels where quality = 0))")
+def q_balance(spark, d):
+    return modelling.balanced(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "quality")
+
+
+@query("q_class_vector", STAGES + ", s as (select id, list(stage::double order by bin) v from stages where day <= 7 group by id) select id, array_to_string(list_transform(v[1:32] || list_transform(range(0, greatest(32 - len(v), 0)), lambda i: 0.0), lambda x: x::int), ',') as vec from s")
+def q_class_vector(spark, d):
+    arrays = _stage_arrays(spark, d)
+    return arrays.select("id", F.array_join(F.transform(sequences.class_vector(F.col("values"), 8, 4), lambda x: x.cast("int").cast("string")), ",").alias("vec"))
+
+
+def _stage_arrays(spark, d):
+    s = stages(spark, d).where("day <= 7")
+    return s.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "stage"))), lambda x: x["stage"].cast("double")).alias("values"))
+
+
+@query("q_dtw_membership")
+def q_dtw_membership(spark, d):
+    """Each user's first week against five shapes, by warped distance."""
+    shapes = {"flat": [1.0] * 4, "rise": [0.0, 1.0, 2.0, 3.0], "fall": [3.0, 2.0, 1.0, 0.0], "peak": [0.0, 3.0, 3.0, 0.0], "high": [3.0] * 4}
+    centers = spark.createDataFrame(list(shapes.items()), "label string, values array<double>")
+    costs = alignment.Costs.of_weights([1.0, 1.2, 1.5, 1.3], 0.35)
+    return clustering.membership(_stage_arrays(spark, d), centers, costs).withColumn("distance", r6("distance"))
+
+
+@query("q_dtw_pairs")
+def q_dtw_pairs(spark, d):
+    """Warped distance of each user's trajectory to those of the next three users by number."""
+    a = _stage_arrays(spark, d)
+    near = a.select("id", F.explode(F.sequence(F.col("id") + 1, F.col("id") + 3)).alias("id2"), "values").join(a.select(F.col("id").alias("id2"), F.col("values").alias("values2")), "id2")
+    return alignment.aligned(near, "values", "values2", alignment.Costs.of_weights([1.0, 1.2, 1.5, 1.3], 0.35)).select("id", "id2", *(r6(c).alias(c) for c in ("distance", "extension_a", "extension_b")))
+
+
+@query("q_ward")
+def q_ward(spark, d):
+    """Ward clusters of the labels' mean vectors."""
+    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("x"))
+    v = e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("v"))
+    pairs = joins.all_pairs(v.select(F.col("label").cast("long").alias("id"), "v"), "id", 2)
+    edges = pairs.select(F.col("id").alias("id1"), "id2", F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)).alias("d"))
+    return clustering.agglomerated(edges, 3)
+
+
+@query("q_dba")
+def q_dba(spark, d):
+    """Barycenters of the users' trajectories by peak stage, from constant seeds."""
+    s = _stage_arrays(spark, d).withColumn("label", F.array_max("values").cast("int"))
+    seeds = s.select("label").distinct().select("label", F.array_repeat(F.col("label").cast("double"), 8).alias("values"))
+    got = clustering.barycenters(s.select("label", "values"), seeds, alignment.Costs(alpha=0.0), rounds=3)
+    return got.select("label", F.transform("values", lambda x: F.round(x, 6)).alias("values"))
+
+
+@query("q_categories")
+def q_categories(spark, d):
+    s = stages(spark, d)
+    labels = s.groupBy("id").agg((F.max("stage") * 2 + F.max_by("stage", "bin") % 2).alias("label"))
+    return clustering.categories(s, labels)
+
+
+@query("q_normality", f"with {SEG}, m as (select seg, avg(price) mu, count(*) n from s group by 1), k as (select s.seg, n, avg(pow(price - mu, 2)) m2, avg(pow(price - mu, 3)) m3, avg(pow(price - mu, 4)) m4 from s join m using (seg) group by all) select seg, n, round(m3 / pow(m2, 1.5), 5) skewness, round(m4 / (m2 * m2) - 3, 5) kurtosis from k")
+def q_normality(spark, d):
+    return evaluation.normality(_segments(spark, d), "price", "seg").select("seg", "n", F.round("skewness", 5).alias("skewness"), F.round("kurtosis", 5).alias("kurtosis"))
+
+
+@query("q_class_weights", "select doc_id, quality, round(count(*) over () / count(*) over (partition by quality), 6) weight from labels")
+def q_class_weights(spark, d):
+    return modelling.class_weights(table(spark, d, "labels").select("doc_id", "quality"), "quality").withColumn("weight", r6("weight"))
+
+
+@query("q_stays", """with o as (select o_custkey id, o_orderdate::timestamp a, o_orderdate::timestamp + to_days((o_orderkey % 40)::int) b from orders), p as (select *, max(b) over (partition by id order by a, b rows between unbounded preceding and 1 preceding) e from o),
+ n as (select *, sum(case when e is null or epoch_us(a) - epoch_us(e) >= 2 * 86400000000 then 1 else 0 end) over (partition by id order by a, b rows unbounded preceding) n from p) select id, min(a)::timestamp admit, max(b)::timestamp disch from n group by id, n""")
+def q_stays(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("admit"), (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(days=(F.col("o_orderkey") % 40).cast("int"))).alias("disch"))
+    return cohort.merged_stays(o).select("id", F.col("admit").cast("timestamp_ntz").alias("admit"), F.col("disch").cast("timestamp_ntz").alias("disch"))
+
+
+@query("q_dialysis_mask", f"with {EV} select a.tie, a.id, coalesce(bit_or(case b.event_type when 'error' then 1 when 'signup' then 2 when 'view' then 4 end), 0)::int mask from ev a left join events b on a.id = b.user_id and b.event_type in ('error', 'signup', 'view') and a.ts between b.ts and b.ts + interval 48 hours group by 1, 2")
+def q_dialysis_mask(spark, d):
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "error", "HD").when(F.col("event_type") == "signup", "CRRT").when(F.col("event_type") == "view", "PD")
+    t = e.select(F.col("user_id").alias("id"), kind.alias("kind"), F.col("ts").alias("start"), F.col("ts").alias("stop")).where("kind is not null")
+    v = e.select(F.col("user_id").alias("id"), F.col("event_id").alias("tie"), "ts")
+    return cohort.dialysis_mask(v, t, row="tie").select("tie", "id", F.col("mask").cast("int").alias("mask"))
