@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-DEPTH, ROUNDS, RATE, BINS, LEAST = 3, 40, 0.3, 24, 5.0
+DEPTH, ROUNDS, RATE, BINS, LEAST = 3, 80, 0.3, 24, 5.0
 
 
 @dataclass

@@ -161,7 +161,7 @@ class Page:
         return x
 
     def taught(self) -> np.ndarray | None:
-        """1 for nodes of an article or main element, 0 outside, -1 for what contains one; None if the page has none.
+        """1 for nodes of an article or main element, 0 outside, -1 for frames that contain one; None if the page has none.
 
         Elements in it that say they are something else are 0."""
         n = len(self.tag)
@@ -211,20 +211,25 @@ class Page:
 
 
 def _lessons(page: Page, y: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled nodes of a page, as they are, with what they say of content left out, and content moved under elements that say otherwise."""
+    """Labelled nodes of a page as they are (frames count as outside), with what they say of content left out, and content moved under elements that say otherwise."""
     x = page.features()
-    use = np.flatnonzero(y >= 0)
-    use = use[use > 0]
+    use = np.arange(1, len(y))
     if len(use) > FITTED_NODES:
         use = rng.choice(use, FITTED_NODES, replace=False)
-    x, y = x[use], y[use]
+    x, y = x[use], np.maximum(y[use], 0)
     bare = x.copy()
     bare[:, [0, _N_SAYS]] = 0
     hidden = bare.copy()
     hidden[:, : 2 * _N_SAYS] *= rng.random((len(x), 1)) < 0.5
-    moved = x[y == 1].copy()
-    moved[np.arange(len(moved)), _N_SAYS * rng.integers(0, 2, len(moved)) + rng.integers(1, _N_SAYS, len(moved))] = 1
-    return np.concatenate([x, x, bare, hidden, moved, moved]), np.concatenate([y, y, y, y, np.zeros(2 * len(moved), dtype=y.dtype)])
+    inside = np.flatnonzero(y == 1)
+    moved = []
+    for where in (0, _N_SAYS):
+        for j in range(1, _N_SAYS):
+            some = (x if j % 2 else bare)[rng.choice(inside, 3)].copy() if len(inside) else x[:0]
+            some[:, where + j] = 1
+            moved.append(some)
+    moved = np.concatenate(moved)
+    return np.concatenate([x, x, bare, hidden, moved]), np.concatenate([y, y, y, y, np.zeros(len(moved), dtype=y.dtype)])
 
 
 def fitted(pages: DataFrame, html: str = "html", n_pages: int = FITTED_PAGES) -> Trees | None:

@@ -30,7 +30,7 @@ def js_distance(p: str, q: str) -> Column:
     total = lambda a: f"aggregate({a}, 0D, (s, x) -> s + x)"
     half = f"""aggregate(zip_with({p}, {q}, (x, y) -> struct(x / nullif({total(p)}, 0D) as a, y / nullif({total(q)}, 0D) as b)), 0D, (s, e) -> s
         + if(e.a > 0, e.a * log2(2 * e.a / (e.a + e.b)), 0D) + if(e.b > 0, e.b * log2(2 * e.b / (e.a + e.b)), 0D))"""
-    return F.expr(f"sqrt(greatest({half} / 2, 0D))")
+    return F.expr(f"if({total(p)} > 0 and {total(q)} > 0, sqrt(greatest({half} / 2, 0D)), null)")
 
 
 def measured(docs: DataFrame, keep: list[str], text: str, lang: str) -> DataFrame:
