@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,23 +17,22 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        self.places: dict[int, str] = {}
+        self.places: list[tuple[DataFrame, str]] = []
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
         place = f"{self.path}/{self.n}"
         df.write.parquet(place)
         back = self.spark.read.schema(df.schema).parquet(place)
-        self.places[id(back)] = place
+        self.places.append((back, place))
         return back
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
-        for t in tables:
-            place = self.places.pop(id(t), None)
-            if place:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for place in [p for df, p in self.places if any(df is t for t in tables)]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.places = [(df, p) for df, p in self.places if not any(df is t for t in tables)]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -71,3 +70,11 @@ def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     k = keys.astype(np.int64, copy=False).view(np.uint64)
     return ((bits[(k & np.uint64(FILTER_WORDS - 1)).astype(np.int64)] >> ((k >> np.uint64(20)) & np.uint64(63))) & np.uint64(1)).astype(bool)
 
+
+
+def passing(spark: SparkSession, bits: np.ndarray, key: Column) -> Column:
+    """`passes` as a column: the bits are one value, read by a scalar subquery."""
+    held = spark.createDataFrame([(bits.view(np.int64).tolist(),)], "bits array<long>").scalar()
+    word = F.get(held, key.bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key, 20).bitwiseAND(F.lit(63)).cast("int"))
+    return word.bitwiseAND(bit) != 0

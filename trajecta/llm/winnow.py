@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.scratch import Scratch
+from trajecta.llm.scratch import Scratch, key_filter, passing
 
 #: Words end at these ASCII characters.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -108,7 +108,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     met = scratch.table(met)
 
     # all windows of the documents that meet
-    near = rows.join(met.where("met = 1").select("rid"), "rid").select("rid", word_list(F.col("t")).alias("ws"))
+    meeting = met.where("met = 1").select("rid")
+    few = rows.where(passing(spark, key_filter(meeting, "rid"), F.col("rid")))
+    near = few.join(meeting, "rid").select("rid", word_list(F.col("t")).alias("ws"))
     near = _hashes(near)
     hits = None
     for n in lengths:
