@@ -52,4 +52,4 @@ def floor_to_bin(t: Column, hours: int) -> Column:
 
 
 def midpoint(a: Column, b: Column) -> Column:
-    return F.timestamp_add("MICROSECOND", F.floor(F.timestamp_diff("MICROSECOND", a, b) / 2).cast("int"), a)
+    return a + F.make_dt_interval(secs=(F.floor(F.timestamp_diff("MICROSECOND", a, b) / 2) / F.lit(1e6)).cast("decimal(18,6)"))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Risk classes of the categorical net reclassification.
 CUTOFFS = (0.0, 0.05, 0.1, 0.2, 1.0)
@@ -171,18 +172,18 @@ def chi2_above(x: float, df: float) -> float:
     return exp(-x + a * log(x) - lgamma(a)) * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t, df):
     """Two-sided p of t statistics: one value a group, not a row."""
     return t.combine(df, lambda a, b: float("nan") if np.isnan(a) or not b > 0 else t_two_sided(a, b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p_value(x, df):
     return x.combine(df, lambda a, b: float("nan") if np.isnan(a) or not b > 0 else chi2_above(a, b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_half_width(sem, df):
     """Half the width of a 95 % interval."""
     return sem.combine(df, lambda s, n: float("nan") if np.isnan(s) or not n > 0 else s * t_quantile(0.95, n))

@@ -42,8 +42,9 @@ def balanced(df: DataFrame, key: str, y: str, method: str = "under", seed: int =
         if not n:
             return df
         whole, rest = divmod(m, n)
-        times = F.when(F.col(y) == few, F.lit(whole) + (F.row_number().over(W.partitionBy(y).orderBy(shuffled(key, seed))) <= rest).cast("int")).otherwise(1)
-        return df.withColumn("__t", F.explode(F.array_repeat(F.lit(1), times))).drop("__t")
+        df = df.withColumn("__r", F.row_number().over(W.partitionBy(y).orderBy(shuffled(key, seed), key)))
+        times = F.when(F.col(y) == few, F.lit(whole) + (F.col("__r") <= rest).cast("int")).otherwise(1)
+        return df.withColumn("__t", F.explode(F.array_repeat(F.lit(1), times))).drop("__t", "__r")
     # the n-th smallest digest of the larger class is the limit; the order statistic comes from a top-n of digests alone
     rank = F.row_number().over(W.partitionBy(y).orderBy(shuffled(key, seed), key))
     return df.withColumn("__r", rank).where((F.col(y) == few) | (F.col("__r") <= n)).drop("__r")
