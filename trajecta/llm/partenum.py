@@ -113,6 +113,23 @@ def _digests(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
+#: Bits of a sketch: the parity of how many features fall in each bin. Sets differ in at least as many features as their sketches in bits.
+SKETCH = 512
+
+
+def _sketches(text: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
+    bins = (mix(value + np.uint64(0x27D4EB2F165667C5)) % np.uint64(SKETCH)).astype(np.int64)
+    odd = (np.bincount(text * SKETCH + bins, minlength=n * SKETCH) & 1).astype(np.uint8)
+    longs = np.packbits(odd.reshape(n, SKETCH), axis=1).view(np.int64).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(longs))
+
+
+def _near(percent: int) -> str:
+    """SQL test of rows (na, sa, nb, sb) that holds for every pair that links: its sets differ in at most (100 - p) / (100 + p) (a + b) features."""
+    apart = " + ".join(f"bit_count(sa[{i}] ^ sb[{i}])" for i in range(SKETCH // 64))
+    return f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * ({apart}) <= {100 - percent} * (na + nb)"
+
+
 def _described(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,11 +138,11 @@ def _described(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 text, value = shingles(w, size)
                 owner, sig = signatures(text, value, b - a, percent)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.bincount(text, minlength=b - a).astype(np.int64)), pa.array(_digests(text, value, b - a).view(np.int64)), _lists(owner, sig, b - a)],
-                    names=["id", "n", "key", "sigs"],
+                    [batch.column(0).slice(a, b - a), pa.array(np.bincount(text, minlength=b - a).astype(np.int64)), pa.array(_digests(text, value, b - a).view(np.int64)), _sketches(text, value, b - a), _lists(owner, sig, b - a)],
+                    names=["id", "n", "key", "sketch", "sigs"],
                 )
 
-    return docs.mapInArrow(run, docs.select("id").schema.add("n", "long").add("key", "long").add("sigs", T.ArrayType(T.LongType())))
+    return docs.mapInArrow(run, docs.select("id").schema.add("n", "long").add("key", "long").add("sketch", T.ArrayType(T.LongType())).add("sigs", T.ArrayType(T.LongType())))
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -161,8 +178,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     a doc_id stay apart as rows; a component they share has the same component_id.
 
     Equal sets are one class, so copies never meet as pairs. A class meets, through each shared signature, only the
-    least class of that signature; pairs of classes that are already connected are not compared. What is left between
-    unconnected classes of one signature is then compared in full, so no link is lost and none is capped.
+    central class of that signature; pairs of classes that are already connected are not compared. What is left between
+    unconnected classes of one signature is then compared in full, so no link is lost and none is capped. Parity
+    sketches of the sets rule out most pairs that cannot link before they are emitted.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -174,7 +192,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # signatures that two classes or more share
     shared = scratch.table(sigs.groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).where("a <> b"))
     pairs = shared.select("a", "b")
-    crowded = shared.where("n > 2").select("sig", F.col("a").alias("least"))
+    crowded = shared.where("n > 2").select("sig", F.col("n").alias("crowd"))
     bits = spark.sparkContext.broadcast(key_filter(crowded, "sig"))
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +203,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             use = passes(bits.value, flat)
             yield pa.RecordBatch.from_arrays([pa.array(key[use]), pa.array(flat[use])], names=["key", "sig"])
 
-    in_crowds = scratch.table(described.select("key", "sigs").mapInArrow(picked, "key long, sig long").join(crowded, "sig").distinct())
-    tried = scratch.table(pairs.union(in_crowds.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))).distinct())
+    in_crowds = scratch.table(described.select("key", "sigs").mapInArrow(picked, "key long, sig long").distinct().join(crowded, "sig"))
+    # the center of a crowd is the class that meets most others: links of a group of near copies mostly go through it
+    weight = in_crowds.groupBy("key").agg(F.sum("crowd").alias("weight"))
+    in_crowds = scratch.table(in_crowds.select("sig", "key").join(weight, "key"))
+    heaviest = in_crowds.groupBy("sig").agg(F.max("weight").alias("weight"))
+    centers = in_crowds.join(heaviest, ["sig", "weight"]).groupBy("sig").agg(F.min("key").alias("center"))
+    stars = in_crowds.join(centers, "sig").where("key <> center").select(F.least("center", "key").alias("a"), F.greatest("center", "key").alias("b"))
+    sketches = scratch.table(described.where("n > 0").select("key", "n", "sketch").dropDuplicates(["key"]))
+    one, two = (sketches.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    met = pairs.union(stars).distinct()
+    tried = scratch.table(met.join(one, "a").join(two, "b").where(_near(percent)).select("a", "b"))
     texts = scratch.table(_texts(rows, tried, members, size))
     edges = scratch.table(_similar(tried, texts, size, percent))
     roots = scratch.table(components(edges, scratch))
@@ -194,11 +221,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # what is left: classes of one signature in different components
     at = in_crowds.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("root"))
     mixed = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    at = scratch.table(at.join(mixed, "sig"))
-    one, two = at.select("sig", F.col("key").alias("a"), F.col("root").alias("ra")), at.select("sig", F.col("key").alias("b"), F.col("root").alias("rb"))
-    rest = one.join(two, "sig").where("a < b and ra <> rb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = scratch.table(_similar(rest, texts, size, percent))
-    if not more.isEmpty():
+    at = scratch.table(at.join(mixed, "sig").join(sketches, "key"))
+    one, two = (at.select("sig", F.col("key").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    rest = one.join(two, "sig").where("a < b and ra <> rb and " + _near(percent)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    rest = scratch.table(rest)
+    if not rest.isEmpty():
+        more = scratch.table(_similar(rest, scratch.table(_texts(rows, rest, members, size)), size, percent))
         roots = components(edges.union(more), scratch)
     labelled = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = labelled.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
@@ -224,6 +252,6 @@ def _texts(rows: DataFrame, pairs: DataFrame, members: DataFrame, size: int) ->
                 key = _digests(*shingles(words(raw, at), size), b - a).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(key)], names=["id", "text", "key"])
 
-    few = rows.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(keyed, rows.schema.add("key", "long"))
+    few = rows.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(keyed, "id " + rows.schema["id"].dataType.simpleString() + ", text string, key long")
     chosen = chosen.select("key", F.col("id").alias("of"))
     return few.join(chosen, "key").where(F.col("id").eqNullSafe(F.col("of"))).select("key", "text").dropDuplicates(["key"])
