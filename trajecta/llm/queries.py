@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import lm, pages, partenum, pieces, quality, rules, spans, urls, winnow
+from trajecta.llm import lm, oracles, pages, partenum, pieces, quality, rules, spans, urls, winnow
 
 PIECES = "piece_bpe_32k.model"
 
@@ -45,7 +45,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+    judged = rules.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+    return judged.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("char_distance", "word_distance")})
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return partenum.jaccard_components(docs).select("doc_id", "n_shingles", "component_id", "class_key")
+    return partenum.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
 #: Given rules of op9: action, and host with path.
@@ -87,4 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others rest on vocabulary files, on models, or on mining.
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": oracles.DECONTAMINATION,
+    "op6_quality_rules": oracles.QUALITY_RULES,
+    "op8_jaccard_join": oracles.JACCARD,
+}
