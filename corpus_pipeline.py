@@ -28,8 +28,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document whose doc_id names it."""
-    found = partenum.jaccard_components(docs.select("doc_id", "text"))
+    """Of each component of near duplicates (runs of five words, similarity 0.8 or more), the document whose doc_id names it."""
+    found = partenum.jaccard_components(docs.select("doc_id", "text"), size=5, percent=80)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi").dropDuplicates(["doc_id", "text"])
 

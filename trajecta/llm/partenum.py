@@ -21,9 +21,13 @@ from trajecta.llm.arrowtext import Words, blocks, mix, windows, words
 from trajecta.llm.graph import components
 from trajecta.llm.scratch import Scratch, key_filter, passes
 
-#: Pieces of a part, and how many of them may differ.
-N2, K2 = 3, 1
-_SELECTIONS = list(combinations(range(N2), N2 - K2))
+#: How many pieces of a part may differ.
+K2 = 1
+
+
+def pieces_of(percent: int) -> int:
+    """Pieces of a part: three from a similarity of 0.9 on; two below, where more parts are needed and more signatures would be."""
+    return 3 if percent >= 90 else 2
 
 
 @lru_cache(maxsize=8)
@@ -65,11 +69,13 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 def signatures(text: np.ndarray, value: np.ndarray, n_texts: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, signature) for the sorted features of a block's sets: in the set's band and, to meet the larger sets, in the next."""
     sizes = np.bincount(text, minlength=n_texts)
+    n2 = pieces_of(percent)
+    selections = list(combinations(range(n2), n2 - K2))
     owners, found = [], []
     for step in (0, 1):
         band = np.searchsorted(bands(percent), np.maximum(sizes, 1), "right") - 1 + step
         n1 = parts(band, percent)
-        cells = np.maximum(n1 * N2, 1)  # of each text
+        cells = np.maximum(n1 * n2, 1)  # of each text
         base = np.concatenate([[0], np.cumsum(cells)])
         cell = (mix(value + np.uint64(0x632BE59BD9B4E019)) % cells[text].astype(np.uint64)).astype(np.int64) + base[text]
         sums = np.zeros(base[-1], dtype=np.uint64)
@@ -81,11 +87,11 @@ def signatures(text: np.ndarray, value: np.ndarray, n_texts: int, percent: int)
         present = sizes > 0
         owner = np.repeat(np.arange(n_texts), n1)
         part = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(n1)[:-1]]), n1)
-        first = base[owner] + part * N2
+        first = base[owner] + part * n2
         use = present[owner]
         owner, part, first = owner[use], part[use], first[use]
         tag = mix((band[owner].astype(np.uint64) << np.uint64(40)) + part.astype(np.uint64))
-        for j, picked in enumerate(_SELECTIONS):
+        for j, picked in enumerate(selections):
             h = tag + np.uint64(j)
             for q in picked:
                 h = mix(h * np.uint64(0x9FB21C651E98DF25) + sums[first + q])

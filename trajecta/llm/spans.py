@@ -98,7 +98,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     met = scratch.table(all_runs.mapInArrow(picked, all_runs.schema).join(repeated, "h"))
     is_first = F.col("id").eqNullSafe(F.col("least"))
-    first_place = met.where(is_first).groupBy("h").agg(F.min("i").alias("first_i"))
+    first_place = scratch.table(met.where(is_first).groupBy("h").agg(F.min("i").alias("first_i")))  # apart, so that the join can split a hot run
     cut = met.join(first_place, "h").where(~(is_first & (F.col("i") == F.col("first_i"))))
     by_doc = cut.select("id", "i", "h").distinct().groupBy(F.col("id").alias("__id")).agg(F.collect_list("i").alias("__i"), F.collect_list("h").alias("__h"))
 
