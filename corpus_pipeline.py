@@ -20,11 +20,19 @@ from trajecta.llm.scratch import Scratch
 PIECES = "piece_bpe_32k.model"
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with columns c0, c1, ..., so that no name of theirs meets one that an operator adds; those of doc_id and text."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking learned from labels (rows whose crc32(doc_id) mod 5 is not 0) does not reject."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    learn = lm.remainder(F.col("doc_id"), 5) != 0
-    return quality.ranked(docs, labels, learn, keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    f, doc_id, text = _numbered(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias(doc_id), "quality")
+    learn = lm.remainder(F.col(doc_id), 5) != 0
+    kept = quality.ranked(f, labels, learn, doc_id, text, keep=tuple(f.columns)).where("predicted = 1")
+    return kept.select(*f.columns).toDF(*docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +44,12 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences of runs that stand earlier in the table; n_chars is counted anew."""
-    cut = spans.repeated_spans(docs, keep=tuple(docs.columns))
+    f, doc_id, text = _numbered(docs)
+    cut = spans.repeated_spans(f, doc_id, text, keep=tuple(f.columns))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+        n = f.columns[docs.columns.index("n_chars")]
+        cut = cut.withColumn(n, F.when(F.col("n_removed") > 0, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return cut.select(*f.columns).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
