@@ -22,7 +22,7 @@ COMMON = {
 }
 #: Fewest characters for a verdict by characters, fewest words for one by common words, and the largest distances that pass.
 MIN_CHARS, MIN_WORDS = 200, 150
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.24
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.24
 
 
 def js_distance(p: str, q: str) -> Column:
