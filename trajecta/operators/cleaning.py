@@ -111,3 +111,19 @@ def columns_named(names: Sequence[str], wanted: Sequence[str]) -> list[str]:
     if missing:
         raise ValueError(f"no such columns: {missing}")
     return [n for n in names if n in wanted]
+
+
+def feature_columns(df: DataFrame, wanted: Sequence[str]) -> list[Column]:
+    """Columns for feature names whatever their case; name_low and name_high take the fields of a pair column."""
+    by_name = {c.lower(): c for c in df.columns}
+    out = []
+    for name in wanted:
+        low = name.lower()
+        stem, _, end = low.rpartition("_")
+        if low in by_name:
+            out.append(F.col(f"`{by_name[low]}`").alias(name))
+        elif end in ("low", "high") and stem in by_name:
+            out.append(F.col(f"`{by_name[stem]}`.{end}").alias(name))
+        else:
+            raise ValueError(f"no feature {name}")
+    return out

@@ -202,3 +202,26 @@ def static_table(ids: DataFrame, *parts: DataFrame) -> DataFrame:
     for p in parts:
         out = out.join(p, "id", "left")
     return out
+
+
+#: Laboratory pairs of day 1 in the first cohort's tables, by name: (table, column stem).
+LABS = {
+    "hematocrit": "HEMATOCRIT", "hemoglobin": "HEMOGLOBIN", "sodium": "SODIUM", "potassium": "POTASSIUM", "wbc": "WBC", "bicarbonate": "CO2", "ph": "PH", "po2": "PO2", "pco2": "PCO2",
+}
+
+
+def labs(ids: DataFrame, males: DataFrame, first: DataFrame, second: DataFrame, gases: DataFrame, max_day: int = 1, male_limit: float = 13.0) -> DataFrame:
+    """Low and high of LABS, single values (bilirubin, platelets, albumin, lactate, urea up to max_day) and three grades of anemia on the day-1 lows. The cohorts differ in the men's hemoglobin limit of the first (13 or 18)."""
+    f = first_match_left(ids.select("id").join(males, "id", "left"), first, "id", "place").drop("place")
+    f = first_match_left(f, second, "id", "place").drop("place")
+    f = first_match_left(f, gases, "id", "place")
+    pairs = [low_high(n, F.col(f"{s}_D1_LOW_VALUE"), F.col(f"{s}_D1_HIGH_VALUE")) for n, s in LABS.items()]
+    urea = [F.col(f"BUN_D{j}_HIGH_VALUE") for j in range(max_day + 1) if f"BUN_D{j}_HIGH_VALUE" in f.columns]
+    single = {"bilirubin": F.col("BILIRUBIN_D1_HIGH_VALUE"), "platelets": F.col("PLATELETS_D1_LOW_VALUE"), "albumin": F.col("ALBUMIN_VALUE"), "lactate": F.col("LACTATE_SYRINGE_ION_VALUE"), "bun": F.greatest(*urea, F.lit(None)) if urea else F.lit(None).cast("double")}
+    hemoglobin, hematocrit = F.col("HEMOGLOBIN_D1_LOW_VALUE"), F.col("HEMATOCRIT_D1_LOW_VALUE")
+    grades = {
+        "anemia_a": (hematocrit < F.when(F.col("male") == 1, 39).otherwise(36)) | (hemoglobin < F.when(F.col("male") == 1, male_limit).otherwise(12.0)),
+        "anemia_b": (hematocrit < 30) | (hemoglobin < 10),
+        "anemia_c": (hematocrit < 27) | (hemoglobin < 9),
+    }
+    return f.select("id", *pairs, *(c.alias(n) for n, c in single.items()), *(F.coalesce(c, F.lit(False)).cast("int").alias(n) for n, c in grades.items()))

@@ -125,3 +125,10 @@ def masked(df: DataFrame, mask: str, chosen: int | list[int] = 1) -> DataFrame:
 def location(at: Column, icu: tuple[Column, Column], hospital: tuple[Column, Column]) -> Column:
     """2 in intensive care, 1 elsewhere in hospital, 0 outside."""
     return F.when(at.between(*icu), 2).when(at.between(*hospital), 1).otherwise(0)
+
+
+def extremes(df: DataFrame, starts: DataFrame, key: str = "id", ts: str = "ts", value: str = "value", start: str = "start", max_days: int = 3) -> DataFrame:
+    """(key, first, last, most, least) of the values from start to max_days later, ends included; nulls where there are none."""
+    inside = df.join(starts.select(key, start), key).where((F.col(ts) >= F.col(start)) & (F.col(ts) <= F.col(start) + F.make_dt_interval(days=F.lit(max_days))))
+    g = inside.groupBy(key).agg(F.min_by(value, ts).alias("first"), F.max_by(value, ts).alias("last"), F.max(value).alias("most"), F.min(value).alias("least"))
+    return starts.select(key).distinct().join(g, key, "left")

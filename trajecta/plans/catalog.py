@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta.functions import renal, sequences, times
-from trajecta.operators import alignment, cleaning, clustering, cohort, evaluation, joins, modelling, series, tables, trajectories
+from trajecta.operators import alignment, cleaning, clustering, cohort, evaluation, joins, modelling, outcomes, series, tables, trajectories
 from trajecta.plans.stages import measurements, peak_stages, stages_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -598,3 +598,70 @@ def q_dialysis_mask(spark, d):
     t = e.select(F.col("user_id").alias("id"), kind.alias("kind"), F.col("ts").alias("start"), F.col("ts").alias("stop")).where("kind is not null")
     v = e.select(F.col("user_id").alias("id"), F.col("event_id").alias("tie"), "ts")
     return cohort.dialysis_mask(v, t, row="tie").select("tie", "id", F.col("mask").cast("int").alias("mask"))
+
+
+# further shapes
+
+
+@query("q_extremes", f"with {EV}, s as (select id, min(ts) + interval 1 day st from ev group by 1), i as (select ev.id, ts, tie, value from ev join s on ev.id = s.id and ts >= st and ts <= st + interval 5 day) select s.id, round(arg_min(value, ts), 6) \"first\", round(arg_max(value, ts), 6) \"last\", round(max(value), 6) most, round(min(value), 6) least from s left join i using (id) group by s.id")
+def q_extremes(spark, d):
+    ms = measurements(spark, d)
+    starts = ms.groupBy("id").agg((F.min("ts") + F.expr("interval 1 day")).alias("start"))
+    return series.extremes(ms, starts, max_days=5).select("id", *(r6(c).alias(c) for c in ("first", "last", "most", "least")))
+
+
+@query("q_masked", "select event_id, user_id from events where event_type in ('error', 'view')")
+def q_masked(spark, d):
+    return series.masked(table(spark, d, "events"), "event_type", ["error", "view"]).select("event_id", "user_id")
+
+
+@query("q_within", f"with {EV}, w as (select id, min(ts) a, min(ts) + interval 10 day b from ev where mask = 1 group by 1) select ev.id, ev.tie from ev join w on ev.id = w.id and ts >= a - interval 1 day and ts <= b")
+def q_within(spark, d):
+    ms = measurements(spark, d)
+    windows = ms.where("mask = 1").groupBy("id").agg(F.min("ts").alias("a"), (F.min("ts") + F.expr("interval 10 days")).alias("b"))
+    return joins.within(ms, windows, "id", "ts", "a", "b", 1).select("id", "tie")
+
+
+@query("q_location", f"with {EV}, w as (select id, min(ts) a, max(ts) z from ev group by 1) select ev.tie, case when ts between a + interval 2 day and a + interval 6 day then 2 when ts between a + interval 1 day and z - interval 3 day then 1 else 0 end place from ev join w using (id)")
+def q_location(spark, d):
+    ms = measurements(spark, d)
+    w = ms.groupBy("id").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
+    day = lambda n: F.expr(f"interval {n} days")
+    at = series.location(F.col("ts"), (F.col("a") + day(2), F.col("a") + day(6)), (F.col("a") + day(1), F.col("z") - day(3)))
+    return ms.join(w, "id").select("tie", at.alias("place"))
+
+
+@query("q_containing", "with l as (select l_orderkey k, l_linenumber n, l_shipdate s from lineitem), w as (select o_orderkey k, o_orderdate a, o_orderdate + interval 45 day b from orders) select l.k, l.n, w.a::date a from l join w on l.k = w.k and s between a and b")
+def q_containing(spark, d):
+    inner = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_shipdate").alias("s"))
+    outer = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("a"), F.date_add("o_orderdate", 45).alias("b"))
+    return joins.containing(inner, outer, "k", "s", "a", "b").select("k", "n", F.col("a").cast("date").alias("a"))
+
+
+@query("q_codes", "select p_partkey, max((contains(p_type, 'A'))::int) with_a, max((contains(p_type, 'STE'))::int) with_ste from part group by 1")
+def q_codes(spark, d):
+    codes = spark.createDataFrame([("with_a", "Ax"), ("with_ste", "STE")], "name string, pattern string")
+    p = table(spark, d, "part").select("p_partkey", "p_type")
+    return joins.has_codes(p.select("p_partkey"), p, codes, "p_partkey", "p_type", "name", "pattern", ["with_a", "with_ste"])
+
+
+@query("q_balance_over", "with r as (select doc_id, quality, row_number() over (partition by quality order by md5('1:' || doc_id), doc_id) rn from labels), c as (select count(*) filter (quality = 1) p, count(*) filter (quality = 0) n from labels), t as (select doc_id, case when (quality = 1) = (p <= n) then greatest(p, n) // least(p, n) + (rn <= greatest(p, n) % least(p, n))::int else 1 end k from r, c) select doc_id, k::bigint copies from t")
+def q_balance_over(spark, d):
+    more = modelling.balanced(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "quality", "rand_over")
+    return more.groupBy("doc_id").agg(F.count("*").alias("copies"))
+
+
+@query("q_similarity", LABELLED + " select x, y, round(exp(-d * d / (select pow(stddev_pop(d), 2) from e)), 5) s from e")
+def q_similarity(spark, d):
+    return clustering.similarity(_edges(spark, d)[0]).select("x", "y", F.round("s", 5).alias("s"))
+
+
+@query("q_category_counts", "with c as (select unnest(['BRASS', 'STEEL', 'PROMO']) category) select category, count(distinct p_type) n from c join part on contains(p_type, category) group by 1")
+def q_category_counts(spark, d):
+    return clustering.category_counts(table(spark, d, "part"), ["BRASS", "STEEL", "PROMO"], "p_type")
+
+
+@query("q_free_days", "with s as (select o_custkey id, sum(o_orderkey % 5) n, max((o_orderstatus = 'F')::int) f from orders group by 1) select id, case when f = 1 and n > 20 then 0.0 else greatest(0, 28.0 - n)::double end free from s")
+def q_free_days(spark, d):
+    s = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sum(F.col("o_orderkey") % 5).alias("n"), F.max((F.col("o_orderstatus") == "F").cast("int")).alias("f"))
+    return s.select("id", outcomes.free_days(F.col("n").cast("double"), ((F.col("f") == 1) & (F.col("n") > 20)).cast("int")).alias("free"))
