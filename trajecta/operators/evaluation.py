@@ -34,11 +34,14 @@ def _value_counts(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def below(df: DataFrame, order: str, sums: Sequence[str], parts: int = 64) -> DataFrame:
-    """Adds before_x, the sum of x over all rows of smaller order (which are all different), without one global sort task.
+    """Adds before_x, the sum of x over all rows of smaller order (numbers, all different), without one global sort task.
 
-    Rows are dealt to ranges; a range's own sums run by a window, and the ranges before it are added from a table of one row a range.
+    Rows are dealt to ranges between approximate quantiles; a range's own sums run by a window, and the ranges before it are added from a
+    table of one row a range.
     """
-    dealt = df.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
+    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    bounds = F.array(*(F.lit(float(x)) for x in sorted(set(cuts)))).cast("array<double>")
+    dealt = df.withColumn("__part", F.size(F.filter(bounds, lambda x: x < F.col(order))))
     by = dealt.groupBy("__part").agg(*(F.sum(x).alias(f"__t_{x}") for x in sums))
     run = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     before = by.select("__part", *(F.coalesce(F.sum(f"__t_{x}").over(run), F.lit(0)).alias(f"__b_{x}") for x in sums))
