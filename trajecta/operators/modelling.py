@@ -21,33 +21,40 @@ def shuffled(key: str, seed: int = 1) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
-def folds(df: DataFrame, key: str, y: str, k: int = 10, seed: int = 1) -> DataFrame:
-    """Adds fold 0..k-1, dealt within each class in the fixed order. Classes are large groups, so places are counted within digest prefixes first."""
-    df = df.withColumn("__o", shuffled(key, seed)).withColumn("__p", F.substring("__o", 1, 2))
+def placed(df: DataFrame, key: str, y: str, seed: int = 1, out: str = "__place") -> DataFrame:
+    """Adds each row's place within its class in the fixed order, from 0.
+
+    A class may be most of the table, so rows are ranked within the first three digits of their digest, and the numbers of rows before each of
+    those (at most 4096 a class) are added.
+    """
+    df = df.withColumn("__o", shuffled(key, seed)).withColumn("__p", F.substring("__o", 1, 3))
     sizes = df.groupBy(y, "__p").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.partitionBy(y).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    at = sizes.select(F.col(y).alias("__y"), F.col("__p").alias("__q"), before.alias("__before"))  # 256 rows a class
-    place = F.row_number().over(W.partitionBy(y, "__p").orderBy("__o", key)) - 1
-    joined = df.withColumn("__r", place).join(F.broadcast(at), F.col(y).eqNullSafe(F.col("__y")) & (F.col("__p") == F.col("__q")))
-    return joined.withColumn("fold", ((F.col("__before") + F.col("__r")) % k).cast("int")).drop("__o", "__p", "__r", "__y", "__q", "__before")
+    at = sizes.select(F.col(y).alias("__y"), F.col("__p").alias("__q"), before.alias("__before"))
+    rank = F.row_number().over(W.partitionBy(y, "__p").orderBy("__o", key)) - 1
+    joined = df.withColumn("__r", rank).join(F.broadcast(at), F.col(y).eqNullSafe(F.col("__y")) & (F.col("__p") == F.col("__q")))
+    return joined.withColumn(out, F.col("__before") + F.col("__r")).drop("__o", "__p", "__r", "__y", "__q", "__before")
+
+
+def folds(df: DataFrame, key: str, y: str, k: int = 10, seed: int = 1) -> DataFrame:
+    """Adds fold 0..k-1, dealt within each class in the fixed order."""
+    return placed(df, key, y, seed).withColumn("fold", (F.col("__place") % k).cast("int")).drop("__place")
 
 
 def balanced(df: DataFrame, key: str, y: str, method: str = "under", seed: int = 1) -> DataFrame:
     """As many rows of either class: the first of the larger in the fixed order (under), or the smaller's repeated (rand_over)."""
     counts = {r[0]: r[1] for r in df.groupBy(y).count().collect()}  # two classes
     pos, neg = counts.get(1, 0), counts.get(0, 0)
-    few, many = (1, 0) if pos <= neg else (0, 1)
+    few = 1 if pos <= neg else 0
     n, m = min(pos, neg), max(pos, neg)
+    ranked = placed(df, key, y, seed)
     if method == "rand_over":
         if not n:
             return df
         whole, rest = divmod(m, n)
-        df = df.withColumn("__r", F.row_number().over(W.partitionBy(y).orderBy(shuffled(key, seed), key)))
-        times = F.when(F.col(y) == few, F.lit(whole) + (F.col("__r") <= rest).cast("int")).otherwise(1)
-        return df.withColumn("__t", F.explode(F.array_repeat(F.lit(1), times))).drop("__t", "__r")
-    # the n-th smallest digest of the larger class is the limit; the order statistic comes from a top-n of digests alone
-    rank = F.row_number().over(W.partitionBy(y).orderBy(shuffled(key, seed), key))
-    return df.withColumn("__r", rank).where((F.col(y) == few) | (F.col("__r") <= n)).drop("__r")
+        times = F.when(F.col(y) == few, F.lit(whole) + (F.col("__place") < rest).cast("int")).otherwise(1)
+        return ranked.withColumn("__t", F.explode(F.array_repeat(F.lit(1), times))).drop("__t", "__place")
+    return ranked.where((F.col(y) == few) | (F.col("__place") < n)).drop("__place")
 
 
 def class_weights(df: DataFrame, y: str) -> DataFrame:
