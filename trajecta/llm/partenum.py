@@ -3,6 +3,7 @@
 Sets of equal or neighbouring size bands whose Jaccard similarity reaches the threshold differ in at most k features.
 The feature domain is split into n1 parts and each part into n2; two sets that differ in at most k features agree,
 in some part, on some n2 - k2 of its n2 pieces, so the hashes of all such selections always share one value.
+From a similarity of 0.9 on, n2 = 3 and k2 = 1; below, one part with k2 = k and n2 = k + 4 for sets of small k, else n2 = 2 and k2 = 1 with spare parts.
 """
 
 from __future__ import annotations
@@ -21,15 +22,6 @@ from trajecta.llm.arrowtext import Words, blocks, mix, windows, words
 from trajecta.llm.graph import components
 from trajecta.llm.scratch import Scratch, key_filter, passes
 
-#: How many pieces of a part may differ.
-K2 = 1
-
-
-def pieces_of(percent: int) -> int:
-    """Pieces of a part: three from a similarity of 0.9 on; two below, where more parts are needed and more signatures would be."""
-    return 3 if percent >= 90 else 2
-
-
 @lru_cache(maxsize=8)
 def bands(percent: int) -> np.ndarray:
     """First set size of each size band; sets of similarity percent/100 are in one band or in neighbours."""
@@ -39,12 +31,26 @@ def bands(percent: int) -> np.ndarray:
     return np.array(starts, dtype=np.int64)
 
 
-def parts(band: np.ndarray, percent: int) -> np.ndarray:
-    """n1 of the instance that pairs sets of a band with its own and the band below: n1 (K2 + 1) > k. 0 where only equal sets link."""
+def distance(band: np.ndarray, percent: int) -> np.ndarray:
+    """Features in which two linking sets can differ, of which one is in the band and the other in it or the one below."""
     largest = bands(percent)[band + 1] - 1
     # two sets of sizes a, b with this similarity differ in at most (100 - p) / (100 + p) (a + b) features
-    k = ((100 - percent) * 2 * largest) // (100 + percent)
-    return np.where(k == 0, 0, k // (K2 + 1) + 1)
+    return ((100 - percent) * 2 * largest) // (100 + percent)
+
+
+def schemes(k: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, int, int, np.ndarray, np.ndarray]]:
+    """(which sets, n2, k2, n1 of each, spare of each): ways of dividing the domain for the distances k. k = 0 has none: only equal sets link.
+
+    Of n1 = k // (k2 + 1) + spare parts at least `spare` have no more than k2 differing pieces.
+    """
+    one = np.ones(len(k), dtype=np.int64)
+    if percent >= 90:
+        yield k > 0, 3, 1, k // 2 + 1, one
+        return
+    for few in range(1, 6):
+        yield k == few, few + 4, few, one, one
+    spare = 2 + k // 24
+    yield k > 5, 2, 1, k // 2 + spare, spare
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,45 +73,53 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(text: np.ndarray, value: np.ndarray, n_texts: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) for the sorted features of a block's sets: in the set's band and, to meet the larger sets, in the next."""
+    """(text, signature) for the sorted features of a block's sets: in the set's band and, to meet the larger sets, in the next.
+
+    A selection without features says nothing, so a set leaves such signatures out unless its parts that have one are
+    as many as its spare parts: with fewer, some agreeing part of any linking pair has features.
+    """
     sizes = np.bincount(text, minlength=n_texts)
-    n2 = pieces_of(percent)
-    selections = list(combinations(range(n2), n2 - K2))
-    owners, found = [], []
+    hashed, mixed = mix(value + np.uint64(0x632BE59BD9B4E019)), mix(value ^ np.uint64(0xA24BAED4963EE407))
+    owners, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
     for step in (0, 1):
         band = np.searchsorted(bands(percent), np.maximum(sizes, 1), "right") - 1 + step
-        n1 = parts(band, percent)
-        cells = np.maximum(n1 * n2, 1)  # of each text
-        base = np.concatenate([[0], np.cumsum(cells)])
-        cell = (mix(value + np.uint64(0x632BE59BD9B4E019)) % cells[text].astype(np.uint64)).astype(np.int64) + base[text]
-        sums = np.zeros(base[-1], dtype=np.uint64)
-        order = np.argsort(cell, kind="stable")
-        c, v = cell[order], mix(value[order] ^ np.uint64(0xA24BAED4963EE407))
-        if len(c):
+        for which, n2, k2, n1, spare in schemes(distance(band, percent), percent):
+            who = np.flatnonzero(which & (sizes > 0))
+            if not len(who):
+                continue
+            n1 = n1[who]
+            cells = n1 * n2
+            base = np.zeros(n_texts, dtype=np.int64)
+            base[who] = np.cumsum(cells) - cells
+            wide = np.ones(n_texts, dtype=np.uint64)
+            wide[who] = cells.astype(np.uint64)
+            mine = which[text]
+            t = text[mine]
+            cell = (hashed[mine] % wide[t]).astype(np.int64) + base[t]
+            total = int(cells.sum())
+            filled = np.bincount(cell, minlength=total) > 0
+            sums = np.zeros(total, dtype=np.uint64)
+            order = np.argsort(cell, kind="stable")
+            c, v = cell[order], mixed[mine][order]
             firsts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
             sums[c[firsts]] = np.add.reduceat(v, firsts)
-        present = sizes > 0
-        owner = np.repeat(np.arange(n_texts), n1)
-        part = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(n1)[:-1]]), n1)
-        first = base[owner] + part * n2
-        use = present[owner]
-        owner, part, first = owner[use], part[use], first[use]
-        tag = mix((band[owner].astype(np.uint64) << np.uint64(40)) + part.astype(np.uint64))
-        for j, picked in enumerate(selections):
-            h = tag + np.uint64(j)
-            for q in picked:
-                h = mix(h * np.uint64(0x9FB21C651E98DF25) + sums[first + q])
-            owners.append(owner)
-            found.append(h)
+            owner = np.repeat(who, n1)
+            part = np.arange(len(owner)) - np.repeat(np.cumsum(n1) - n1, n1)
+            first = base[owner] + part * n2
+            empty = n2 - np.add.reduceat(filled, np.arange(0, total, n2)) >= n2 - k2
+            hollow = np.bincount(owner, empty, minlength=n_texts) >= np.where(which, spare, 1)
+            tag = mix((band[owner].astype(np.uint64) << np.uint64(40)) + part.astype(np.uint64))
+            for j, picked in enumerate(combinations(range(n2), n2 - k2)):
+                h = tag + np.uint64(j)
+                some = hollow[owner]
+                for q in picked:
+                    h = mix(h * np.uint64(0x9FB21C651E98DF25) + sums[first + q])
+                    some = some | filled[first + q]
+                owners.append(owner[some])
+                found.append(h[some])
     return np.concatenate(owners), np.concatenate(found)
 
 
-def _lists(owner: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
-    order = np.argsort(owner, kind="stable")
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[order].view(np.int64)))
-
-
 def _digests(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     """A key of each text's set; 0 for an empty one."""
     sizes = np.bincount(text, minlength=n)
@@ -119,36 +133,65 @@ def _digests(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
-#: Bits of a sketch: the parity of how many features fall in each bin. Sets differ in at least as many features as their sketches in bits.
+#: Bits of a sketch from a similarity of 0.9 on. Below, a set of n features has the power of two from 2 n on, at least this.
 SKETCH = 512
 
 
-def _sketches(text: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
-    bins = (mix(value + np.uint64(0x27D4EB2F165667C5)) % np.uint64(SKETCH)).astype(np.int64)
-    odd = (np.bincount(text * SKETCH + bins, minlength=n * SKETCH) & 1).astype(np.uint8)
-    longs = np.packbits(odd.reshape(n, SKETCH), axis=1).view(np.int64).ravel()
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(longs))
+def _sketches(text: np.ndarray, value: np.ndarray, n: int, percent: int) -> pa.Array:
+    """The parity of how many features fall in each bin. Sets differ in at least as many features as their sketches in bits."""
+    sizes = np.bincount(text, minlength=n)
+    bits = np.full(n, SKETCH, dtype=np.int64)
+    if percent < 90:
+        bits = np.maximum(bits, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 2))).astype(np.int64))
+    start = np.cumsum(bits) - bits
+    bins = (mix(value + np.uint64(0x27D4EB2F165667C5)) & (bits[text] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(start[text] + bins, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(bits // 64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.packbits(odd).view(np.int64)))
 
 
 def _near(percent: int) -> str:
-    """SQL test of rows (na, sa, nb, sb) that holds for every pair that links: its sets differ in at most (100 - p) / (100 + p) (a + b) features."""
-    apart = " + ".join(f"bit_count(sa[{i}] ^ sb[{i}])" for i in range(SKETCH // 64))
+    """SQL test of rows (na, sa, nb, sb) that holds for every pair that links: its sets differ in at most (100 - p) / (100 + p) (a + b) features.
+
+    A longer sketch is folded to the length of the other: bins that become one have the parity of their sum.
+    """
+    if percent >= 90:
+        apart = " + ".join(f"bit_count(sa[{i}] ^ sb[{i}])" for i in range(SKETCH // 64))
+    else:
+        half = "size({s}) div 2"
+        fold = "case when size({s}) > size({o}) then zip_with(slice({s}, 1, " + half + "), slice({s}, " + half + " + 1, " + half + "), (x, y) -> x ^ y) else {s} end"
+        a, b = fold.format(s="sa", o="sb"), fold.format(s="sb", o="sa")
+        apart = f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0L, (t, x) -> t + x)"
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * ({apart}) <= {100 - percent} * (na + nb)"
 
 
 def _described(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, n, key, sketch) of each text's set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, raw, at in blocks(batch.column(1)):
-                w = words(raw, at)
-                text, value = shingles(w, size)
+                text, value = shingles(words(raw, at), size)
+                n = np.bincount(text, minlength=b - a).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(_digests(text, value, b - a).view(np.int64)), _sketches(text, value, b - a, percent)], names=["id", "n", "key", "sketch"])
+
+    return docs.mapInArrow(run, docs.select("id").schema.add("n", "long").add("key", "long").add("sketch", T.ArrayType(T.LongType())))
+
+
+def _signed(docs: DataFrame, size: int, percent: int, bits=None) -> DataFrame:
+    """(key, sig) of each text's signatures, of those that pass the bits if given. Made anew each time: kept, they would be most of the job's disk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, raw, at in blocks(batch.column(0)):
+                text, value = shingles(words(raw, at), size)
                 owner, sig = signatures(text, value, b - a, percent)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.bincount(text, minlength=b - a).astype(np.int64)), pa.array(_digests(text, value, b - a).view(np.int64)), _sketches(text, value, b - a), _lists(owner, sig, b - a)],
-                    names=["id", "n", "key", "sketch", "sigs"],
-                )
+                if bits is not None:
+                    use = passes(bits.value, sig)
+                    owner, sig = owner[use], sig[use]
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(text, value, b - a)[owner].view(np.int64)), pa.array(sig.view(np.int64))], names=["key", "sig"])
 
-    return docs.mapInArrow(run, docs.select("id").schema.add("n", "long").add("key", "long").add("sketch", T.ArrayType(T.LongType())).add("sigs", T.ArrayType(T.LongType())))
+    return docs.select("text").mapInArrow(run, "key long, sig long")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -185,31 +228,21 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Equal sets are one class, so copies never meet as pairs. A class meets, through each shared signature, only the
     central class of that signature; pairs of classes that are already connected are not compared. What is left between
-    unconnected classes of one signature is then compared in full, so no link is lost and none is capped. Parity
-    sketches of the sets rule out most pairs that cannot link before they are emitted.
+    unconnected classes of one signature is then compared in full, so no link is lost and none is capped. Parity sketches
+    of the sets rule out most pairs that cannot link before they are emitted.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     described = scratch.table(_described(rows, size, percent))
     members = described.select("id", "n", "key")
-    sigs = described.select("key", F.explode("sigs").alias("sig"))
-
     # signatures that two classes or more share
-    shared = scratch.table(sigs.groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).where("a <> b"))
+    shared = scratch.table(_signed(rows, size, percent).groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).where("a <> b"))
     pairs = shared.select("a", "b")
     crowded = shared.where("n > 2").select("sig", F.col("n").alias("crowd"))
     bits = spark.sparkContext.broadcast(key_filter(crowded, "sig"))
 
-    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            key = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
-            use = passes(bits.value, flat)
-            yield pa.RecordBatch.from_arrays([pa.array(key[use]), pa.array(flat[use])], names=["key", "sig"])
-
-    in_crowds = scratch.table(described.select("key", "sigs").mapInArrow(picked, "key long, sig long").distinct().join(crowded, "sig"))
+    in_crowds = scratch.table(_signed(rows, size, percent, bits).distinct().join(crowded, "sig"))
     # the center of a crowd is the class that meets most others: links of a group of near copies mostly go through it
     weight = in_crowds.groupBy("key").agg(F.sum("crowd").alias("weight"))
     in_crowds = scratch.table(in_crowds.select("sig", "key").join(weight, "key"))
