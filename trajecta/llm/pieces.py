@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ MARK = "▁"
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: A worker keeps the segmentations of so many chunks of at most KEPT_CHARS characters; others are made anew.
 KEPT_CHUNKS, KEPT_CHARS = 400_000, 48
+#: Encoded rows are given on when they have so many tokens.
+GIVEN_TOKENS = 500_000
 #: Up to so many symbols a chunk is merged by scanning its pairs, above that by the heap.
 SCANNED = 40
 
@@ -235,23 +238,30 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
         end = str(v.end)
         for batch in batches:
             n_tokens, all_ids, texts, id_hash, text_hash = [], [], [], [], []
-            for t in batch.column(len(keep)).to_pylist():
+            first, held = 0, 0
+            for at, t in enumerate(batch.column(len(keep)).to_pylist(), 1):
                 parts = list(map(known, v.chunks(t))) if t else []
-                n_tokens.append(sum(p[1] for p in parts) + 1)
+                n = sum(p[1] for p in parts) + 1
+                n_tokens.append(n)
                 joined = " ".join([*(p[0] for p in parts), end])
                 back = "".join(p[2] for p in parts).removeprefix(" ")
                 if ids:
-                    all_ids.append(list(map(int, joined.split(" "))))
+                    all_ids.append(np.array(joined.split(" "), dtype=np.int32))
                 if decoded:
                     texts.append(back)
                 if digests:
                     id_hash.append(hashlib.sha256(joined.encode()).hexdigest())
                     text_hash.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
-            out = [*(batch.column(i) for i in range(len(keep))), pa.array(n_tokens, pa.int64())]
-            out += [pa.array(all_ids, pa.list_(pa.int32()))] if ids else []
-            out += [pa.array(texts, pa.string())] if decoded else []
-            out += [pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())] if digests else []
-            yield pa.RecordBatch.from_arrays(out, names=names)
+                held += n
+                if held < GIVEN_TOKENS and at < batch.num_rows:
+                    continue
+                out = [*(batch.column(i).slice(first, at - first) for i in range(len(keep))), pa.array(n_tokens, pa.int64())]
+                out += [pa.array(all_ids, pa.list_(pa.int32()))] if ids else []
+                out += [pa.array(texts, pa.string())] if decoded else []
+                out += [pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())] if digests else []
+                yield pa.RecordBatch.from_arrays(out, names=names)
+                n_tokens, all_ids, texts, id_hash, text_hash = [], [], [], [], []
+                first, held = at, 0
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, fields)
 
