@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from corpus import FOLD, SPACED, documents, prose, word
 
-from trajecta.llm import lm, pages, quality, rules, urls
+from trajecta.llm import lm, pages, quality, rules, seating, urls
 from trajecta.llm.boosting import boosted
 from trajecta.llm.seating import Seats, gibbs
 
@@ -99,6 +99,47 @@ def test_gibbs_finds_the_mean_of_few_customers():
     assert abs(t.mean() - expected) < 0.03
 
 
+@pytest.mark.parametrize("c", [5, 100])
+def test_gibbs_draws_from_the_exact_weights(c):
+    d, a = 0.4, 3.0
+    ways = np.zeros(c + 2)
+    ways[1] = 1.0
+    for n in range(1, c):
+        ways[1 : n + 2] = ways[0 : n + 1] + (n - d * np.arange(1, n + 2)) * ways[1 : n + 2]
+        ways /= ways.max()
+    p = ways * a ** np.arange(c + 2)
+    t, _ = gibbs(np.full(4000, c), np.zeros(4000, dtype=int), np.full(4000, a), 1.0, (d, 0.0), None, 2, 3, 2, 3)
+    assert abs(t.mean() - (p * np.arange(c + 2)).sum() / p.sum()) < 0.08
+
+
+def test_the_ways_of_large_rows_go_on_from_the_listed_ones():
+    known = seating.listed_ways(0.7)[seating.LISTED]
+    t = np.arange(2, 100)
+    c = np.full(len(t), float(seating.LISTED))
+    steps = np.diff(seating.log_ways(c, t.astype(float), 0.7, seating.series_terms(c, 0.7)))
+    assert np.abs(steps - np.diff(known[2:100])).max() < 0.02
+
+
+@pytest.mark.parametrize("c", [3000, 2_000_000])
+def test_large_rows_leave_their_start(c):
+    """At a discount of 1 / 2 the weights have a closed form. The number of sweeps must not matter, whatever the row's size."""
+    a = 40.0
+    t, _ = gibbs(np.full(1000, c), np.zeros(1000, dtype=int), np.full(1000, a), 1.0, (0.5, 0.0), None, 0, 1, 2, 3)
+    x = np.arange(1, 600)
+    log_p = x * math.log(a) + np.array([math.lgamma(2 * c - k) - math.lgamma(k) - math.lgamma(c - k + 1) + 2 * k * math.log(2) for k in x.tolist()])
+    p = np.exp(log_p - log_p.max())
+    mean = (p * x).sum() / p.sum()
+    assert abs(t.mean() - mean) < 0.02 * mean
+    assert abs(t.std() - math.sqrt((p * x * x).sum() / p.sum() - mean**2)) < 0.1 * t.std()
+
+
+def test_a_large_row_and_its_parent_stay_in_bounds():
+    c = np.array([1_500_000, 40_000, 3, 1])
+    t, over = gibbs(c, np.zeros(4, dtype=int), np.full(4, 50.0), 0.01, (0.7, 2.0), (0.5, 2.0, 500.0), 2, 6, 2, 1, alone=np.array([20]))
+    assert (t >= 1).all() and (t <= c[:, None]).all() and (over >= 1).all() and (over <= t.sum(axis=0) + 20).all()
+    assert len(set(t[0])) > 1
+
+
 def test_lm_base_and_score(spark):
     docs = [*DOCS, (None, "one two three"), (DOCS[0][0], DOCS[0][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string")

@@ -25,8 +25,8 @@ from trajecta.llm.seating import gibbs
 KNOWN, DISH, CONTEXT = 5e-7, 2e-4, 2e-3
 #: Discount and strength of the context restaurants, of their parent, and of the rare words.
 INNER, PARENT, RARE = (0.7, 2.0), (0.5, 2.0), (0.6, 10.0)
-#: Sweeps before the first sample, samples averaged, customers of a row moved in a sweep.
-BURN, SAMPLES, MOVES = 2, 3, 24
+#: Sweeps before the first sample, samples averaged, parts of the rows that take turns in a sweep.
+BURN, SAMPLES, MOVES = 2, 3, 2
 #: Hash of the end of a text.
 END = np.uint64(0x5851F42D4C957F2D)
 #: Tokens that a task gathers before it sums them up.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import cache
+
 import numpy as np
 
 
@@ -92,50 +95,174 @@ def expected_tables(customers: np.ndarray, weight: np.ndarray, discount: float,
     return np.clip(t, 1, np.maximum(customers, 1))
 
 
-def gibbs(customers: np.ndarray, dish: np.ndarray, outer: np.ndarray, base: float, inner: tuple[float, float], over: tuple[float, float, float] | None, burn: int, samples: int, moves: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+#: Customers up to which the weights of all table counts of a row are listed; numbers of a matrix of them; parts of a larger row's range.
+LISTED, CELLS, PARTS = 128, 2_000_000, 96
+#: Terms of the series for a large row's weights.
+TERMS = 60
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers, by Stirling's series eight places on."""
+    y = x + 8.0
+    low = np.log(x) + np.log(x + 1) + np.log(x + 2) + np.log(x + 3) + np.log(x + 4) + np.log(x + 5) + np.log(x + 6) + np.log(x + 7)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
+
+
+@cache
+def listed_ways(d: float) -> np.ndarray:
+    """Logarithms of the generalized Stirling numbers [c, t] up to LISTED: the weight of c customers at t tables."""
+    out = np.full((LISTED + 1, LISTED + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, LISTED + 1)
+    for c in range(1, LISTED):
+        out[c + 1, 1:] = np.logaddexp(out[c, :-1], np.where(t <= c, out[c, 1:] + np.log(np.maximum(c - d * t, 1e-300)), -np.inf))
+    return out
+
+
+def series_terms(c: np.ndarray, d: float) -> np.ndarray:
+    """(TERMS, rows): the coefficients of x^c in (1 - x)^(d k), k from 1, with sign, over the first one's size."""
+    out = np.zeros((TERMS, len(c)))
+    start = log_gamma(c - d)
+    for k in range(1, TERMS + 1):
+        if abs(d * k - round(d * k)) > 1e-9:
+            sign = (-1.0) ** k * (-1.0 if math.floor(d * k) % 2 == 0 else 1.0)
+            out[k - 1] = sign * np.exp(log_gamma(c - d * k) - start - math.lgamma(-d * k))
+    return out
+
+
+def log_ways(c: np.ndarray, t: np.ndarray, d: float, terms: np.ndarray) -> np.ndarray:
+    """`listed_ways` of large c, t < c, less what depends on c alone: from the coefficient of x^c in (1 - (1 - x)^d)^t.
+
+    By its binomial series (`series_terms`) while that loses few digits, at the saddle point beyond.
+    """
+    near = (d * t / c**d) ** (1 / (1 - d)) < 8
+    out = np.empty(len(c))
+    i = np.flatnonzero(near)
+    if len(i):
+        choose, total = np.ones(len(i)), np.zeros(len(i))
+        for k in range(TERMS):
+            choose = choose * ((t[i] - k) / (k + 1))
+            total += choose * terms[k, i]
+        out[i] = np.log(np.maximum(total, 1e-300))
+    i = np.flatnonzero(~near)
+    if len(i):
+        n, m = c[i], t[i]
+        share = n / m
+        low, high = np.full(len(i), -200.0), np.full(len(i), -1e-12)
+        for _ in range(48):
+            z = (low + high) / 2
+            above = d * -np.expm1(z) * np.exp((d - 1) * z) > -np.expm1(d * z) * share
+            low, high = np.where(above, z, low), np.where(above, high, z)
+        y, x = np.exp(low), -np.expm1(low)
+        spread = np.maximum(n * (1 + (1 - d) * x / y - share), 1e-9)
+        out[i] = m * np.log(-np.expm1(d * low)) - n * np.log(x) - 0.5 * np.log(2 * np.pi * spread) + log_gamma(n + 1.0) - log_gamma(n - d)
+    return out - log_gamma(t + 1.0) - t * np.log(d)
+
+
+def drawn_tables(c: np.ndarray, outer: np.ndarray, rise: np.ndarray, over: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """A table count of all c customers of each row, given all else, whatever count the row had.
+
+    The weight of t tables is the generalized Stirling number of (c, t) times, for each table j from 0, outer * (rise + j) / (over + j);
+    where `over` is infinite, times outer for each. Up to LISTED customers all counts are listed; beyond, the range in which
+    the weight is within exp(-14) of the largest is dealt to PARTS parts, so the work of a row is bounded.
+    """
+    out = np.minimum(c, 1)
+    fixed = np.isinf(over)
+
+    def weight(i: np.ndarray, t: np.ndarray) -> np.ndarray:
+        own = t * np.log(outer[i])
+        j = np.where(fixed[i], 1.0, over[i])
+        return own + np.where(fixed[i], 0.0, log_gamma(rise[i] + t) - log_gamma(rise[i]) - log_gamma(j + t) + log_gamma(j))
+
+    known = listed_ways(d)
+    least = 1
+    for most in (2, 4, 16, LISTED):
+        rows = np.flatnonzero((c > least) & (c <= most))
+        t = np.arange(1, most + 1)
+        for a in range(0, len(rows), CELLS // most):
+            i = rows[a : a + CELLS // most]
+            w = known[c[i], 1 : most + 1] + weight(i[:, None], t[None, :].astype(float))
+            sums = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+            out[i] = 1 + (sums < (rng.random(len(i)) * sums[:, -1])[:, None]).sum(axis=1)
+        least = most
+    rows = np.flatnonzero(c > LISTED)
+    for a in range(0, len(rows), CELLS // PARTS):
+        i = rows[a : a + CELLS // PARTS]
+        n, top = c[i].astype(float), (c[i] - 1).astype(float)
+        terms = series_terms(n, d)
+
+        def value(t: np.ndarray) -> np.ndarray:
+            return log_ways(n, t, d, terms) + weight(i, t)
+
+        low, high = np.ones(len(i)), top.copy()  # the largest weight: the first t that the next doesn't exceed
+        while (low < high).any():
+            t = np.floor((low + high) / 2)
+            up = value(np.minimum(t + 1, top)) > value(t)
+            low, high = np.where(up & (low < high), t + 1, low), np.where(up, high, t)
+        mode, best = low, value(low)
+        low, high = np.ones(len(i)), mode.copy()
+        while (low < high).any():
+            t = np.floor((low + high) / 2)
+            far = best - value(t) > 14
+            low, high = np.where(far & (low < high), t + 1, low), np.where(far, high, t)
+        first = low
+        low, high = mode.copy(), top.copy()
+        while (low < high).any():
+            t = np.ceil((low + high) / 2)
+            far = best - value(t) > 14
+            low, high = np.where(far, low, t), np.where(far & (low < high), t - 1, high)
+        wide = np.maximum((low - first + 1) / PARTS, 1.0)
+        t = first[:, None] + (np.arange(PARTS)[None, :] + 0.5) * wide[:, None] - 0.5
+        inside = t <= low[:, None] + 0.5
+        t = np.minimum(np.floor(t + 0.5), low[:, None])
+        w = np.stack([value(t[:, p]) for p in range(PARTS)], axis=1)
+        w = np.where(inside, w - best[:, None], -np.inf)
+        sums = np.cumsum(np.exp(w), axis=1)
+        part = (sums < (rng.random(len(i)) * sums[:, -1])[:, None]).sum(axis=1)
+        out[i] = np.clip(np.floor(first + (part + np.where(wide > 1, rng.random(len(i)), 0.0)) * wide), first, low).astype(np.int64)
+    return out
+
+
+def gibbs(customers: np.ndarray, dish: np.ndarray, outer: np.ndarray, base: float, inner: tuple[float, float], over: tuple[float, float, float] | None, burn: int, samples: int, moves: int, seed: int, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Table counts of the rows and of their dishes in the parent restaurant, `samples` of each after `burn` sweeps.
 
     customers, dish: of each row; dish numbers from 0. outer: the row's restaurant's weight of a new table, but for the
     dish's parent probability. inner: discount and strength here. over: discount, strength and total tables of the
-    parent, whose own base is `base`; None if the dishes' probability is `base` itself. A sweep takes up to `moves`
-    customers of each row off their table, one at a time, and seats them again given all others.
+    parent, whose own base is `base`; None if the dishes' probability is `base` itself. A sweep draws the table count of
+    every row anew, of all its customers at once; `moves` parts of the rows, dealt at random, take turns, each given the
+    others. alone: tables that each dish has besides those of the rows.
     """
     rng = np.random.default_rng(seed)
+    customers = customers.astype(np.int64)
     n_dishes = int(dish.max()) + 1 if len(dish) else 0
+    if alone is not None:
+        n_dishes = len(alone)
+    alone = np.zeros(n_dishes, dtype=np.int64) if alone is None else alone
     d = inner[0]
     if over is None:
-        prob = np.full(n_dishes, base)
-        parent = None
-    else:
-        d0, s0, total0 = over
-        share = np.bincount(dish, np.sqrt(customers), minlength=n_dishes)
-        prob = np.maximum(share / max(total0, share.sum()), base / 10)
-    seats = Seats(customers, expected_tables(customers, outer * prob[dish], d), d, rng)
-    if over is not None:
-        c0 = np.bincount(dish, seats.t, minlength=n_dishes)
-        parent = Seats(c0, expected_tables(c0, np.full(n_dishes, (s0 + d0 * total0) * base), d0), d0, rng)
-        fresh = np.full(n_dishes, (s0 + d0 * total0) * base)
-        served = max(total0, 1.0)
+        nothing, never = np.zeros(len(customers)) + 1.0, np.full(len(customers), np.inf)
+        kept = [drawn_tables(customers, outer * base, nothing, never, d, rng) for _ in range(samples)]
+        return np.array(kept).T.reshape(len(customers), samples), np.zeros((n_dishes, samples), dtype=np.int64)
+    d0, s0, total0 = over
+    t = np.minimum(customers, 1)
+    c0 = alone + np.bincount(dish, t, minlength=n_dishes).astype(np.int64)
+    fresh = (s0 + d0 * total0) * base
+    weight, nothing, never = np.full(n_dishes, fresh), np.ones(n_dishes), np.full(n_dishes, np.inf)
+    parent = drawn_tables(c0, weight, nothing, never, d0, rng)
+    served = max(total0, 1.0)
     kept, above = [], []
     for sweep in range(burn + samples):
+        turn = rng.integers(0, moves, len(customers))
         for step in range(moves):
-            rows = np.flatnonzero(customers > step)
-            if not len(rows):
-                break
-            emptied = seats.leave(rows)
-            if parent is not None:
-                change = np.bincount(dish[rows[emptied]], minlength=n_dishes)
-                while (who := np.flatnonzero(change > 0)).size:
-                    parent.leave(who)
-                    change[who] -= 1
-                prob = (np.maximum(parent.c - d0 * parent.t, 0) + fresh) / (s0 + served)
-            opened = seats.enter(rows, outer[rows] * prob[dish[rows]])
-            if parent is not None:
-                change = np.bincount(dish[rows[opened]], minlength=n_dishes)
-                while (who := np.flatnonzero(change > 0)).size:
-                    parent.enter(who, fresh[who])
-                    change[who] -= 1
+            rows = np.flatnonzero((turn == step) & (customers > 1))
+            k = dish[rows]
+            others = c0[k] - t[rows]
+            rise = np.maximum(others - d0 * np.minimum(parent[k], others), 0) + fresh
+            new = drawn_tables(customers[rows], outer[rows], rise, np.maximum(s0 + served - t[rows], s0 + others), d, rng)
+            c0 += np.bincount(k, new - t[rows], minlength=n_dishes).astype(np.int64)
+            t[rows] = new
+        parent = drawn_tables(c0, weight, nothing, never, d0, rng)
         if sweep >= burn:
-            kept.append(seats.t.copy())
-            above.append(parent.t.copy() if parent is not None else np.zeros(n_dishes, dtype=np.int64))
+            kept.append(t.copy())
+            above.append(parent.copy())
     return np.array(kept).T.reshape(len(customers), samples), np.array(above).T.reshape(n_dishes, samples)
