@@ -171,6 +171,17 @@ def test_lm_joins_what_it_does_not_look_up(spark, monkeypatch):
         assert abs(r["base_score"] - two[i]["base_score"]) < 1e-6 and abs(r["score"] - two[i]["score"]) < 1e-6
 
 
+def test_lm_knows_the_context_of_words_of_any_share(spark):
+    """After each of 300 words one other follows, in a corpus of which each is under the thousandth part."""
+    r = random.Random(4)
+    follower = {f"a{i}": f"b{i}" for i in range(300)}
+    docs = [(i, " ".join(x for a in r.choices(list(follower), k=30) for x in (a, follower[a]))) for i in range(120)]
+    docs += [(900, "a1 b1"), (901, "a1 b2")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x["doc_id"]: x["score"] for x in lm.score(df, df.where("doc_id < 900")).collect()}
+    assert got[900] > got[901] + 2
+
+
 def test_lm_on_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     some = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")

@@ -1,9 +1,8 @@
 """Hierarchical Pitman-Yor language model: counts over the whole corpus, seating by Gibbs, scores of whole texts.
 
-Words of a share DISH of all tokens or more are dishes of their own; all others share the dish "rare". Words of a share
-CONTEXT or more, the start of a text, and "any other word" are contexts. Each context is a restaurant; all of them share one parent
-restaurant over the dishes. What word a rare one is comes from a restaurant over the rare words. All corpus counts are kept in Spark tables;
-what is broadcast holds words of a least share of all tokens, so at most one over that share of them.
+Every word, and the start of a text, is a context with a restaurant of its own; every word, and the end of a text, is a dish of each.
+All restaurants share one parent over the words. Counts of words and of pairs of words, seats, contexts and dishes are Spark tables;
+what is broadcast holds the counts of words of a least share of all tokens, so at most one over that share of them.
 """
 
 from __future__ import annotations
@@ -21,18 +20,18 @@ from trajecta.llm.arrowtext import blocks, words
 from trajecta.llm.scratch import Scratch
 from trajecta.llm.seating import gibbs
 
-#: Least shares of all tokens: of a word looked up without a join (at most 2 million), a dish (5,000), a context (500).
-KNOWN, DISH, CONTEXT = 5e-7, 2e-4, 2e-3
-#: Discount and strength of the context restaurants, of their parent, and of the rare words.
-INNER, PARENT, RARE = (0.7, 2.0), (0.5, 2.0), (0.6, 10.0)
+#: Least share of all tokens of a word whose count is looked up without a join (at most 2 million), and a larger such share, with few words.
+KNOWN, DISH = 5e-7, 2e-4
+#: Discount and strength of the context restaurants and of their parent.
+INNER, PARENT = (0.7, 2.0), (0.5, 2.0)
 #: Sweeps before the first sample, samples averaged, parts of the rows that take turns in a sweep.
 BURN, SAMPLES, MOVES = 2, 3, 2
-#: Hash of the end of a text.
-END = np.uint64(0x5851F42D4C957F2D)
+#: Hashes of the end of a text and of what is before its first token.
+END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Tokens that a task gathers before it sums them up.
 GATHERED = 2_000_000
-#: Counts from here on are put into classes one hundredth wide.
-EXACT = 1000
+#: Rows seated together in a group.
+GROUP = 100_000
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -70,82 +69,89 @@ def _counted(texts: DataFrame) -> DataFrame:
 
 
 class Lookup:
-    """Known words sorted by hash, with their counts, dish numbers and context numbers. The last dish is "rare", contexts end with "any other" and "start"."""
+    """Known words sorted by hash, with their counts."""
 
-    def __init__(self, h: np.ndarray, c: np.ndarray, total: int):
+    def __init__(self, h: np.ndarray, c: np.ndarray):
         order = np.argsort(h)
         self.h, self.c = h[order], c[order]
-        is_dish, is_context = self.c >= DISH * total, self.c >= CONTEXT * total
-        self.n_dishes, self.n_contexts = int(is_dish.sum()), int(is_context.sum())
-        self.dish = np.where(is_dish, np.cumsum(is_dish) - 1, self.n_dishes).astype(np.int32)
-        self.context = np.where(is_context, np.cumsum(is_context) - 1, self.n_contexts).astype(np.int32)
 
-    def find(self, text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(count or -1, dish, context) of each token; the context is that of the word before."""
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The count of each token, or -1."""
         v = value.view(np.int64)
         if not len(self.h):
-            count, dish, own = np.full(len(v), -1), np.full(len(v), 0), np.full(len(v), 0)
-        else:
-            at = np.minimum(np.searchsorted(self.h, v), len(self.h) - 1)
-            met = self.h[at] == v
-            count = np.where(met, self.c[at], -1)
-            dish = np.where(met, self.dish[at], self.n_dishes)
-            own = np.where(met, self.context[at], self.n_contexts)
-        context = np.full(len(v), self.n_contexts + 1)
-        context[1:] = np.where(text[1:] == text[:-1], own[:-1], self.n_contexts + 1)
-        return count, dish, context
+            return np.full(len(v), -1)
+        at = np.minimum(np.searchsorted(self.h, v), len(self.h) - 1)
+        return np.where(self.h[at] == v, self.c[at], -1)
 
 
-def _pairs(texts: DataFrame, lookup) -> DataFrame:
-    """(u, k, c): how often dish k follows context u."""
+def _before(text: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The hash of the context of each token: the word before."""
+    out = np.full(len(value), START)
+    out[1:] = np.where(text[1:] == text[:-1], value[:-1], START)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = lookup.value
-        wide = look.n_dishes + 1
-        sums = np.zeros((look.n_contexts + 2) * wide, dtype=np.int64)
-        for batch in batches:
-            for _, _, text, value in _tokens(batch.column(0)):
-                _, dish, context = look.find(text, value)
-                sums += np.bincount(context * wide + dish, minlength=len(sums))
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array((some // wide).astype(np.int32)), pa.array((some % wide).astype(np.int32)), pa.array(sums[some])], names=["u", "k", "c"])
 
-    return texts.mapInArrow(run, "u int, k int, c long").groupBy("u", "k").agg(F.sum("c").alias("c"))
+def _grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, places of the first of equal rows in it)."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    return order, np.flatnonzero(new)
 
 
-def _seated(pairs: DataFrame, totals: pd.DataFrame, total_over: float, n_dishes: int, n_parts: int, burn: int, samples: int, seed: int) -> DataFrame:
-    """(u, k, tables, over): sampled table counts of each row and, where u is its dish's first, of the dish in the parent."""
-    weights = {int(u): INNER[1] + INNER[0] * t for u, t in zip(totals["u"], totals["t"])}
+def _pairs(texts: DataFrame) -> DataFrame:
+    """(u, w, c): how often word w follows context u."""
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["k", "u"])
-        dishes, dish = np.unique(part["k"].to_numpy(), return_inverse=True)
-        outer = part["u"].map(weights).to_numpy(dtype=float)
-        here, over = gibbs(part["c"].to_numpy(), dish, outer, 1.0 / (n_dishes + 1), INNER, (*PARENT, total_over), burn, samples, MOVES, seed + int(key[0]))
-        first = np.concatenate([[True], dish[1:] != dish[:-1]])
-        return pd.DataFrame({"u": part["u"].to_numpy(), "k": part["k"].to_numpy(), "c": part["c"].to_numpy(), "tables": list(here), "over": [list(over[j]) if f else None for j, f in zip(dish, first)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def summed() -> pa.RecordBatch:
+            u, w = (np.concatenate(x) for x in zip(*held))
+            order, first = _grouped(u, w)
+            at = order[first]
+            return pa.RecordBatch.from_arrays([pa.array(u[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(np.diff(np.append(first, len(u))))], names=["u", "w", "c"])
+
+        for batch in batches:
+            for _, _, text, value in _tokens(batch.column(0)):
+                held.append((_before(text, value), value))
+                size += len(value)
+                if size >= GATHERED:
+                    yield summed()
+                    held, size = [], 0
+        if held:
+            yield summed()
 
-    fields = T.StructType([T.StructField("u", T.IntegerType()), T.StructField("k", T.IntegerType()), T.StructField("c", T.LongType()), T.StructField("tables", T.ArrayType(T.LongType())), T.StructField("over", T.ArrayType(T.LongType()))])
-    return pairs.groupBy(F.pmod(F.xxhash64("k"), F.lit(n_parts)).alias("part")).applyInPandas(run, fields)
+    return texts.mapInArrow(run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
 
 
-def count_class(c: Column) -> Column:
-    """Counts under EXACT are their own class; the others share one with those within a hundredth."""
-    return F.when(c < EXACT, c).otherwise(F.lit(EXACT) + F.floor(F.log(c / float(EXACT)) / float(np.log(1.01)))).cast("int")
+def _seated(rows: DataFrame, total_over: float, base: float, n_parts: int, burn: int, samples: int, seed: int) -> DataFrame:
+    """(row, u, w, c, tables, over) of `rows` (row, u, w, c, a), dealt by word, so a heavy context is dealt to all parts.
 
+    A row is a pair of words and its restaurant's weight a of a new table; where `row` is false it stands for a dish, with the number of
+    tables (c) that pairs met once open, and gets back the tables that serve it and those of the parent.
+    """
 
-def _rare_tables(classes: pd.DataFrame, n_types: int, seed: int) -> np.ndarray:
-    """Mean tables of a rare word of each count class. A class stands for all its words: chains of it are averaged, and weigh by their number."""
-    chains = 8
-    c = np.repeat(np.maximum(np.round(classes["c"] / classes["n"]).to_numpy().astype(np.int64), 1), chains)
-    n = classes["n"].to_numpy()
-    total = float(n.sum())
-    for r in range(3):
-        outer = np.full(len(c), RARE[1] + RARE[0] * total)
-        t, _ = gibbs(c, np.zeros(len(c), dtype=np.int64), outer, 1.0 / (n_types + 1), RARE, None, BURN, SAMPLES, MOVES, seed + r)
-        mean = t.mean(axis=1).reshape(-1, chains).mean(axis=1)
-        total = float((mean * n).sum())
-    return mean
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["w", "row", "u"]).reset_index(drop=True)
+        _, dish = np.unique(part["w"].to_numpy(), return_inverse=True)
+        pair = part["row"].to_numpy(dtype=bool)
+        c = part["c"].to_numpy()
+        alone = np.zeros(int(dish.max()) + 1, dtype=np.int64)
+        alone[dish[~pair]] = c[~pair]
+        here, over = gibbs(c[pair], dish[pair], part["a"].to_numpy(dtype=float)[pair], base, INNER, (*PARENT, total_over), burn, samples, MOVES, seed + int(key[0]), alone)
+        served = np.tile(alone[:, None], (1, samples))
+        np.add.at(served, dish[pair], here)
+        tables = np.zeros((len(part), samples), dtype=np.int64)
+        tables[pair], tables[~pair] = here, served[dish[~pair]]
+        above = [None if p else over[k] for p, k in zip(pair, dish)]
+        return pd.DataFrame({"row": pair, "u": part["u"], "w": part["w"], "c": c, "tables": list(tables), "over": above})
+
+    fields = "row boolean, u long, w long, c long, tables array<long>, over array<long>"
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(n_parts))).repartition(max(1, n_parts // 2), "part")
+    return dealt.groupBy("part").applyInPandas(run, fields)
 
 
 def score(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -163,103 +169,97 @@ def score(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str =
     vocab = scratch.table(_counted(learned))
     total, n_types = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     known = vocab.where(F.col("c") >= F.lit(KNOWN * total)).toArrow()
-    look = Lookup(known["h"].to_numpy(), known["c"].to_numpy(), total)
-    lookup = sc.broadcast(look)
-
-    # seating in the contexts and their parent: first for the totals, then the samples that count
-    pairs = scratch.table(_pairs(learned, lookup))
-    contexts = pairs.groupBy("u").agg(F.count("*").alias("t"), F.sum("c").alias("c")).toPandas()
-    n_parts = max(1, min(64, sc.defaultParallelism * 4))
-    over_total = float(look.n_dishes + 1)
-    for seed, samples in ((100, 1), (200, SAMPLES)):
-        seats = _seated(pairs, contexts[["u", "t"]], over_total, look.n_dishes, n_parts, BURN, samples, seed)
-        seats = seats.toArrow().to_pandas() if total else pd.DataFrame({"u": [], "k": [], "c": [], "tables": [], "over": []})
-        tables = np.stack(seats["tables"].to_numpy()) if len(seats) else np.zeros((0, samples))
-        first = seats["over"].notna().to_numpy() if len(seats) else np.zeros(0, bool)
-        over = np.stack(seats.loc[first, "over"].to_numpy()) if len(seats) else np.zeros((0, samples))
-        u, k, c = (seats[x].to_numpy().astype(np.int64) for x in ("u", "k", "c"))
-        sums = np.zeros((look.n_contexts + 2, samples))
-        np.add.at(sums, u, tables)
-        contexts = contexts.assign(t=sums.mean(axis=1)[contexts["u"].to_numpy().astype(np.int64)])
-        over_total = float(over.sum(axis=0).mean()) if len(over) else 1.0
-    wide = look.n_dishes + 1
-    served = np.zeros((wide, SAMPLES))
-    np.add.at(served, k, tables)
-    opened = np.zeros((wide, SAMPLES))
-    opened[k[first]] = over
-    d0, s0 = PARENT
-    top = (np.maximum(served - d0 * opened, 0) + (s0 + d0 * opened.sum(axis=0)) / wide) / (s0 + served.sum(axis=0))
+    lookup = sc.broadcast(Lookup(known["h"].to_numpy(), known["c"].to_numpy()))
+
+    # seating in the contexts and their parent: first for the totals, then the samples that count. A pair met once sits at one table
+    pairs = scratch.table(_pairs(learned))
+    once = F.col("c") == 1
+    contexts = scratch.table(pairs.groupBy("u").agg(F.sum("c").alias("n"), F.count_if(once).alias("single"), F.count("*").cast("double").alias("t")))
+    alone = scratch.table(pairs.groupBy("w").agg(F.count_if(once).alias("c")))
+    many = pairs.where(~once)
     d1, s1 = INNER
-    customers = np.zeros(look.n_contexts + 2)
-    np.add.at(customers, u, c)
-    probability = np.zeros((look.n_contexts + 2, wide))
-    for s in range(SAMPLES):
-        back = (s1 + d1 * sums[:, s]) / (s1 + customers)
-        p = back[:, None] * top[None, :, s]
-        np.add.at(p, (u, k), (c - d1 * tables[:, s]) / (s1 + customers[u]))
-        probability += p / SAMPLES
-
-    # the rare words: their probabilities by class of count
-    rare = vocab.where(F.col("c") < F.lit(DISH * total))
-    classes = rare.groupBy(count_class(F.col("c")).alias("class")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).orderBy("class").toPandas()
-    dr, sr = RARE
-    n_rare, c_rare = int(classes["n"].sum()), float(classes["c"].sum())
-    t_class = _rare_tables(classes, n_rare, 300) if len(classes) else np.zeros(0)
-    fresh = (sr + dr * float((t_class * classes["n"].to_numpy()).sum())) / (sr + c_rare) / (n_rare + 1)
-    by_class = spark.createDataFrame([(int(a), float(b)) for a, b in zip(classes["class"], t_class)], "class int, t double")
-
-    def of_rare(count: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        return np.log10((count - dr * tables) / (sr + c_rare) + fresh)
-
-    class_of = np.where(look.c < EXACT, look.c, EXACT + np.floor(np.log(np.maximum(look.c, 1) / EXACT) / np.log(1.01)).astype(np.int64))
-    place = np.minimum(np.searchsorted(classes["class"].to_numpy(), class_of), max(len(classes) - 1, 0))
-    extra = np.zeros(len(look.h))
-    is_rare = look.dish == look.n_dishes
-    if is_rare.any():
-        extra[is_rare] = of_rare(look.c[is_rare], t_class[place[is_rare]])
-    model = sc.broadcast((np.log10(probability), extra, float(np.log10(fresh))))
+    d0, s0 = PARENT
+    base = 1.0 / (n_types + 1)
+    n_parts = max(2 * sc.defaultParallelism, (many.count() + n_types) // GROUP + 1)
+    over_total = float(n_types + 1)
+    for seed, samples in ((100, 1), (200, SAMPLES)):
+        rows = many.join(contexts.select("u", (s1 + d1 * F.col("t")).alias("a")), "u").select(F.lit(True).alias("row"), "u", "w", "c", "a")
+        rows = rows.union(alone.select(F.lit(False), F.lit(0).cast("long"), "w", "c", F.lit(0.0)))
+        seats = scratch.table(_seated(rows, over_total, base, n_parts, BURN, samples, seed))
+        here = seats.where("row").groupBy("u").agg(*(F.sum(F.get("tables", F.lit(i))).alias(f"t{i}") for i in range(samples)))
+        sat = [F.col("single") + F.coalesce(f"t{i}", F.lit(0)) for i in range(samples)]
+        contexts = scratch.table(contexts.drop("t").join(here, "u", "left").select("u", "n", "single", F.array(*sat).alias("sat"), (sum(sat[1:], sat[0]) / samples).alias("t")))
+        dishes = seats.where("not row")
+        totals = dishes.agg(*(F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0)) for c in ("tables", "over") for i in range(samples))).first()
+        served, opened = totals[:samples], totals[samples:]
+        over_total = max(float(sum(opened)) / samples, 1.0)
+
+    ks = range(SAMPLES)
+    rest = [(s0 + d0 * o) / (s0 + t) * base for t, o in zip(served, opened)]
+    top = dishes.select("w", F.array(*((F.greatest(F.get("tables", F.lit(i)) - d0 * F.get("over", F.lit(i)), F.lit(0.0))) / (s0 + served[i]) + rest[i] for i in ks)).alias("top"))
+    back = contexts.select("u", "n", F.array(*((s1 + d1 * F.get("sat", F.lit(i))) / (s1 + F.col("n")) for i in ks)).alias("back"))
+    top, back = scratch.table(top), scratch.table(back)
+
+    def mean_of(terms: list[Column]) -> Column:
+        return F.log10(sum(terms[1:], terms[0]) / SAMPLES)
+
+    ones = F.array(*(F.lit(1).cast("long") for _ in ks))
+    laid = seats.where("row").select("u", "w", "c", "tables").union(pairs.where(once).select("u", "w", "c", ones)).join(back, "u").join(top, "w")
+    of_pair = mean_of([F.get("back", F.lit(i)) * F.get("top", F.lit(i)) + (F.col("c") - d1 * F.get("tables", F.lit(i))) / (s1 + F.col("n")) for i in ks])
+    laid = scratch.table(laid.select("u", "w", of_pair.alias("p")))
+
     norm = float(np.log10(total + n_types + 1))
+    source = scratch.table(docs.select(*(F.col(c) for c in keep), F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = lookup.value
-        log_p, extra, _ = model.value
         for batch in batches:
             n_keep = batch.num_columns - 2
             for a, b, of, value in _tokens(batch.column(n_keep + 1)):
                 n = b - a
-                count, dish, context = look.find(of, value)
+                count = look.find(value)
                 there = count >= 0
-                at = np.minimum(np.searchsorted(look.h, value.view(np.int64)), max(len(look.h) - 1, 0))
-                base = np.where(there, np.log10(np.maximum(count, 0) + 1.0) - norm, 0.0)
-                own = log_p[context, dish] + (np.where(there, extra[at], 0.0) if len(look.h) else 0.0)
+                of_known = np.where(there, np.log10(np.maximum(count, 0) + 1.0) - norm, 0.0)
                 missing = np.flatnonzero(~there)
-                order = missing[np.lexsort((value[missing], of[missing]))]
-                v, o = value[order], of[order]
-                new = np.ones(len(v), dtype=bool)
-                new[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
-                firsts = np.flatnonzero(new)
+                v, o = value[missing], of[missing]
+                order, firsts = _grouped(o, v)
+                v, o = v[order], o[order]
                 times = np.diff(np.append(firsts, len(v))).astype(np.int32)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(o[firsts], minlength=n))]).astype(np.int32))
                 out = [batch.column(i).slice(a, n) for i in range(n_keep + 1)]
-                out += [pa.array(np.bincount(of, minlength=n)), pa.array(np.bincount(of[there], minlength=n)), pa.array(np.bincount(of, base, minlength=n)), pa.array(np.bincount(of, own, minlength=n))]
+                out += [pa.array(np.bincount(of, minlength=n)), pa.array(np.bincount(of[there], minlength=n)), pa.array(np.bincount(of, of_known, minlength=n))]
                 out += [pa.ListArray.from_arrays(offsets, pa.array(v[firsts].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times))]
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    source = docs.select(*(F.col(c) for c in keep), F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"))
-    fields = source.drop("__text").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, of, value in _tokens(batch.column(1)):
+                row = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
+                u = _before(of, value)
+                order, first = _grouped(of, u, value)
+                at = order[first]
+                times = np.diff(np.append(first, len(of))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(row[of[at]]), pa.array(u[at].view(np.int64)), pa.array(value[at].view(np.int64)), pa.array(times)], names=["__row", "u", "w", "n_here"])
+
+    fields = source.drop("__text").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double")
     fields = fields.add("__h", T.ArrayType(T.LongType())).add("__n", T.ArrayType(T.IntegerType()))
     names = fields.names
     part = scratch.table(source.mapInArrow(run, fields))
     asked = part.select("__row", F.explode(F.arrays_zip(F.col("__h").alias("h"), F.col("__n").alias("n"))).alias("e")).select("__row", F.col("e.h").alias("h"), F.col("e.n").alias("n"))
-    found = asked.join(vocab, "h", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long"))).withColumn("class", count_class(F.greatest("c", F.lit(1))))
-    found = found.join(F.broadcast(by_class), "class", "left")  # at most EXACT and a few thousand classes
-    p = F.when(F.col("c") > 0, (F.col("c") - dr * F.coalesce("t", F.lit(1.0))) / (sr + c_rare)).otherwise(0.0) + fresh
-    sums = found.groupBy("__row").agg(F.sum(F.col("n") * (F.log10(F.col("c") + 1.0) - norm)).alias("b"), F.sum(F.col("n") * F.log10(p)).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"))
-    out = part.drop("__h", "__n").join(sums, "__row", "left")
+    found = asked.join(vocab, "h", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
+    words_of = found.groupBy("__row").agg(F.sum(F.col("n") * (F.log10(F.col("c") + 1.0) - norm)).alias("b"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"))
+
+    # pairs that were learned have their score; of the others, the context and the word are asked for by themselves
+    asked = source.select("__row", "__text").mapInArrow(asking, "__row long, u long, w long, n_here int").join(laid, ["u", "w"], "left")
+    asked = scratch.table(asked.groupBy("__row", F.when(F.col("p").isNull(), F.col("u")).alias("u"), F.when(F.col("p").isNull(), F.col("w")).alias("w")).agg(F.sum("n_here").alias("n_here"), F.sum(F.col("p") * F.col("n_here")).alias("p")))
+    new = asked.where("u is not null").select("__row", "u", "w", "n_here").join(back.drop("n"), "u", "left").join(top, "w", "left")
+    of_new = mean_of([F.coalesce(F.get("back", F.lit(i)), F.lit(1.0)) * F.coalesce(F.get("top", F.lit(i)), F.lit(rest[i])) for i in ks])
+    of_pairs = asked.where("u is null").select("__row", "p").union(new.select("__row", of_new * F.col("n_here"))).groupBy("__row").agg(F.sum("p").alias("s"))
+    out = part.drop("__h", "__n").join(words_of, "__row", "left").join(of_pairs, "__row", "left")
     zero = F.lit(0.0)
     return out.select(
         *(F.col(c) for c in keep), "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("b", zero)).alias("base_score"), (F.col("score") + F.coalesce("s", zero)).alias("score"),
+        (F.col("base_score") + F.coalesce("b", zero)).alias("base_score"), F.coalesce("s", zero).alias("score"),
     )
 
 
