@@ -45,7 +45,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences of runs that stand earlier in the table; n_chars is counted anew."""
     f, doc_id, text = _numbered(docs)
-    cut = spans.repeated_spans(f, doc_id, text, keep=tuple(f.columns))
+    cut = spans.repeated_spans(f, doc_id, text, keep=tuple(f.columns), closed=True)
     if "n_chars" in docs.columns:
         n = f.columns[docs.columns.index("n_chars")]
         cut = cut.withColumn(n, F.when(F.col("n_removed") > 0, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))

@@ -148,6 +148,41 @@ def test_repeated_spans(spark):
     assert sum(r["n_removed"] > 0 for r in rows) >= 9
 
 
+def cut_all(docs, least=20, long=50):
+    """Sentences gone when all runs of two sentences and 20 words, whatever their length, and all single sentences of 50 words count."""
+    first, parsed = {}, []
+    for d, t in sorted(docs):
+        words = SPACED.findall(t.translate(FOLD))
+        split, now = [], []
+        for w in words:
+            now.append(w)
+            if w[-1] in ".!?":
+                split.append(tuple(now))
+                now = []
+        split += [tuple(now)] if now else []
+        found = [(i, j, tuple(split[i : j + 1])) for i in range(len(split)) for j in range(i, len(split)) if sum(map(len, split[i : j + 1])) >= (long if i == j else least)]
+        for i, _, h in found:
+            first.setdefault(h, (d, i))
+        parsed.append((d, found))
+    return {d: len({s for i, j, h in found if first[h] != (d, i) for s in range(i, j + 1)}) for d, found in parsed}
+
+
+def test_spans_cover_all_runs(spark):
+    r = random.Random(3)
+    sentence = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n)) + ". "
+    pool = [sentence(r.choice([1, 3, 5, 8, 12, 18, 25, 49, 50, 60])) for _ in range(60)]
+    docs = [(1, "".join(pool[:20])), (2, sentence(30) + "".join(pool[2:9]) + sentence(9)), (3, sentence(4) + sentence(50) + sentence(3))]
+    long = sentence(55)
+    docs += [(4, sentence(5) + long + sentence(5)), (5, sentence(6) + long + sentence(6))]
+    for i in range(6, 60):
+        a = r.randrange(50)
+        docs.append((i, sentence(r.randrange(1, 30)) + "".join(pool[a : a + r.randrange(1, 9)]) + sentence(r.randrange(1, 30)) + pool[r.randrange(60)]))
+    got = {x["doc_id"]: x["n_removed"] for x in spans.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string"), closed=True).collect()}
+    assert got == cut_all(docs)
+    old = {x["doc_id"]: x["n_removed"] for x in spans.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string"), closed=False).collect()}
+    assert sum(got.values()) > sum(old.values()) and got[5] == 1
+
+
 def test_spans_keep_columns_and_repeats(spark):
     t = "One two three four five six seven. Eight nine ten eleven twelve thirteen. More words here to reach twenty of them. "
     df = spark.createDataFrame([(1, t, "a", 5), (1, t, "a", 5), (2, t, "b", 6), (None, None, "c", 7)], "doc_id long, text string, i string, h int")

@@ -41,7 +41,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return spans.repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), closed=True)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,30 +13,33 @@ from pyspark.sql import functions as F
 from trajecta.llm.arrowtext import FOLD, SPACED, blocks, mix, words
 from trajecta.llm.scratch import Scratch, key_filter, passes
 
-#: A run starts at any sentence and is the shortest that has so many sentences and so many words.
-SENTENCES, WORDS = 2, 20
+#: Runs have so many sentences and words at least; a sentence of so many words is one by itself.
+SENTENCES, WORDS, LONG = 2, 20, 50
 _STOPS = np.zeros(256, dtype=bool)
 _STOPS[[ord("."), ord("!"), ord("?")]] = True
 
 
 @dataclass
 class Runs:
-    """Sentences of a block of texts (text, byte range) and, where one starts there, the run of each: last sentence and hash."""
+    """Sentences of a block of texts (text, byte range), and runs in order of their first sentence: the shortest that starts at each sentence,
+    where closed also the shortest that ends at each, and every long sentence. Two texts with a run in common have all such runs inside it
+    in common, and these cover it: one that starts at its first sentence, and one that ends at each sentence after that."""
 
     text: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray  # number of the text's first sentence
-    last: np.ndarray  # of the run; -1 if the text ends before the run is long enough
+    run: np.ndarray  # first sentence of each run
+    last: np.ndarray  # its last sentence
     hash: np.ndarray
 
 
-def runs(raw: np.ndarray, at: np.ndarray, sentences: int, least_words: int) -> Runs:
+def runs(raw: np.ndarray, at: np.ndarray, sentences: int, least_words: int, closed: bool) -> Runs:
     """A sentence is words up to one that ends in . ! or ?, or that a line or the text ends after. Case (A-Z) and white space don't count."""
     w = words(raw, at, SPACED, FOLD)
     none = np.zeros(0, dtype=np.int64)
     if not len(w.start):
-        return Runs(none, none, none, none, none, np.zeros(0, np.uint64))
+        return Runs(none, none, none, none, none, none, np.zeros(0, np.uint64))
     lines = np.concatenate([[0], np.cumsum(raw == 10)])
     closes = _STOPS[raw[w.end - 1]]
     closes[:-1] |= (w.text[1:] != w.text[:-1]) | (lines[w.start[1:]] > lines[w.end[:-1]])
@@ -52,8 +55,17 @@ def runs(raw: np.ndarray, at: np.ndarray, sentences: int, least_words: int) -> R
     first = np.searchsorted(text, text, "left")
     total = np.concatenate([[0], np.cumsum(n_words)])
     last = np.maximum(np.arange(n) + sentences - 1, np.searchsorted(total, total[:-1] + least_words, "left") - 1)
-    fits = last < after
-    last = np.where(fits, last, -1)
+    number = np.arange(n)
+    opens = np.minimum(number - sentences + 1, np.searchsorted(total, total[1:] - least_words, "right") - 1)  # of the shortest run that ends here
+    fits, ends = last < after, opens >= first
+    ends &= ~(fits[opens] & (last[opens] == number))
+    alone = (n_words >= LONG) & ~(fits & (last == number)) & ~(ends & (opens == number))
+    if not closed:
+        ends, alone = np.zeros((2, n), dtype=bool)
+    run = np.concatenate([number[fits], opens[ends], number[alone]])
+    last = np.concatenate([last[fits], number[ends], number[alone]])
+    order = np.lexsort((last, run))
+    run, last = run[order], last[order]
     # the hash of a run: its sentences' hashes as digits, by prefix sums
     base = 0xD1342543DE82EF95
     step = np.full(n + 1, base, dtype=np.uint64)
@@ -62,14 +74,15 @@ def runs(raw: np.ndarray, at: np.ndarray, sentences: int, least_words: int) -> R
     step[1:] = np.uint64(pow(base, -1, 1 << 64))
     inverse = np.cumprod(step)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power[:n])])
-    hashed = mix((sums[np.maximum(last, 0) + 1] - sums[:n]) * inverse[:n] + (last - np.arange(n)).astype(np.uint64))
-    return Runs(text, w.start[first_word], w.end[last_word], first, last, hashed)
+    hashed = mix((sums[last + 1] - sums[run]) * inverse[run] + (last - run).astype(np.uint64))
+    return Runs(text, w.start[first_word], w.end[last_word], first, run, last, hashed)
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",), sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",), sentences: int = SENTENCES, least_words: int = WORDS, closed: bool = False) -> DataFrame:
     """The columns `keep` of every document with text less the sentences of repeated runs, n_sentences, n_removed and n_removed_words.
 
-    A run is at least `sentences` consecutive sentences and `least_words` words. Of equal runs anywhere in the table,
+    A run is at least `sentences` consecutive sentences and `least_words` words; the shortest that starts at each sentence counts.
+    Where `closed`, runs of any length count, and single sentences of LONG words. Of equal runs anywhere in the table,
     the first (by doc_id, then place in the text) stays; sentences that any other covers are cut out, with the white
     space after them. A text without such runs is returned as it is. Null texts stay null, with no sentences; a null
     doc_id comes before all others; rows that repeat a doc_id and a text are first together and so don't cut each other,
@@ -81,10 +94,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, raw, at in blocks(batch.column(1)):
-                r = runs(raw, at, sentences, least_words)
-                whole = np.flatnonzero(r.last >= 0)
-                ids = batch.column(0).slice(a, b - a).take(pa.array(r.text[whole]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array((whole - r.first[whole]).astype(np.int32)), pa.array(r.hash[whole].view(np.int64))], names=["id", "i", "h"])
+                r = runs(raw, at, sentences, least_words, closed)
+                ids = batch.column(0).slice(a, b - a).take(pa.array(r.text[r.run]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array((r.run - r.first[r.run]).astype(np.int32)), pa.array(r.hash.view(np.int64))], names=["id", "i", "h"])
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
     all_runs = scratch.table(rows.mapInArrow(found, rows.select("id").schema.add("i", "integer").add("h", "long")))
@@ -115,7 +127,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out: list[str | None] = []
             counts, removed, removed_words = [], [], []
             for a, b, raw, at in blocks(texts):
-                r = runs(raw, at, sentences, least_words)
+                r = runs(raw, at, sentences, least_words, closed)
                 bounds = np.searchsorted(r.text, np.arange(b - a + 1))
                 for j in range(b - a):
                     lo, hi = bounds[j], bounds[j + 1]
@@ -126,14 +138,12 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         removed.append(0)
                         removed_words.append(0)
                         continue
-                    i = np.array(listed)
-                    h = np.array(hashes[a + j].as_py(), dtype=np.int64)
-                    here = i < hi - lo
-                    i, h = lo + i[here], h[here]
-                    i = i[(r.last[i] >= 0) & (r.hash[i].view(np.int64) == h)]
+                    asked = set(zip(listed, hashes[a + j].as_py()))
+                    own = slice(*np.searchsorted(r.run, (lo, hi)))
+                    met = np.array([k in asked for k in zip((r.run[own] - lo).tolist(), r.hash[own].view(np.int64).tolist())], dtype=bool)
                     edge = np.zeros(hi - lo + 1, dtype=np.int64)
-                    np.add.at(edge, i - lo, 1)
-                    np.add.at(edge, r.last[i] + 1 - lo, -1)
+                    np.add.at(edge, r.run[own][met] - lo, 1)
+                    np.add.at(edge, r.last[own][met] + 1 - lo, -1)
                     gone = np.cumsum(edge[:-1]) > 0
                     stay, begin, upto = [], at[j], at[j + 1]
                     starts = np.append(r.start[lo:hi], upto)
