@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trajecta.operators import cleaning, cohort, extracts, joins, outcomes, scores, tables
+from trajecta.operators import alignment, cleaning, cohort, extracts, joins, outcomes, scores, tables
+from trajecta.plans import catalog
 
 D = lambda d, h=0: dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=h)
 
@@ -125,3 +127,14 @@ def test_codes_and_tables(spark):
     assert sorted((r[0] is None for r in nan.collect())) == [False, True]
     with pytest.raises(ValueError):
         cleaning.columns_named(["a"], ["b"])
+
+
+def test_dtw_pairs_are_all_pairs(spark, monkeypatch):
+    """Numbers with gaps, against the kernel pair by pair."""
+    series = {1: [0.0, 1.0, 2.0], 2: [3.0], 10: [0.0, 0.0, 3.0, 1.0], 50: [2.0, 2.0], 51: [1.0, 3.0, 1.0]}
+    monkeypatch.setattr(catalog, "_stage_arrays", lambda spark, d: spark.createDataFrame(list(series.items()), "id long, values array<double>"))
+    got = {(r["id"], r["id2"]): r["distance"] for r in catalog.q_dtw_pairs(spark, "").collect()}
+    costs = alignment.Costs.of_weights([1.0, 1.2, 1.5, 1.3], 0.35)
+    expected = {(i, j): alignment.warp([np.array(series[i])], [np.array(series[j])], costs).distance[0] for i in series for j in series if i < j}
+    assert got.keys() == expected.keys()
+    assert all(abs(got[k] - expected[k]) < 1e-6 for k in expected)

@@ -542,10 +542,9 @@ def q_dtw_membership(spark, d):
 
 @query("q_dtw_pairs")
 def q_dtw_pairs(spark, d):
-    """Warped distance of each user's trajectory to those of the next three users by number."""
-    a = _stage_arrays(spark, d)
-    near = a.select("id", F.explode(F.sequence(F.col("id") + 1, F.col("id") + 3)).alias("id2"), "values").join(a.select(F.col("id").alias("id2"), F.col("values").alias("values2")), "id2")
-    return alignment.aligned(near, "values", "values2", alignment.Costs.of_weights([1.0, 1.2, 1.5, 1.3], 0.35)).select("id", "id2", *(r6(c).alias(c) for c in ("distance", "extension_a", "extension_b")))
+    """Warped distance of every two users' trajectories."""
+    pairs = joins.all_pairs(_stage_arrays(spark, d), "id", 16)
+    return alignment.aligned(pairs, "values", "values2", alignment.Costs.of_weights([1.0, 1.2, 1.5, 1.3], 0.35)).select("id", "id2", *(r6(c).alias(c) for c in ("distance", "extension_a", "extension_b")))
 
 
 @query("q_ward")
