@@ -92,9 +92,13 @@ def test_extracts(spark):
     vit = frame(spark, "id int, place int, ART_MEAN_D1_LOW_VALUE double, ART_MEAN_D1_HIGH_VALUE double, CUFF_MEAN_D1_LOW_VALUE double, CUFF_MEAN_D1_HIGH_VALUE double, TEMPERATURE_D1_LOW_VALUE double, TEMPERATURE_D1_HIGH_VALUE double, HEART_RATE_D1_LOW_VALUE double, HEART_RATE_D1_HIGH_VALUE double", (1, 0, None, 90.0, 60.0, 80.0, 97.0, 99.0, 60.0, 90.0), (1, 1, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0))
     r = extracts.vitals(ids, vit).where("id = 1").first()
     assert (r["map"]["low"], r["map"]["high"], r["temperature"]["high"]) == (60.0, 80.0, 99.0)
-    med = frame(spark, "id int, ORDER_ENTERED_DATE timestamp, MEDICATION_NAME string, MEDICATION_TYPE string, DAYS_ON_MEDICATION double", (1, D(-1), "NOREPINEPHRINE drip", "NSAID", 2.0), (2, D(1), "dopamine", "x", 1.0), (2, D(-1), "dopamine", "x", None))
-    got = {r["id"]: r for r in extracts.medications(ids, med).collect()}
-    assert (got[1]["norepinephrine"], got[1]["epinephrine"], got[1]["vasoactive"], got[1]["nsaid"]) == (1, 0, 1, 1) and got[2]["vasoactive"] == 0
+    med = frame(
+        spark, "id int, ORDER_ENTERED_DATE timestamp, MEDICATION_NAME string, MEDICATION_TYPE string, DAYS_ON_MEDICATION double",
+        (1, D(-1), "NOREPINEPHRINE drip", "NSAID", 2.0), (2, D(1), "dopamine", "x", 1.0), (2, D(-1), "dopamine", "x", None), (3, D(-1), "other", "Inotrope", 3.0), (4, D(-9), "other", "ARB", 2.0), (5, D(-9), "epinephrine", None, 20.0),
+    )
+    more = ids.union(frame(spark, "id int, admit timestamp, disch timestamp, died_inp int", *((i, D(0), D(10), 0) for i in (3, 4, 5))))
+    got = {r["id"]: (r["nephrotoxic"], r["vasoactive"], r["norepinephrine"], r["epinephrine"]) for r in extracts.medications(more, med).collect()}
+    assert got == {1: (1, 1, 1, 0), 2: (0, 0, 0, 0), 3: (0, 1, 0, 0), 4: (1, 0, 0, 0), 5: (0, 1, 0, 1)}  # the fourth ended before admission, but began on a day that counts
     io = frame(spark, "id int, place int, IO_TOTALS_D0_INVALUE double, IO_TOTALS_D0_OUTVALUE double, IO_TOTALS_D1_INVALUE double, IO_TOTALS_D1_OUTVALUE double", (1, 0, 3000.0, 1000.0, 500.0, 0.0))
     f = extracts.fluids(ids, io, frame(spark, "id int, weight double", (1, 80.0))).where("id = 1").first()
     assert (f["net"], f["gross"], f["overload"]) == (2.0, 4.0, 2.5)
@@ -111,8 +115,14 @@ def test_extracts(spark):
     eav = frame(spark, "id int, place int, DAY_NO string, TERM_GRP_NAME string, D_MIN_VAL double, D_MAX_VAL double", (1, 0, "D0", "Na", 130.0, 140.0), (1, 1, "D0", "Na", 1.0, 1.0), (1, 2, "D1", "K", 3.0, 4.0))
     w = extracts.eav_wide(ids, eav, ["Na", "K"], ["D0", "D1"]).where("id = 1").first()
     assert (w["Na_D0_min"], w["Na_D0_max"], w["K_D1_max"], w["K_D0_min"]) == (130.0, 140.0, 4.0, None)
-    m = extracts.mortality(ids, frame(spark, "id int, DISCHARGE_DISPOSITION string", (1, "Home"), (2, "EXPIRED")), frame(spark, "id int, DECEASED_DATE timestamp", (1, D(50))))
-    assert {r["id"]: (r["died_inp"], r["died_90_admit"]) for r in m.collect()} == {1: (0, 1), 2: (1, 1)}
+    m = extracts.mortality(more, frame(spark, "id int, DISCHARGE_DISPOSITION string", (1, "Home"), (2, "EXPIRED"), (3, "died"), (4, None)), frame(spark, "id int, DECEASED_DATE timestamp", (1, D(50)), (3, D(200)), (4, D(10))))
+    got = {r["id"]: (r["died_inp"], r["died_90_admit"], r["died_120_disch"], r["death"]) for r in m.collect()}
+    assert got == {1: (0, 1, 1, D(50)), 2: (1, 1, 1, D(10)), 3: (1, 0, 1, D(200)), 4: (1, 1, 1, D(10)), 5: (0, 0, 0, None)}
+    cc, ex = ", ".join(f"CC_GRP_{i} int" for i in range(1, 15)), ", ".join(f"ELX_GRP_{i} int" for i in range(1, 32))
+    smokes = frame(spark, "id int, place int, SMOKING_HISTORY_STATUS string, SMOKING_CURRENT_STATUS string", (1, 0, "FORMER SMOKER", "NO"), (2, 0, "YES", None), (3, 0, None, "YES"), (4, 0, "NEVER", "NO"))
+    none = (frame(spark, f"id int, place int, CHARLSON_INDEX int, {cc}", (1, 0, 2, *[1] * 14)), frame(spark, f"id int, place int, {ex}", (1, 0, *[1] * 31)))
+    c = {r["id"]: r for r in extracts.comorbidities(more, *none, smokes, [1.0] * 31).collect()}
+    assert [c[i]["smoker"] for i in (1, 2, 3, 4, 5)] == [1, 0, 1, 0, 0] and (c[1]["charlson"], c[1]["elixhauser"]) == (2, 31.0)
     s = extracts.planned(ids, frame(spark, "id int, SURGERY_PERFORMED_DATE timestamp", (1, D(0, 20))))
     assert {r["id"]: r["planned"] for r in s.collect()} == {1: 0, 2: 1}
 

@@ -68,8 +68,12 @@ def test_ward_and_cut():
     linkage = clustering.ward(d)
     assert (np.diff(linkage[:, 2]) >= -1e-12).all() and linkage[-1, 3] == 21
     assert clustering.cut(linkage, 3).tolist() == [1] * 7 + [2] * 7 + [3] * 7
-    labels = clustering.dynamic_cut(linkage, np.repeat([0, 1, 2], 7), lambda a, b: 0.0 if abs(a.mean() - b.mean()) > 0.3 else 1.0, least=3)
+    peaks = np.repeat([0, 1, 2], 7)
+    labels = clustering.dynamic_cut(linkage, d, peaks, lambda v: 1.0, least=3, share=0.4)
     assert len({tuple(sorted(k for k in labels if labels[k] == v)) for v in labels.values()}) == 3
+    assert set(clustering.dynamic_cut(linkage, d, peaks, lambda v: 1.0, least=8).values()) == {"1"}  # a side of 7 is too small
+    assert set(clustering.dynamic_cut(linkage, d, peaks, lambda v: 0.0, least=3, levels=2).values()) == {"1-l", "1-r"}
+    assert set(clustering.dynamic_cut(linkage, d, np.zeros(21), lambda v: float("nan"), least=3, share=0.7).values()) == {"1-l", "1-r"}  # nothing is mixed, large or skewed
     assert len(clustering.tree_paths(linkage)) == 21 and clustering.mean_parent_height(linkage, clustering.cut(linkage, 3)) > 1
 
 
@@ -83,6 +87,39 @@ def test_membership_barycenters_and_merging(spark):
     assert sorted(left) == ["a", "c"] and [m[:2] for m in merges] == [("a", "b")]
 
 
+def test_barycenters_follow_the_kernels_path(spark):
+    """One round from a center with plateaus, with penalties: what each of its places meets, by the path itself."""
+    costs, r = Costs.of_weights([1.0, 1.2, 1.5, 1.3], 0.35), np.random.default_rng(5)
+    items = [r.integers(0, 4, r.integers(3, 9)).astype(float) for _ in range(40)]
+    center = np.array([0.0, 0.0, 1.0, 1.0, 1.0, 3.0, 3.0, 0.0])
+    met = [[] for _ in center]
+    for x in items:
+        got = alignment.warp([center], [x], costs)
+        assert np.array_equal(center[got.at_x[0]], got.x[0]) and set(np.diff(got.at_x[0])) <= {0, 1}
+        for p, v in zip(got.at_x[0], got.y[0]):
+            met[p].append(v)
+    df = spark.createDataFrame([("a", x.tolist()) for x in items], "label string, values array<double>")
+    seeds = spark.createDataFrame([("a", center.tolist())], "label string, values array<double>")
+    got = clustering.barycenters(df, seeds, costs, rounds=1).first()["values"]
+    assert got == pytest.approx([np.mean(v) for v in met])
+    with pytest.raises(ValueError):
+        clustering.barycenters(df, spark.range(clustering.MOST + 1).selectExpr("cast(id as string) label", "array(0D) values"), costs)
+
+
+def test_names_of_clusters_and_centers(spark):
+    stages = [(1, 0, 1), (1, 0, 2), (1, 3, 0), (2, -2, 3), (2, 0, 3), (2, 9, 0), (2, 7, 3), (3, 1, 1), (3, 2, 3), (4, 0, 4), (4, 1, 4), (5, 0, 2), (5, 1, 0), (6, 0, 2), (6, 4, 0)]
+    df = spark.createDataFrame(stages, "id int, day int, stage int")
+    labels = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e"), (6, "f")], "id int, label string")
+    peaks = spark.createDataFrame([(1, 2), (2, 3), (3, 3), (4, 4), (5, 2), (6, 2)], "id int, peak int")
+    got = {r["label"]: r["name"] for r in clustering.categories(df, labels, peaks).collect()}
+    assert got == {"a": "2-Im", "b": "3-St", "c": "3-Ws", "d": "3D-St", "e": "2-Im-1", "f": "2-Im-2"}
+    centers = spark.createDataFrame([(1, [0.0, 2.0, 0.1]), (2, [2.0, 3.6, 0.2]), (3, [2.0, 1.0]), (4, [0.0, 1.0]), (5, []), (6, [2.5])], "label int, values array<double>")
+    plain = {r["label"]: r["name"] for r in clustering.center_categories(centers).collect()}
+    assert plain == {1: "2-St", 2: "3D-Im", 3: "2-Im", 4: "1-Ws", 5: None, 6: "2-St"}
+    fine = {r["label"]: r["name"] for r in clustering.center_categories(centers, transient=True, stratified=True).collect()}
+    assert fine == {1: "2-Tr", 2: "3D-compIm", 3: "2-partIm", 4: "1-Ws", 5: None, 6: "2-St"}
+
+
 def test_simulated_shapes_are_found_again(spark):
     s = simulation.simulated(spark, 3)
     assert s.count() == 3 * s.select("label").distinct().count() and s.first()["values"].__len__() == 56

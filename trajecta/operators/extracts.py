@@ -17,6 +17,10 @@ from trajecta.operators.scores import weighted_flags
 #: Fixed names that mark a vasoactive drug; the first that fits counts (norepinephrine before epinephrine).
 VASOACTIVE = ("dopamine", "dobutamine", "milrinone", "norepinephrine", "epinephrine", "phenylephrine", "vasopressin")
 
+#: Fixed names of types of medication.
+NEPHROTOXIC_TYPES = ("acei", "ace inhibitors", "angiotensin receptor blockers", "arb", "aminoglycosides", "nsaids")
+VASOACTIVE_TYPES = ("presor", "inotrope", "presor or inotrope")
+
 
 def low_high(name: str, low: Column, high: Column) -> Column:
     return F.struct(low.cast("double").alias("low"), high.cast("double").alias("high")).alias(name)
@@ -44,33 +48,43 @@ def urine(ids: DataFrame, raw: DataFrame, weights: DataFrame, max_day: int = 3)
     return f.select("id", rate.alias("per_hour"), F.try_divide(rate, F.col("weight")).alias("per_kg_hour"))
 
 
-def medications(ids: DataFrame, raw: DataFrame) -> DataFrame:
-    """One 0/1 column a vasoactive drug, any of them, and one for each medication type asked. Orders entered by admission with a known duration count."""
-    met = ids.select("id", "admit").join(raw, "id").where((F.col("ORDER_ENTERED_DATE") <= F.col("admit")) & F.col("DAYS_ON_MEDICATION").isNotNull())
+def medications(ids: DataFrame, raw: DataFrame, max_day: int = 1) -> DataFrame:
+    """(id, nephrotoxic, vasoactive, one 0/1 column a vasoactive drug).
+
+    Orders with a known duration, entered by admission, count if they reach beyond it or begin on at most max_day days after. The type
+    decides for nephrotoxic; the type or the name for vasoactive; of a name with several drugs the first of VASOACTIVE counts.
+    """
+    met = ids.select("id", "admit").join(raw, "id").where((F.col("ORDER_ENTERED_DATE") <= F.col("admit")) & F.col("DAYS_ON_MEDICATION").isNotNull() & ~F.isnan(F.col("DAYS_ON_MEDICATION").cast("double")))
+    stop = F.col("ORDER_ENTERED_DATE").cast("timestamp") + F.make_dt_interval(secs=F.col("DAYS_ON_MEDICATION").cast("double") * 86400)
+    met = met.where((stop > F.col("admit").cast("timestamp")) | (F.datediff("ORDER_ENTERED_DATE", "admit") <= max_day))
     name = F.lower(F.coalesce("MEDICATION_NAME", F.lit("")))
     drug = F.lit(None).cast("string")
     for d in reversed(VASOACTIVE):
         drug = F.when(name.contains(d), d).otherwise(drug)
-    kind = F.lower(F.coalesce("MEDICATION_TYPE", F.lit("")))
-    types = {"nsaid": "nsaid", "acei": "ace", "arb": "arb", "diuretic": "diuretic", "statin": "statin"}
-    sums = met.groupBy("id").agg(*(F.max((drug == d).cast("int")).alias(d) for d in VASOACTIVE), *(F.max(kind.contains(t).cast("int")).alias(n) for n, t in types.items()))
-    out = ids.select("id").join(sums, "id", "left").fillna(0)
-    return out.withColumn("vasoactive", F.greatest(*VASOACTIVE))
+    kind = F.lower("MEDICATION_TYPE")
+    within = lambda names: sum((F.lit(n).contains(kind).cast("int") for n in names), F.lit(0)) > 0  # noqa: E731  a type that is part of a name counts too
+    vaso = F.coalesce(within(VASOACTIVE_TYPES), F.lit(False)) | drug.isNotNull()
+    sums = met.groupBy("id").agg(F.max(F.coalesce(within(NEPHROTOXIC_TYPES), F.lit(False)).cast("int")).alias("nephrotoxic"), F.max(vaso.cast("int")).alias("vasoactive"), *(F.max((drug == d).cast("int")).alias(d) for d in VASOACTIVE))
+    return ids.select("id").join(sums, "id", "left").fillna(0)
 
 
 def mortality(ids: DataFrame, admissions: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(id, died_inp, died_90_admit, died_120_admit, died_90_disch, died_120_disch, death, days). A recorded date decides; else the disposition text.
+    """(id, died_inp, died_90_admit, died_120_admit, died_90_disch, died_120_disch, death, days).
 
-    A date on or before the day of discharge is a death in hospital.
+    A disposition of death is one in hospital and within 90 and 120 days of discharge, whatever date is recorded. The recorded date,
+    else the discharge after such a disposition, is the death; one on or before the day of discharge is in hospital.
     """
     said = admissions.groupBy("id").agg(F.max(F.upper("DISCHARGE_DISPOSITION").rlike("EXPIRED|DIED").cast("int")).alias("said"))
     on = outcomes.groupBy("id").agg(F.max("DECEASED_DATE").alias("recorded"))
     f = ids.join(said, "id", "left").join(on, "id", "left")
-    death = F.coalesce(F.col("recorded"), F.when(F.col("said") == 1, F.col("disch")))
-    f = f.withColumn("death", death)
+    f = f.withColumn("death", F.coalesce(F.col("recorded"), F.when(F.col("said") == 1, F.col("disch"))))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    near = {f"died_{n}_{w}": flag(seconds_between(F.col({"admit": "admit", "disch": "disch"}[w]), F.col("death")) < n * 86400) for n in (90, 120) for w in ("admit", "disch")}
-    return f.select("id", flag(F.when(F.col("recorded").isNotNull(), F.to_date("recorded") <= F.to_date("disch")).otherwise(F.col("said") == 1)).alias("died_inp"), *(c.alias(n) for n, c in near.items()), "death", (seconds_between(F.col("admit"), F.col("death")) / 86400).alias("days"))
+    named = F.coalesce(F.col("said") == 1, F.lit(False))
+    out: dict[str, Column] = {"died_inp": F.greatest(named.cast("int"), flag(F.to_date("death") <= F.to_date("disch")))}
+    for n in (90, 120):
+        out[f"died_{n}_admit"] = flag(seconds_between(F.col("admit"), F.col("death")) < n * 86400)
+        out[f"died_{n}_disch"] = F.greatest(named.cast("int"), flag(seconds_between(F.col("disch"), F.col("death")) < n * 86400))
+    return f.select("id", *(c.alias(n) for n, c in out.items()), "death", (seconds_between(F.col("admit"), F.col("death")) / 86400).alias("days"))
 
 
 def comorbidities(ids: DataFrame, charlson: DataFrame, elixhauser: DataFrame, smoking: DataFrame, weights: Sequence[float]) -> DataFrame:
@@ -81,8 +95,8 @@ def comorbidities(ids: DataFrame, charlson: DataFrame, elixhauser: DataFrame, sm
     c = c.select("id", F.when(F.col("CHARLSON_INDEX") > 0, F.col("CHARLSON_INDEX")).alias("charlson"), F.array(*cc).alias("charlson_parts"))
     e = first_match_left(ids.select("id"), elixhauser, "id", "place")
     e = e.select("id", weighted_flags(ex, weights).alias("elixhauser"), F.array(*ex).alias("elixhauser_parts"), F.greatest(ex[9], ex[10]).alias("diabetic"), F.greatest(ex[4], ex[5]).alias("hypertensive"))
-    up = lambda x: F.upper(F.coalesce(x, F.lit("")))
-    s = first_match_left(ids.select("id"), smoking, "id", "place").select("id", (up("SMOKING_CURRENT_STATUS").contains("YES") | up("SMOKING_HISTORY_STATUS").contains("YES")).cast("int").alias("smoker"))
+    smokes = (F.col("SMOKING_HISTORY_STATUS") == "FORMER SMOKER") | (F.col("SMOKING_CURRENT_STATUS") == "YES")
+    s = first_match_left(ids.select("id"), smoking, "id", "place").select("id", F.coalesce(smokes, F.col("SMOKING_CURRENT_STATUS") == "YES", F.col("SMOKING_HISTORY_STATUS") == "FORMER SMOKER", F.lit(False)).cast("int").alias("smoker"))
     return c.join(e, "id").join(s, "id")
 
 

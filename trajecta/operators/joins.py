@@ -44,8 +44,15 @@ def stab(df: DataFrame, spans: DataFrame, key: str, at: str, start: str, stop: s
 
 
 def overlap(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str], out: tuple[str, str] = ("w_start", "w_stop")) -> DataFrame:
-    """Pairs of the same key whose intervals overlap for more than an instant, with the common part."""
-    both = left.join(right, key)
+    """Pairs of the same key whose intervals overlap for more than an instant, with the common part.
+
+    Both sides are dealt to the days they touch, and a pair meets on the first day that both do, so a key with many
+    intervals is not compared all with all.
+    """
+    def dealt(df: DataFrame, ends: tuple[str, str]) -> DataFrame:
+        return df.where(F.col(ends[0]) <= F.col(ends[1])).withColumn("__day", F.explode(F.sequence(F.to_date(ends[0]), F.to_date(ends[1]))))
+
+    both = dealt(left, a).join(dealt(right, b), [key, "__day"]).where(F.col("__day") == F.greatest(F.to_date(a[0]), F.to_date(b[0]))).drop("__day")
     both = both.withColumn(out[0], F.greatest(a[0], b[0])).withColumn(out[1], F.least(a[1], b[1]))
     return both.where(F.col(out[1]) > F.col(out[0]))
 
@@ -53,17 +60,19 @@ def overlap(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str], b:
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, seen: str, least_days: float = 0.0, most_days: float | None = None, tie: str | None = None) -> DataFrame:
     """Each left row with the latest right row at least `least_days` before it; no match if that one is `most_days` old or more.
 
-    Needs columns that tell the left rows apart in `left` as a whole; of right rows at one time the largest `tie` counts.
+    Of right rows at one time the largest `tie` counts. Both sides stand in one line by time, the left rows `least_days`
+    early, and each left row takes the last right row before it, so the work of a key is one sort and no pairs are made.
     """
-    age = F.timestamp_diff("MICROSECOND", F.col(seen), F.col(at)) / F.lit(86400e6)
-    marked = left.withColumn("__row", F.xxhash64(*left.columns))
-    near = marked.join(right, key).where(age >= least_days)
-    order = [F.col(seen).desc(), *([F.col(tie).desc()] if tie else [])]
-    best = near.withColumn("__rn", F.row_number().over(W.partitionBy("__row").orderBy(*order))).where("__rn = 1")
-    if most_days is not None:
-        best = best.where(age < most_days)
     rest = [c for c in right.columns if c != key]
-    return marked.join(best.select("__row", *rest), "__row", "left").drop("__row")
+    known = right.where(F.col(key).isNotNull() & F.col(seen).isNotNull())
+    known = known.select(key, F.col(seen).alias("__t"), F.lit(0).alias("__side"), (F.col(tie) if tie else F.lit(0)).alias("__tie"), F.struct(*rest).alias("__seen"))
+    asked = left.select(key, (F.col(at) - F.make_dt_interval(secs=F.lit(least_days * 86400.0))).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left"))
+    line = W.partitionBy(key).orderBy(F.col("__t").asc_nulls_first(), "__side", "__tie").rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = known.unionByName(asked, allowMissingColumns=True).withColumn("__seen", F.last("__seen", True).over(line)).where("__side = 1")
+    fits = F.col("__seen").isNotNull()
+    if most_days is not None:
+        fits &= F.timestamp_diff("MICROSECOND", F.col(f"__seen.{seen}"), F.col(f"__left.{at}")) / F.lit(86400e6) < most_days
+    return met.select("__left.*", *(F.when(fits, F.col(f"__seen.{c}")).alias(c) for c in rest))
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, at: Column, seen: str, k: int, *ties: Column | str) -> DataFrame:
@@ -73,11 +82,13 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: Column, seen: str,
     return both.withColumn("rank", F.row_number().over(W.partitionBy(*left.columns).orderBy("apart_days", *ties))).where(F.col("rank") <= k)
 
 
-def all_pairs(df: DataFrame, key: str, blocks: int) -> DataFrame:
-    """Every pair key < key2 once, with the other columns twice (suffix 2), dealt by a grid of blocks.
+def all_pairs(df: DataFrame, key: str, rows: int = 250) -> DataFrame:
+    """Every pair key < key2 once, with the other columns twice (suffix 2), dealt by a grid of blocks of about `rows` rows.
 
-    Each row goes to `blocks` cells of the upper triangle, so a task holds two blocks and not one row times all others.
+    Each row goes to as many cells of the upper triangle as there are blocks, so a task holds two blocks and not one row times all
+    others, and the number of tasks follows from the number of rows.
     """
+    blocks = max(2, -(-df.count() // rows))
     block = F.pmod(F.xxhash64(key), F.lit(blocks))
     marked = df.withColumn("__b", block)
     cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(F.col("__b"), j.cast("bigint")).alias("x"), F.greatest(F.col("__b"), j.cast("bigint")).alias("y")))
@@ -100,7 +111,7 @@ def tagged_full_outer(left: DataFrame, right: DataFrame, key: str, value: str, n
 
 def containing(inner: DataFrame, outer: DataFrame, key: str, at: str, start: str, stop: str) -> DataFrame:
     """Each inner row with the earliest-starting outer span of its key that its time lies in."""
-    met = inner.join(outer, key).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(stop)))
+    met = stab(inner, outer.where(F.col(stop).isNotNull()), key, at, start, stop, 0)
     return met.withColumn("__rn", F.row_number().over(W.partitionBy(*inner.columns).orderBy(start, stop))).where("__rn = 1").drop("__rn")
 
 

@@ -103,14 +103,24 @@ def episodes(stages: DataFrame, key: str = "id", stage: str = "stage", gap_hours
 
 def directions(stages: DataFrame, key: str = "id", stage: str = "stage") -> DataFrame:
     """(key, n_peaks, up_down, down_up): rises after a fall or the start, less one that is still going on at the end; and turns."""
+    return moves(stages, key, stage).groupBy(key).agg(*turns())
+
+
+def moves(stages: DataFrame, key: str = "id", stage: str = "stage") -> DataFrame:
+    """Adds __s, 1 for a rise and -1 for a fall (else null), and __p, the last such before."""
     order = W.partitionBy(key).orderBy("bin")
-    moves = stages.withColumn("__s", F.signum(F.col(stage) - F.lag(stage).over(order)).cast("int"))
-    moves = moves.withColumn("__s", F.when(F.col("__s") != 0, F.col("__s")))
-    moves = moves.withColumn("__p", F.last("__s", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)))
+    f = stages.withColumn("__s", F.signum(F.col(stage) - F.lag(stage).over(order)).cast("int"))
+    f = f.withColumn("__s", F.when(F.col("__s") != 0, F.col("__s")))
+    return f.withColumn("__p", F.last("__s", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)))
+
+
+def turns(names: tuple[str, str, str] = ("n_peaks", "up_down", "down_up")) -> list[Column]:
+    """Aggregates of `moves`: peaks, turns from up to down, turns from down to up."""
     s, p = F.col("__s"), F.col("__p")
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     last = F.max_by("__s", F.when(s.isNotNull(), F.col("bin")))
-    return moves.groupBy(key).agg((one((s == 1) & (F.coalesce(p, F.lit(0)) < 1)) - F.when(last == 1, 1).otherwise(0)).alias("n_peaks"), one((s == -1) & (p == 1)).alias("up_down"), one((s == 1) & (p == -1)).alias("down_up"))
+    found = one((s == 1) & (F.coalesce(p, F.lit(0)) < 1)) - F.when(last == 1, 1).otherwise(0), one((s == -1) & (p == 1)), one((s == 1) & (p == -1))
+    return [c.alias(n) for c, n in zip(found, names)]
 
 
 def relative_change(df: DataFrame, value: str = "value", base: str = "base") -> DataFrame:

@@ -6,25 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trajecta.operators.series import directions, episodes
+from trajecta.operators.series import moves, turns
 
 
 def described(stages: DataFrame, key: str = "id", hours: int = 6, day_limit: int | None = None) -> DataFrame:
-    """The 17 descriptive features of each trajectory, up to day_limit if given."""
+    """The 17 descriptive features of each trajectory, up to day_limit if given, in one pass: all windows are of one order, all sums of one key."""
     if day_limit is not None:
         stages = stages.where(F.col("day") <= day_limit)
-    stages = stages.withColumn("__d", F.col("stage") - F.lag("stage").over(W.partitionBy(key).orderBy("bin")))
+    before = W.partitionBy(key).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    bad = F.when(F.col("stage") > 0, F.col("bin"))
+    stages = moves(stages, key).withColumn("__gap", bad - F.last(bad, ignorenulls=True).over(before))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("long")
     total = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    k, d = F.col("stage"), F.col("__d")
+    k, d = F.col("stage"), F.col("__s")
     long_at = [flag(total(k == s) >= 24 / hours).alias(f"stage{s}_day") for s in (1, 2, 3, 4)]
-    basic = stages.groupBy(key).agg(
+    return stages.groupBy(key).agg(
         F.max("stage").cast("long").alias("peak"), F.min_by("stage", "bin").cast("long").alias("first"), F.max_by("stage", "bin").cast("long").alias("last"), F.min("stage").cast("long").alias("least"),
         F.coalesce(F.max(F.when(F.col("day") <= 3, k)), F.lit(0)).cast("long").alias("peak_to_day3"), F.coalesce(F.max(F.when(F.col("day") > 3, k)), F.lit(0)).cast("long").alias("peak_after_day3"),
         *long_at, flag(F.max("stage") == F.min("stage")).alias("flat"), flag((total(d > 0) > 0) & (total(d < 0) == 0)).alias("only_up"), flag((total(d < 0) > 0) & (total(d > 0) == 0)).alias("only_down"),
+        F.when(F.max("stage") > 0, total(F.col("__gap") >= 24 / hours) + 1).otherwise(0).cast("long").alias("n_episodes"), *turns(("n_peaks", "turns_down", "turns_up")),
     )
-    turns = directions(stages, key).select(key, F.col("up_down").alias("turns_down"), F.col("down_up").alias("turns_up"), "n_peaks")
-    return basic.join(episodes(stages, key, gap_hours=24, hours=hours), key).join(turns, key)
 
 
 def transitions(stages: DataFrame, key: str = "id") -> DataFrame:

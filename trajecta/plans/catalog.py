@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta.functions import renal, sequences, times
-from trajecta.operators import alignment, cleaning, clustering, cohort, evaluation, joins, modelling, outcomes, series, tables, trajectories
+from trajecta.operators import alignment, cleaning, clustering, cohort, evaluation, extracts, joins, modelling, outcomes, scores, series, tables, trajectories
 from trajecta.plans.stages import measurements, peak_stages, stages_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,7 +206,7 @@ def q_nearest_k(spark, d):
 @query("q_pairs_theta", "select a.vec_id, b.vec_id vec_id2, a.label = b.label same from embeddings a join embeddings b on a.vec_id < b.vec_id")
 def q_pairs_theta(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label")
-    return joins.all_pairs(e, "vec_id", 4).select("vec_id", "vec_id2", (F.col("label") == F.col("label2")).alias("same"))
+    return joins.all_pairs(e, "vec_id").select("vec_id", "vec_id2", (F.col("label") == F.col("label2")).alias("same"))
 
 
 @query("q_full_outer_tag", """with a as (select c_custkey k, c_acctbal v from customer where c_acctbal > 0), b as (select o_custkey k, max(o_totalprice) v from orders group by 1)
@@ -459,7 +459,7 @@ PAIRS = "p as (select a.vec_id i, b.vec_id j, list_transform(a.embedding, lambda
 
 def _vector_pairs(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x).cast("double")).alias("v"))
-    return joins.all_pairs(e, "vec_id", 4)
+    return joins.all_pairs(e, "vec_id")
 
 
 @query("q_braycurtis", f"with {PAIRS} select i, j, round(list_sum(list_transform(range(1, 65), lambda k: abs(a[k] - b[k]))) / list_sum(list_transform(range(1, 65), lambda k: abs(a[k] + b[k]))), 5) d from p")
@@ -479,7 +479,7 @@ def q_cityblock(spark, d):
 
 # clusters, folds, alignments
 
-LABELLED = f"""with {PAIRS}, d as (select i, j, list_sum(list_transform(range(1, 65), lambda k: abs(a[k] - b[k]))) / 256 d from p), e as (select i x, j y, d from d union all select j, i, d from d),
+LABELLED = f"""with {PAIRS}, d as (select i, j, list_sum(list_transform(range(1, 65), lambda k: abs(a[k] - b[k]))) / 256 d from p), e as materialized (select i x, j y, d from d union all select j, i, d from d),
  l as (select e.x, e.y, e.d, u.label lx, v.label ly from e join embeddings u on e.x = u.vec_id join embeddings v on e.y = v.vec_id)"""
 
 
@@ -543,7 +543,7 @@ def q_dtw_membership(spark, d):
 @query("q_dtw_pairs")
 def q_dtw_pairs(spark, d):
     """Warped distance of every two users' trajectories."""
-    pairs = joins.all_pairs(_stage_arrays(spark, d), "id", 16)
+    pairs = joins.all_pairs(_stage_arrays(spark, d), "id")
     return alignment.aligned(pairs, "values", "values2", alignment.Costs.of_weights([1.0, 1.2, 1.5, 1.3], 0.35)).select("id", "id2", *(r6(c).alias(c) for c in ("distance", "extension_a", "extension_b")))
 
 
@@ -552,7 +552,7 @@ def q_ward(spark, d):
     """Ward clusters of the labels' mean vectors."""
     e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("x"))
     v = e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("v"))
-    pairs = joins.all_pairs(v.select(F.col("label").cast("long").alias("id"), "v"), "id", 2)
+    pairs = joins.all_pairs(v.select(F.col("label").cast("long").alias("id"), "v"), "id")
     edges = pairs.select(F.col("id").alias("id1"), "id2", F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)).alias("d"))
     return clustering.agglomerated(edges, 3)
 
@@ -566,11 +566,21 @@ def q_dba(spark, d):
     return got.select("label", F.transform("values", lambda x: F.round(x, 6)).alias("values"))
 
 
-@query("q_categories")
+@query("q_categories", STAGES + """, ce as (select id, greatest(min(day), 0) f, least(max(day), 7) t, max(stage) peak, max(stage) * 2 + arg_max(stage, bin) % 2 label from stages group by id),
+ cm as (select s.id, label, peak, max(case when s.day = f then stage end) a, max(case when s.day = t then stage end) b from stages s join ce using (id) group by 1, 2, 3),
+ cg as (select label, max(peak) peak, avg(a) a, avg(b) b from cm group by label),
+ cn as (select label, case when peak >= 4 then '3D' else peak::varchar end || '-' || case when b > a + 0.5 then 'Ws' when b < a - 0.5 then 'Im' else 'St' end name from cg),
+ cr as (select *, row_number() over (partition by name order by label) - 1 i from cn) select label, case when i = 0 then name else name || '-' || i end name from cr""")
 def q_categories(spark, d):
     s = stages(spark, d)
-    labels = s.groupBy("id").agg((F.max("stage") * 2 + F.max_by("stage", "bin") % 2).alias("label"))
-    return clustering.categories(s, labels)
+    of = s.groupBy("id").agg((F.max("stage") * 2 + F.max_by("stage", "bin") % 2).alias("label"), F.max("stage").alias("peak"))
+    return clustering.categories(s.select("id", "day", "stage"), of.select("id", "label"), of.select("id", "peak"))
+
+
+@query("q_center_categories", STAGES + """, v as (select id, arg_min(stage, bin) a, arg_max(stage, bin) b, max(stage) m from stages where day <= 7 group by id)
+ select id as label, case when m = 4 then '3D' else m::varchar end || '-' || case when b > a then 'Ws' when b < a then case when b = 0 then 'compIm' else 'partIm' end when m > a then 'Tr' else 'St' end name from v""")
+def q_center_categories(spark, d):
+    return clustering.center_categories(_stage_arrays(spark, d), "id", transient=True, stratified=True)
 
 
 @query("q_normality", f"with {SEG}, m as (select seg, avg(price) mu, count(*) n from s group by 1), k as (select s.seg, n, avg(pow(price - mu, 2)) m2, avg(pow(price - mu, 3)) m3, avg(pow(price - mu, 4)) m4 from s join m using (seg) group by all) select seg, n, round(m3 / pow(m2, 1.5), 5) skewness, round(m4 / (m2 * m2) - 3, 5) kurtosis from k")
@@ -664,3 +674,145 @@ def q_category_counts(spark, d):
 def q_free_days(spark, d):
     s = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sum(F.col("o_orderkey") % 5).alias("n"), F.max((F.col("o_orderstatus") == "F").cast("int")).alias("f"))
     return s.select("id", outcomes.free_days(F.col("n").cast("double"), ((F.col("f") == 1) & (F.col("n") > 20)).cast("int")).alias("free"))
+
+
+# extracts: customers as patients, their orders as rows of the raw tables
+
+IDS = "ids as (select o_custkey id, min(o_orderdate)::timestamp + interval 365 day admit, min(o_orderdate)::timestamp + interval 385 day disch from orders group by 1)"
+
+
+def _ids(spark: SparkSession, d: str) -> DataFrame:
+    first = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").cast("timestamp").alias("first"))
+    return first.select("id", (F.col("first") + F.expr("interval 365 days")).alias("admit"), (F.col("first") + F.expr("interval 385 days")).alias("disch"))
+
+
+def _rows(spark: SparkSession, d: str, **columns: str) -> DataFrame:
+    return table(spark, d, "orders").selectExpr("o_custkey as id", "o_orderkey as place", *(f"{x} as {c}" for c, x in columns.items()))
+
+
+@query("q_mortality", f"""with {IDS}, s as (select o_custkey id, max(o_orderkey % 11 = 0) said from orders group by 1), r as (select o_custkey id, max(case when o_orderkey % 3 = 0 then o_orderdate end)::timestamp recorded from orders group by 1),
+ f as (select id, admit, disch, coalesce(said, false) said, coalesce(recorded, case when said then disch end) death from ids left join s using (id) left join r using (id))
+ select id, (said or coalesce(death::date <= disch::date, false))::int died_inp, coalesce(death - admit < interval 90 day, false)::int died_90_admit, (said or coalesce(death - disch < interval 90 day, false))::int died_90_disch,
+ coalesce(death - admit < interval 120 day, false)::int died_120_admit, (said or coalesce(death - disch < interval 120 day, false))::int died_120_disch, round((epoch_us(death) - epoch_us(admit)) / 86400000000, 6) as days from f""")
+def q_mortality(spark, d):
+    said = _rows(spark, d, DISCHARGE_DISPOSITION="case when o_orderkey % 11 = 0 then 'Expired - less than 48h' when o_orderkey % 5 > 0 then 'Home' end")
+    died = _rows(spark, d, DECEASED_DATE="cast(case when o_orderkey % 3 = 0 then o_orderdate end as timestamp)")
+    return extracts.mortality(_ids(spark, d), said, died).withColumn("days", r6("days")).drop("death")
+
+
+@query("q_medications", f"""with {IDS}, o as (select o_custkey id, o_orderdate::timestamp s, o_orderdate::timestamp + to_days((o_orderkey % 400)::int) e, ['Dopamine 5', 'norepinephrine', 'EPINEPHRINE', 'aspirin', 'x'][o_orderkey % 5 + 1] drug, ['ACEI', 'arb', 'Presor', 'statin', null, 'nsaid'][o_orderkey % 6 + 1] kind from orders where o_orderkey % 7 > 0),
+ m as (select id, lower(drug) n, lower(kind) k from ids join o using (id) where s <= admit and (e > admit or date_diff('day', admit, s) <= 1)),
+ g as (select id, max(coalesce(k in ('acei', 'arb', 'nsaid'), false)::int) nephrotoxic, max((coalesce(k = 'presor', false) or contains(n, 'dopamine') or contains(n, 'epinephrine'))::int) vasoactive, max(contains(n, 'dopamine')::int) dopamine,
+  max(contains(n, 'norepinephrine')::int) norepinephrine, max((n = 'epinephrine')::int) epinephrine from m group by 1)
+ select id, coalesce(nephrotoxic, 0) nephrotoxic, coalesce(vasoactive, 0) vasoactive, coalesce(dopamine, 0) dopamine, coalesce(norepinephrine, 0) norepinephrine, coalesce(epinephrine, 0) epinephrine from ids left join g using (id)""")
+def q_medications(spark, d):
+    drug, kind = "array('Dopamine 5', 'norepinephrine', 'EPINEPHRINE', 'aspirin', 'x')", "array('ACEI', 'arb', 'Presor', 'statin', null, 'nsaid')"
+    raw = _rows(spark, d, ORDER_ENTERED_DATE="cast(o_orderdate as timestamp)", MEDICATION_NAME=f"get({drug}, cast(o_orderkey % 5 as int))", MEDICATION_TYPE=f"get({kind}, cast(o_orderkey % 6 as int))", DAYS_ON_MEDICATION="case when o_orderkey % 7 > 0 then cast(o_orderkey % 400 as double) end")
+    return extracts.medications(_ids(spark, d), raw).select("id", "nephrotoxic", "vasoactive", "dopamine", "norepinephrine", "epinephrine")
+
+
+@query("q_comorbidities", f"""with {IDS}, o as (select o_custkey id, min(o_orderkey) k from orders group by 1)
+ select id, nullif(k % 5, 0) charlson, list_sum(list_transform(range(1, 32), lambda i: ((k + i) % 2) * (i % 3)))::double elixhauser, greatest((k + 10) % 2, (k + 11) % 2)::int diabetic, greatest((k + 5) % 2, (k + 6) % 2)::int hypertensive, (k % 4 = 0 or coalesce(k % 6 = 1, false))::int smoker from ids join o using (id)""")
+def q_comorbidities(spark, d):
+    charlson = _rows(spark, d, CHARLSON_INDEX="o_orderkey % 5", **{f"CC_GRP_{i}": f"cast((o_orderkey + {i}) % 2 as int)" for i in range(1, 15)})
+    elixhauser = _rows(spark, d, **{f"ELX_GRP_{i}": f"cast((o_orderkey + {i}) % 2 as int)" for i in range(1, 32)})
+    smoking = _rows(spark, d, SMOKING_HISTORY_STATUS="case when o_orderkey % 4 = 0 then 'FORMER SMOKER' when o_orderkey % 4 = 1 then 'YES' end", SMOKING_CURRENT_STATUS="case when o_orderkey % 6 = 1 then 'YES' when o_orderkey % 6 = 2 then 'NO' end")
+    got = extracts.comorbidities(_ids(spark, d), charlson, elixhauser, smoking, [float(i % 3) for i in range(1, 32)])
+    return got.select("id", "charlson", F.col("elixhauser").cast("double").alias("elixhauser"), "diabetic", "hypertensive", "smoker")
+
+
+@query("q_fluids", f"""with {IDS}, o as (select o_custkey id, arg_min(o_totalprice, o_orderkey) p, min(o_orderkey) k from orders group by 1), w as (select id, p, k, 50.0 + k % 60 weight from o),
+ x as (select id, unnest([{{i: p % 5000, o: p % 3000}}, {{i: case when k % 3 > 0 then p % 4000 end, o: p % 2000}}]) v from w), g as (select id, avg(v.i - v.o) / 1000 net, avg(v.i + v.o) / 1000 gross, sum(v.i - v.o) / 1000 balance from x where v.i > 0 and v.o > 0 group by 1)
+ select id, round(net, 6) + 0.0 net, round(gross, 6) gross, round(net / weight * 100, 6) + 0.0 overload, round(balance, 6) + 0.0 balance from ids left join g using (id) left join w using (id)""")
+def q_fluids(spark, d):
+    day = {"D0_IN": "o_totalprice % 5000", "D0_OUT": "o_totalprice % 3000", "D1_IN": "case when o_orderkey % 3 > 0 then o_totalprice % 4000 end", "D1_OUT": "o_totalprice % 2000"}
+    raw = _rows(spark, d, **{f"IO_TOTALS_{c}VALUE": x for c, x in day.items()})
+    weights = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg((F.min("o_orderkey") % 60 + 50.0).alias("weight"))
+    return extracts.fluids(_ids(spark, d), raw, weights).select("id", *(r6(c).alias(c) for c in ("net", "gross", "overload", "balance")))
+
+
+@query("q_baseline", """with v as (select user_id id, ts::timestamp ts, value, event_type in ('view', 'click') inside, timestamp '2024-01-25' + to_days((user_id % 5)::int) admit from events),
+ c as (select id, inside, ts, avg(value) as value, min(epoch_us(admit) - epoch_us(ts)) / 86400e6 age from v where epoch_us(admit) - epoch_us(ts) >= case when inside then 7 else 1 end * 86400000000 group by 1, 2, 3),
+ r as (select *, row_number() over (partition by id, inside order by ts desc) n from c), k as (select * from r where n = 1 and age > case when inside then 7 else 1 end and age < 365),
+ p as (select distinct user_id id from events)
+ select id, case when o.ts is not null then 'OUTPATIENT' when i.ts is not null then 'INPATIENT' else 'mdrd' end kind, round(coalesce(o.value, i.value), 6) base, coalesce(o.ts, i.ts) base_at
+ from p left join (select * from k where not inside) o using (id) left join (select * from k where inside) i using (id)""")
+def q_baseline(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "value", F.when(F.col("event_type").isin("view", "click"), "Inpatient ward").otherwise("Clinic").alias("kind"))
+    patients = e.select("id").distinct().selectExpr("id", "timestamp'2024-01-25' + make_dt_interval(cast(id % 5 as int)) as admit", "cast(id % 2 as int) as male", "cast(id % 3 = 0 as int) as black", "20 + id % 60 as age")
+    got = cohort.baselines(e, patients)
+    return got.select("id", "kind", F.when(F.col("kind") != "mdrd", r6("base")).alias("base"), F.col("base_at").cast("timestamp_ntz").alias("base_at"))
+
+
+@query("q_late_values", """with o as (select o_custkey id, min(o_orderdate)::timestamp ref from orders group by 1), v as (select id, o_orderkey tie, epoch_us(o_orderdate::timestamp) - epoch_us(ref) us, o_orderdate::timestamp ts from o join orders on o_custkey = id),
+ w as (select *, us / 86400e6 after, floor(90 - us / 86400e6)::int off from v where us > 0 and us < 120 * 86400e6 and floor(us / 86400e6) > 7), r as (select *, row_number() over (partition by id order by abs(off), ts, tie) n from w qualify n <= 3),
+ s as (select *, max(off) over u - min(off) over u span from r window u as (partition by id order by n rows unbounded preceding))
+ select id, max(n)::int n_used, arg_min(off, n) nearest from s where span <= 30 or n = 1 group by 1""")
+def q_late_values(spark, d):
+    v = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"), (F.lit(1.0) + F.col("o_orderkey") / 1e9).alias("creatinine"))
+    patients = v.groupBy("id").agg(F.min("ts").alias("ref")).selectExpr("id", "ref", "cast(id % 2 as int) as male", "cast(id % 3 = 0 as int) as black", "cast(20 + id % 60 as int) as age")
+    return outcomes.late_gfr(patients, v, 30, 3, 7).select("id", F.col("n_used").cast("int").alias("n_used"), "nearest")
+
+
+SOFA_OF = {
+    "po2": "case when c_custkey % 7 > 0 then 40.0 + c_custkey % 300 end", "fio2": "case when c_custkey % 5 > 0 then 0.2 + c_custkey % 8 / 10.0 end", "ventilated": "c_custkey % 2", "gcs": "case when c_custkey % 11 > 0 then 3.0 + c_custkey % 13 end", "map": "50.0 + c_custkey % 60",
+    "dopamine": "cast(c_custkey % 17 = 0 as int)", "epinephrine": "cast(c_custkey % 23 = 0 as int)", "bilirubin": "c_custkey % 150 / 10.0", "platelets": "c_custkey % 300", "creatinine": "case when c_custkey % 13 > 0 then c_custkey % 70 / 10.0 end",
+}
+
+
+def _points(cases: list[tuple[int, str]]) -> str:
+    return "case " + " ".join(f"when {c} then {n}" for n, c in cases) + " else 0 end"
+
+
+def _sofa_sql() -> str:
+    parts = {
+        "respiration": [(4, "ventilated = 1 and po2 / fio2 < 100"), (3, "ventilated = 1 and po2 / fio2 < 200"), (2, "ventilated = 0 and po2 / fio2 < 300"), (1, "ventilated = 0 and po2 / fio2 < 400")],
+        "coma": [(4, "gcs < 6"), (3, "gcs < 10"), (2, "gcs < 13"), (1, "gcs < 15")],
+        "circulation": [(3, "epinephrine = 1"), (2, "dopamine = 1"), (1, "map < 70")],
+        "liver": [(4, "bilirubin > 12"), (3, "bilirubin > 6"), (2, "bilirubin > 2"), (1, "bilirubin > 1.2")],
+        "coagulation": [(4, "platelets < 20"), (3, "platelets < 50"), (2, "platelets < 100"), (1, "platelets < 150")],
+        "kidney": [(4, "creatinine > 5"), (3, "creatinine > 3.5"), (2, "creatinine > 2"), (1, "creatinine > 1.2")],
+    }
+    made = ", ".join(f"({x})::double {c}" for c, x in SOFA_OF.items())
+    filled = ", ".join(f"coalesce({c}, median({c}) over (partition by ventilated)) {c}" for c in ("po2", "fio2", "gcs"))
+    scored = ", ".join(f"{_points(cases)} {name}" for name, cases in parts.items())
+    return f"with p as (select c_custkey id, {made} from customer), f as (select * exclude (po2, fio2, gcs), {filled} from p), s as (select id, {scored} from f) select *, {' + '.join(parts)} sofa from s"
+
+
+@query("q_sofa", _sofa_sql())
+def q_sofa(spark, d):
+    p = table(spark, d, "customer").selectExpr("c_custkey as id", *(f"cast({x} as double) as {c}" for c, x in SOFA_OF.items()))
+    return scores.sofa(p)
+
+
+APACHE_OF = {
+    "temp": (29, 13, 1), "map": (40, 130, 1), "hr": (40, 130, 1), "rr": (3, 50, 1), "ph": (700, 90, 100), "na": (105, 80, 1), "k": (20, 55, 10), "hct": (15, 50, 1), "wbc": (0, 45, 1),
+}
+
+
+def _apache_of() -> dict[str, str]:
+    out = {f"{c}_low": f"cast({a} + c_custkey % {m} as double) / {s}" for c, (a, m, s) in APACHE_OF.items()}
+    out |= {f"{c}_high": f"case when c_custkey % 9 > 0 then cast({a} + c_custkey % {m} + c_custkey % 6 as double) / {s} end" for c, (a, m, s) in APACHE_OF.items()}
+    return out | {"fio2": "cast(20 + c_custkey % 75 as double) / 100", "po2": "cast(40 + c_custkey % 90 as double)", "pco2": "cast(30 + c_custkey % 31 as double)", "creatinine": "cast(c_custkey % 50 as double) / 10", "gcs": "case when c_custkey % 11 > 0 then cast(3 + c_custkey % 13 as double) end", "age": "cast(18 + c_custkey % 75 as double)"}
+
+
+def _apache_sql() -> str:
+    g = "(fio2 * 713 - pco2 / 0.8 - po2)"
+    pressure = lambda n: [(4, f"{n}_low < 49 or {n}_high > 160"), (3, f"{n}_high > 130"), (2, f"{n}_low < 70 or {n}_high > 110")]
+    parts = {
+        "temperature": [(4, "temp_low < 30 or temp_high > 40"), (3, "temp_low < 32 or temp_high > 39"), (2, "temp_low < 34"), (1, "temp_low < 36 or temp_high > 38.5")], "pressure": pressure("map"), "heart": pressure("hr"),
+        "respiration": [(4, "rr_low <= 5 or rr_high >= 50"), (3, "rr_high >= 35"), (2, "rr_low <= 10"), (1, "rr_low < 12 or rr_high >= 25")],
+        "oxygen": [(4, f"fio2 >= 0.5 and {g} >= 500"), (3, f"fio2 >= 0.5 and {g} > 350"), (2, f"fio2 >= 0.5 and {g} > 200"), (4, "fio2 < 0.5 and po2 < 55"), (3, "fio2 < 0.5 and po2 < 60"), (1, "fio2 < 0.5 and po2 < 70")],
+        "acidity": [(4, "ph_low <= 7.15 or ph_high >= 7.7"), (3, "ph_low < 7.25 or ph_high >= 7.6"), (2, "ph_low < 7.33"), (1, "ph_high >= 7.5")],
+        "sodium": [(4, "na_low <= 110 or na_high >= 180"), (3, "na_low < 120 or na_high >= 160"), (2, "na_low < 130 or na_high >= 155"), (1, "na_high >= 150")],
+        "potassium": [(4, "k_low < 2.5 or k_high >= 7"), (3, "k_high >= 6"), (2, "k_low < 3"), (1, "k_low < 3.5 or k_high >= 5.5")], "kidney": [(4, "creatinine >= 3.5"), (3, "creatinine >= 2"), (2, "creatinine >= 1.5 or creatinine < 0.6")],
+        "hematocrit": [(4, "hct_low < 20 or hct_high >= 60"), (2, "hct_low < 30 or hct_high >= 50"), (1, "hct_high >= 46")], "leukocytes": [(4, "wbc_low < 1 or wbc_high >= 40"), (2, "wbc_low < 3 or wbc_high >= 20"), (1, "wbc_high >= 15")],
+    }
+    made = ", ".join(f"({x})::double {c}" for c, x in _apache_of().items())
+    scored = ", ".join(f"{_points(cases)} {name}" for name, cases in parts.items()) + ", coalesce((15 - gcs)::int, 0) coma, " + _points([(6, "age >= 75"), (5, "age >= 65"), (3, "age >= 55"), (2, "age >= 45")]) + " age_points"
+    return f"with p as (select c_custkey id, {made} from customer), s as (select id, {scored} from p) select *, {' + '.join([*parts, 'coma', 'age_points'])} apache from s"
+
+
+@query("q_apache", _apache_sql())
+def q_apache(spark, d):
+    return scores.apache(table(spark, d, "customer").selectExpr("c_custkey as id", *(f"{x} as {c}" for c, x in _apache_of().items())))
