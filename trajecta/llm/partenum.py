@@ -3,7 +3,7 @@
 Sets of equal or neighbouring size bands whose Jaccard similarity reaches the threshold differ in at most k features.
 The feature domain is split into n1 parts and each part into n2; two sets that differ in at most k features agree,
 in some part, on some n2 - k2 of its n2 pieces, so the hashes of all such selections always share one value.
-From a similarity of 0.9 on, n2 = 3 and k2 = 1; below, one part with k2 = k and n2 = k + 4 for sets of small k, else n2 = 2 and k2 = 1 with spare parts.
+From a similarity of 0.9 on, n2 = 3 and k2 = 1; below, one part with k2 = k and n2 = k + 4 for sets of small k, else n2 = 2 and k2 = 1 with spare pieces.
 """
 
 from __future__ import annotations
@@ -18,9 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajecta.llm.arrowtext import Words, blocks, mix, windows, words
+from trajecta.llm.arrowtext import BLOCK_BYTES, Words, blocks, mix, windows, words
 from trajecta.llm.graph import components
-from trajecta.llm.scratch import Scratch, key_filter, passes
+from trajecta.llm.scratch import Scratch, key_filter, passes, plain
+
+#: Features from which on a selection is not thin.
+FULL = 4
+
 
 @lru_cache(maxsize=8)
 def bands(percent: int) -> np.ndarray:
@@ -41,7 +45,7 @@ def distance(band: np.ndarray, percent: int) -> np.ndarray:
 def schemes(k: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, int, int, np.ndarray, np.ndarray]]:
     """(which sets, n2, k2, n1 of each, spare of each): ways of dividing the domain for the distances k. k = 0 has none: only equal sets link.
 
-    Of n1 = k // (k2 + 1) + spare parts at least `spare` have no more than k2 differing pieces.
+    Two linking sets agree on at least `spare` parts' selections; where a selection is one of two pieces, on `spare` pieces.
     """
     one = np.ones(len(k), dtype=np.int64)
     if percent >= 90:
@@ -49,8 +53,8 @@ def schemes(k: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, int, int,
         return
     for few in range(1, 6):
         yield k == few, few + 4, few, one, one
-    spare = 2 + k // 24
-    yield k > 5, 2, 1, k // 2 + spare, spare
+    n1 = (k + 5 + k // 8) // 2
+    yield k > 5, 2, 1, n1, 2 * n1 - k
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +79,9 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 def signatures(text: np.ndarray, value: np.ndarray, n_texts: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, signature) for the sorted features of a block's sets: in the set's band and, to meet the larger sets, in the next.
 
-    A selection without features says nothing, so a set leaves such signatures out unless its parts that have one are
-    as many as its spare parts: with fewer, some agreeing part of any linking pair has features.
+    A selection of few features says little, so a set leaves out those of less than `least` features, where `least` (at
+    most FULL) is such that fewer of its parts have one than its spare parts: of any linking pair, the set with the
+    larger `least` still has a part that agrees, and the other set has that selection too, as it has the same features.
     """
     sizes = np.bincount(text, minlength=n_texts)
     hashed, mixed = mix(value + np.uint64(0x632BE59BD9B4E019)), mix(value ^ np.uint64(0xA24BAED4963EE407))
@@ -97,7 +102,7 @@ def signatures(text: np.ndarray, value: np.ndarray, n_texts: int, percent: int)
             t = text[mine]
             cell = (hashed[mine] % wide[t]).astype(np.int64) + base[t]
             total = int(cells.sum())
-            filled = np.bincount(cell, minlength=total) > 0
+            count = np.bincount(cell, minlength=total)
             sums = np.zeros(total, dtype=np.uint64)
             order = np.argsort(cell, kind="stable")
             c, v = cell[order], mixed[mine][order]
@@ -106,15 +111,19 @@ def signatures(text: np.ndarray, value: np.ndarray, n_texts: int, percent: int)
             owner = np.repeat(who, n1)
             part = np.arange(len(owner)) - np.repeat(np.cumsum(n1) - n1, n1)
             first = base[owner] + part * n2
-            empty = n2 - np.add.reduceat(filled, np.arange(0, total, n2)) >= n2 - k2
-            hollow = np.bincount(owner, empty, minlength=n_texts) >= np.where(which, spare, 1)
+            picks = n2 - k2
+            fewest = count if picks == 1 else np.sort(count.reshape(-1, n2), axis=1)[:, :picks].sum(axis=1)
+            of = np.repeat(owner, n2) if picks == 1 else owner
+            least = np.zeros(n_texts, dtype=np.int64)
+            for m in range(1, FULL + 1):
+                least[np.bincount(of, fewest < m, minlength=n_texts) < np.where(which, spare, 1)] = m
             tag = mix((band[owner].astype(np.uint64) << np.uint64(40)) + part.astype(np.uint64))
-            for j, picked in enumerate(combinations(range(n2), n2 - k2)):
-                h = tag + np.uint64(j)
-                some = hollow[owner]
+            for j, picked in enumerate(combinations(range(n2), picks)):
+                h, n = tag + np.uint64(j), np.zeros(len(owner), dtype=np.int64)
                 for q in picked:
                     h = mix(h * np.uint64(0x9FB21C651E98DF25) + sums[first + q])
-                    some = some | filled[first + q]
+                    n += count[first + q]
+                some = n >= least[owner]
                 owners.append(owner[some])
                 found.append(h[some])
     return np.concatenate(owners), np.concatenate(found)
@@ -133,12 +142,14 @@ def _digests(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
+#: Classes of a crowd that meet in one group, about.
+BLOCK = 256
 #: Bits of a sketch from a similarity of 0.9 on. Below, a set of n features has the power of two from 2 n on, at least this.
 SKETCH = 512
 
 
-def _sketches(text: np.ndarray, value: np.ndarray, n: int, percent: int) -> pa.Array:
-    """The parity of how many features fall in each bin. Sets differ in at least as many features as their sketches in bits."""
+def _sketches(text: np.ndarray, value: np.ndarray, n: int, percent: int) -> tuple[pa.Array, pa.Array]:
+    """The parity of how many features fall in each bin, and that folded to SKETCH bins. Sets differ in at least as many features as their sketches in bits."""
     sizes = np.bincount(text, minlength=n)
     bits = np.full(n, SKETCH, dtype=np.int64)
     if percent < 90:
@@ -147,49 +158,110 @@ def _sketches(text: np.ndarray, value: np.ndarray, n: int, percent: int) -> pa.A
     bins = (mix(value + np.uint64(0x27D4EB2F165667C5)) & (bits[text] - 1).astype(np.uint64)).astype(np.int64)
     odd = (np.bincount(start[text] + bins, minlength=int(bits.sum())) & 1).astype(np.uint8)
     offsets = np.concatenate([[0], np.cumsum(bits // 64)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.packbits(odd).view(np.int64)))
+    whole = np.packbits(odd).view(np.int64)
+    few = SKETCH // 64
+    folded = np.bitwise_xor.reduceat(whole.reshape(-1, few), offsets[:-1] // few, axis=0) if n else np.zeros((0, few), dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(whole)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * few), pa.array(folded.ravel()))
 
 
 def _near(percent: int) -> str:
-    """SQL test of rows (na, sa, nb, sb) that holds for every pair that links: its sets differ in at most (100 - p) / (100 + p) (a + b) features.
+    """SQL test of rows (na, sa, fa, nb, sb, fb) that holds for every pair that links: its sets differ in at most (100 - p) / (100 + p) (a + b) features.
 
     A longer sketch is folded to the length of the other: bins that become one have the parity of their sum.
     """
+    within = f"<= {100 - percent} * (na + nb)"
+    short = " + ".join(f"bit_count(get(fa, {i}) ^ get(fb, {i}))" for i in range(SKETCH // 64))
+    test = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * ({short}) {within}"
     if percent >= 90:
-        apart = " + ".join(f"bit_count(sa[{i}] ^ sb[{i}])" for i in range(SKETCH // 64))
-    else:
-        half = "size({s}) div 2"
-        fold = "case when size({s}) > size({o}) then zip_with(slice({s}, 1, " + half + "), slice({s}, " + half + " + 1, " + half + "), (x, y) -> x ^ y) else {s} end"
-        a, b = fold.format(s="sa", o="sb"), fold.format(s="sb", o="sa")
-        apart = f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0L, (t, x) -> t + x)"
-    return f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * ({apart}) <= {100 - percent} * (na + nb)"
+        return test
+    half = "size({s}) div 2"
+    fold = "case when size({s}) > size({o}) then zip_with(slice({s}, 1, " + half + "), slice({s}, " + half + " + 1, " + half + "), (x, y) -> x ^ y) else {s} end"
+    a, b = fold.format(s="sa", o="sb"), fold.format(s="sb", o="sa")
+    apart = f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0L, (t, x) -> t + x)"
+    return f"{test} and (size(sa) <= {SKETCH // 64} or {100 + percent} * ({apart}) {within})"
 
 
 def _described(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, n, key, sketch) of each text's set."""
+    """(id, n, key, sketch, folded) of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, raw, at in blocks(batch.column(1)):
                 text, value = shingles(words(raw, at), size)
                 n = np.bincount(text, minlength=b - a).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(_digests(text, value, b - a).view(np.int64)), _sketches(text, value, b - a, percent)], names=["id", "n", "key", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(_digests(text, value, b - a).view(np.int64)), *_sketches(text, value, b - a, percent)], names=["id", "n", "key", "sketch", "folded"])
+
+    longs = T.ArrayType(T.LongType())
+    return docs.mapInArrow(run, docs.select("id").schema.add("n", "long").add("key", "long").add("sketch", longs).add("folded", longs))
+
+
+#: Signatures that a task holds before it sums them up, and rows that it gives on at a time.
+HELD, GIVEN = 1 << 20, 1 << 16
+
+
+def _classes(column: pa.Array, size: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, signature) of the distinct sets of each block of texts."""
+    for a, b, raw, at in blocks(column, BLOCK_BYTES // 4):
+        text, value = shingles(words(raw, at), size)
+        key = _digests(text, value, b - a)
+        _, first = np.unique(key, return_index=True)
+        if len(first) < b - a:
+            number = np.full(b - a, -1)
+            number[np.sort(first)] = np.arange(len(first))
+            key, mine = key[np.sort(first)], number[text] >= 0
+            text, value = number[text[mine]], value[mine]
+        owner, sig = signatures(text, value, len(key), percent)
+        yield key[owner].view(np.int64), sig
+
 
-    return docs.mapInArrow(run, docs.select("id").schema.add("n", "long").add("key", "long").add("sketch", T.ArrayType(T.LongType())))
+def _shared(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(sig, a, b, n): the least and the largest class of each signature that two classes have, and how often it came.
 
+    Tasks sum up what they hold before it is dealt by signature; signatures are made anew where they are needed
+    again, as they would be most of the job's disk.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n_held = 0
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            key, sig = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((key, sig))
+            key, sig = key[order], sig[order].view(np.int64)
+            new = np.ones(len(sig), dtype=bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+            key, sig = key[new], sig[new]
+            first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            last = np.append(first[1:], len(sig))
+            for i in range(0, len(first), GIVEN):
+                f, e = first[i : i + GIVEN], last[i : i + GIVEN]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[f]), pa.array(key[f]), pa.array(key[e - 1], mask=e - f == 1), pa.array((e - f).astype(np.int32))], names=["sig", "a", "b", "n"])
+
+        for batch in batches:
+            for key, sig in _classes(batch.column(0), size, percent):
+                held.append((key, sig))
+                n_held += len(sig)
+                if n_held >= HELD:
+                    yield from summed()
+                    held, n_held = [], 0
+        if n_held:
+            yield from summed()
+
+    dealt = docs.select("text").mapInArrow(run, "sig long, a long, b long, n int").repartition("sig")  # b is null for one class
+    return dealt.groupBy("sig").agg(F.min("a").alias("a"), F.greatest(F.max("a"), F.max("b")).alias("b"), F.sum("n").alias("n")).where("a <> b")
 
-def _signed(docs: DataFrame, size: int, percent: int, bits=None) -> DataFrame:
-    """(key, sig) of each text's signatures, of those that pass the bits if given. Made anew each time: kept, they would be most of the job's disk."""
+
+def _signed(docs: DataFrame, size: int, percent: int, bits) -> DataFrame:
+    """(key, sig) of each text's signatures that pass the bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, raw, at in blocks(batch.column(0)):
-                text, value = shingles(words(raw, at), size)
-                owner, sig = signatures(text, value, b - a, percent)
-                if bits is not None:
-                    use = passes(bits.value, sig)
-                    owner, sig = owner[use], sig[use]
-                yield pa.RecordBatch.from_arrays([pa.array(_digests(text, value, b - a)[owner].view(np.int64)), pa.array(sig.view(np.int64))], names=["key", "sig"])
+            for key, sig in _classes(batch.column(0), size, percent):
+                use = np.flatnonzero(passes(bits.value, sig))
+                for i in range(0, len(use), GIVEN):
+                    some = use[i : i + GIVEN]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(sig[some].view(np.int64))], names=["key", "sig"])
 
     return docs.select("text").mapInArrow(run, "key long, sig long")
 
@@ -233,42 +305,50 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = docs.select(plain(doc_id).alias("id"), plain(text).alias("text"))
     described = scratch.table(_described(rows, size, percent))
     members = described.select("id", "n", "key")
     # signatures that two classes or more share
-    shared = scratch.table(_signed(rows, size, percent).groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).where("a <> b"))
+    shared = scratch.table(_shared(rows, size, percent))
     pairs = shared.select("a", "b")
     crowded = shared.where("n > 2").select("sig", F.col("n").alias("crowd"))
     bits = spark.sparkContext.broadcast(key_filter(crowded, "sig"))
 
-    in_crowds = scratch.table(_signed(rows, size, percent, bits).distinct().join(crowded, "sig"))
+    signed = scratch.table(_signed(rows, size, percent, bits).distinct().join(crowded, "sig"))
     # the center of a crowd is the class that meets most others: links of a group of near copies mostly go through it
-    weight = in_crowds.groupBy("key").agg(F.sum("crowd").alias("weight"))
-    in_crowds = scratch.table(in_crowds.select("sig", "key").join(weight, "key"))
+    weight = signed.groupBy("key").agg(F.sum("crowd").alias("weight"))
+    in_crowds = scratch.table(signed.select("sig", "key").join(weight, "key"))
+    scratch.drop(signed)
+    scratch.tidy()
     heaviest = in_crowds.groupBy("sig").agg(F.max("weight").alias("weight"))
     centers = in_crowds.join(heaviest, ["sig", "weight"]).groupBy("sig").agg(F.min("key").alias("center"))
     stars = in_crowds.join(centers, "sig").where("key <> center").select(F.least("center", "key").alias("a"), F.greatest("center", "key").alias("b"))
-    sketches = scratch.table(described.where("n > 0").select("key", "n", "sketch").dropDuplicates(["key"]))
-    one, two = (sketches.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    sketches = scratch.table(described.where("n > 0").select("key", "n", "sketch", "folded").dropDuplicates(["key"]))
+    one, two = (sketches.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("folded").alias(f"f{x}")) for x in "ab")
     met = pairs.union(stars).distinct()
     tried = scratch.table(met.join(one, "a").join(two, "b").where(_near(percent)).select("a", "b"))
+    scratch.drop(shared)
     texts = scratch.table(_texts(rows, tried, members, size))
     edges = scratch.table(_similar(tried, texts, size, percent))
+    scratch.drop(texts)
     roots = scratch.table(components(edges, scratch))
 
-    # what is left: classes of one signature in different components
+    # what is left: classes of one signature in different components, met in a grid of blocks of each crowd
     at = in_crowds.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("root"))
-    mixed = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    at = scratch.table(at.join(mixed, "sig").join(sketches, "key"))
-    one, two = (at.select("sig", F.col("key").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    rest = one.join(two, "sig").where("a < b and ra <> rb and " + _near(percent)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    mixed = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y").select("sig", F.expr(f"cast((n - 1) div {BLOCK} + 1 as int)").alias("blocks"))
+    at = at.join(mixed, "sig").join(sketches, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    at = scratch.table(at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("blocks", "other"))
+    one, two = (at.select("sig", "x", "y", F.col("key").alias(k), F.col("root").alias(f"r{k}"), F.col("block").alias(f"b{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"), F.col("folded").alias(f"f{k}")) for k in "ab")
+    rest = one.join(two, ["sig", "x", "y"]).where("a < b and ra <> rb and (x = y or ba <> bb) and " + _near(percent)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     rest = scratch.table(rest)
+    scratch.drop(at, in_crowds)
+    scratch.tidy()
     if not rest.isEmpty():
         more = scratch.table(_similar(rest, scratch.table(_texts(rows, rest, members, size)), size, percent))
         roots = components(edges.union(more), scratch)
     labelled = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = labelled.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
+    labelled = scratch.table(labelled)
+    least = scratch.table(labelled.where("n > 0").groupBy("root").agg(F.min("id").alias("least")))
     return labelled.join(least, "root", "left").select(
         F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id")
     )
@@ -278,7 +358,7 @@ def _texts(rows: DataFrame, pairs: DataFrame, members: DataFrame, size: int) ->
     """(key, text): one text of each class that is in a pair."""
     spark = rows.sparkSession
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    chosen = members.join(keys, "key").groupBy("key").agg(F.min("id").alias("id")).withColumn("h", F.xxhash64("id"))
+    chosen = members.groupBy("key").agg(F.min("id").alias("id")).join(keys, "key").withColumn("h", F.xxhash64("id"))
     bits = spark.sparkContext.broadcast(key_filter(chosen, "h"))
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

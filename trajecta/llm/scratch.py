@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,6 +28,11 @@ class Scratch:
         self.places.append((back, place))
         return back
 
+    def tidy(self) -> None:
+        """Lets Spark delete the shuffle files of what is finished, which it does when the driver's objects for it are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
         for place in [p for df, p in self.places if any(df is t for t in tables)]:
@@ -35,6 +41,11 @@ class Scratch:
         self.places = [(df, p) for df, p in self.places if not any(df is t for t in tables)]
 
 
+def plain(name: str) -> Column:
+    """The column of this very name, dots included."""
+    return F.col(f"`{name}`")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset (tests on one machine) a new temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,34 +58,28 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.mkdtemp(prefix='spark-')}"
 
 
-#: A filter of 2^22 bits: 512 kB on the driver and each executor whatever the data; more keys only make it less selective.
-FILTER_WORDS = 1 << 16
+#: Bits of a filter for each key, and its most words of 64 bits: 16 MB on the driver and each executor. Where there are more keys than
+#: that serves, the filter only selects less; what it passes is joined exactly in any case.
+BITS_A_KEY, MOST_WORDS = 24, 1 << 21
 
 
-def key_filter(keys: DataFrame, key: str) -> np.ndarray:
-    """Bits of the 64-bit keys: `passes` is true for all of them and for few others. At most FILTER_WORDS rows are collected."""
-    bit = F.shiftrightunsigned(F.col(key), 20).bitwiseAND(F.lit(63)).cast("int")
+def key_filter(keys: DataFrame, key: str, most: int = MOST_WORDS) -> np.ndarray:
+    """Bits of the 64-bit keys: `passes` is true for all of them and for few others. At most `most` rows come to the driver."""
+    n = max(1, keys.count() * BITS_A_KEY // 64)
+    size = min(most, 1 << (n - 1).bit_length())
+    bit = F.shiftrightunsigned(F.col(key), 40).bitwiseAND(F.lit(63)).cast("int")
     rows = (
-        keys.select(F.col(key).bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("at"), bit.alias("b"))
+        keys.where(F.col(key).isNotNull())
+        .select(F.col(key).bitwiseAND(F.lit(size - 1)).alias("at"), bit.alias("b"))
         .groupBy("at")
         .agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits"))
-        .collect()
+        .toArrow()
     )
-    bits = np.zeros(FILTER_WORDS, dtype=np.int64)
-    for r in rows:
-        bits[r["at"]] = r["bits"]
+    bits = np.zeros(size, dtype=np.int64)
+    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy()
     return bits.view(np.uint64)
 
 
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     k = keys.astype(np.int64, copy=False).view(np.uint64)
-    return ((bits[(k & np.uint64(FILTER_WORDS - 1)).astype(np.int64)] >> ((k >> np.uint64(20)) & np.uint64(63))) & np.uint64(1)).astype(bool)
-
-
-
-def passing(spark: SparkSession, bits: np.ndarray, key: Column) -> Column:
-    """`passes` as a column: the bits are one value, read by a scalar subquery."""
-    held = spark.createDataFrame([(bits.view(np.int64).tolist(),)], "bits array<long>").scalar()
-    word = F.get(held, key.bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key, 20).bitwiseAND(F.lit(63)).cast("int"))
-    return word.bitwiseAND(bit) != 0
+    return ((bits[(k & np.uint64(len(bits) - 1)).astype(np.int64)] >> ((k >> np.uint64(40)) & np.uint64(63))) & np.uint64(1)).astype(bool)
