@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajecta.llm.arrowtext import FOLD, SPACED, blocks, mix, words
-from trajecta.llm.scratch import Scratch, key_filter, passes
+from trajecta.llm.scratch import Scratch, key_filter, passes, plain
 
 #: Runs have so many sentences and words at least; a sentence of so many words is one by itself.
 SENTENCES, WORDS, LONG = 2, 20, 50
@@ -86,7 +86,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     the first (by doc_id, then place in the text) stays; sentences that any other covers are cut out, with the white
     space after them. A text without such runs is returned as it is. Null texts stay null, with no sentences; a null
     doc_id comes before all others; rows that repeat a doc_id and a text are first together and so don't cut each other,
-    and rows that share only a doc_id are told apart by their runs' hashes.
+    and rows that share only a doc_id are told apart by their runs' hashes: they are cut by other documents, and by
+    each other where a run stands at different places. A kept column with the name of a result gives way to it.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "spans")
@@ -98,26 +99,28 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 ids = batch.column(0).slice(a, b - a).take(pa.array(r.text[r.run]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array((r.run - r.first[r.run]).astype(np.int32)), pa.array(r.hash.view(np.int64))], names=["id", "i", "h"])
 
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
+    rows = docs.select(plain(doc_id).alias("id"), plain(text).alias("t"))
     all_runs = scratch.table(rows.mapInArrow(found, rows.select("id").schema.add("i", "integer").add("h", "long")))
-    sums = all_runs.groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.count("id").alias("n_id"))
-    repeated = scratch.table(sums.where("n > 1").select("h", F.when(F.col("n") > F.col("n_id"), None).otherwise(F.col("least")).alias("least")))
+    repeated = scratch.table(all_runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     bits = spark.sparkContext.broadcast(key_filter(repeated, "h"))
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(passes(bits.value, batch.column(2).to_numpy(zero_copy_only=False))))
 
-    met = scratch.table(all_runs.mapInArrow(picked, all_runs.schema).join(repeated, "h"))
-    is_first = F.col("id").eqNullSafe(F.col("least"))
-    first_place = met.where(is_first).groupBy("h").agg(F.min("i").alias("first_i"))
-    cut = met.join(first_place, "h").where(~(is_first & (F.col("i") == F.col("first_i"))))
+    met = scratch.table(all_runs.mapInArrow(picked, all_runs.schema))
+    scratch.drop(all_runs, repeated)
+    # the first place of each run, as a table, so that the join is of two dealt tables, of which Spark splits hot keys
+    first = met.groupBy("h").agg(F.min(F.struct("id", "i")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = scratch.table(met.join(scratch.table(first.select("h", "first")), "h"))
+    cut = met.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("i") == F.col("first.i"))))
     by_doc = cut.select("id", "i", "h").distinct().groupBy(F.col("id").alias("__id")).agg(F.collect_list("i").alias("__i"), F.collect_list("h").alias("__h"))
 
-    kept_names = [c for c in keep if c != text]
-    source = docs.select(*(F.col(c) for c in kept_names), F.col(doc_id).alias("__doc"), F.col(text).alias("__text"))
+    kept_names = [c for c in keep if c not in (text, "n_sentences", "n_removed", "n_removed_words")]
+    numbered = [f"k{i}" for i in range(len(kept_names))]
+    source = docs.select(*(plain(c).alias(k) for c, k in zip(kept_names, numbered)), plain(doc_id).alias("__doc"), plain(text).alias("__text"))
     source = source.join(by_doc, F.col("__doc").eqNullSafe(F.col("__id")), "left").drop("__doc", "__id")
-    fields = docs.select(*kept_names).schema.add(text, "string").add("n_sentences", "long").add("n_removed", "long").add("n_removed_words", "long")
+    fields = docs.select(*map(plain, kept_names)).schema.add(text, "string").add("n_sentences", "long").add("n_removed", "long").add("n_removed_words", "long")
     names, n_kept = fields.names, len(kept_names)
 
     def less(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,4 +160,4 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     removed_words.append(int(sum(len(raw[r.start[lo + s] : r.end[lo + s]].tobytes().split()) for s in np.flatnonzero(gone))))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n_kept)), pa.array(out, pa.string()), *(pa.array(x, pa.int64()) for x in (counts, removed, removed_words))], names=names)
 
-    return source.select(*kept_names, "__text", "__i", "__h").mapInArrow(less, fields)
+    return source.select(*numbered, "__text", "__i", "__h").mapInArrow(less, fields)
