@@ -1,8 +1,11 @@
 """Hierarchical Pitman-Yor language model: counts over the whole corpus, seating by Gibbs, scores of whole texts.
 
 Every word, and the start of a text, is a context with a restaurant of its own; every word, and the end of a text, is a dish of each.
-All restaurants share one parent over the words. Counts of words and of pairs of words, seats, contexts and dishes are Spark tables;
-what is broadcast holds the counts of words of a least share of all tokens, so at most one over that share of them.
+All restaurants share one parent over the words. A pair of words met once has one table, so it needs no seat: how many
+such pairs a context or a dish has follows from its count and its other pairs. Pairs met more often, their seats, contexts and
+dishes are Spark tables. What is broadcast holds words or pairs of a least share of all tokens, so at most one over that share of them.
+
+A word is written as its rank if it has the share KNOWN, else as its hash with the highest bit set, so it is negative.
 """
 
 from __future__ import annotations
@@ -10,28 +13,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajecta.llm.arrowtext import blocks, words
-from trajecta.llm.scratch import Scratch
-from trajecta.llm.seating import gibbs
+from trajecta.llm.arrowtext import blocks, mix, words
+from trajecta.llm.scratch import Scratch, key_filter, passes, plain
+from trajecta.llm.seating import gibbs, parent_tables
 
-#: Least share of all tokens of a word whose count is looked up without a join (at most 2 million), and a larger such share, with few words.
-KNOWN, DISH = 5e-7, 2e-4
+#: Least share of all tokens of a word, and of a pair of words, that is looked up without a join: at most 1,000,000 and 2,000,000 of them.
+KNOWN, FREQUENT = 1e-6, 5e-7
 #: Discount and strength of the context restaurants and of their parent.
 INNER, PARENT = (0.7, 2.0), (0.5, 2.0)
-#: Sweeps before the first sample, samples averaged, parts of the rows that take turns in a sweep.
-BURN, SAMPLES, MOVES = 2, 3, 2
+#: Sweeps before the first sample, samples averaged, parts of the rows that take turns in a sweep, rounds of sweeps.
+BURN, SAMPLES, MOVES, ROUNDS = 1, 2, 2, 2
 #: Hashes of the end of a text and of what is before its first token.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Tokens that a task gathers before it sums them up.
 GATHERED = 2_000_000
 #: Rows seated together in a group.
-GROUP = 100_000
+GROUP = 50_000
+#: What `score` gives besides the columns kept.
+RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -69,25 +73,27 @@ def _counted(texts: DataFrame) -> DataFrame:
 
 
 class Lookup:
-    """Known words sorted by hash, with their counts."""
+    """Known words: their ranks by count, from 1, and counts. Rank 0 is the start of a text."""
 
     def __init__(self, h: np.ndarray, c: np.ndarray):
-        order = np.argsort(h)
-        self.h, self.c = h[order], c[order]
+        rank = np.lexsort((h, -c))
+        self.count = np.concatenate([[0], c[rank]])
+        order = np.argsort(h[rank])
+        self.h, self.rank = h[rank][order], order + 1
 
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The count of each token, or -1."""
+    def code(self, value: np.ndarray) -> np.ndarray:
         v = value.view(np.int64)
+        other = v | np.int64(-(2**63))
         if not len(self.h):
-            return np.full(len(v), -1)
+            return other
         at = np.minimum(np.searchsorted(self.h, v), len(self.h) - 1)
-        return np.where(self.h[at] == v, self.c[at], -1)
+        return np.where(self.h[at] == v, self.rank[at], other)
 
 
-def _before(text: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The hash of the context of each token: the word before."""
-    out = np.full(len(value), START)
-    out[1:] = np.where(text[1:] == text[:-1], value[:-1], START)
+def _before(text: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The context of each token: the word before, 0 for the first."""
+    out = np.zeros(len(code), dtype=np.int64)
+    out[1:] = np.where(text[1:] == text[:-1], code[:-1], 0)
     return out
 
 
@@ -101,22 +107,29 @@ def _grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def _pairs(texts: DataFrame) -> DataFrame:
-    """(u, w, c): how often word w follows context u."""
+def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(u.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + w.view(np.uint64)).view(np.int64)
+
+
+def _pairs(docs: DataFrame, lookup) -> DataFrame:
+    """(u, w, c) of `docs` (learn, text): pairs that were learned twice or more, c times, or once and stand in a text that wasn't learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def summed() -> pa.RecordBatch:
-            u, w = (np.concatenate(x) for x in zip(*held))
+            u, w, c = (np.concatenate(x) for x in zip(*held))
             order, first = _grouped(u, w)
             at = order[first]
-            return pa.RecordBatch.from_arrays([pa.array(u[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(np.diff(np.append(first, len(u))))], names=["u", "w", "c"])
+            n, every = np.add.reduceat(c[order].astype(np.int64), first), np.diff(np.append(first, len(u)))
+            return pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(w[at]), pa.array(n.astype(np.int32)), pa.array((every > n).astype(np.int32))], names=["u", "w", "c", "asked"])
 
         for batch in batches:
-            for _, _, text, value in _tokens(batch.column(0)):
-                held.append((_before(text, value), value))
+            learn = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, text, value in _tokens(batch.column(1)):
+                code = lookup.value.code(value)
+                held.append((_before(text, code), code, learn[a:b][text]))
                 size += len(value)
                 if size >= GATHERED:
                     yield summed()
@@ -124,142 +137,252 @@ def _pairs(texts: DataFrame) -> DataFrame:
         if held:
             yield summed()
 
-    return texts.mapInArrow(run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
+    sums = docs.mapInArrow(run, "u long, w long, c int, asked int").groupBy("u", "w").agg(F.sum("c").alias("c"), F.max("asked").alias("asked"))
+    return sums.where("c > 1 or (c = 1 and asked = 1)").select("u", "w", "c")
 
 
-def _seated(rows: DataFrame, total_over: float, base: float, n_parts: int, burn: int, samples: int, seed: int) -> DataFrame:
-    """(row, u, w, c, tables, over) of `rows` (row, u, w, c, a), dealt by word, so a heavy context is dealt to all parts.
+def _seated(rows: DataFrame, known, opened: float, served: float, base: float, n_parts: int, burn: int, samples: int, seed: int) -> DataFrame:
+    """(u, w, c, tables) of `rows` (row, u, w, c, a, o), dealt by the pair where the word is known, so a heavy one is dealt to all parts, else by word.
 
-    A row is a pair of words and its restaurant's weight a of a new table; where `row` is false it stands for a dish, with the number of
-    tables (c) that pairs met once open, and gets back the tables that serve it and those of the parent.
+    A row is a pair of words and its restaurant's weight a of a new table; where `row` is false it stands for a word that isn't
+    known, with the tables (c) that pairs met once open for it, and its tables o in the parent. For known words these and
+    their tables and customers elsewhere come from the round before (`known`: alone, customers, tables, parent's tables, by rank).
     """
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["w", "row", "u"]).reset_index(drop=True)
-        _, dish = np.unique(part["w"].to_numpy(), return_inverse=True)
-        pair = part["row"].to_numpy(dtype=bool)
-        c = part["c"].to_numpy()
-        alone = np.zeros(int(dish.max()) + 1, dtype=np.int64)
-        alone[dish[~pair]] = c[~pair]
-        here, over = gibbs(c[pair], dish[pair], part["a"].to_numpy(dtype=float)[pair], base, INNER, (*PARENT, total_over), burn, samples, MOVES, seed + int(key[0]), alone)
-        served = np.tile(alone[:, None], (1, samples))
-        np.add.at(served, dish[pair], here)
-        tables = np.zeros((len(part), samples), dtype=np.int64)
-        tables[pair], tables[~pair] = here, served[dish[~pair]]
-        above = [None if p else over[k] for p, k in zip(pair, dish)]
-        return pd.DataFrame({"row": pair, "u": part["u"], "w": part["w"], "c": c, "tables": list(tables), "over": above})
-
-    fields = "row boolean, u long, w long, c long, tables array<long>, over array<long>"
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(n_parts))).repartition(max(1, n_parts // 2), "part")
-    return dealt.groupBy("part").applyInPandas(run, fields)
-
-
-def score(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of `docs` with n_tokens, n_known, train_tokens, base_score and score, learned from all of `train`.
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        row, u, w, c, a, o = (part[x].to_numpy() for x in ("row", "u", "w", "c", "a", "o"))
+        order = np.lexsort((u, row, w))
+        pair = row[order].astype(bool)
+        met, told = order[pair], order[~pair]
+        word, dish = np.unique(w[order], return_inverse=True)
+        of, alone, parent = dish[pair], np.zeros(len(word)), np.zeros(len(word))
+        alone[dish[~pair]], parent[dish[~pair]] = c[told], o[told]
+        own = np.bincount(of, c[met], minlength=len(word))
+        top = np.flatnonzero(word >= 0)
+        single, customers, tables, over = (x[word[top]] for x in known.value)
+        alone[top] = single + np.maximum(tables - single, 0) * np.maximum(1 - own[top] / np.maximum(customers, 1), 0)
+        parent[top] = over
+        t = gibbs(c[met], of, a[met], base, INNER, (*PARENT, opened, served), burn, samples, MOVES, seed + key[0].as_py(), alone, parent)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(met) + 1, dtype=np.int32) * samples), pa.array(t.ravel()))
+        return pa.table({"u": u[met], "w": w[met], "c": c[met], "tables": lists})
+
+    dealt = rows.withColumn("part", F.pmod(F.when(F.col("w") < 0, F.xxhash64("w")).otherwise(F.xxhash64("u", "w")), F.lit(n_parts)))
+    return dealt.repartition(n_parts, "part").groupBy("part").applyInArrow(run, "u long, w long, c long, tables array<long>")
+
+
+def _over(dishes: DataFrame, n: int, base: float, opened: float, seed: int) -> DataFrame:
+    """`dishes` (w, ..., served: tables below, n of them) with `over`, drawn tables in the parent: by numbers that depend on the word alone."""
+    fields = T.StructType([*dishes.schema.fields, T.StructField("over", T.ArrayType(T.LongType()))])
+    at_w, at_served = dishes.columns.index("w"), dishes.columns.index("served")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w = batch.column(at_w).to_numpy(zero_copy_only=False).view(np.uint64)
+            served = batch.column(at_served).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            out = np.zeros(served.shape, dtype=np.int64)
+            for i in range(n):
+                draw = np.stack([mix(w * np.uint64(0xD1342543DE82EF95) + np.uint64(1000 * seed + 10 * i + j + 1)) for j in (0, 1)]) / 2.0**64
+                out[:, i] = parent_tables(served[:, i], base, PARENT, opened, draw)
+            offsets = pa.array(np.arange(len(w) + 1, dtype=np.int32) * n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=fields.names)
+
+    return dishes.mapInArrow(run, fields)
+
+
+def _attached(rows: DataFrame, by: str, table: DataFrame, key: str) -> DataFrame:
+    """`rows` with the columns of `table` (one row a word): known words by broadcast, the others, none of which is frequent, by a join."""
+    renamed = table.withColumnRenamed(key, by) if key != by else table
+    known = rows.where(F.col(by) >= 0).join(F.broadcast(renamed.where(F.col(by) >= 0)), by, "left")
+    return known.unionByName(rows.where(F.col(by) < 0).join(renamed.where(F.col(by) < 0), by, "left"))
+
+
+def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` of `docs` with n_tokens, n_known, train_tokens, base_score and score, learned from the rows where `learn` holds.
 
     Tokens are the words of the whole text (A-Z as a-z, ended by ASCII white space) and one end; null and empty texts
     have the end alone. base_score adds log10((c + 1) / (N + V + 1)); score is the model's log10 probability, averaged
-    over the samples as probabilities. Every row is scored by itself, so repeated rows get equal scores. An empty
-    training table leaves a uniform model over one unknown word. `perplexity` gives the figure by token.
+    over the samples as probabilities. Rows that repeat an id and a text get equal scores; a null id is an id like others. With no row
+    to learn from, the model is uniform over one unknown word. A kept column with the name of a result gives way to it.
+    The result doesn't depend on the number of executors or partitions. `perplexity` gives the figure by token.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     sc = spark.sparkContext
-    learned = train.select(F.col(text).alias("text"))
+    ks = range(SAMPLES)
+    d1, s1 = INNER
+    d0, s0 = PARENT
+    names = [c for c in keep if c not in RESULTS]
+    source = docs.select(*(plain(c).alias(f"k{i}") for i, c in enumerate(names)), F.xxhash64(plain(doc_id), plain(text)).alias("__key"), F.coalesce(learn, F.lit(False)).alias("__learn"), plain(text).alias("__text"))
+    learned = source.where("__learn").select(F.col("__text").alias("text"))
+
+    # words
     vocab = scratch.table(_counted(learned))
     total, n_types = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     known = vocab.where(F.col("c") >= F.lit(KNOWN * total)).toArrow()
     lookup = sc.broadcast(Lookup(known["h"].to_numpy(), known["c"].to_numpy()))
+    n_known = known.num_rows
 
-    # seating in the contexts and their parent: first for the totals, then the samples that count. A pair met once sits at one table
-    pairs = scratch.table(_pairs(learned))
-    once = F.col("c") == 1
-    contexts = scratch.table(pairs.groupBy("u").agg(F.sum("c").alias("n"), F.count_if(once).alias("single"), F.count("*").cast("double").alias("t")))
-    alone = scratch.table(pairs.groupBy("w").agg(F.count_if(once).alias("c")))
-    many = pairs.where(~once)
-    d1, s1 = INNER
-    d0, s0 = PARENT
-    base = 1.0 / (n_types + 1)
-    n_parts = max(2 * sc.defaultParallelism, (many.count() + n_types) // GROUP + 1)
-    over_total = float(n_types + 1)
-    for seed, samples in ((100, 1), (200, SAMPLES)):
-        rows = many.join(contexts.select("u", (s1 + d1 * F.col("t")).alias("a")), "u").select(F.lit(True).alias("row"), "u", "w", "c", "a")
-        rows = rows.union(alone.select(F.lit(False), F.lit(0).cast("long"), "w", "c", F.lit(0.0)))
-        seats = scratch.table(_seated(rows, over_total, base, n_parts, BURN, samples, seed))
-        here = seats.where("row").groupBy("u").agg(*(F.sum(F.get("tables", F.lit(i))).alias(f"t{i}") for i in range(samples)))
-        sat = [F.col("single") + F.coalesce(f"t{i}", F.lit(0)) for i in range(samples)]
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(lookup.value.code(h)), batch.column(1)], names=["w", "c"])
+
+    vocab = scratch.table(vocab.mapInArrow(coded, "w long, c long"))
+
+    # pairs; contexts and dishes with what their pairs that are met once come to
+    pairs = scratch.table(_pairs(source.select("__learn", "__text"), lookup))
+    many = pairs.where("c > 1")
+    of_u = many.groupBy("u").agg(F.sum("c").alias("in_many"), F.count("*").alias("rows"))
+    of_w = many.groupBy("w").agg(F.sum("c").alias("in_many"), F.count("*").alias("rows"))
+    zero = F.lit(0).cast("long")
+    starts = learned.agg(F.lit(0).cast("long").alias("w"), F.count("*").alias("c"))
+    contexts = vocab.union(starts).select(F.col("w").alias("u"), F.col("c").alias("n")).join(of_u, "u", "left").select("u", "n", (F.col("n") - F.coalesce("in_many", zero)).alias("single"), F.coalesce("rows", zero).alias("rows"))
+    contexts = scratch.table(contexts.select("u", "n", "single", (F.col("single") + F.col("rows")).cast("double").alias("t")))
+    dishes = vocab.join(of_w, "w", "left").select("w", (F.col("c") - F.coalesce("in_many", zero)).alias("alone"), F.coalesce("in_many", zero).alias("customers"), F.coalesce("rows", zero).alias("rows"))
+    base, opened, served = 1.0 / (n_types + 1), float(n_types + 1), float(pairs.count())
+    dishes = scratch.table(_over(dishes.withColumn("served", F.array(F.col("alone") + F.col("rows"))), 1, base, opened, 1))
+    n_parts = many.count() // GROUP + 1
+
+    for turn in range(1, ROUNDS + 1):
+        samples = SAMPLES if turn == ROUNDS else 1
+        top = dishes.where("w >= 0").select("w", "alone", "customers", F.get("served", F.lit(0)).alias("served"), F.get("over", F.lit(0)).alias("over")).toArrow()
+        at = top["w"].to_numpy()
+        by_rank = np.zeros((4, n_known + 1))
+        for i, c in enumerate(("alone", "customers", "served", "over")):
+            by_rank[i, at] = top[c].to_numpy()
+        of_known = sc.broadcast(by_rank)
+        rows = _attached(many, "u", contexts.select("u", (s1 + d1 * F.col("t")).alias("a")), "u").select(F.lit(True).alias("row"), "u", "w", "c", "a", zero.alias("o"))
+        rest = dishes.where("w < 0 and rows > 0").select(F.lit(False), zero, "w", "alone", F.lit(0.0), F.get("over", F.lit(0)))
+        seats = scratch.table(_seated(rows.union(rest), of_known, opened, served, base, n_parts, BURN, samples, 100 * turn))
+        sat = [F.sum(F.get("tables", F.lit(i))) for i in range(samples)]
+        below = seats.groupBy("w").agg(*(x.alias(f"t{i}") for i, x in enumerate(sat)))
+        dishes = dishes.drop("served", "over").join(below, "w", "left").withColumn("served", F.array(*(F.col("alone") + F.coalesce(f"t{i}", zero) for i in range(samples))))
+        dishes = scratch.table(_over(dishes.select("w", "alone", "customers", "rows", "served"), samples, base, opened, turn + 1))
+        here = seats.groupBy("u").agg(*(x.alias(f"t{i}") for i, x in enumerate(sat)))
+        sat = [F.col("single") + F.coalesce(f"t{i}", zero) for i in range(samples)]
         contexts = scratch.table(contexts.drop("t").join(here, "u", "left").select("u", "n", "single", F.array(*sat).alias("sat"), (sum(sat[1:], sat[0]) / samples).alias("t")))
-        dishes = seats.where("not row")
-        totals = dishes.agg(*(F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0)) for c in ("tables", "over") for i in range(samples))).first()
-        served, opened = totals[:samples], totals[samples:]
-        over_total = max(float(sum(opened)) / samples, 1.0)
+        totals = dishes.agg(*(F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0)) for c in ("served", "over") for i in range(samples))).first()
+        all_served, all_opened = totals[:samples], totals[samples:]
+        opened, served = max(float(sum(all_opened)) / samples, 1.0), max(float(sum(all_served)) / samples, 1.0)
+        scratch.tidy()
 
-    ks = range(SAMPLES)
-    rest = [(s0 + d0 * o) / (s0 + t) * base for t, o in zip(served, opened)]
-    top = dishes.select("w", F.array(*((F.greatest(F.get("tables", F.lit(i)) - d0 * F.get("over", F.lit(i)), F.lit(0.0))) / (s0 + served[i]) + rest[i] for i in ks)).alias("top"))
-    back = contexts.select("u", "n", F.array(*((s1 + d1 * F.get("sat", F.lit(i))) / (s1 + F.col("n")) for i in ks)).alias("back"))
-    top, back = scratch.table(top), scratch.table(back)
+    # probabilities: of a word whatever the context, of leaving a context for its parent, of learned pairs
+    rest = [(s0 + d0 * o) / (s0 + t) * base for t, o in zip(all_served, all_opened)]
+    tops = F.array(*((F.greatest(F.get("served", F.lit(i)) - d0 * F.get("over", F.lit(i)), F.lit(0.0))) / (s0 + all_served[i]) + rest[i] for i in ks))
+    backs = F.array(*((s1 + d1 * F.get("sat", F.lit(i))) / (s1 + F.col("n")) for i in ks))
+    tops, backs = scratch.table(dishes.select("w", tops.alias("top"))), scratch.table(contexts.select("u", "n", backs.alias("back")))
 
     def mean_of(terms: list[Column]) -> Column:
         return F.log10(sum(terms[1:], terms[0]) / SAMPLES)
 
     ones = F.array(*(F.lit(1).cast("long") for _ in ks))
-    laid = seats.where("row").select("u", "w", "c", "tables").union(pairs.where(once).select("u", "w", "c", ones)).join(back, "u").join(top, "w")
+    laid = seats.select("u", "w", "c", "tables").union(pairs.where("c = 1").select("u", "w", "c", ones))
+    laid = _attached(_attached(laid, "u", backs, "u"), "w", tops, "w")
     of_pair = mean_of([F.get("back", F.lit(i)) * F.get("top", F.lit(i)) + (F.col("c") - d1 * F.get("tables", F.lit(i))) / (s1 + F.col("n")) for i in ks])
-    laid = scratch.table(laid.select("u", "w", of_pair.alias("p")))
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_pair_key(u, w))], names=["u", "w", "c", "p", "k"])
+
+    laid = scratch.table(laid.select("u", "w", "c", of_pair.alias("p")).mapInArrow(keyed, "u long, w long, c long, p double, k long"))
+    scratch.drop(pairs, seats)
+    scratch.tidy()
+    frequent = laid.where(F.col("c") >= F.lit(FREQUENT * total)).select("k", "p").toArrow()
+    order = np.argsort(frequent["k"].to_numpy())
+    few = sc.broadcast((frequent["k"].to_numpy()[order], frequent["p"].to_numpy()[order]))
+    bits = sc.broadcast(key_filter(laid, "k"))
+    arrays = {"top": np.tile(np.array(rest), (n_known + 1, 1)), "back": np.ones((n_known + 1, SAMPLES)), "n": np.zeros(n_known + 1)}
+    for table, key, columns in ((tops, "w", ("top",)), (backs, "u", ("back", "n"))):
+        got = table.where(F.col(key) >= 0).toArrow()
+        for c in columns:
+            value = got[c].combine_chunks() if got.num_rows else None
+            if value is not None:
+                arrays[c][got[key].to_numpy()] = value.flatten().to_numpy().reshape(-1, SAMPLES) if c != "n" else value.to_numpy()
+    terms = sc.broadcast((arrays["top"], arrays["back"], arrays["n"]))
     norm = float(np.log10(total + n_types + 1))
-    source = scratch.table(docs.select(*(F.col(c) for c in keep), F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text")))
+
+    def met(of: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, context, word, times, pair) of the distinct pairs of each text of a block, and which are frequent with their scores, or pass the filter."""
+        u = _before(of, code)
+        order, first = _grouped(of, u, code)
+        at = order[first]
+        o, u, w, times = of[at], u[at], code[at], np.diff(np.append(first, len(of)))
+        k = _pair_key(u, w)
+        keys, p = few.value
+        place = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+        often = keys[place] == k if len(keys) else np.zeros(len(k), dtype=bool)
+        return o, u, w, times, often, p[place[often]], ~often & passes(bits.value, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = lookup.value
         for batch in batches:
-            n_keep = batch.num_columns - 2
-            for a, b, of, value in _tokens(batch.column(n_keep + 1)):
+            m = batch.num_columns - 3
+            learned_from = batch.column(m + 1).to_numpy(zero_copy_only=False)
+            for a, b, of, value in _tokens(batch.column(m + 2)):
                 n = b - a
-                count = look.find(value)
-                there = count >= 0
-                of_known = np.where(there, np.log10(np.maximum(count, 0) + 1.0) - norm, 0.0)
-                missing = np.flatnonzero(~there)
-                v, o = value[missing], of[missing]
-                order, firsts = _grouped(o, v)
-                v, o = v[order], o[order]
-                times = np.diff(np.append(firsts, len(v))).astype(np.int32)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(o[firsts], minlength=n))]).astype(np.int32))
-                out = [batch.column(i).slice(a, n) for i in range(n_keep + 1)]
-                out += [pa.array(np.bincount(of, minlength=n)), pa.array(np.bincount(of[there], minlength=n)), pa.array(np.bincount(of, of_known, minlength=n))]
-                out += [pa.ListArray.from_arrays(offsets, pa.array(v[firsts].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times))]
-                yield pa.RecordBatch.from_arrays(out, names=names)
+                code = look.code(value)
+                there = code >= 0
+                counted = np.log10(look.count[np.where(there, code, 0)] + 1.0) - norm
+                o, u, w, times, often, p, passed = met(of, code)
+                s = np.bincount(o[often], p * times[often], minlength=n).astype(float)
+                top, back, n_u = terms.value
+                plain_pair = np.flatnonzero(~often & ~passed & (u >= 0) & (w >= 0))
+                pu, pw, po = u[plain_pair], w[plain_pair], o[plain_pair]
+                p = (back[pu] * top[pw]).mean(axis=1) + np.where(learned_from[a:b][po], (1 - d1) / (s1 + n_u[pu]), 0.0)
+                s += np.bincount(po, np.log10(p) * times[plain_pair], minlength=n)
+                far = np.flatnonzero(~often & ~passed & ((u < 0) | (w < 0)))
+                rare, rare_of = code[~there], of[~there]
+                order, first = _grouped(rare_of, rare)
+                lists = [(rare_of[order][first], [rare[order][first], np.diff(np.append(first, len(rare))).astype(np.int32)]), (o[far], [u[far], w[far], times[far].astype(np.int32)])]
+                out = [batch.column(i).slice(a, n) for i in range(m + 2)]
+                out += [pa.array(np.bincount(of, minlength=n)), pa.array(np.bincount(of[there], minlength=n)), pa.array(np.bincount(of, np.where(there, counted, 0.0), minlength=n)), pa.array(s)]
+                for owner, values in lists:
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32))
+                    out += [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
+                yield pa.RecordBatch.from_arrays(out, names=fields.names)
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, of, value in _tokens(batch.column(1)):
-                row = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
-                u = _before(of, value)
-                order, first = _grouped(of, u, value)
-                at = order[first]
-                times = np.diff(np.append(first, len(of))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(row[of[at]]), pa.array(u[at].view(np.int64)), pa.array(value[at].view(np.int64)), pa.array(times)], names=["__row", "u", "w", "n_here"])
-
-    fields = source.drop("__text").schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double")
-    fields = fields.add("__h", T.ArrayType(T.LongType())).add("__n", T.ArrayType(T.IntegerType()))
-    names = fields.names
+            for a, b, of, value in _tokens(batch.column(2)):
+                o, u, w, times, _, _, passed = met(of, lookup.value.code(value))
+                key, learned_from = (batch.column(i).slice(a, b - a).take(pa.array(o[passed])) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([key, learned_from, pa.array(u[passed]), pa.array(w[passed]), pa.array(times[passed].astype(np.int32))], names=["__key", "__learn", "u", "w", "n_here"])
+
+    fields = source.drop("__text").schema
+    for c, kind in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("s", T.DoubleType())):
+        fields = fields.add(c, kind)
+    for c, kind in (("h", T.LongType()), ("hn", T.IntegerType()), ("u", T.LongType()), ("w", T.LongType()), ("pn", T.IntegerType())):
+        fields = fields.add(c, T.ArrayType(kind))
     part = scratch.table(source.mapInArrow(run, fields))
-    asked = part.select("__row", F.explode(F.arrays_zip(F.col("__h").alias("h"), F.col("__n").alias("n"))).alias("e")).select("__row", F.col("e.h").alias("h"), F.col("e.n").alias("n"))
-    found = asked.join(vocab, "h", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
-    words_of = found.groupBy("__row").agg(F.sum(F.col("n") * (F.log10(F.col("c") + 1.0) - norm)).alias("b"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"))
-
-    # pairs that were learned have their score; of the others, the context and the word are asked for by themselves
-    asked = source.select("__row", "__text").mapInArrow(asking, "__row long, u long, w long, n_here int").join(laid, ["u", "w"], "left")
-    asked = scratch.table(asked.groupBy("__row", F.when(F.col("p").isNull(), F.col("u")).alias("u"), F.when(F.col("p").isNull(), F.col("w")).alias("w")).agg(F.sum("n_here").alias("n_here"), F.sum(F.col("p") * F.col("n_here")).alias("p")))
-    new = asked.where("u is not null").select("__row", "u", "w", "n_here").join(back.drop("n"), "u", "left").join(top, "w", "left")
-    of_new = mean_of([F.coalesce(F.get("back", F.lit(i)), F.lit(1.0)) * F.coalesce(F.get("top", F.lit(i)), F.lit(rest[i])) for i in ks])
-    of_pairs = asked.where("u is null").select("__row", "p").union(new.select("__row", of_new * F.col("n_here"))).groupBy("__row").agg(F.sum("p").alias("s"))
-    out = part.drop("__h", "__n").join(words_of, "__row", "left").join(of_pairs, "__row", "left")
-    zero = F.lit(0.0)
+
+    # pairs that may have been learned: those that were have their score; the others are as those that the filter told apart
+    asked = source.select("__key", "__learn", "__text").mapInArrow(asking, "__key long, __learn boolean, u long, w long, n_here int").join(laid.select("u", "w", "p"), ["u", "w"], "left")
+    told = F.col("p").isNull()
+    asked = asked.groupBy("__key", "__learn", F.when(told, F.col("u")).alias("u"), F.when(told, F.col("w")).alias("w")).agg(F.sum("n_here").alias("n_here"), F.sum(F.col("p") * F.col("n_here")).alias("p"))
+    asked = scratch.table(asked)
+    scratch.drop(laid)
+    scratch.tidy()
+    pair = F.explode(F.arrays_zip("u", "w", F.col("pn").alias("n_here"))).alias("e")
+    new = part.select("__key", "__learn", pair).select("__key", "__learn", "e.u", "e.w", "e.n_here").union(asked.where("u is not null").select("__key", "__learn", "u", "w", F.col("n_here").cast("int")))
+    new = scratch.table(_attached(new, "u", backs, "u"))
+    new = _attached(new, "w", tops, "w")
+    of_new = F.log10(
+        sum((F.coalesce(F.get("back", F.lit(i)), F.lit(1.0)) * F.coalesce(F.get("top", F.lit(i)), F.lit(rest[i])) for i in ks), F.lit(0.0)) / SAMPLES
+        + F.when(F.col("__learn"), (1 - d1) / (s1 + F.coalesce("n", zero))).otherwise(F.lit(0.0))
+    )
+    none = F.lit(0.0)
+    found = part.select("__key", F.explode(F.arrays_zip("h", "hn")).alias("e")).select("__key", F.col("e.h").alias("w"), F.col("e.hn").alias("n")).join(vocab.where("w < 0"), "w")
+    sums = found.select("__key", none.alias("s"), (F.col("n") * (F.log10(F.col("c") + 1.0) + F.lit(0.0))).alias("b"), F.col("n").cast("long").alias("k"), zero.alias("copies"))
+    sums = sums.union(asked.where("u is null").select("__key", F.col("p"), none, zero, zero)).union(new.select("__key", of_new * F.col("n_here"), none, zero, zero)).union(part.select("__key", none, none, zero, F.lit(1).cast("long")))
+    sums = sums.groupBy("__key").agg(*(F.sum(c).alias(f"__{c}") for c in ("s", "b", "k", "copies")))
+    out = part.join(sums, "__key").withColumn("k", (F.col("__k") / F.col("__copies")).cast("long"))
+    rare = F.aggregate("hn", zero, lambda x, y: x + y)
     return out.select(
-        *(F.col(c) for c in keep), "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("b", zero)).alias("base_score"), F.coalesce("s", zero).alias("score"),
+        *(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), "n_tokens", (F.col("n_known") + F.col("k")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        (F.col("base_score") + F.col("__b") / F.col("__copies") - norm * rare).alias("base_score"), (F.col("s") + F.col("__s") / F.col("__copies")).alias("score"),
     )
 
 

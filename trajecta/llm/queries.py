@@ -71,7 +71,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.withColumn("held_out", lm.remainder(F.col("doc_id"), 7) == 2)
-    scored = lm.score(docs, docs.where("not held_out"), keep=("doc_id", "held_out"))
+    scored = lm.score(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))
     return scored.withColumn("perplexity", lm.perplexity(F.col("score"), F.col("n_tokens")))
 
 

@@ -8,95 +8,8 @@ from functools import cache
 import numpy as np
 
 
-class Seats:
-    """Table sizes of rows of customers (a row: one dish in one restaurant), moved one customer of every row at a time."""
-
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, discount: float, rng: np.random.Generator):
-        self.rng, self.d = rng, discount
-        self.c = customers.astype(np.int64)
-        self.t = np.where(self.c > 0, np.clip(tables.astype(np.int64), 1, np.maximum(self.c, 1)), 0)
-        self._lay(2 * self.t + 8)
-        # the first tables are the largest, as a power of their rank
-        row = np.repeat(np.arange(len(self.c)), self.t)
-        rank = np.arange(len(row)) - np.repeat(np.cumsum(self.t) - self.t, self.t)
-        weight = (rank + 1.0) ** (-1.0 / max(discount, 0.1))
-        total = np.bincount(row, weight, minlength=len(self.c))
-        spare = (self.c - self.t)[row]
-        size = 1 + np.floor(spare * weight / total[row]).astype(np.int64)
-        first = np.cumsum(self.t) - self.t
-        missing = self.c - np.bincount(row, size, minlength=len(self.c)).astype(np.int64)
-        has = self.t > 0
-        size[first[has]] += missing[has]
-        self.size[self.start[row] + rank] = size
-        self.used = self.t.copy()
-
-    def _lay(self, room: np.ndarray) -> None:
-        self.room = room
-        self.start = np.concatenate([[0], np.cumsum(room)[:-1]]).astype(np.int64)
-        self.size = np.zeros(int(room.sum()), dtype=np.int64)
-
-    def _pick(self, rows: np.ndarray) -> np.ndarray:
-        """The place of the table of a customer drawn at random from each row."""
-        sums = np.cumsum(self.size)
-        before = np.where(self.start[rows] > 0, sums[self.start[rows] - 1], 0)
-        drawn = before + np.floor(self.rng.random(len(rows)) * self.c[rows]).astype(np.int64)
-        return np.searchsorted(sums, drawn, "right")
-
-    def leave(self, rows: np.ndarray) -> np.ndarray:
-        """A customer of each row (all rows different) leaves; true where that empties the table."""
-        at = self._pick(rows)
-        self.size[at] -= 1
-        self.c[rows] -= 1
-        emptied = self.size[at] == 0
-        self.t[rows[emptied]] -= 1
-        return emptied
-
-    def enter(self, rows: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """A customer of each row sits down: at a new table by its weight, at one of n customers by n - discount; true where new."""
-        old = np.maximum(self.c[rows] - self.d * self.t[rows], 0)
-        new = self.rng.random(len(rows)) * (weight + old) < weight
-        new |= self.c[rows] == 0
-        left = np.flatnonzero(~new)
-        while len(left):
-            at = self._pick(rows[left])
-            taken = self.rng.random(len(left)) * self.size[at] < self.size[at] - self.d
-            self.size[at[taken]] += 1
-            left = left[~taken]
-        opened = rows[new]
-        full = opened[self.used[opened] >= self.room[opened]]
-        if len(full):
-            self._grow(full)
-        self.size[self.start[opened] + self.used[opened]] = 1
-        self.used[opened] += 1
-        self.t[opened] += 1
-        self.c[rows] += 1
-        return new
-
-    def _grow(self, full: np.ndarray) -> None:
-        """Packs the tables of every row, with new room for the full ones."""
-        place = np.flatnonzero(self.size)
-        row = np.searchsorted(self.start, place, "right") - 1
-        held = self.size[place]
-        room = self.room.copy()
-        room[full] = 2 * self.t[full] + 8
-        rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
-        self._lay(room)
-        self.size[self.start[row] + rank] = held
-        self.used = np.bincount(row, minlength=len(self.c)).astype(np.int64)
-
-
-def expected_tables(customers: np.ndarray, weight: np.ndarray, discount: float, steps: int = 60) -> np.ndarray:
-    """About how many tables the customers of each row open, the weight of a new table held."""
-    t = np.ones(len(customers))
-    edges = np.exp(np.linspace(0, 1, steps + 1)[None, :] * np.log(np.maximum(customers, 1))[:, None])
-    for i in range(steps):
-        n = edges[:, i]
-        t += np.minimum((edges[:, i + 1] - n) * weight / (weight + np.maximum(n - discount * t, 1 - discount)), edges[:, i + 1] - n)
-    return np.clip(t, 1, np.maximum(customers, 1))
-
-
 #: Customers up to which the weights of all table counts of a row are listed; numbers of a matrix of them; parts of a larger row's range.
-LISTED, CELLS, PARTS = 128, 2_000_000, 96
+LISTED, CELLS, PARTS = 128, 2_000_000, 48
 #: Terms of the series for a large row's weights.
 TERMS = 60
 
@@ -159,12 +72,13 @@ def log_ways(c: np.ndarray, t: np.ndarray, d: float, terms: np.ndarray) -> np.nd
     return out - log_gamma(t + 1.0) - t * np.log(d)
 
 
-def drawn_tables(c: np.ndarray, outer: np.ndarray, rise: np.ndarray, over: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+def drawn_tables(c: np.ndarray, outer: np.ndarray, rise: np.ndarray, over: np.ndarray, d: float, draw: np.ndarray) -> np.ndarray:
     """A table count of all c customers of each row, given all else, whatever count the row had.
 
     The weight of t tables is the generalized Stirling number of (c, t) times, for each table j from 0, outer * (rise + j) / (over + j);
     where `over` is infinite, times outer for each. Up to LISTED customers all counts are listed; beyond, the range in which
-    the weight is within exp(-14) of the largest is dealt to PARTS parts, so the work of a row is bounded.
+    the weight is within exp(-14) of the largest is dealt to PARTS parts, so the work of a row is bounded. draw: two
+    numbers from 0 to 1 for each row (2, rows), which decide it.
     """
     out = np.minimum(c, 1)
     fixed = np.isinf(over)
@@ -176,14 +90,16 @@ def drawn_tables(c: np.ndarray, outer: np.ndarray, rise: np.ndarray, over: np.nd
 
     known = listed_ways(d)
     least = 1
-    for most in (2, 4, 16, LISTED):
+    for most in (2, 4, 8, 16, 48, LISTED):
         rows = np.flatnonzero((c > least) & (c <= most))
-        t = np.arange(1, most + 1)
+        j = np.arange(most)
         for a in range(0, len(rows), CELLS // most):
             i = rows[a : a + CELLS // most]
-            w = known[c[i], 1 : most + 1] + weight(i[:, None], t[None, :].astype(float))
+            f = fixed[i][:, None]
+            ratio = np.where(f, 1.0, (rise[i][:, None] + j) / np.where(f, 1.0, over[i][:, None] + j))
+            w = known[c[i], 1 : most + 1] + np.cumsum(np.log(ratio * outer[i][:, None]), axis=1)
             sums = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-            out[i] = 1 + (sums < (rng.random(len(i)) * sums[:, -1])[:, None]).sum(axis=1)
+            out[i] = 1 + (sums < (draw[0, i] * sums[:, -1])[:, None]).sum(axis=1)
         least = most
     rows = np.flatnonzero(c > LISTED)
     for a in range(0, len(rows), CELLS // PARTS):
@@ -191,78 +107,81 @@ def drawn_tables(c: np.ndarray, outer: np.ndarray, rise: np.ndarray, over: np.nd
         n, top = c[i].astype(float), (c[i] - 1).astype(float)
         terms = series_terms(n, d)
 
-        def value(t: np.ndarray) -> np.ndarray:
-            return log_ways(n, t, d, terms) + weight(i, t)
+        def value(some: np.ndarray, t: np.ndarray) -> np.ndarray:
+            return log_ways(n[some], t, d, terms[:, some]) + weight(i[some], t)
 
         low, high = np.ones(len(i)), top.copy()  # the largest weight: the first t that the next doesn't exceed
-        while (low < high).any():
-            t = np.floor((low + high) / 2)
-            up = value(np.minimum(t + 1, top)) > value(t)
-            low, high = np.where(up & (low < high), t + 1, low), np.where(up, high, t)
-        mode, best = low, value(low)
-        low, high = np.ones(len(i)), mode.copy()
-        while (low < high).any():
-            t = np.floor((low + high) / 2)
-            far = best - value(t) > 14
-            low, high = np.where(far & (low < high), t + 1, low), np.where(far, high, t)
-        first = low
-        low, high = mode.copy(), top.copy()
-        while (low < high).any():
-            t = np.ceil((low + high) / 2)
-            far = best - value(t) > 14
-            low, high = np.where(far, low, t), np.where(far & (low < high), t - 1, high)
+        left = np.arange(len(i))
+        while len(left):
+            t = np.floor((low[left] + high[left]) / 2)
+            up = value(left, np.minimum(t + 1, top[left])) > value(left, t)
+            low[left], high[left] = np.where(up, t + 1, low[left]), np.where(up, high[left], t)
+            left = left[low[left] < high[left]]
+        mode, every = low, np.arange(len(i))
+        best = value(every, mode)
+        # from there on out, in growing steps, as far as the weight is within exp(-14) of it
+        first, last = mode.copy(), mode.copy()
+        for side, end in ((first, np.ones(len(i))), (last, top)):
+            left, step = every[side != end], np.ones(len(i))
+            while len(left):
+                t = np.where(end[left] > side[left], np.minimum(mode[left] + step[left], end[left]), np.maximum(mode[left] - step[left], end[left]))
+                side[left] = t
+                step[left] *= 1.5
+                left = left[(best[left] - value(left, t) < 14) & (t != end[left])]
+        low = last
         wide = np.maximum((low - first + 1) / PARTS, 1.0)
         t = first[:, None] + (np.arange(PARTS)[None, :] + 0.5) * wide[:, None] - 0.5
         inside = t <= low[:, None] + 0.5
         t = np.minimum(np.floor(t + 0.5), low[:, None])
-        w = np.stack([value(t[:, p]) for p in range(PARTS)], axis=1)
+        w = np.stack([value(every, t[:, p]) for p in range(PARTS)], axis=1)
         w = np.where(inside, w - best[:, None], -np.inf)
         sums = np.cumsum(np.exp(w), axis=1)
-        part = (sums < (rng.random(len(i)) * sums[:, -1])[:, None]).sum(axis=1)
-        out[i] = np.clip(np.floor(first + (part + np.where(wide > 1, rng.random(len(i)), 0.0)) * wide), first, low).astype(np.int64)
+        part = (sums < (draw[0, i] * sums[:, -1])[:, None]).sum(axis=1)
+        out[i] = np.clip(np.floor(first + (part + np.where(wide > 1, draw[1, i], 0.0)) * wide), first, low).astype(np.int64)
     return out
 
 
-def gibbs(customers: np.ndarray, dish: np.ndarray, outer: np.ndarray, base: float, inner: tuple[float, float], over: tuple[float, float, float] | None, burn: int, samples: int, moves: int, seed: int, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Table counts of the rows and of their dishes in the parent restaurant, `samples` of each after `burn` sweeps.
+def gibbs(customers: np.ndarray, dish: np.ndarray, outer: np.ndarray, base: float, inner: tuple[float, float], over: tuple[float, float, float, float] | None, burn: int, samples: int, moves: int, seed: int, alone: np.ndarray | None = None, parent: np.ndarray | None = None) -> np.ndarray:
+    """Table counts of the rows, `samples` of each (rows, samples) after `burn` sweeps.
 
     customers, dish: of each row; dish numbers from 0. outer: the row's restaurant's weight of a new table, but for the
-    dish's parent probability. inner: discount and strength here. over: discount, strength and total tables of the
-    parent, whose own base is `base`; None if the dishes' probability is `base` itself. A sweep draws the table count of
-    every row anew, of all its customers at once; `moves` parts of the rows, dealt at random, take turns, each given the
-    others. alone: tables that each dish has besides those of the rows.
+    dish's parent probability. inner: discount and strength here. over: discount and strength of the parent, its tables
+    and its customers, with `base` as its own base; None if the dishes' probability is `base` itself. A sweep draws the
+    table count of every row anew, of all its customers at once; `moves` parts of the rows, dealt at random, take turns,
+    each given the others. alone: tables that each dish has besides those of the rows. parent: the tables of each dish
+    in the parent restaurant, which are held (see `parent_tables`).
     """
     rng = np.random.default_rng(seed)
+    n = len(customers)
     customers = customers.astype(np.int64)
-    n_dishes = int(dish.max()) + 1 if len(dish) else 0
-    if alone is not None:
-        n_dishes = len(alone)
-    alone = np.zeros(n_dishes, dtype=np.int64) if alone is None else alone
     d = inner[0]
     if over is None:
-        nothing, never = np.zeros(len(customers)) + 1.0, np.full(len(customers), np.inf)
-        kept = [drawn_tables(customers, outer * base, nothing, never, d, rng) for _ in range(samples)]
-        return np.array(kept).T.reshape(len(customers), samples), np.zeros((n_dishes, samples), dtype=np.int64)
-    d0, s0, total0 = over
+        nothing, never = np.ones(n), np.full(n, np.inf)
+        kept = [drawn_tables(customers, outer * base, nothing, never, d, rng.random((2, n))) for _ in range(samples)]
+        return np.array(kept).T.reshape(n, samples)
+    d0, s0, opened, served = over
+    alone = np.zeros(int(dish.max()) + 1 if n else 0) if alone is None else alone
+    parent = np.minimum(alone, 1) if parent is None else parent
     t = np.minimum(customers, 1)
-    c0 = alone + np.bincount(dish, t, minlength=n_dishes).astype(np.int64)
-    fresh = (s0 + d0 * total0) * base
-    weight, nothing, never = np.full(n_dishes, fresh), np.ones(n_dishes), np.full(n_dishes, np.inf)
-    parent = drawn_tables(c0, weight, nothing, never, d0, rng)
-    served = max(total0, 1.0)
-    kept, above = [], []
+    c0 = alone + np.bincount(dish, t, minlength=len(alone))
+    fresh = (s0 + d0 * opened) * base
+    kept = []
     for sweep in range(burn + samples):
-        turn = rng.integers(0, moves, len(customers))
+        turn = rng.integers(0, moves, n)
         for step in range(moves):
             rows = np.flatnonzero((turn == step) & (customers > 1))
             k = dish[rows]
-            others = c0[k] - t[rows]
+            others = np.maximum(c0[k] - t[rows], 0)
             rise = np.maximum(others - d0 * np.minimum(parent[k], others), 0) + fresh
-            new = drawn_tables(customers[rows], outer[rows], rise, np.maximum(s0 + served - t[rows], s0 + others), d, rng)
-            c0 += np.bincount(k, new - t[rows], minlength=n_dishes).astype(np.int64)
+            new = drawn_tables(customers[rows], outer[rows], rise, np.maximum(s0 + served - t[rows], s0 + others), d, rng.random((2, len(rows))))
+            c0 += np.bincount(k, new - t[rows], minlength=len(c0))
             t[rows] = new
-        parent = drawn_tables(c0, weight, nothing, never, d0, rng)
         if sweep >= burn:
             kept.append(t.copy())
-            above.append(parent.copy())
-    return np.array(kept).T.reshape(len(customers), samples), np.array(above).T.reshape(n_dishes, samples)
+    return np.array(kept).T.reshape(n, samples)
+
+
+def parent_tables(c0: np.ndarray, base: float, over: tuple[float, float], opened: float, draw: np.ndarray) -> np.ndarray:
+    """Tables of each dish in the parent restaurant, drawn given its customers there (the tables below)."""
+    d0, s0 = over
+    return drawn_tables(c0, np.full(len(c0), (s0 + d0 * opened) * base), np.ones(len(c0)), np.full(len(c0), np.inf), d0, draw)
