@@ -92,6 +92,28 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverses
 
 
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range."""
+    powers, inverses = _tables(len(data))
+    sums = np.empty(len(data) + 1, dtype=np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE_CODES[data] * powers[: len(data)], out=sums[1:])
+    value = (sums[end] - sums[start]) * inverses[start]
+    return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ranges of `flat` put one after the other."""
+    before = np.cumsum(size) - size
+    return flat[np.arange(int(size.sum())) + np.repeat(start - before, size)]
+
+
+def strings(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The byte ranges as an Arrow column of text."""
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(gathered(flat, start, size))))
+
+
 def words(raw: np.ndarray, at: np.ndarray, inside: np.ndarray = SPACED, fold: np.ndarray | None = FOLD) -> Words:
     """Maximal runs of bytes of the class `inside`, within each text, with hashes of their folded bytes."""
     n_texts = len(at) - 1
@@ -111,12 +133,7 @@ def words(raw: np.ndarray, at: np.ndarray, inside: np.ndarray = SPACED, fold: np
     after[:-1] = is_word[1:]
     after[cuts[cuts > 0] - 1] = False
     end = np.flatnonzero(is_word & ~after) + 1
-    powers, inverses = _tables(len(data))
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE_CODES[data] * powers[: len(data)], out=sums[1:])
-    value = (sums[end] - sums[start]) * inverses[start]
-    value = mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    value = hashes(data, start, end)
     text = np.repeat(np.arange(n_texts), np.diff(np.searchsorted(start, at)))
     return Words(text, start, end, value, n_texts)
 
