@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing, with DataFrame functions only.
 
-Of every 8 consecutive 6-word hashes the least is a fingerprint, so a shared span of 13 words always shares one.
-Fingerprints of documents and benchmark items are joined; the windows of the documents that meet are then compared whole.
+Of every 8 consecutive 6-word hashes the least is a fingerprint, so a shared span of 13 words always shares one, at the same place of the span.
+Fingerprints of documents and benchmark items are joined; each meeting is extended over the words of both, which are compared as text.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.scratch import Scratch, key_filter, passing
+from trajecta.llm.scratch import Scratch, plain
 
 #: Words end at these ASCII characters.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,12 +50,18 @@ def _least(frame: DataFrame) -> DataFrame:
     return frame
 
 
-def _runs(frame: DataFrame, length: int) -> DataFrame:
+# Arrays that are made in long chains of expressions are unfolded by explode_outer: for explode, Spark tests their size first and so makes them again.
+
+
+def _prints(frame: DataFrame) -> DataFrame:
+    """Adds f: (g, at) of each place whose 6-word hash is the least of some 8 consecutive ones that it is among."""
+    least = " or ".join(f"get(m8, i - {k}) = g" for k in range(KEPT_OF))
+    return frame.withColumn("f", F.expr(f"filter(transform(g6, (g, i) -> if({least}, struct(g, i as at), null)), x -> x is not null)"))
+
+
+def _whole(frame: DataFrame, length: int) -> DataFrame:
     """Adds w: a hash of each run of `length` words."""
-    if length == 13:
-        frame = frame.withColumn("g12", _joined("g6", "g6", 6, "xxhash64(x, y)"))
-        return frame.withColumn("w", _joined("g12", "h", 12, "xxhash64(x, y, 13)"))
-    frame = frame.withColumn("w", F.expr("transform(h, x -> xxhash64(x, 1))"))
+    frame = frame.withColumn("w", F.expr(f"transform(h, x -> xxhash64(x, {length}))"))
     for k in range(1, length):
         frame = frame.withColumn("w", _joined("w", "h", k, f"xxhash64(x, y, {k})"))
     return frame
@@ -71,57 +77,60 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
+def _extended(met: DataFrame) -> DataFrame:
+    """Adds the runs of equal words (start, len) that are long enough to `met` (ws, item words iw, shift: place in the document less place in the item).
+
+    The two texts are laid over each other by the shift and compared word by word from end to end, so a meeting is extended as far as it goes.
+    """
+    lo = "greatest(shift, 0)"
+    n = f"least(size(ws) - {lo}, size(iw) - {lo} + shift)"
+    met = met.withColumn("eq", F.expr(f"zip_with(slice(ws, {lo} + 1, {n}), slice(iw, {lo} - shift + 1, {n}), (x, y) -> x = y)"))
+    met = met.withColumn("ends", F.expr("concat(array(-1), filter(transform(eq, (x, i) -> if(x, null, i)), x -> x is not null), array(size(eq)))"))
+    met = met.withColumn("runs", F.expr(f"transform(slice(ends, 1, size(ends) - 1), (e, i) -> struct(e + 1 + {lo} as start, ends[i + 1] - e - 1 as len))"))
+    return met.withColumn("runs", F.expr(f"filter(runs, r -> r.len >= least({WINDOW}, size(iw)))")).drop("eq", "ends")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, row_key, n_words, n_hit, items) of every document; items: the sorted ids, as strings, of items with a window in it.
 
     Words are runs of digits, letters and all non-ASCII characters, with A-Z as a-z. A window is 13 consecutive words
     of an item, or all words of an item of fewer; every document word inside an occurrence of a window is hit.
     Null, empty and wordless texts have no words and no hits; wordless items have no window; repeated rows each keep a
-    row with the same figures; items that share an id count once. Lengths of items under 13 words (12 at most) are
-    the only values that come to the driver.
+    row with the same figures; items that share an id count once; the words of an item without an id are hit, but it isn't
+    listed. Lengths of items under 13 words (12 at most) are the only values that come to the driver. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "winnow")
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).withColumn("rid", row_key(F.col("id"), F.col("t")))
-    items = scratch.table(benchmark.select(F.col(item_id).cast("string").alias("item"), word_list(F.col(item_text)).alias("ws")).where("size(ws) > 0 and item is not null").distinct())
-    short = sorted(r[0] for r in items.where(f"size(ws) < {WINDOW}").select(F.size("ws")).distinct().collect())
-    long_items = _least(_hashes(items.where(f"size(ws) >= {WINDOW}")))
-    prints = long_items.select(F.explode_outer("m8").alias("g")).where("g is not null").distinct()
-    lengths = [*short, WINDOW]
-    windows = None
-    for n in lengths:
-        part = _runs(_hashes(items.where(f"size(ws) = {n}" if n < WINDOW else f"size(ws) >= {WINDOW}")), n)
-        part = part.select(F.explode_outer("w").alias("w"), "item", F.lit(n).alias("len")).distinct()
-        windows = part if windows is None else windows.union(part)
-    windows = scratch.table(windows)
-
-    # fingerprints of the documents, and a row that carries each document itself
-    found = rows.select("id", "rid", word_list(F.col("t")).alias("ws"))
-    found = _least(_hashes(found))
+    rows = docs.select(plain(doc_id).alias("id"), plain(text).alias("t")).withColumn("rid", row_key(F.col("id"), F.col("t")))
+    items = benchmark.select(plain(item_id).cast("string").alias("item"), word_list(plain(item_text)).alias("iw")).where("size(iw) > 0").distinct()
+    items = scratch.table(items.withColumn("iid", F.xxhash64("item", "iw")))
+    short = sorted(r[0] for r in items.where(f"size(iw) < {WINDOW}").select(F.size("iw")).distinct().collect())
+    # hashes and least hashes as tables before they are used many times in one expression
+    of_items = scratch.table(_least(_hashes(items.select("iid", F.col("iw").alias("ws")))).select("iid", "ws", "h", "g6", "m8"))
+    prints = _prints(of_items.where(f"size(ws) >= {WINDOW}")).select("iid", F.explode_outer("f").alias("f")).where("f is not null").select("iid", "f.g", F.col("f.at").alias("item_at"))
+    for n in short:
+        prints = prints.union(_whole(of_items.where(f"size(ws) = {n}"), n).select("iid", F.explode_outer("w").alias("g"), F.lit(0).alias("item_at")))
+    prints = scratch.table(prints)
+
+    # the distinct fingerprints of each document
+    found = _least(_hashes(rows.select("id", "rid", word_list(F.col("t")).alias("ws"))))
+    for n in short:
+        found = _whole(found, n).withColumn(f"s{n}", F.array_distinct("w")).drop("w")
+    every = scratch.table(found.select("id", "rid", F.size("ws").cast("long").alias("n_words"), F.concat(F.array_distinct("m8"), *(F.col(f"s{n}") for n in short)).alias("gs")))
+    meeting = every.select("rid", F.explode("gs").alias("g")).join(prints.select("g").distinct(), "g", "left_semi").select("rid").distinct()
+    meeting = scratch.table(meeting)
+
+    # their places in the documents that have one of an item's, and the words from there on both sides
+    few = rows.join(meeting, "rid", "left_semi").select("rid", word_list(F.col("t")).alias("ws")).dropDuplicates(["rid"])
+    few = scratch.table(_least(_hashes(few)).select("rid", "ws", "h", "g6", "m8"))
+    places = _prints(few).select("rid", F.explode_outer("f").alias("f")).where("f is not null").select("rid", "f.g", F.col("f.at").alias("at"))
     for n in short:
-        found = _runs(found, n).withColumn(f"s{n}", F.expr(f"array_distinct(transform(w, x -> xxhash64(x, {n})))")).drop("w")
-    keys = F.concat(F.array_distinct("m8"), *(F.col(f"s{n}") for n in short), F.array(F.lit(None).cast("long")))
-    found = found.select("id", "rid", F.size("ws").cast("long").alias("n_words"), F.explode_outer(keys).alias("g"))
-    wanted = prints.union(windows.where(f"len < {WINDOW}").select(F.xxhash64("w", "len").alias("g"))).distinct().withColumn("met", F.lit(1))
-    met = found.join(wanted, "g", "left").where("met = 1 or g is null")
-    met = met.groupBy("rid").agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"), F.count(F.when(F.col("g").isNull(), 1)).alias("copies"), F.max("met").alias("met"))
-    met = scratch.table(met)
-
-    # all windows of the documents that meet
-    meeting = met.where("met = 1").select("rid")
-    few = rows.where(passing(spark, key_filter(meeting, "rid"), F.col("rid")))
-    near = few.join(meeting, "rid").select("rid", word_list(F.col("t")).alias("ws"))
-    near = _hashes(near)
-    hits = None
-    for n in lengths:
-        part = _runs(near, n).select("rid", F.posexplode_outer("w").alias("at", "w")).join(windows.where(f"len = {n}").select("w", "item"), "w")
-        part = part.select("rid", "at", "item", F.lit(n).alias("len"))
-        hits = part if hits is None else hits.union(part)
-    hits = scratch.table(hits)
-    covered = hits.select("rid", "at", "len").distinct().select("rid", F.explode(F.expr("sequence(at, at + len - 1)")).alias("pos")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
-    which = hits.select("rid", "item").distinct().groupBy("rid").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    out = met.join(covered, "rid", "left").join(which, "rid", "left")
-    out = out.select(
-        F.col("id").alias(doc_id), F.col("rid").alias("row_key"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")
-    )
-    return out.drop("copy")
+        places = places.union(_whole(few, n).select("rid", F.posexplode_outer("w").alias("at", "g")).where("g is not null").select("rid", "g", "at"))
+    shifts = scratch.table(places.join(prints, "g").select("rid", "iid", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
+    met = scratch.table(shifts.join(items, "iid").join(few.select("rid", "ws"), "rid"))
+    hits = scratch.table(_extended(met).select("rid", "item", F.explode_outer("runs").alias("run")).where("run is not null").select("rid", "item", "run.start", "run.len"))
+    covered = hits.select("rid", F.explode(F.expr("sequence(start, start + len - 1)")).alias("at")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
+    which = hits.where("item is not null").select("rid", "item").distinct().groupBy("rid").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    covered, which = scratch.table(covered), scratch.table(which)
+    out = every.drop("gs").join(covered, "rid", "left").join(which, "rid", "left")
+    return out.select(F.col("id").alias(doc_id), F.col("rid").alias("row_key"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
