@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -13,20 +14,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajecta.llm.boosting import Trees, boosted
+from trajecta.llm.scratch import plain
 
 #: Pages that the trees are fitted on, about, and nodes taken of each of them at most.
 FITTED_PAGES, FITTED_NODES = 400, 200
+#: Distinct pages that mark their article, under which trees are not fitted.
+LEAST_PAGES = 10
 #: Cost, in log odds, of a child that is judged otherwise than its parent.
 SWITCH = 1.5
 
 _DROPPED = "script|style|title|noscript|template|textarea|svg|iframe|select|button|object"
-_TAGS = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_DROPPED})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S)
+_TAGS = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_DROPPED})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.I | re.S)
 _HINTS = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _POINTS = re.compile(r"[.,;:!?]")
 _BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _ENDS_P = _BLOCKS - set("body html head caption dd dt li td th tr tbody thead tfoot".split())
 _OWN_END = {"li": {"ul", "ol"}, "dd": {"dl"}, "dt": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody", "thead", "tfoot"}}
+_ALIKE = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}
 #: What a tag or a word of an attribute says of its element.
 SAYS = {
     "content": "article main content entry post story articlebody hentry maincontent",
@@ -53,10 +58,16 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         self.links: list[int] = [0]
         stack, held, pos, linked = [0], [], 0, False
-        here_links = 0
+        here_links, bare = 0, 0
+        opened = dict.fromkeys(_BLOCKS, 0)  # open elements by tag
+
+        def close(k: int) -> None:
+            for v in stack[k:]:
+                opened[self.tag[v]] -= 1
+            del stack[k:]
 
         def close_block() -> None:
-            nonlocal here_links
+            nonlocal here_links, bare
             if held:
                 text = "".join(held)
                 held.clear()
@@ -64,11 +75,23 @@ class Page:
                     text = unescape(text)
                 text = " ".join(text.split())
                 if text:
-                    self.blocks.append((stack[-1], text))
-                    self.links[stack[-1]] += here_links
+                    v = stack[-1]
+                    if not v:  # text outside all elements is in an implied body
+                        if not bare:
+                            bare = add(0, "body", 0)
+                        v = bare
+                    self.blocks.append((v, text))
+                    self.links[v] += here_links
             here_links = 0
 
-        for m in _TAGS.finditer(html):
+        def add(parent: int, tag: str, says: int) -> int:
+            self.parent.append(parent)
+            self.tag.append(tag)
+            self.says.append(says)
+            self.links.append(0)
+            return len(self.tag) - 1
+
+        for m in _TAGS.finditer(html, 0, html.rfind(">") + 1):  # beyond the last > there is no tag, only the start of one
             if m.start() > pos:
                 held.append(html[pos : m.start()])
                 if linked:
@@ -87,19 +110,17 @@ class Page:
             close_block()
             linked = False
             if m["end"]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == tag:
-                        del stack[k:]
-                        break
+                if opened[tag]:
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == tag))
                 continue
             if tag in _ENDS_P and self.tag[stack[-1]] == "p":
-                stack.pop()
+                close(len(stack) - 1)
             stops = _OWN_END.get(tag)
-            if stops:
+            if stops and any(opened[x] for x in _ALIKE.get(tag, (tag,))):
                 for k in range(len(stack) - 1, 0, -1):
                     name = self.tag[stack[k]]
-                    if name == tag or (tag in ("dd", "dt") and name in ("dd", "dt")) or (tag in ("td", "th") and name in ("td", "th")):
-                        del stack[k:]
+                    if name in _ALIKE.get(tag, (tag,)):
+                        close(k)
                         break
                     if name in stops:
                         break
@@ -110,12 +131,10 @@ class Page:
                     for w in _WORDS.findall("".join(groups).lower()):
                         if w in _SAYS:
                             says |= 1 << _SAYS[w]
-            self.parent.append(stack[-1])
-            self.tag.append(tag)
-            self.says.append(says)
-            self.links.append(0)
+            v = add(stack[-1], tag, says)
             if tag != "hr":
-                stack.append(len(self.tag) - 1)
+                stack.append(v)
+                opened[tag] += 1
         if pos < len(html):
             held.append(html[pos:])
         close_block()
@@ -233,38 +252,40 @@ def _lessons(page: Page, y: np.ndarray, rng: np.random.Generator) -> tuple[np.nd
 
 
 def fitted(pages: DataFrame, html: str = "html", n_pages: int = FITTED_PAGES) -> Trees | None:
-    """Trees from about n_pages pages (by hash) that mark their article; None if there are none."""
+    """Trees from about n_pages distinct pages (by hash) that mark their article; None if there are fewer than LEAST_PAGES. A page's lessons depend on it alone."""
     n = pages.count()
-    some = pages.select(F.col(html).alias("html")).where(F.pmod(F.xxhash64("html"), F.lit(1_000_003)) < F.lit(1_000_003 * min(1.0, n_pages / max(n, 1))))
+    some = pages.select(plain(html).alias("html")).where(F.pmod(F.xxhash64("html"), F.lit(1_000_003)) < F.lit(1_000_003 * min(1.0, n_pages / max(n, 1)))).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(7)
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 page = Page(t or "")
                 y = page.taught()
                 if y is not None:
-                    x, y = _lessons(page, y, rng)
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), pa.array(y, pa.int64())], names=["x", "y"])
+                    of = crc32((t or "").encode())
+                    x, y = _lessons(page, y, np.random.default_rng(of))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), of)), pa.array(list(x), pa.list_(pa.float64())), pa.array(y, pa.int64())], names=["of", "x", "y"])
 
-    rows = some.mapInArrow(run, T.StructType().add("x", T.ArrayType(T.DoubleType())).add("y", "long")).toArrow()
-    if not rows.num_rows or len(set(rows["y"].to_pylist())) < 2:
+    rows = some.mapInArrow(run, T.StructType().add("of", "long").add("x", T.ArrayType(T.DoubleType())).add("y", "long")).toArrow()
+    if len(set(rows["of"].to_pylist())) < LEAST_PAGES or len(set(rows["y"].to_pylist())) < 2:
         return None
+    order = np.argsort(rows["of"].to_numpy(), kind="stable")
     x = rows["x"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, len(FEATURES))
-    return boosted(x, rows["y"].to_numpy().astype(float))
+    return boosted(x[order], rows["y"].to_numpy().astype(float)[order])
 
 
 def main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), trees: Trees | None = None) -> DataFrame:
     """The columns `keep` of every page with text, its main text, and n_chars, its code points.
 
     Character references are decoded, white space inside a block is one space, blocks are joined in page order by two
-    line feeds. Null and empty pages, and pages without content, have an empty text; each row has its own result.
+    line feeds. Null and empty pages, and pages without content, have an empty text; each row has its own result, so
+    repeated rows have equal ones and null ids and urls are kept. A kept column named text or n_chars gives way to the result.
     Without trees, and without pages to fit them on, all is content but what its tags and attributes say is not.
     """
     trees = trees or fitted(pages, html)
     model = pages.sparkSession.sparkContext.broadcast(trees)  # a few thousand numbers
-    kept = [c for c in keep]
-    fields = pages.select(*kept).schema.add("text", "string").add("n_chars", "long")
+    kept = [c for c in keep if c not in ("text", "n_chars")]
+    fields = pages.select(*map(plain, kept)).schema.add("text", "string").add("n_chars", "long")
     names, n_kept = fields.names, len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,4 +306,4 @@ def main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("pa
                     at += len(p.tag)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n_kept)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
 
-    return pages.select(*kept, F.col(html).alias("__html")).mapInArrow(run, fields)
+    return pages.select(*(plain(c).alias(f"k{i}") for i, c in enumerate(kept)), plain(html).alias("__html")).mapInArrow(run, fields)
