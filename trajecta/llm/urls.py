@@ -8,7 +8,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.scratch import Scratch
+from trajecta.llm.scratch import Scratch, plain
 from trajecta.llm.winnow import folded
 
 #: Least share of the labelled rows that have a rule's tokens and its outcome; least share of those with the tokens that have the outcome.
@@ -54,13 +54,30 @@ def ruled(rules: Sequence[tuple[str, str]], host_: Column, path_: Column) -> tup
     return rule, action
 
 
-def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def _apart(labelled: DataFrame, pages: DataFrame) -> DataFrame:
+    """`labelled` (r, tokens, block) with one token of those that occur in the very same rows: the one that most `pages` (tokens) have, the least in order among equals.
+
+    Tokens that always come together would otherwise make 2^n sets of n of them, all of the same rows.
+    """
+    tall = labelled.select("r", F.explode("tokens").alias("token"))
+    frequency = pages.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("pages"))
+    where = tall.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("r")).alias("x"), F.bit_xor(F.xxhash64("r", F.lit(1))).alias("y"))
+    first = where.join(frequency, "token").groupBy("n", "x", "y").agg(F.min_by("token", F.struct(-F.col("pages"), F.col("token"))).alias("token"))
+    few = tall.join(first.select("token"), "token").groupBy("r").agg(F.collect_set("token").alias("tokens"))
+    return labelled.drop("tokens").join(few, "r")
+
+
+def mined(labelled: DataFrame, pages: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(rule_id, tokens, key, confidence): token sets that imply a block, without those that contain a smaller one.
 
-    labelled: (tokens, block). Empty tables and tables of one kind of label give no rules.
+    labelled: (tokens, block); pages: (tokens) of all pages. Empty tables and tables of one kind of label give no rules. Of tokens
+    that occur in the same labelled rows one stands for all.
     """
     scratch = Scratch(labelled.sparkSession, "urls")
-    items = labelled.where("size(tokens) > 0 and block is not null").select(F.when(F.col("block"), F.array_append("tokens", BLOCKED)).otherwise(F.col("tokens")).alias("items"))
+    labelled = scratch.table(labelled.where("size(tokens) > 0 and block is not null").withColumn("r", F.monotonically_increasing_id()))
+    support = min(1.0, max(support, ROWS / max(labelled.count(), 1)))
+    labelled = scratch.table(_apart(labelled, pages))
+    items = labelled.select(F.when(F.col("block"), F.array_append("tokens", BLOCKED)).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCKED))).select(F.array_sort("antecedent").alias("tokens"), "confidence")
     rules = scratch.table(rules.withColumn("rule_id", F.xxhash64("tokens")))
@@ -83,17 +100,17 @@ def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]]
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "judged")
-    f = pages.select(F.col(page_id).alias("id"), F.col(url).alias("u"))
+    f = pages.select(plain(page_id).alias("id"), plain(url).alias("u"))
     f = scratch.table(f.select("id", "u", host(F.col("u")).alias("host"), path(F.col("u")).alias("path"), tokens(F.col("u")).alias("tokens")))
-    known = labels.select(F.col(page_id).alias("id"), "block").where("block is not null")
+    known = labels.select(plain(page_id).alias("id"), "block").where("block is not null")
     n = known.count()
     known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(1_000_003 * min(1.0, labelled / max(n, 1))))
     learned = scratch.table(f.select("id", "tokens").join(known, "id").select("tokens", "block"))
-    index = mined(learned, min(1.0, max(SUPPORT, ROWS / max(learned.count(), 1))))
+    index = mined(learned, f.select("tokens"))
     asked = f.where("size(tokens) > 0").select("tokens").distinct().withColumn("set", F.xxhash64("tokens"))
     asked = asked.select("set", "tokens", F.explode("tokens").alias("key"))
     met = asked.join(index.select("key", "rule_id", F.col("tokens").alias("needs")), "key").where(F.size(F.array_except("needs", "tokens")) == 0)
-    met = met.groupBy("set").agg(F.sort_array(F.collect_set("rule_id")).alias("mined"))
+    met = scratch.table(met.groupBy("set").agg(F.sort_array(F.collect_set("rule_id")).alias("mined")))
     f = f.withColumn("set", F.xxhash64("tokens")).join(met, "set", "left")
     rule, action = ruled(rules, F.col("host"), F.col("path"))
     verdict = F.coalesce(action, F.when(F.col("mined").isNotNull(), "block").otherwise("allow"))
