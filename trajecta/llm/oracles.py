@@ -48,7 +48,9 @@ def _quality_rules() -> str:
  gr as (select doc_id, i, count(*) over (partition by doc_id, s) n from (select doc_id, i, array_to_string(w[i:i + 2], ' ') s from (select doc_id, w, unnest(range(1, len(w) - 1)) i from m))),
  rp as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(i, i + 3)) p from gr where n > 1) group by 1),
  v as ({chars} union all {" union all ".join(common)}),
- q as (select doc_id, kind, v / nullif(sum(v) over (partition by doc_id, kind), 0) a, r / nullif(sum(r) over (partition by doc_id, kind), 0) b from (select *, sum(v) over (partition by lang, kind, i) r from v)),
+ bf as (select m.doc_id, n_words < 50 or 100 * coalesce(rp.n, 0) > 50 * n_words f from m left join rp using (doc_id)),
+ rf as (select lang, kind, i, sum(v) r from v join bf using (doc_id) where not f group by 1, 2, 3 having count(*) >= {rules.MIN_DOCS}),
+ q as (select doc_id, v.kind, v / nullif(sum(v) over (partition by doc_id, v.kind), 0) a, r / nullif(sum(r) over (partition by doc_id, v.kind), 0) b from v left join rf on v.lang is not distinct from rf.lang and v.kind = rf.kind and v.i = rf.i),
  js as (select doc_id, kind, sqrt(greatest(sum(case when a > 0 then a * log2(2 * a / (a + b)) else 0 end + case when b > 0 then b * log2(2 * b / (a + b)) else 0 end) / 2, 0)) d from q where a is not null and b is not null group by 1, 2),
  o as (select m.doc_id, n_words, word_chars, n_symbols, len(ls) - len(list_distinct(ls)) n_dup_lines, coalesce(rp.n, 0) n_repeat_words, n_chars, x.d cd, y.d wd, n_words < 50 or 100 * coalesce(rp.n, 0) > 50 * n_words base_failed
   from m left join rp using (doc_id) left join js x on m.doc_id = x.doc_id and x.kind = 'chars' left join js y on m.doc_id = y.doc_id and y.kind = 'common')

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.scratch import Scratch
+from trajecta.llm.scratch import Scratch, plain
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -20,6 +20,8 @@ COMMON = {
     "fr": "de la le les et en un une du des que qui dans pour sur au",
     "es": "de la que el en y a los del se las por un para con no",
 }
+#: Fewest documents behind a language's reference.
+MIN_DOCS = 30
 #: Fewest characters for a verdict by characters, fewest words for one by common words, and the largest distances that pass.
 MIN_CHARS, MIN_WORDS = 200, 150
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.24
@@ -34,8 +36,8 @@ def js_distance(p: str, q: str) -> Column:
 
 
 def measured(docs: DataFrame, keep: list[str], text: str, lang: str) -> DataFrame:
-    """Base counts and histograms of each whole text."""
-    f = docs.select(*keep, F.col(lang).alias("__lang"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    """Base counts and histograms of each whole text; the columns `keep` are k0, k1, ..."""
+    f = docs.select(*(plain(c).alias(f"k{i}") for i, c in enumerate(keep)), plain(lang).alias("__lang"), F.coalesce(plain(text), F.lit("")).alias("__t"))
     f = f.withColumn("ws", F.array_remove(F.split("__t", SPACES), ""))
     f = f.withColumn("n_words", F.size("ws").cast("long")).withColumn("word_chars", F.expr("aggregate(ws, 0L, (s, x) -> s + char_length(x))"))
     f = f.withColumn("n_symbols", F.regexp_count("__t", F.lit(SYMBOLS)).cast("long"))
@@ -68,20 +70,21 @@ def measured(docs: DataFrame, keep: list[str], text: str, lang: str) -> DataFram
 def quality_rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", lang: str = "lang") -> DataFrame:
     """The columns `keep` with base counts, base_failed, the distances to the language's references, and kept.
 
-    References are the sums of the character classes and common words of all documents of a language in the table. A
-    document fails if its character distance exceeds MAX_CHAR_DISTANCE or its word distance MAX_WORD_DISTANCE; under
+    References are the sums of the character classes and common words of all documents of a language in the table that
+    pass the base; a language with fewer than MIN_DOCS of them has none. A document fails if its character distance exceeds MAX_CHAR_DISTANCE or its word distance MAX_WORD_DISTANCE; under
     MIN_CHARS characters or MIN_WORDS words, or without a reference, the guard holds and that distance is no ground.
     Null and empty texts have no words and so fail the base; a null language is a language of its own; each row has
-    its own result. The one shuffle is of sums by language.
+    its own result, so repeated rows have equal ones; a kept column with the name of a result gives way to it. The one shuffle is of sums by language.
     """
     scratch = Scratch(docs.sparkSession, "rules")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    keep = tuple(c for c in keep if c not in {*counts, "base_failed", "kept", "char_distance", "word_distance"})
     f = scratch.table(measured(docs, list(keep), text, lang))
     sizes = {"chars": len(CLASSES) + 3, "common": max(len(w.split()) for w in COMMON.values()) + 1}
     sums = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in sizes.items() for i in range(n)]
-    reference = f.groupBy("__lang").agg(*sums).select(F.col("__lang").alias("of"), *(F.array(*(F.coalesce(f"{c}{i}", F.lit(0.0)) for i in range(n))).alias(f"all_{c}") for c, n in sizes.items()))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    reference = f.where(~failed).groupBy("__lang").agg(*sums, F.count("*").alias("docs")).where(F.col("docs") >= MIN_DOCS).select(F.col("__lang").alias("of"), *(F.array(*(F.coalesce(f"{c}{i}", F.lit(0.0)) for i in range(n))).alias(f"all_{c}") for c, n in sizes.items()))
     f = f.join(reference, F.col("__lang").eqNullSafe(F.col("of")), "left")
     f = f.withColumn("char_distance", js_distance("chars", "all_chars")).withColumn("word_distance", js_distance("common", "all_common"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     odd = ((F.col("n_chars") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return f.select(*keep, *counts, failed.alias("base_failed"), (~failed & ~F.coalesce(odd, F.lit(False))).alias("kept"), "char_distance", "word_distance")
+    return f.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *counts, failed.alias("base_failed"), (~failed & ~F.coalesce(odd, F.lit(False))).alias("kept"), "char_distance", "word_distance")
