@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,7 +15,7 @@ from corpus import FOLD, SPACED, documents, prose, word
 
 from trajecta.llm import lm, pages, quality, rules, seating, urls
 from trajecta.llm.boosting import boosted
-from trajecta.llm.seating import Seats, gibbs
+from trajecta.llm.seating import drawn_tables, gibbs
 
 DOCS = documents()
 
@@ -78,23 +80,10 @@ def test_ranking_learns_and_tells_apart(spark):
     assert {r["score"] for r in none} == {0.5}
 
 
-def test_seats_keep_their_sums():
-    rng = np.random.default_rng(1)
-    c = np.array([1, 2, 5, 40, 300])
-    s = Seats(c, np.array([1, 1, 2, 6, 20]), 0.5, rng)
-    for _ in range(200):
-        rows = np.arange(5)
-        s.leave(rows)
-        s.enter(rows, np.full(5, 0.7))
-        row = np.repeat(np.arange(5), s.room)
-        assert (np.bincount(row, s.size, minlength=5) == c).all()
-        assert (np.bincount(row, s.size > 0, minlength=5) == s.t).all()
-
-
 def test_gibbs_finds_the_mean_of_few_customers():
     """Two customers of one dish sit together or apart with weights 1 - d and the weight of a new table."""
     n, weight, d = 4000, 0.8, 0.4
-    t, _ = gibbs(np.full(n, 2), np.zeros(n, dtype=int), np.full(n, weight), 1.0, (d, 0.0), None, 2, 4, 2, 3)
+    t = gibbs(np.full(n, 2), np.zeros(n, dtype=int), np.full(n, weight), 1.0, (d, 0.0), None, 2, 4, 2, 3)
     expected = 1 + weight / (weight + 1 - d)
     assert abs(t.mean() - expected) < 0.03
 
@@ -108,7 +97,7 @@ def test_gibbs_draws_from_the_exact_weights(c):
         ways[1 : n + 2] = ways[0 : n + 1] + (n - d * np.arange(1, n + 2)) * ways[1 : n + 2]
         ways /= ways.max()
     p = ways * a ** np.arange(c + 2)
-    t, _ = gibbs(np.full(4000, c), np.zeros(4000, dtype=int), np.full(4000, a), 1.0, (d, 0.0), None, 2, 3, 2, 3)
+    t = gibbs(np.full(4000, c), np.zeros(4000, dtype=int), np.full(4000, a), 1.0, (d, 0.0), None, 2, 3, 2, 3)
     assert abs(t.mean() - (p * np.arange(c + 2)).sum() / p.sum()) < 0.08
 
 
@@ -124,7 +113,7 @@ def test_the_ways_of_large_rows_go_on_from_the_listed_ones():
 def test_large_rows_leave_their_start(c):
     """At a discount of 1 / 2 the weights have a closed form. The number of sweeps must not matter, whatever the row's size."""
     a = 40.0
-    t, _ = gibbs(np.full(1000, c), np.zeros(1000, dtype=int), np.full(1000, a), 1.0, (0.5, 0.0), None, 0, 1, 2, 3)
+    t = gibbs(np.full(1000, c), np.zeros(1000, dtype=int), np.full(1000, a), 1.0, (0.5, 0.0), None, 0, 1, 2, 3)
     x = np.arange(1, 600)
     log_p = x * math.log(a) + np.array([math.lgamma(2 * c - k) - math.lgamma(k) - math.lgamma(c - k + 1) + 2 * k * math.log(2) for k in x.tolist()])
     p = np.exp(log_p - log_p.max())
@@ -135,16 +124,129 @@ def test_large_rows_leave_their_start(c):
 
 def test_a_large_row_and_its_parent_stay_in_bounds():
     c = np.array([1_500_000, 40_000, 3, 1])
-    t, over = gibbs(c, np.zeros(4, dtype=int), np.full(4, 50.0), 0.01, (0.7, 2.0), (0.5, 2.0, 500.0), 2, 6, 2, 1, alone=np.array([20]))
-    assert (t >= 1).all() and (t <= c[:, None]).all() and (over >= 1).all() and (over <= t.sum(axis=0) + 20).all()
+    t = gibbs(c, np.zeros(4, dtype=int), np.full(4, 50.0), 0.01, (0.7, 2.0), (0.5, 2.0, 500.0, 9000.0), 2, 6, 2, 1, alone=np.array([20]), parent=np.array([5]))
+    assert (t >= 1).all() and (t <= c[:, None]).all()
     assert len(set(t[0])) > 1
 
 
+def test_draws_under_a_parent_follow_its_rising_weights():
+    """Of c customers, t tables have the Stirling number of (c, t) times, for each table j, a (rise + j) / (over + j)."""
+    d, a, rise, over = 0.7, 6.0, 0.4, 30.0
+    for c in (2, 3, 7, 30):
+        ways = np.exp(seating.listed_ways(d)[c, 1 : c + 1])
+        p = ways * np.cumprod([a * (rise + j) / (over + j) for j in range(c)])
+        p /= p.sum()
+        n = 40_000
+        draw = np.random.default_rng(c).random((2, n))
+        t = drawn_tables(np.full(n, c), np.full(n, a), np.full(n, rise), np.full(n, over), d, draw)
+        assert np.abs(np.bincount(t, minlength=c + 1)[1:] / n - p).max() < 0.02
+
+
+def seated_one_by_one(texts, inner, parent, sweeps, seed):
+    """Plain Chinese-restaurant seating on two levels, a customer at a time: the mean of the predictive probabilities, by (context, word)."""
+    r = random.Random(seed)
+    tokens = [(u, w) for t in texts for u, w in zip(["<", *t.split()], [*t.split(), ">"])]
+    vocabulary = sorted({w for _, w in tokens})
+    base = 1 / (len(vocabulary) + 1)
+    below = {u: {} for u, _ in tokens}  # context -> word -> table sizes
+    top = {}
+    (d1, s1), (d0, s0) = inner, parent
+
+    def p_top(w):
+        n, t = sum(map(sum, top.values())), sum(map(len, top.values()))
+        mine = top.get(w, [])
+        return (max(sum(mine) - d0 * len(mine), 0) + (s0 + d0 * t) * base) / (s0 + n)
+
+    def p(u, w):
+        n, t = sum(sum(x) for x in below[u].values()), sum(len(x) for x in below[u].values())
+        mine = below[u].get(w, [])
+        return (sum(mine) - d1 * len(mine) + (s1 + d1 * t) * p_top(w)) / (s1 + n)
+
+    def sit(tables, d, new):
+        at = r.choices(range(len(tables) + 1), [*(x - d for x in tables), new])[0]
+        if at == len(tables):
+            tables.append(1)
+            return True
+        tables[at] += 1
+        return False
+
+    def leave(tables):
+        at = r.choices(range(len(tables)), tables)[0]
+        tables[at] -= 1
+        if not tables[at]:
+            del tables[at]
+            return True
+        return False
+
+    def enter(u, w):
+        t = sum(len(x) for x in below[u].values())
+        if sit(below[u].setdefault(w, []), d1, (s1 + d1 * t) * p_top(w)):
+            sit(top.setdefault(w, []), d0, (s0 + d0 * sum(map(len, top.values()))) * base)
+
+    for u, w in tokens:
+        enter(u, w)
+    asked = sorted({(u, w) for u in below for w in vocabulary})
+    total = dict.fromkeys(asked, 0.0)
+    for sweep in range(sweeps):
+        for u, w in tokens:
+            if leave(below[u][w]):
+                leave(top[w])
+            enter(u, w)
+        if sweep >= sweeps // 4:
+            for k in asked:
+                total[k] += p(*k)
+    return {k: v / (sweeps - sweeps // 4) for k, v in total.items()}
+
+
+def test_lm_meets_seating_one_by_one(spark, monkeypatch):
+    """Scores of whole texts against the plain sampler, which moves a customer at a time and so has nothing in common with the draws of counts."""
+    r = random.Random(2)
+    follow = {w: r.choices("abcdefgh", k=3) for w in "abcdefgh"}
+    texts = []
+    for _ in range(40):
+        w = [r.choice("abcd")]
+        for _ in range(r.randrange(4, 12)):
+            w.append(r.choice(follow[w[-1]]) if r.random() < 0.8 else r.choice("abcdefgh"))
+        texts.append(" ".join(w))
+    monkeypatch.setattr(lm, "SAMPLES", 40)
+    monkeypatch.setattr(lm, "ROUNDS", 6)
+    asked = [*texts[:10], "a b c d", "h h h", "", "e a e a"]
+    rows = [(i, t, True) for i, t in enumerate(texts)] + [(100 + i, t, False) for i, t in enumerate(asked)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    got = {x["doc_id"]: x["score"] for x in lm.score(df, df["learn"]).collect()}
+    p = seated_one_by_one(texts, lm.INNER, lm.PARENT, 400, 3)
+    for i, t in enumerate(asked):
+        pairs = list(zip(["<", *t.split()], [*t.split(), ">"]))
+        expected = sum(math.log10(p[k]) for k in pairs)
+        assert abs(got[100 + i] - expected) < 0.03 * len(pairs) + 0.05, (t, got[100 + i], expected)
+    assert all(abs(got[i] - got[100 + i]) < 1e-9 for i in range(10))
+
+
+def test_lm_does_not_depend_on_how_rows_are_dealt(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    learn = lm.remainder(docs["doc_id"], 7) != 2
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    one = {r["doc_id"]: r["score"] for r in lm.score(docs.repartition(2, "doc_id"), learn).collect()}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        two = {r["doc_id"]: r["score"] for r in lm.score(docs.repartition(7, "text"), learn).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert one.keys() == two.keys() and all(abs(v - two[i]) < 1e-9 for i, v in one.items())
+
+
+def test_lm_keeps_clashing_columns_apart(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "z", 1.5, "q"), (2, "a", 8, "y", 2.5, "q")], "doc_id long, text string, n_tokens int, `u.v` string, s double, __key string")
+    got = lm.score(df, lm.F.lit(True), keep=("doc_id", "n_tokens", "u.v", "s", "__key"))
+    assert got.columns == ["doc_id", "u.v", "s", "__key", *lm.RESULTS]
+    assert {(r["doc_id"], r["n_tokens"], r["u.v"], r["s"], r["__key"]) for r in got.collect()} == {(1, 3, "z", 1.5, "q"), (2, 2, "y", 2.5, "q")}
+
+
 def test_lm_base_and_score(spark):
     docs = [*DOCS, (None, "one two three"), (DOCS[0][0], DOCS[0][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     df = df.withColumn("held_out", lm.remainder(df["doc_id"], 7) == 2)
-    got = lm.score(df, df.where("not held_out"), keep=("doc_id", "held_out", "text")).collect()
+    got = lm.score(df, ~df["held_out"], keep=("doc_id", "held_out", "text")).collect()
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
     words = lambda t: [*SPACED.findall((t or "").translate(FOLD)), None]
     c = Counter(w for i, t in docs if not held(i) for w in words(t))
@@ -161,14 +263,17 @@ def test_lm_base_and_score(spark):
 
 
 def test_lm_joins_what_it_does_not_look_up(spark, monkeypatch):
-    """Scores don't depend on which words are looked up and which are joined."""
+    """Counts don't depend on which words are looked up and which are joined, scores only by the draws."""
     df = spark.createDataFrame(DOCS, "doc_id long, text string")
-    one = {r["doc_id"]: r for r in lm.score(df, df).collect()}
-    monkeypatch.setattr(lm, "KNOWN", lm.DISH)
-    two = {r["doc_id"]: r for r in lm.score(df, df).collect()}
-    for i, r in one.items():
-        assert r["n_known"] == two[i]["n_known"] == r["n_tokens"]
-        assert abs(r["base_score"] - two[i]["base_score"]) < 1e-6 and abs(r["score"] - two[i]["score"]) < 1e-6
+    learn = lm.remainder(df["doc_id"], 7) != 2
+    one = {r["doc_id"]: r for r in lm.score(df, learn).collect()}
+    for known, frequent in ((0.01, 0.05), (2.0, 2.0)):
+        monkeypatch.setattr(lm, "KNOWN", known)
+        monkeypatch.setattr(lm, "FREQUENT", frequent)
+        two = {r["doc_id"]: r for r in lm.score(df, learn).collect()}
+        for i, r in one.items():
+            assert r["n_known"] == two[i]["n_known"] and r["n_tokens"] == two[i]["n_tokens"]
+            assert abs(r["base_score"] - two[i]["base_score"]) < 1e-6 and abs(r["score"] - two[i]["score"]) < 0.02 * r["n_tokens"]
 
 
 def test_lm_knows_the_context_of_words_of_any_share(spark):
@@ -178,15 +283,15 @@ def test_lm_knows_the_context_of_words_of_any_share(spark):
     docs = [(i, " ".join(x for a in r.choices(list(follower), k=30) for x in (a, follower[a]))) for i in range(120)]
     docs += [(900, "a1 b1"), (901, "a1 b2")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {x["doc_id"]: x["score"] for x in lm.score(df, df.where("doc_id < 900")).collect()}
+    got = {x["doc_id"]: x["score"] for x in lm.score(df, df["doc_id"] < 900).collect()}
     assert got[900] > got[901] + 2
 
 
 def test_lm_on_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     some = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
-    assert lm.score(empty, some).count() == 0
-    assert [r["train_tokens"] for r in lm.score(some, empty).collect()] == [0, 0]
+    assert lm.score(empty, lm.F.lit(True)).count() == 0
+    assert [(r["train_tokens"], r["base_score"], r["score"]) for r in lm.score(some, lm.F.lit(False)).collect()] == [(0, 0.0, 0.0)] * 2
 
 
 def template(title, blocks, kind):
@@ -212,6 +317,24 @@ def test_main_text(spark):
     assert got[900]["text"] == got[901]["text"] == ""
 
 
+def test_plain_and_broken_pages(spark):
+    """A page without elements is text; unclosed tags take time in proportion to the page."""
+    odd = [(1, "plain text, no tags"), (2, "some <b>bold</b> text<br>more"), (3, "<a " * 350_000), (4, "<div>" * 60_000 + "x" + "</p>" * 60_000), (5, "<p>a &amp; b" + " z" * 600_000)]
+    began = time.time()
+    parsed = [pages.Page(t) for _, t in odd]
+    assert time.time() - began < 10 and [b for _, b in parsed[1].blocks] == ["some bold text more"]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(odd, "page_id long, html string"), keep=("page_id",)).collect()}
+    assert got[1] == odd[0][1] and got[2] == "some bold text more" and got[5].startswith("a & b z z") and len(got[5]) == 1_200_005
+
+
+def test_the_fit_depends_on_distinct_pages_alone(spark):
+    r = random.Random(16)
+    data = [(i, template(prose(r, 6), [prose(r, 20) for _ in range(3)], 0)) for i in range(40)]
+    one = pages.fitted(spark.createDataFrame(data, "page_id long, html string"))
+    two = pages.fitted(spark.createDataFrame(data * 3, "page_id long, html string").repartition(7))
+    assert np.array_equal(one.value, two.value) and np.array_equal(one.cut, two.cut)
+
+
 def test_nothing_chosen_under_a_rejected_node():
     p = pages.Page("<body><div><article><p>a</p><aside><p>b</p></aside></article></div></body>")
     r = np.random.default_rng(3)
@@ -223,6 +346,30 @@ def test_nothing_chosen_under_a_rejected_node():
                 assert not any(chosen[u] for u in _above(p, v))
 
 
+def test_the_labelling_of_a_page_is_the_best():
+    """Against every labelling of small trees: content, rejected with all below, or a frame; a change from parent to child costs SWITCH."""
+    r = np.random.default_rng(8)
+    for _ in range(40):
+        p = pages.Page("")
+        for v in range(1, 6):
+            p.parent.append(int(r.integers(0, v)))
+            p.tag.append("div")
+        odds = r.normal(0, 3, 6)
+        inside, outside = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
+        best: dict[tuple, float] = {}
+        for states in itertools.product("crf", repeat=5):
+            s, total, fine = ("f", *states), 0.0, True
+            for v in range(1, 6):
+                up = s[p.parent[v]]
+                fine &= s[v] in {"c": "cr", "r": "r", "f": "crf"}[up]
+                total += inside[v] if s[v] == "c" else outside[v]
+                total -= pages.SWITCH * ((up, s[v]) in (("c", "r"), ("f", "c")))
+            if fine:
+                mask = tuple(x == "c" for x in s)
+                best[mask] = max(best.get(mask, -np.inf), total)
+        assert best[tuple(p.chosen(odds).tolist())] > max(best.values()) - 1e-9
+
+
 def _above(p, v):
     out, v = [], p.parent[v]
     while v >= 0:
@@ -275,6 +422,37 @@ def test_mined_rules_block(spark):
     assert len(got) == 300 and all((r["verdict"] == "block") == (r["page_id"] % 4 == 0) for r in got)
 
 
+def test_mined_rules_are_those_of_all_token_sets(spark):
+    """Against every subset of the tokens of every labelled row."""
+    r = random.Random(11)
+    pool = ["a", "b", "c", "d", "e"]
+    rows = []
+    for _ in range(160):
+        t = {x for x in pool if r.random() < 0.5}
+        t |= {"twin-" + x for x in t if x in "ab"}  # in the very same rows
+        block = {"a", "c"} <= t or ("e" in t and r.random() < 0.5) or r.random() < 0.1
+        rows.append((sorted(t), block))
+    rows += [([], True), (["a"], None)]
+    known = [(frozenset(t) - {"twin-a", "twin-b"}, b) for t, b in rows if t and b is not None]
+    expected = {}
+    for size in range(1, 6):
+        for some in itertools.combinations(pool, size):
+            has = [b for t, b in known if t >= set(some)]
+            if sum(has) >= max(0.005, urls.ROWS / len(known)) * len(known) and sum(has) >= 0.8 * len(has) and not any(set(s) < set(some) for s in expected):
+                expected[some] = sum(has) / len(has)
+    df = spark.createDataFrame(rows, "tokens array<string>, block boolean")
+    got = {tuple(sorted(x["tokens"])): x["confidence"] for x in urls.mined(df, df.select("tokens")).collect()}
+    assert got.keys() == expected.keys() and ("a", "c") in got
+    assert all(abs(v - expected[k]) < 1e-9 for k, v in got.items())
+
+
+def test_tokens_that_come_together_are_one(spark):
+    """Thirty tokens of one template would be 2^30 sets."""
+    rows = [([f"t{i}" for i in range(30)], True)] * 20 + [(["x", "y"], False)] * 20
+    df = spark.createDataFrame(rows, "tokens array<string>, block boolean")
+    assert [x["tokens"] for x in urls.mined(df, df.select("tokens")).collect()] == [["t0"]]
+
+
 @pytest.mark.parametrize("f", [lambda s: urls.judged(s.createDataFrame([], "page_id long, url string"), s.createDataFrame([], "page_id long, block boolean"), RULES), lambda s: pages.main_text(s.createDataFrame([], "page_id long, url string, html string")), lambda s: quality.ranked(s.createDataFrame([], "doc_id long, text string"), s.createDataFrame([], "doc_id long, quality int"), quality.F.lit(True))])
 def test_empty_tables(spark, f):
     assert f(spark).count() == 0
