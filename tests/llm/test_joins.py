@@ -103,7 +103,8 @@ def test_contamination_of_empty_tables(spark, docs, items):
     assert [(r["n_words"], r["n_hit"]) for r in got.collect()] == [(3, 0)] * len(docs)
 
 
-def cut(docs, sentences=2, least=20):
+def cut(docs, sentences=2, least=20, closed=False, long=50):
+    """Texts less repeated runs: the shortest that start at each sentence, or where closed all runs and single long sentences."""
     first, parsed = {}, []
     for d, t in sorted(docs):
         t = t or ""
@@ -119,7 +120,9 @@ def cut(docs, sentences=2, least=20):
             n = 0
             for j in range(i, len(split)):
                 n += len(split[j])
-                if n >= least and j - i + 1 >= sentences:
+                if closed and n >= (long if i == j else least):
+                    found.append((i, j, tuple(tuple(words[k][2] for k in s) for s in split[i : j + 1])))
+                elif not closed and n >= least and j - i + 1 >= sentences:
                     found.append((i, j, tuple(tuple(words[k][2] for k in s) for s in split[i : j + 1])))
                     break
         for i, _, h in found:

@@ -56,7 +56,7 @@ def test_each_stage_and_the_run(spark, tmp_path):
             found = components(before, 80, 5)
             held = {i: t for i, t in before if found[i][1] == i}
         elif k == 2:
-            held = {i: x[0] for i, x in cut(before).items()}
+            held = {i: x[0] for i, x in cut(before, closed=True).items()}
         else:
             held = {i: held[i] for i, n, hit, _ in hits(before, items) if not (hit and 20 * hit >= n)}
         got = now.collect()
