@@ -31,6 +31,14 @@ JACCARD = rf"""with recursive d as (select doc_id, {_words(_FOLDED, r'[\x20\x09-
 select g.doc_id, len(s) n_shingles, m component_id from g join (select a, min(c) m from r group by 1) on a = doc_id"""
 
 
+HARD_NEGATIVES = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ s as (select a.vec_id a, b.vec_id b, a.l = b.l same, coalesce(list_sum(list_transform(range(1, least(len(a.e), len(b.e)) + 1), lambda i: a.e[i] * b.e[i])), 0)::bigint s from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+ p as (select a, b p, s ps from s where same qualify row_number() over (partition by a order by s desc, b) <= 5)
+select p.a anchor_id, p positive_id, row_number() over (partition by p.a, p order by s desc, b)::integer as rank, b negative_id, ps positive_score, s negative_score
+from p join s on p.a = s.a and not same and 50 * ps <= 100 * s and 100 * s <= 95 * ps qualify rank <= 3"""
+
+
 def _quality_rules() -> str:
     classes = "".join(f", len(regexp_extract_all(t, '{p}')) {n}" for n, p in rules.CLASSES.items())
     names = ["n_symbols", "n_chars - word_chars", *rules.CLASSES]

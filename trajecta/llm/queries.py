@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import lm, oracles, pages, partenum, pieces, quality, rules, spans, urls, winnow
+from trajecta.llm import lm, negatives, oracles, pages, partenum, pieces, quality, rules, spans, urls, winnow
 
 PIECES = "piece_bpe_32k.model"
 
@@ -75,6 +75,13 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("perplexity", lm.perplexity(F.col("score"), F.col("n_tokens")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 50 is an anchor; the labels of ids divisible by 7 are wrong by one."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", wrong), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filters": op9_url_filters,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 #: The others rest on vocabulary files, on models, or on mining.
@@ -93,4 +101,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": oracles.DECONTAMINATION,
     "op6_quality_rules": oracles.QUALITY_RULES,
     "op8_jaccard_join": oracles.JACCARD,
+    "op11_hard_negatives": oracles.HARD_NEGATIVES,
 }
