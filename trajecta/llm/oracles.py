@@ -22,14 +22,18 @@ DECONTAMINATION = rf"""with d as (select doc_id, {_words(_FOLDED, r'[\x00-\x2F\x
 select doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
 from d left join n using (doc_id) left join k using (doc_id)"""
 
-JACCARD = rf"""with recursive d as (select doc_id, {_words(_FOLDED, r'[\x20\x09-\x0D]+')} w from documents),
+
+def _jaccard(percent: int, more: str = "") -> str:
+    return rf"""with recursive d as (select doc_id, {_words(_FOLDED, r'[\x20\x09-\x0D]+')} w from documents),
  g as (select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) end s from d),
  u as (select doc_id, len(s) n, unnest(s) x from g),
- p as (select a.doc_id a, b.doc_id b from u a join u b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+ p as (select a.doc_id a, b.doc_id b from u a join u b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
  e as (select a, b from p union select b, a from p),
  r(a, c) as (select doc_id, doc_id from g union select e.b, r.c from r join e on r.a = e.a and r.c < e.b)
-select g.doc_id, len(s) n_shingles, m component_id from g join (select a, min(c) m from r group by 1) on a = doc_id"""
+select g.doc_id, len(s) n_shingles, m component_id{more} from g join (select a, min(c) m from r group by 1) on a = doc_id"""
+
 
+JACCARD, NEAR_DUPLICATES = _jaccard(90), _jaccard(85, ", doc_id = m kept")
 
 HARD_NEGATIVES = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) e from embeddings
   where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import lm, negatives, oracles, pages, partenum, pieces, quality, rules, spans, urls, winnow
+from trajecta.llm import lm, negatives, oracles, pages, partenum, pieces, quality, rules, setsketch, spans, urls, winnow
 
 PIECES = "piece_bpe_32k.model"
 
@@ -82,6 +82,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(vectors.withColumn("label", wrong), F.col("vec_id") % 50 == 0)
 
 
+def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return setsketch.near_duplicates(docs, size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filters": op9_url_filters,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_near_duplicates": op12_near_duplicates,
 }
 
 #: The others rest on vocabulary files, on models, or on mining.
@@ -102,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": oracles.QUALITY_RULES,
     "op8_jaccard_join": oracles.JACCARD,
     "op11_hard_negatives": oracles.HARD_NEGATIVES,
+    "op12_near_duplicates": oracles.NEAR_DUPLICATES,
 }
