@@ -88,3 +88,19 @@ def test_bands_meet_as_often_as_they_should():
         a, b = sets(r, [(0, 400), (100, 500)]).reshape(2, setsketch.BANDS, setsketch.DEPTH)
         met += (a == b).all(axis=1).sum()
     assert abs(met / (300 * setsketch.BANDS) - 0.6**5) < 0.015
+
+
+def test_parities_bound_the_difference():
+    """Of sets of any sizes, so that longer parities are folded."""
+    r = np.random.default_rng(8)
+    sizes = [(0, n) for n in (3, 200, 255, 257, 300, 1000)] + [(5, 260), (40, 310), (900, 3000)]
+    value = r.integers(0, 2**64, 3000, dtype=np.uint64)
+    text = np.concatenate([np.full(b - a, i) for i, (a, b) in enumerate(sizes)])
+    column = setsketch._sketches(text, np.concatenate([value[a:b] for a, b in sizes]), len(sizes), 0)[0]
+    p = setsketch.Parities(column)
+    assert len(set(p.size)) > 2
+    a, b = (x.ravel() for x in np.indices((len(sizes),) * 2))
+    got = p.differing(a, p, b)
+    for i, j, k in zip(a, b, got):
+        apart = len(set(range(*sizes[i])) ^ set(range(*sizes[j])))
+        assert k <= apart and (k >= 0.7 * apart or apart > 100)

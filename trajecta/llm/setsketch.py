@@ -3,6 +3,9 @@
 A register holds the least of exponentially distributed hashes of a set's features, as the number of its exponentially spaced step
 (the base to the power -k), cut to 0..TOP + 1. Registers of a union are the larger ones of its parts. Two sets of similarity J agree in
 a register with a chance of about J, and which side has the larger one tells the rest, so both counts together give J.
+
+Before two sets are laid side by side, the parities of how many of their features fall in each of some bins are compared: sets
+differ in at least as many features as their parities in bins, so what this rules out cannot link.
 """
 
 from __future__ import annotations
@@ -11,12 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajecta.llm.arrowtext import blocks, mix, words
 from trajecta.llm.graph import components
-from trajecta.llm.partenum import _digests, _similar, _texts, shingles
+from trajecta.llm.partenum import SKETCH, _digests, _similar, _sketches, _texts, shingles
 from trajecta.llm.scratch import Scratch, key_filter, passes, plain
 
 #: Bands, and registers of a band: sets of similarity 0.85 share no band with a chance of (1 - 0.85^5)^40 = 7e-11.
@@ -76,7 +81,7 @@ def similarity(above: np.ndarray, below: np.ndarray, size_a: np.ndarray, size_b:
 
 
 def _described(rows: DataFrame, size: int) -> DataFrame:
-    """(id, n, key, registers) of each text's set; the registers are null in rows whose set a row of the same block has too."""
+    """(id, n, key, registers, parity) of each text's set; registers and parity are null in rows whose set a row of the same block has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,17 +92,57 @@ def _described(rows: DataFrame, size: int) -> DataFrame:
                 new[np.unique(key, return_index=True)[1]] = True
                 new &= n > 0
                 number, mine = np.cumsum(new) - 1, new[text]
-                got = registers(number[text[mine]], value[mine], int(new.sum()))
-                listed = pa.array([got[number[i]].tobytes() if new[i] else None for i in range(b - a)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(key.view(np.int64)), listed], names=["id", "n", "key", "registers"])
+                few, own = int(new.sum()), (number[text[mine]], value[mine])
+                listed = pa.array([r.tobytes() for r in registers(*own, few)], pa.binary())
+                parity = _sketches(*own, few, 0)[0]
+                at = pa.array(number, mask=~new)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(key.view(np.int64)), listed.take(at), parity.take(at)], names=["id", "n", "key", "registers", "parity"])
 
-    return rows.mapInArrow(run, rows.select("id").schema.add("n", "long").add("key", "long").add("registers", "binary"))
+    return rows.mapInArrow(run, rows.select("id").schema.add("n", "long").add("key", "long").add("registers", "binary").add("parity", T.ArrayType(T.LongType())))
 
 
 def _unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, _N)
 
 
+class Parities:
+    """Parities of the rows of a column, which have 64 bins a number and powers of two of numbers, at least SKETCH bins."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        self.size = np.asarray(pc.list_value_length(column)).astype(np.int64)
+        flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        start = np.cumsum(self.size) - self.size
+        self.place = np.zeros(len(self.size), dtype=np.int64)
+        self.whole: dict[tuple[int, int], np.ndarray] = {}
+        for k in np.unique(self.size):
+            rows = np.flatnonzero(self.size == k)
+            self.place[rows] = np.arange(len(rows))
+            self.whole[k, k] = flat[start[rows][:, None] + np.arange(k)]
+
+    def folded(self, rows: np.ndarray, size: int, to: int) -> np.ndarray:
+        """Parities of rows that have `size` numbers, in `to` of them: two bins that become one have the parity of their sum."""
+        if (size, to) not in self.whole:
+            s = self.whole[size, size]
+            while s.shape[1] > to:
+                half = s.shape[1] // 2
+                s = s[:, :half] ^ s[:, half:]
+            self.whole[size, to] = s
+        return self.whole[size, to][self.place[rows]]
+
+    def differing(self, a: np.ndarray, other: Parities, b: np.ndarray) -> np.ndarray:
+        """In how many bins row a[i] here and row b[i] there differ."""
+        out = np.zeros(len(a), dtype=np.int64)
+        for m in np.unique(self.size[a]):
+            for n in np.unique(other.size[b]):
+                both = np.flatnonzero((self.size[a] == m) & (other.size[b] == n))
+                to = min(m, n)
+                for i in range(0, len(both), GIVEN // SKETCH + 1):
+                    k = both[i : i + GIVEN // SKETCH + 1]
+                    out[k] = np.bitwise_count(self.folded(a[k], m, to) ^ other.folded(b[k], n, to)).sum(axis=1)
+        return out
+
+
 def _bands(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """(key, signature) of the bands of (key, registers) rows."""
     r = _unpacked(batch.column(1)).astype(np.uint64).reshape(-1, BANDS, DEPTH)
@@ -153,41 +198,55 @@ def _likely(n_a: np.ndarray, n_b: np.ndarray, above: np.ndarray, below: np.ndarr
     return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & at_least(above, below, n_a, n_b, least)
 
 
+def _close(n_a: np.ndarray, n_b: np.ndarray, differing: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs that differ in so few bins that they may link: linking sets differ in at most (100 - p) / (100 + p) (a + b) features."""
+    return (100 + percent) * differing <= (100 - percent) * (n_a + n_b)
+
+
 def _apart(cells: DataFrame, percent: int, least: float) -> DataFrame:
-    """Likely pairs (a, b) of different roots in the cells (sig, kind, x, y) of rows (key, n, registers, root, side).
+    """Pairs (a, b) of different roots that may link, in the cells (sig, kind, x, y) of rows (key, n, registers, parity, root, side).
 
-    In a cell of two sides, side 0 meets side 1; in a cell of one, each row meets the others.
+    In a cell of two sides, side 0 meets side 1; in a cell of one, each row meets the others. A pair that shares several bands is given in
+    the cell of the first.
     """
 
     def run(cell: pa.Table) -> pa.Table:
         key, n, root, side = (cell[c].to_numpy() for c in ("key", "n", "root", "side"))
-        r = _unpacked(cell["registers"])
+        r, parity = _unpacked(cell["registers"]), Parities(cell["parity"])
+        deep = r.reshape(len(r), BANDS, DEPTH)
+        signatures = _bands(pa.RecordBatch.from_arrays([pa.array(key[:1]), cell["registers"].chunk(0).slice(0, 1)], names=["key", "registers"]))[1]
+        here = int(np.flatnonzero(signatures == cell["sig"][0].as_py())[0])
         one = np.flatnonzero(side == 0)
         two = np.flatnonzero(side == 1) if side.any() else one
         found = [(np.zeros(0, dtype=np.int64),) * 2]
         for i in one:
             j = two[(root[two] != root[i]) & ((two > i) | (side[two] == 1))]
-            fits = j[_likely(n[i], n[j], (r[i] > r[j]).sum(axis=1), (r[i] < r[j]).sum(axis=1), percent, least)]
-            found.append((np.full(len(fits), key[i]), key[fits]))
+            j = j[_likely(n[i], n[j], (r[i] > r[j]).sum(axis=1), (r[i] < r[j]).sum(axis=1), percent, least)]
+            if len(j):
+                j = j[(deep[j] == deep[i]).all(axis=2).argmax(axis=1) == here]
+                found.append((np.full(len(j), i), j))
         a, b = (np.concatenate(x) for x in zip(*found))
+        may = _close(n[a], n[b], parity.differing(a, parity, b), percent)
+        a, b = key[a[may]], key[b[may]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return cells.groupBy("sig", "kind", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def _met_likely(pairs: DataFrame, classes: DataFrame, percent: int, least: float) -> DataFrame:
-    """The likely ones of the pairs (a, b)."""
-    one, two = (classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")) for x in "ab")
+    """Those of the pairs (a, b) that are likely and may link."""
+    one, two = (classes.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "registers", "parity"))) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                n_a, n_b = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-                a, b = _unpacked(batch.column(3)), _unpacked(batch.column(5))
-                likely = pa.array(_likely(n_a, n_b, (a > b).sum(axis=1), (a < b).sum(axis=1), percent, least))
-                yield batch.select([0, 1]).filter(likely)
+                n_a, n_b = batch.column(2).to_numpy(), batch.column(5).to_numpy()
+                a, b = _unpacked(batch.column(3)), _unpacked(batch.column(6))
+                likely = np.flatnonzero(_likely(n_a, n_b, (a > b).sum(axis=1), (a < b).sum(axis=1), percent, least))
+                differing = Parities(batch.column(4)).differing(likely, Parities(batch.column(7)), likely)
+                yield batch.select([0, 1]).take(pa.array(likely[_close(n_a[likely], n_b[likely], differing, percent)]))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "ra", "nb", "rb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", *(f"{c}_{x}" for x in "ab" for c in ("n", "registers", "parity"))).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -201,7 +260,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Equal sets are one class. Classes that share a band are candidates: first each with the central class of the band, then, of a band
     whose classes are still in several components, those of different components, in blocks of bounded size. Of the candidates the
-    likely ones, by registers and sizes, are confirmed on their full sets. Links are found up to the chance that a pair
+    likely ones, by registers and sizes, are confirmed on their full sets, but for those that parities rule out. Links are found up to the chance that a pair
     shares no band (7e-11 at 0.85, 2e-7 at 0.8) or is estimated SPARE deviations too low; none is dropped, capped or left unconfirmed.
     """
     spark = docs.sparkSession
@@ -211,7 +270,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(plain(doc_id).alias("id"), plain(text).alias("text"))
     described = scratch.table(_described(rows, size))
     members = scratch.table(described.select("id", "n", "key"))
-    classes = scratch.table(described.where("registers is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("registers").alias("registers")))
+    classes = scratch.table(described.where("registers is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "registers", "parity"))))
     scratch.drop(described)
 
     # classes of one band: pairs, and crowds around the class that meets most others
