@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.llm import lm, negatives, oracles, pages, partenum, pieces, quality, rules, setsketch, spans, urls, winnow
+from trajecta.llm import lm, negatives, oracles, pages, partenum, pieces, quality, rules, setsketch, spans, spelling, urls, winnow
 
 PIECES = "piece_bpe_32k.model"
 
@@ -87,6 +87,11 @@ def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(docs, size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spelling.spelling_variants(docs, altered=31)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_near_duplicates": op12_near_duplicates,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: The others rest on vocabulary files, on models, or on mining.
