@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajecta.operators.quantiles import quantiles
+
 #: Fixed valid ranges of the measurements (low, high); None is open.
 VALID = {
     "bicarbonate": (5, 50), "bun": (5, None), "fio2": (21, 100), "heart_rate": (25, None), "pco2": (0, 125),
@@ -54,6 +56,12 @@ def trimmed(df: DataFrame, low: Sequence[str] = (), high: Sequence[str] = (), sd
     return df
 
 
+def _medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, __m_column for each column)."""
+    at = [F.max(F.when(F.col("column") == c, F.get("q", F.lit(0)))).alias(f"__m_{c}") for c in columns]
+    return quantiles(df, columns, [0.5], by).groupBy(*by).agg(*at)
+
+
 def imputed(df: DataFrame, columns: Sequence[str], zero_if: Sequence[str] = ("crrt", "hd", "mv")) -> DataFrame:
     """Nulls become the column's exact median, or 0 where the name contains one of `zero_if`."""
     zero = [c for c in columns if any(z in c for z in zero_if)]
@@ -61,13 +69,13 @@ def imputed(df: DataFrame, columns: Sequence[str], zero_if: Sequence[str] = ("cr
     out = df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zero})
     if not rest:
         return out
-    stats = df.agg(*(F.percentile(c, F.lit(0.5)).alias(f"__m_{c}") for c in rest))
+    stats = _medians(df, rest)
     return _one_row(out, stats).withColumns({c: F.coalesce(F.col(c), F.col(f"__m_{c}")) for c in rest}).drop(*(f"__m_{c}" for c in rest))
 
 
 def imputed_by(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """Nulls become the median of the row's group; a null group is a group."""
-    stats = df.groupBy(F.col(group).alias("__g")).agg(*(F.percentile(c, F.lit(0.5)).alias(f"__m_{c}") for c in columns))
+    stats = _medians(df, columns, [group]).withColumnRenamed(group, "__g")
     joined = df.join(stats, F.col(group).eqNullSafe(F.col("__g")), "left")
     return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__m_{c}")) for c in columns}).drop("__g", *(f"__m_{c}" for c in columns))
 

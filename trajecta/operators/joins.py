@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_rows(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
@@ -29,30 +30,60 @@ def within(df: DataFrame, windows: DataFrame, key: str, at: str, start: str, sto
     return df.join(windows, key).where((F.col(at) >= F.col(start) - F.make_dt_interval(days=F.lit(before_days))) & (F.col(at) <= F.col(stop)))
 
 
+def _slot(df: DataFrame, at: str) -> Column:
+    """The 4096 seconds that a time lies in: of a timestamp's instant, or of the wall clock where there is no zone."""
+    kind = df.schema[at].dataType
+    if isinstance(kind, T.TimestampNTZType):
+        seconds = F.unix_date(F.to_date(at)).cast("long") * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    elif isinstance(kind, T.DateType):
+        seconds = F.unix_date(at).cast("long") * 86400
+    else:
+        seconds = F.unix_seconds(F.col(at).cast("timestamp"))
+    return F.shiftright(seconds, 12)
+
+
+def _levelled(spans: DataFrame, start: str, stop: str, mark: str) -> DataFrame:
+    """Spans with their first and last slot and the level, the least of which two nodes of 2^level slots hold the span (columns __s, __e, __l and the mark)."""
+    slots = spans.withColumns({f"__s{mark}": _slot(spans, start), f"__e{mark}": _slot(spans, stop)})
+    return slots.withColumn(f"__l{mark}", F.ceil(F.log2(F.greatest(F.expr(f"__e{mark} - __s{mark}"), F.lit(1)))).cast("int"))
+
+
+def _levels(spans: DataFrame, key: str, mark: str) -> DataFrame:
+    """(key, __levels): those that the key's spans have."""
+    return spans.groupBy(key).agg(F.collect_set(f"__l{mark}").alias("__levels"))
+
+
 def stab(df: DataFrame, spans: DataFrame, key: str, at: str, start: str, stop: str, tail_hours: int = 48, closed: bool = True) -> DataFrame:
     """Pairs of rows and spans of the same key with at in [start, stop + tail].
 
-    Spans are dealt to the days they touch, so the join is on (key, day) and a key with many rows and many spans is not
-    compared all with all. Null ends mean the start.
+    Time is parted at levels, in nodes of 2^level slots. A span is dealt to the one or two nodes that it touches at the level of its
+    length, and a row to its node at each level that its key's spans have; so the join is on (key, level, node), a span of
+    a century is two rows like one of an hour, and a key with many rows and many spans is not compared all with all. Null ends mean the start.
     """
     ends = F.coalesce(F.col(stop), F.col(start)) + F.make_dt_interval(hours=F.lit(tail_hours))
-    dealt = spans.where(F.col(start).isNotNull()).withColumn("__end", ends)
-    dealt = dealt.where(F.col("__end") >= F.col(start)).withColumn("__day", F.explode(F.sequence(F.to_date(start), F.to_date("__end"))))
-    found = df.withColumn("__day", F.to_date(at)).join(dealt, [key, "__day"])
+    lasting = spans.where(F.col(start).isNotNull()).withColumn("__end", ends)
+    lasting = _levelled(lasting.where(F.col("__end") >= F.col(start)), start, "__end", "")
+    dealt = lasting.withColumn("__n", F.explode(F.expr("sequence(shiftright(__s, __l), shiftright(__e, __l))")))
+    rows = df.withColumn("__at", _slot(df, at)).join(_levels(lasting, key, ""), key).withColumn("__l", F.explode("__levels")).withColumn("__n", F.expr("shiftright(__at, __l)"))
+    found = rows.drop("__at", "__levels").join(dealt.drop("__s", "__e"), [key, "__l", "__n"])
     inside = (F.col(at) >= F.col(start)) & (F.col(at) <= F.col("__end")) if closed else (F.col(at) > F.col(start)) & (F.col(at) < F.col("__end"))
-    return found.where(inside).drop("__day", "__end")
+    return found.where(inside).drop("__l", "__n", "__end")
 
 
 def overlap(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str], out: tuple[str, str] = ("w_start", "w_stop")) -> DataFrame:
     """Pairs of the same key whose intervals overlap for more than an instant, with the common part.
 
-    Both sides are dealt to the days they touch, and a pair meets on the first day that both do, so a key with many
-    intervals is not compared all with all.
+    Intervals are dealt to nodes as the spans of `stab` are, at their own level and at the longer ones that the other side has in the key. A
+    pair meets at the level of its longer interval, in the node where the later of them starts.
     """
-    def dealt(df: DataFrame, ends: tuple[str, str]) -> DataFrame:
-        return df.where(F.col(ends[0]) <= F.col(ends[1])).withColumn("__day", F.explode(F.sequence(F.to_date(ends[0]), F.to_date(ends[1]))))
+    one, two = (_levelled(df.where(F.col(ends[0]) <= F.col(ends[1])), *ends, mark) for df, ends, mark in ((left, a, "a"), (right, b, "b")))
+
+    def dealt(df: DataFrame, mark: str, others: DataFrame) -> DataFrame:
+        levels = F.expr(f"array_union(filter(__levels, x -> x > __l{mark}), if(array_min(__levels) <= __l{mark}, array(__l{mark}), array()))")
+        return df.join(others, key).withColumn("__l", F.explode(levels)).drop("__levels").withColumn("__n", F.explode(F.expr(f"sequence(shiftright(__s{mark}, __l), shiftright(__e{mark}, __l))")))
 
-    both = dealt(left, a).join(dealt(right, b), [key, "__day"]).where(F.col("__day") == F.greatest(F.to_date(a[0]), F.to_date(b[0]))).drop("__day")
+    met = dealt(one, "a", _levels(two, key, "b")).join(dealt(two, "b", _levels(one, key, "a")), [key, "__l", "__n"])
+    both = met.where("__l = greatest(__la, __lb) and __n = shiftright(greatest(__sa, __sb), __l)").drop("__l", "__n", *(f"__{x}{mark}" for x in "sel" for mark in "ab"))
     both = both.withColumn(out[0], F.greatest(a[0], b[0])).withColumn(out[1], F.least(a[1], b[1]))
     return both.where(F.col(out[1]) > F.col(out[0]))
 
@@ -75,11 +106,23 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, seen: str, least
     return met.select("__left.*", *(F.when(fits, F.col(f"__seen.{c}")).alias(c) for c in rest))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, at: Column, seen: str, k: int, *ties: Column | str) -> DataFrame:
-    """For each left row the k right rows of its key nearest to a time, with apart_days and rank."""
-    apart = F.abs(F.timestamp_diff("MICROSECOND", at, F.col(seen)) / F.lit(86400e6))
-    both = left.join(right, key).withColumn("apart_days", apart)
-    return both.withColumn("rank", F.row_number().over(W.partitionBy(*left.columns).orderBy("apart_days", *ties))).where(F.col("rank") <= k)
+def nearest(left: DataFrame, right: DataFrame, key: str, at: Column, seen: str, k: int, *ties: str) -> DataFrame:
+    """For each left row the k right rows of its key nearest to a time, of equally near ones the least `ties`, with apart_days and rank.
+
+    The right rows of a key are numbered by time. A left row's place among them comes from one line of both sides, and it is joined with
+    the k numbers before and the k after that place, so no other pair is made. Rows without a time match nothing.
+    """
+    known = right.where(F.col(seen).isNotNull())
+    by = W.partitionBy(key)
+    numbered = known.withColumn("__after", F.row_number().over(by.orderBy(F.col(seen).asc(), *(F.col(c).asc() for c in ties)))).withColumn("__before", F.row_number().over(by.orderBy(F.col(seen).asc(), *(F.col(c).desc() for c in ties))))
+    names = left.columns
+    line = known.select(key, F.col(seen).alias("__t"), F.lit(0).alias("__side")).unionByName(left.select(key, at.alias("__t"), F.lit(1).alias("__side"), F.struct(*names).alias("__left")), allowMissingColumns=True)
+    upto = F.count_if(F.col("__side") == 0).over(by.orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = line.withColumn("__c", upto.cast("int")).where("__side = 1 and __t is not null").select("__left.*", "__t", "__c")
+    before = placed.withColumn("__before", F.explode(F.sequence(F.col("__c") - (k - 1), F.col("__c")))).join(numbered.drop("__after"), [key, "__before"]).drop("__before")
+    after = placed.withColumn("__after", F.explode(F.sequence(F.col("__c") + 1, F.col("__c") + k))).join(numbered.drop("__before"), [key, "__after"]).drop("__after")
+    both = before.unionByName(after).withColumn("apart_days", F.abs(F.timestamp_diff("MICROSECOND", F.col("__t"), F.col(seen)) / F.lit(86400e6))).drop("__t", "__c")
+    return both.withColumn("rank", F.row_number().over(W.partitionBy(*names).orderBy("apart_days", *ties))).where(F.col("rank") <= k)
 
 
 def all_pairs(df: DataFrame, key: str, rows: int = 250) -> DataFrame:

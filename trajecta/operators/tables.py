@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajecta.operators.quantiles import quantiles
+
 TOTAL = "Total"
 
 
@@ -32,24 +34,25 @@ def mean_sd(df: DataFrame, label: str, value: str) -> DataFrame:
 
 
 def median_iqr(df: DataFrame, label: str, value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return _by_label(df, label, F.count(value).alias("n"), q.alias("__q")).select(label, "n", *(F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))))
+    """(label, n, q1, median, q3), each label and the total."""
+    both = df.select(F.explode(F.array(F.col(label).cast("string"), F.lit(TOTAL))).alias(label), F.col(value).alias(value))
+    return quantiles(both, [value], (0.25, 0.5, 0.75), [label]).select(label, "n", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))))
 
 
 def long_table(df: DataFrame, label: str, flags: Sequence[str], values: Sequence[str]) -> DataFrame:
     """(label, row, kind, n, a, b, c) of all flags (count, share) and values (median, quartiles): the data of a formatted table.
 
-    Rows are unpivoted once and summed by (row, label) in one rollup, so the table costs two shuffles whatever its length.
+    All flags are summed in one pass and the quantiles of all values narrowed together, whatever the table's length.
     """
-    parts = [F.struct(F.lit(f).alias("row"), F.lit("count").alias("kind"), F.col(f).cast("double").alias("v")) for f in flags]
-    parts += [F.struct(F.lit(v).alias("row"), F.lit("median").alias("kind"), F.col(v).cast("double").alias("v")) for v in values]
-    tall = df.select(label, F.explode(F.array(*parts)).alias("e")).select(label, "e.*")
-    q = F.percentile("v", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))
-    sums = tall.groupBy("row", "kind", F.expr(f"`{label}`").alias(label)).agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.avg("v").alias("m"), q.alias("q"))
-    whole = tall.groupBy("row", "kind").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.avg("v").alias("m"), q.alias("q")).withColumn(label, F.lit(TOTAL))
-    both = sums.withColumn(label, F.col(label).cast("string")).unionByName(whole)
-    is_count = F.col("kind") == "count"
-    return both.select(label, "row", "kind", "n", F.when(is_count, F.col("s")).otherwise(F.get("q", F.lit(0))).alias("a"), F.when(is_count, F.col("m")).otherwise(F.get("q", F.lit(1))).alias("b"), F.when(~is_count, F.get("q", F.lit(2))).alias("c"))
+    both = df.withColumn(label, F.explode(F.array(F.col(label).cast("string"), F.lit(TOTAL))))
+    rows = [F.struct(F.lit(f).alias("row"), F.count(f).alias("n"), F.sum(F.col(f).cast("double")).alias("a"), F.avg(F.col(f).cast("double")).alias("b")) for f in flags]
+    out = []
+    if flags:
+        out.append(both.groupBy(label).agg(F.array(*rows).alias("e")).withColumn("e", F.explode("e")).select(label, "e.row", F.lit("count").alias("kind"), "e.n", "e.a", "e.b", F.lit(None).cast("double").alias("c")))
+    if values:
+        q = quantiles(both, values, (0.5, 0.25, 0.75), [label])
+        out.append(q.select(label, F.col("column").alias("row"), F.lit("median").alias("kind"), "n", *(F.get("q", F.lit(i)).alias(c) for i, c in enumerate("abc"))))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def rate_spread(df: DataFrame, label: str, flag: str) -> DataFrame:

@@ -547,14 +547,24 @@ def q_dtw_pairs(spark, d):
     return alignment.aligned(pairs, "values", "values2", alignment.Costs.of_weights([1.0, 1.2, 1.5, 1.3], 0.35)).select("id", "id2", *(r6(c).alias(c) for c in ("distance", "extension_a", "extension_b")))
 
 
+def _vector_edges(spark: SparkSession, d: str) -> DataFrame:
+    """(id1, id2, d): Euclidean distances of all embeddings, of integers so that no order of a sum shows."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x * 1000)).alias("v"))
+    squares = F.aggregate(F.zip_with("v", "v2", lambda x, y: (x - y) * (x - y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return joins.all_pairs(v, "id").select(F.col("id").alias("id1"), F.col("id2"), F.sqrt(squares).alias("d"))
+
+
 @query("q_ward")
 def q_ward(spark, d):
-    """Ward clusters of the labels' mean vectors."""
-    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("x"))
-    v = e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("v"))
-    pairs = joins.all_pairs(v.select(F.col("label").cast("long").alias("id"), "v"), "id")
-    edges = pairs.select(F.col("id").alias("id1"), "id2", F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)).alias("d"))
-    return clustering.agglomerated(edges, 3)
+    """Ward tree of all embeddings, cut into 8: the label and size of each one's cluster."""
+    got = clustering.agglomerated(_vector_edges(spark, d), 8)
+    return got.join(got.groupBy("label").agg(F.count("*").alias("size")), "label").select("id", "label", "size")
+
+
+@query("q_ward_tree")
+def q_ward_tree(spark, d):
+    """Merges of the Ward tree of all embeddings."""
+    return clustering.linkage(_vector_edges(spark, d)).select("a", "b", r6("height").alias("height"), "size")
 
 
 @query("q_dba")
