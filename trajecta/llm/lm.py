@@ -5,7 +5,8 @@ All restaurants share one parent over the words. A pair of words met once has on
 such pairs a context or a dish has follows from its count and its other pairs. Pairs met more often, their seats, contexts and
 dishes are Spark tables. What is broadcast holds words or pairs of a least share of all tokens, so at most one over that share of them.
 
-A word is written as its rank if it has the share KNOWN, else as its hash with the highest bit set, so it is negative.
+A word is written as its rank if it has the share KNOWN, else as its hash with the highest bit set, so it is negative. Only
+how a word is found depends on that: all words are seated by one rule, and draws depend on words and pairs by their hashes.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ KNOWN, FREQUENT = 1e-6, 5e-7
 #: Discount and strength of the context restaurants and of their parent.
 INNER, PARENT = (0.7, 2.0), (0.5, 2.0)
 #: Sweeps before the first sample, samples averaged, parts of the rows that take turns in a sweep, rounds of sweeps.
-BURN, SAMPLES, MOVES, ROUNDS = 1, 2, 2, 2
+BURN, SAMPLES, MOVES, ROUNDS = 1, 3, 2, 2
 #: Hashes of the end of a text and of what is before its first token.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+SIGN = np.int64(-(2**63))
 #: Tokens that a task gathers before it sums them up.
 GATHERED = 2_000_000
 #: Rows seated together in a group.
@@ -80,15 +82,24 @@ class Lookup:
         self.count = np.concatenate([[0], c[rank]])
         order = np.argsort(h[rank])
         self.h, self.rank = h[rank][order], order + 1
+        self.names = np.concatenate([START.view(np.int64)[None], h[rank]]) | SIGN
 
     def code(self, value: np.ndarray) -> np.ndarray:
         v = value.view(np.int64)
-        other = v | np.int64(-(2**63))
+        other = v | SIGN
         if not len(self.h):
             return other
         at = np.minimum(np.searchsorted(self.h, v), len(self.h) - 1)
         return np.where(self.h[at] == v, self.rank[at], other)
 
+    def name(self, code: np.ndarray) -> np.ndarray:
+        """The code that a word would have if it weren't known."""
+        return np.where(code >= 0, self.names[np.maximum(code, 0)], code)
+
+    def pair(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """A key of each pair, whether its words are known or not."""
+        return mix(mix(self.name(u).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + self.name(w).view(np.uint64)).view(np.int64)
+
 
 def _before(text: np.ndarray, code: np.ndarray) -> np.ndarray:
     """The context of each token: the word before, 0 for the first."""
@@ -107,12 +118,8 @@ def _grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(mix(u.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + w.view(np.uint64)).view(np.int64)
-
-
 def _pairs(docs: DataFrame, lookup) -> DataFrame:
-    """(u, w, c) of `docs` (learn, text): pairs that were learned twice or more, c times, or once and stand in a text that wasn't learned from."""
+    """(u, w, c, k) of `docs` (learn, text): pairs that were learned twice or more, c times, or once and stand in a text that wasn't learned from. k: `Lookup.pair`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -138,39 +145,35 @@ def _pairs(docs: DataFrame, lookup) -> DataFrame:
             yield summed()
 
     sums = docs.mapInArrow(run, "u long, w long, c int, asked int").groupBy("u", "w").agg(F.sum("c").alias("c"), F.max("asked").alias("asked"))
-    return sums.where("c > 1 or (c = 1 and asked = 1)").select("u", "w", "c")
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lookup.value.pair(u, w))], names=["u", "w", "c", "k"])
+
+    return sums.where("c > 1 or (c = 1 and asked = 1)").select("u", "w", "c").mapInArrow(keyed, "u long, w long, c long, k long")
 
-def _seated(rows: DataFrame, known, opened: float, served: float, base: float, n_parts: int, burn: int, samples: int, seed: int) -> DataFrame:
-    """(u, w, c, tables) of `rows` (row, u, w, c, a, o), dealt by the pair where the word is known, so a heavy one is dealt to all parts, else by word.
 
-    A row is a pair of words and its restaurant's weight a of a new table; where `row` is false it stands for a word that isn't
-    known, with the tables (c) that pairs met once open for it, and its tables o in the parent. For known words these and
-    their tables and customers elsewhere come from the round before (`known`: alone, customers, tables, parent's tables, by rank).
+def _seated(rows: DataFrame, opened: float, served: float, base: float, n_parts: int, burn: int, samples: int, seed: int) -> DataFrame:
+    """(u, w, c, k, tables) of `rows` (u, w, c, k, t, a, s, o), dealt by the pair to groups that are seated apart from each other.
+
+    A row is a pair of words with its customers c, its tables t so far and its restaurant's weight a of a new table; s are the tables
+    of the word in all restaurants so far, o those in the parent. A group takes the tables of the word's other rows as they are.
     """
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
-        row, u, w, c, a, o = (part[x].to_numpy() for x in ("row", "u", "w", "c", "a", "o"))
-        order = np.lexsort((u, row, w))
-        pair = row[order].astype(bool)
-        met, told = order[pair], order[~pair]
-        word, dish = np.unique(w[order], return_inverse=True)
-        of, alone, parent = dish[pair], np.zeros(len(word)), np.zeros(len(word))
-        alone[dish[~pair]], parent[dish[~pair]] = c[told], o[told]
-        own = np.bincount(of, c[met], minlength=len(word))
-        top = np.flatnonzero(word >= 0)
-        single, customers, tables, over = (x[word[top]] for x in known.value)
-        alone[top] = single + np.maximum(tables - single, 0) * np.maximum(1 - own[top] / np.maximum(customers, 1), 0)
-        parent[top] = over
-        t = gibbs(c[met], of, a[met], base, INNER, (*PARENT, opened, served), burn, samples, MOVES, seed + key[0].as_py(), alone, parent)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(met) + 1, dtype=np.int32) * samples), pa.array(t.ravel()))
-        return pa.table({"u": u[met], "w": w[met], "c": c[met], "tables": lists})
-
-    dealt = rows.withColumn("part", F.pmod(F.when(F.col("w") < 0, F.xxhash64("w")).otherwise(F.xxhash64("u", "w")), F.lit(n_parts)))
-    return dealt.repartition(n_parts, "part").groupBy("part").applyInArrow(run, "u long, w long, c long, tables array<long>")
-
-
-def _over(dishes: DataFrame, n: int, base: float, opened: float, seed: int) -> DataFrame:
+        u, w, c, k, t, a, s, o = (part[x].to_numpy() for x in ("u", "w", "c", "k", "t", "a", "s", "o"))
+        _, first, dish = np.unique(w, return_index=True, return_inverse=True)
+        elsewhere = s[first] - np.bincount(dish, t, minlength=len(first))
+        seats = gibbs(c, dish, a, base, INNER, (*PARENT, opened, served), burn, samples, MOVES, seed, elsewhere, o[first], t, k)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * samples), pa.array(seats.ravel()))
+        return pa.table({"u": u, "w": w, "c": c, "k": k, "tables": lists})
+
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(n_parts)))
+    return dealt.repartition(n_parts, "part").groupBy("part").applyInArrow(run, "u long, w long, c long, k long, tables array<long>")
+
+
+def _over(dishes: DataFrame, lookup, n: int, base: float, opened: float, seed: int) -> DataFrame:
     """`dishes` (w, ..., served: tables below, n of them) with `over`, drawn tables in the parent: by numbers that depend on the word alone."""
     fields = T.StructType([*dishes.schema.fields, T.StructField("over", T.ArrayType(T.LongType()))])
     at_w, at_served = dishes.columns.index("w"), dishes.columns.index("served")
@@ -179,7 +182,7 @@ def _over(dishes: DataFrame, n: int, base: float, opened: float, seed: int) -> D
         for batch in batches:
             if not batch.num_rows:
                 continue
-            w = batch.column(at_w).to_numpy(zero_copy_only=False).view(np.uint64)
+            w = lookup.value.name(batch.column(at_w).to_numpy(zero_copy_only=False)).view(np.uint64)
             served = batch.column(at_served).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
             out = np.zeros(served.shape, dtype=np.int64)
             for i in range(n):
@@ -240,26 +243,24 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     starts = learned.agg(F.lit(0).cast("long").alias("w"), F.count("*").alias("c"))
     contexts = vocab.union(starts).select(F.col("w").alias("u"), F.col("c").alias("n")).join(of_u, "u", "left").select("u", "n", (F.col("n") - F.coalesce("in_many", zero)).alias("single"), F.coalesce("rows", zero).alias("rows"))
     contexts = scratch.table(contexts.select("u", "n", "single", (F.col("single") + F.col("rows")).cast("double").alias("t")))
-    dishes = vocab.join(of_w, "w", "left").select("w", (F.col("c") - F.coalesce("in_many", zero)).alias("alone"), F.coalesce("in_many", zero).alias("customers"), F.coalesce("rows", zero).alias("rows"))
+    dishes = vocab.join(of_w, "w", "left").select("w", (F.col("c") - F.coalesce("in_many", zero)).alias("alone"), F.coalesce("rows", zero).alias("rows"))
     base, opened, served = 1.0 / (n_types + 1), float(n_types + 1), float(pairs.count())
-    dishes = scratch.table(_over(dishes.withColumn("served", F.array(F.col("alone") + F.col("rows"))), 1, base, opened, 1))
+    dishes = scratch.table(_over(dishes.withColumn("served", F.array(F.col("alone") + F.col("rows"))), lookup, 1, base, opened, 1))
     n_parts = many.count() // GROUP + 1
+    seats = None
 
     for turn in range(1, ROUNDS + 1):
         samples = SAMPLES if turn == ROUNDS else 1
-        top = dishes.where("w >= 0").select("w", "alone", "customers", F.get("served", F.lit(0)).alias("served"), F.get("over", F.lit(0)).alias("over")).toArrow()
-        at = top["w"].to_numpy()
-        by_rank = np.zeros((4, n_known + 1))
-        for i, c in enumerate(("alone", "customers", "served", "over")):
-            by_rank[i, at] = top[c].to_numpy()
-        of_known = sc.broadcast(by_rank)
-        rows = _attached(many, "u", contexts.select("u", (s1 + d1 * F.col("t")).alias("a")), "u").select(F.lit(True).alias("row"), "u", "w", "c", "a", zero.alias("o"))
-        rest = dishes.where("w < 0 and rows > 0").select(F.lit(False), zero, "w", "alone", F.lit(0.0), F.get("over", F.lit(0)))
-        seats = scratch.table(_seated(rows.union(rest), of_known, opened, served, base, n_parts, BURN, samples, 100 * turn))
+        rows = many.withColumn("t", F.lit(1).cast("long")) if seats is None else seats.select("u", "w", "c", "k", F.get("tables", F.lit(0)).alias("t"))
+        rows = _attached(rows, "u", contexts.select("u", (s1 + d1 * F.col("t")).alias("a")), "u")
+        rows = _attached(rows, "w", dishes.select("w", F.get("served", F.lit(0)).alias("s"), F.get("over", F.lit(0)).alias("o")), "w")
+        held, seats = seats, scratch.table(_seated(rows, opened, served, base, n_parts, BURN, samples, 100 * turn))
+        if held is not None:
+            scratch.drop(held)
         sat = [F.sum(F.get("tables", F.lit(i))) for i in range(samples)]
         below = seats.groupBy("w").agg(*(x.alias(f"t{i}") for i, x in enumerate(sat)))
         dishes = dishes.drop("served", "over").join(below, "w", "left").withColumn("served", F.array(*(F.col("alone") + F.coalesce(f"t{i}", zero) for i in range(samples))))
-        dishes = scratch.table(_over(dishes.select("w", "alone", "customers", "rows", "served"), samples, base, opened, turn + 1))
+        dishes = scratch.table(_over(dishes.select("w", "alone", "served"), lookup, samples, base, opened, turn + 1))
         here = seats.groupBy("u").agg(*(x.alias(f"t{i}") for i, x in enumerate(sat)))
         sat = [F.col("single") + F.coalesce(f"t{i}", zero) for i in range(samples)]
         contexts = scratch.table(contexts.drop("t").join(here, "u", "left").select("u", "n", "single", F.array(*sat).alias("sat"), (sum(sat[1:], sat[0]) / samples).alias("t")))
@@ -278,16 +279,11 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
         return F.log10(sum(terms[1:], terms[0]) / SAMPLES)
 
     ones = F.array(*(F.lit(1).cast("long") for _ in ks))
-    laid = seats.select("u", "w", "c", "tables").union(pairs.where("c = 1").select("u", "w", "c", ones))
+    laid = seats.select("u", "w", "c", "k", "tables").union(pairs.where("c = 1").select("u", "w", "c", "k", ones))
     laid = _attached(_attached(laid, "u", backs, "u"), "w", tops, "w")
     of_pair = mean_of([F.get("back", F.lit(i)) * F.get("top", F.lit(i)) + (F.col("c") - d1 * F.get("tables", F.lit(i))) / (s1 + F.col("n")) for i in ks])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_pair_key(u, w))], names=["u", "w", "c", "p", "k"])
-
-    laid = scratch.table(laid.select("u", "w", "c", of_pair.alias("p")).mapInArrow(keyed, "u long, w long, c long, p double, k long"))
+    laid = scratch.table(laid.select("u", "w", "c", of_pair.alias("p"), "k"))
     scratch.drop(pairs, seats)
     scratch.tidy()
     frequent = laid.where(F.col("c") >= F.lit(FREQUENT * total)).select("k", "p").toArrow()
@@ -310,7 +306,7 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
         order, first = _grouped(of, u, code)
         at = order[first]
         o, u, w, times = of[at], u[at], code[at], np.diff(np.append(first, len(of)))
-        k = _pair_key(u, w)
+        k = lookup.value.pair(u, w)
         keys, p = few.value
         place = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
         often = keys[place] == k if len(keys) else np.zeros(len(k), dtype=bool)

@@ -7,6 +7,8 @@ from functools import cache
 
 import numpy as np
 
+from trajecta.llm.arrowtext import mix
+
 
 #: Customers up to which the weights of all table counts of a row are listed; numbers of a matrix of them; parts of a larger row's range.
 LISTED, CELLS, PARTS = 128, 2_000_000, 48
@@ -141,7 +143,16 @@ def drawn_tables(c: np.ndarray, outer: np.ndarray, rise: np.ndarray, over: np.nd
     return out
 
 
-def gibbs(customers: np.ndarray, dish: np.ndarray, outer: np.ndarray, base: float, inner: tuple[float, float], over: tuple[float, float, float, float] | None, burn: int, samples: int, moves: int, seed: int, alone: np.ndarray | None = None, parent: np.ndarray | None = None) -> np.ndarray:
+def draws(keys: np.ndarray, number: int) -> np.ndarray:
+    """(2, rows) numbers from 0 to 1 that depend on the row's key and the number of the draw alone."""
+    k = keys.astype(np.int64, copy=False).view(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    return np.stack([mix(k + np.uint64(2 * number + j + 1) * np.uint64(0x9E3779B97F4A7C15)) for j in (0, 1)]) / 2.0**64
+
+
+def gibbs(
+    customers: np.ndarray, dish: np.ndarray, outer: np.ndarray, base: float, inner: tuple[float, float], over: tuple[float, float, float, float] | None, burn: int, samples: int, moves: int, seed: int,
+    alone: np.ndarray | None = None, parent: np.ndarray | None = None, start: np.ndarray | None = None, keys: np.ndarray | None = None,
+) -> np.ndarray:
     """Table counts of the rows, `samples` of each (rows, samples) after `burn` sweeps.
 
     customers, dish: of each row; dish numbers from 0. outer: the row's restaurant's weight of a new table, but for the
@@ -149,33 +160,36 @@ def gibbs(customers: np.ndarray, dish: np.ndarray, outer: np.ndarray, base: floa
     and its customers, with `base` as its own base; None if the dishes' probability is `base` itself. A sweep draws the
     table count of every row anew, of all its customers at once; `moves` parts of the rows, dealt at random, take turns,
     each given the others. alone: tables that each dish has besides those of the rows. parent: the tables of each dish
-    in the parent restaurant, which are held (see `parent_tables`).
+    in the parent restaurant, which are held (see `parent_tables`). start: the table counts to begin with. keys: what the draws of a
+    row depend on, besides the seed; its place if not given.
     """
-    rng = np.random.default_rng(seed)
     n = len(customers)
+    keys = np.arange(n) if keys is None else keys
     customers = customers.astype(np.int64)
     d = inner[0]
+    number = 1000 * seed
     if over is None:
         nothing, never = np.ones(n), np.full(n, np.inf)
-        kept = [drawn_tables(customers, outer * base, nothing, never, d, rng.random((2, n))) for _ in range(samples)]
+        kept = [drawn_tables(customers, outer * base, nothing, never, d, draws(keys, number + i)) for i in range(samples)]
         return np.array(kept).T.reshape(n, samples)
     d0, s0, opened, served = over
     alone = np.zeros(int(dish.max()) + 1 if n else 0) if alone is None else alone
     parent = np.minimum(alone, 1) if parent is None else parent
-    t = np.minimum(customers, 1)
+    t = np.minimum(customers, 1) if start is None else start.astype(np.int64)
     c0 = alone + np.bincount(dish, t, minlength=len(alone))
     fresh = (s0 + d0 * opened) * base
     kept = []
     for sweep in range(burn + samples):
-        turn = rng.integers(0, moves, n)
+        turn = (draws(keys, number)[0] * moves).astype(np.int64)
         for step in range(moves):
             rows = np.flatnonzero((turn == step) & (customers > 1))
             k = dish[rows]
             others = np.maximum(c0[k] - t[rows], 0)
             rise = np.maximum(others - d0 * np.minimum(parent[k], others), 0) + fresh
-            new = drawn_tables(customers[rows], outer[rows], rise, np.maximum(s0 + served - t[rows], s0 + others), d, rng.random((2, len(rows))))
+            new = drawn_tables(customers[rows], outer[rows], rise, np.maximum(s0 + served - t[rows], s0 + others), d, draws(keys[rows], number + 1 + step))
             c0 += np.bincount(k, new - t[rows], minlength=len(c0))
             t[rows] = new
+        number += moves + 1
         if sweep >= burn:
             kept.append(t.copy())
     return np.array(kept).T.reshape(n, samples)
