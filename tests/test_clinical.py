@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trajecta.operators import alignment, cleaning, cohort, extracts, joins, outcomes, scores, tables
+from trajecta.operators import alignment, cleaning, cohort, evaluation, extracts, joins, outcomes, scores, tables, trajectories
 from trajecta.plans import catalog
 
 D = lambda d, h=0: dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=h)
@@ -148,3 +148,81 @@ def test_dtw_pairs_are_all_pairs(spark, monkeypatch):
     expected = {(i, j): alignment.warp([np.array(series[i])], [np.array(series[j])], costs).distance[0] for i in series for j in series if i < j}
     assert got.keys() == expected.keys()
     assert all(abs(got[k] - expected[k]) < 1e-6 for k in expected)
+
+
+def weights_of(n):
+    """Weights of the Shapiro-Wilk statistic by the published steps, on whole arrays."""
+    from statistics import NormalDist
+
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    q, u = (m**2).sum(), 1 / np.sqrt(n)
+    a = m / np.sqrt(q)
+    if n == 3:
+        return np.array([-(0.5**0.5), 0, 0.5**0.5])
+    a[-1] += sum(c * u**k for k, c in enumerate(evaluation.WEIGHTS[0], 1))
+    outer = 1
+    if n > 5:
+        a[-2] += sum(c * u**k for k, c in enumerate(evaluation.WEIGHTS[1], 1))
+        outer = 2
+    rest = (q - 2 * (m[-outer:] ** 2).sum()) / (1 - 2 * (a[-outer:] ** 2).sum())
+    a[outer:-outer] = m[outer:-outer] / np.sqrt(rest)
+    a[:outer] = -a[-outer:][::-1]
+    return a
+
+
+def test_shapiro_by_whole_arrays(spark):
+    """Groups of all sizes around the changes of the rule, with ties; p at published points: W = 0.9 of 10 and of 20 values."""
+    r = np.random.default_rng(2)
+    data = {f"n{n}": np.round(r.normal(size=n) if n % 2 else r.exponential(size=n), 1 if n > 20 else 4) for n in (3, 4, 5, 6, 11, 12, 50, 200)}
+    data |= {"two": np.array([1.0, 2.0]), "same": np.full(9, 3.0), None: r.normal(size=30)}
+    rows = [(g, float(x)) for g, v in data.items() for x in v] + [("n5", None), ("n6", float("nan"))]
+    got = {x["g"]: x for x in evaluation.shapiro(spark.createDataFrame(rows, "g string, v double"), "v", "g").collect()}
+    assert set(got) == set(data)
+    for g, v in data.items():
+        assert got[g]["n"] == len(v)
+        if len(v) < 3:
+            assert got[g]["w"] is None and got[g]["p"] is None
+        elif g == "same":
+            assert (got[g]["w"], got[g]["p"]) == (1.0, 1.0)
+        else:
+            w = (weights_of(len(v)) @ np.sort(v)) ** 2 / ((v - v.mean()) ** 2).sum()
+            assert abs(got[g]["w"] - w) < 1e-9 and 0 <= got[g]["p"] <= 1
+    assert got["n200"]["p"] < 1e-6 < 0.01 < got["n11"]["p"]
+
+
+def test_chosen_by_normality(spark):
+    r = np.random.default_rng(4)
+    normal, skewed = r.normal(5, 1, 80), r.exponential(2, 80)
+    for v, kind in ((normal, "median"), (skewed, "mean")):
+        df = spark.createDataFrame([("a" if i % 2 else "b", float(x) + (3 if i % 2 else 0)) for i, x in enumerate(v)], "g string, v double") if kind == "mean" else spark.createDataFrame([("a" if i % 2 else "b", float(x)) for i, x in enumerate(v)], "g string, v double")
+        got = {x["g"]: x for x in tables.chosen(df, "g", "v").collect()}
+        assert {x["kind"] for x in got.values()} == {kind} and got["a"]["p"] is None and got["b"]["p"] is not None
+        assert (got["b"]["mark"] == "**") == (kind == "mean")
+    few = tables.chosen(spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 4.0)], "g string, v double"), "g", "v").collect()
+    assert {x["g"]: x["p"] for x in few} == {"a": None, "b": 1.0, "Total": None}
+    three = tables.chosen(spark.createDataFrame([(g, float(i)) for i, g in enumerate("abcabc")], "g string, v double"), "g", "v").collect()
+    assert {x["p"] for x in three} == {None} and len(three) == 4
+
+
+def test_places_of_ragged_arrays(spark):
+    df = spark.createDataFrame([("x", [1.0, 2.0, 3.0]), ("x", [3.0, None]), ("x", []), ("x", None), ("y", [5.0])], "g string, v array<double>")
+    got = {(r["g"], r["place"]): (r["n"], r["mean"], r["sd"], r["half"]) for r in trajectories.position_statistics(df, "v", "g").collect()}
+    assert got["x", 0][:3] == (2, 2.0, 1.0) and abs(got["x", 0][3] - 12.7062047) < 1e-6
+    assert got["x", 1] == (1, 2.0, 0.0, None) and got["x", 2] == (1, 3.0, 0.0, None) and got["y", 0] == (1, 5.0, 0.0, None) and len(got) == 4
+    assert {r["g"]: list(r["v"]) for r in trajectories.position_means(df, "v", "g", 2).collect()} == {"x": [2.0, 2.0], "y": [5.0]}
+
+
+def test_flow_sheet(spark):
+    raw = [(1, p, t, d, lo, hi, su) for p, (t, d, lo, hi, su) in enumerate([
+        ("HEIGHT", "D5", 60.0, None, None), ("HEIGHT", "D1", None, None, None), ("HEIGHT", "D3", 78.74, None, None), ("HEIGHT", "D0", 10.0, None, None), ("WEIGHT", "D0", 80.0, None, None),
+        ("MAP", "D0", 60.0, 90.0, None), ("MAP", "D0", 1.0, 2.0, None), ("UOP", "D1", None, None, 1920.0), ("IN", "D0", None, None, 500.0), ("Out", "D0", None, None, 200.0), ("IN", "D1", None, None, 100.0), ("IN", "D1", None, None, 100.0),
+        ("Out", "D1", None, None, 50.0), ("IN", "D3", None, None, 700.0), ("Out", "D3", None, None, 100.0)])]
+    raw += [(2, 20, "IN", "D0", None, None, -500.0), (2, 21, "Out", "D0", None, None, 100.0)]
+    ids = spark.createDataFrame([(1, dt.datetime(2020, 1, 1, 6), dt.datetime(2020, 1, 3, 12)), (2, dt.datetime(2020, 1, 1, 6), dt.datetime(2020, 1, 1, 18)), (3, dt.datetime(2020, 1, 1), dt.datetime(2020, 2, 1))], "id int, admit timestamp, disch timestamp")
+    got = {r["id"]: r for r in extracts.flow_sheet(ids, spark.createDataFrame(raw, "id int, place int, TERM_GRP_NAME string, DAY_NO string, D_MIN_VAL double, D_MAX_VAL double, D_SUM_VAL double")).collect()}
+    one, two, three = got[1], got[2], got[3]
+    assert (one["height"], one["weight"], one["bmi"]) == (2.0, 80.0, 20.0) and tuple(one["map"][0]) == (60.0, 90.0) and one["map"][1]["low"] is None
+    assert one["urine"] == [None, 1920.0, None] and one["urine_flow"] == [None, 1.0, None]
+    assert (one["net"], one["gross"], one["balance"]) == (450.0, 700.0, 900.0) and abs(one["overload"] - 900 / 80 / (18 + 24 + 12) * 100) < 1e-9
+    assert (two["net"], two["gross"], two["balance"], two["overload"]) == (None, None, -600.0, None)
+    assert (three["height"], three["net"], three["gross"], three["balance"]) == (None, None, 0.0, 0.0)

@@ -83,8 +83,43 @@ def test_membership_barycenters_and_merging(spark):
     assert {r["id"]: r["label"] for r in clustering.membership(items, centers, Costs(alpha=0.0)).collect()} == {1: "a", 2: "a", 3: "b"}
     got = {r["label"]: list(r["values"]) for r in clustering.barycenters(items.select("label", "values"), centers, Costs(alpha=0.0)).collect()}
     assert got == {"a": [0.0, 1.0, 2.0], "b": [3.0, 3.0]}
-    left, merges = clustering.merged_centers({"a": np.array([0.0, 1.0, 2.0]), "b": np.array([0.0, 1.0, 1.0, 2.0]), "c": np.array([4.0, 4.0])}, {"a": 2, "b": 1, "c": 1}, Costs(alpha=0.0), 0.1)
-    assert sorted(left) == ["a", "c"] and [m[:2] for m in merges] == [("a", "b")]
+    three = spark.createDataFrame([("a", 2, [0.0, 1.0, 2.0]), ("b", 1, [0.0, 1.0, 1.0, 2.0]), ("c", 1, [4.0, 4.0]), ("d", 1, []), ("e", 1, None)], "label string, size int, values array<double>")
+    left, merges = clustering.merged_centers(three, Costs(alpha=0.0), 0.1)
+    assert {r["label"]: (r["size"], r["values"]) for r in left.collect()} == {"a": (3, [0.0, 1.0, 2.0]), "c": (1, [4.0, 4.0]), "d": (1, []), "e": (1, None)}
+    assert [(r["round"], r["a"], r["b"]) for r in merges.collect()] == [(1, "a", "b")]
+
+
+def test_merging_in_rounds(spark):
+    """Against loops: pairs that are nearest to each other merge in a round, by sizes, at the lesser label's length, under both limits."""
+    costs, r = Costs.of_weights([1.0, 1.2, 1.5, 1.3], 0.35), np.random.default_rng(6)
+    held = {k: (int(r.integers(1, 9)), r.integers(0, 4, r.integers(3, 9)).astype(float)) for k in range(12)}
+    df = spark.createDataFrame([(k, n, v.tolist()) for k, (n, v) in held.items()], "label int, size int, values array<double>")
+    left, merges = clustering.merged_centers(df, costs, 0.6, 40.0)
+    want, turn = [], 0
+    while True:
+        turn += 1
+        d = {}
+        for a in held:
+            for b in held:
+                if a < b:
+                    got = alignment.warp([held[a][1]], [held[b][1]], costs)
+                    e = got.extension_x[0] + got.extension_y[0]
+                    x = got.distance[0] + e / len(got.x[0])
+                    if e <= 40 and x <= 0.6:
+                        d[a, b] = d[b, a] = x
+        near = {a: min((x, b) for (p, b), x in d.items() if p == a) for a in {p for p, _ in d}}
+        pairs = [(a, b, x) for a, (x, b) in near.items() if a < b and near[b][1] == a]
+        if not pairs:
+            break
+        for a, b, x in pairs:
+            got = alignment.warp([held[a][1]], [held[b][1]], costs)
+            (na, va), (nb, _) = held[a], held.pop(b)
+            m = (na * np.array(got.x[0]) + nb * np.array(got.y[0])) / (na + nb)
+            held[a] = (na + nb, np.interp(np.linspace(0, len(m) - 1, len(va)), np.arange(len(m)), m))
+            want.append((turn, a, b, round(x, 9)))
+    assert turn > 2 and sorted((x["round"], x["a"], x["b"], round(x["distance"], 9)) for x in merges.collect()) == sorted(want)
+    got = {x["label"]: (x["size"], x["values"]) for x in left.collect()}
+    assert set(got) == set(held) and all(got[k][0] == n and np.allclose(got[k][1], v) for k, (n, v) in held.items())
 
 
 def test_barycenters_follow_the_kernels_path(spark):

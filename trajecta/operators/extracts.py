@@ -191,6 +191,63 @@ def eav_wide(ids: DataFrame, raw: DataFrame, terms: Sequence[str], days: Sequenc
     return ids.select("id").join(wide, "id", "left")
 
 
+def flow_cube(raw: DataFrame, terms: Sequence[str], days: Sequence[str]) -> DataFrame:
+    """(id, term, day, low, high, total, n): the first row of each patient, term and day of an entity-attribute-value table and how many rows it has, in one sum.
+
+    Terms and days that aren't wanted don't reach the shuffle; a cell without rows has no row here.
+    """
+    cells = raw.where(F.col("TERM_GRP_NAME").isin(list(terms)) & F.col("DAY_NO").isin(list(days)))
+    first = F.min_by(F.struct("D_MIN_VAL", "D_MAX_VAL", "D_SUM_VAL"), "place")
+    by = cells.groupBy("id", F.col("TERM_GRP_NAME").alias("term"), F.col("DAY_NO").alias("day")).agg(first.alias("f"), F.count("*").alias("n"))
+    return by.select("id", "term", "day", F.col("f.D_MIN_VAL").alias("low"), F.col("f.D_MAX_VAL").alias("high"), F.col("f.D_SUM_VAL").alias("total"), "n")
+
+
+#: Fixed names of the flow sheet's terms, and inches to a metre as the source divides.
+VITALS = {"temperature": "TEMPERATURE", "map": "MAP", "heart_rate": "HEART RATE", "glasgow": "GLASGOW SCORE", "respiration": "RESPIRATORY RATE"}
+HEIGHT, WEIGHT, URINE, TAKEN, GIVEN_OFF = "HEIGHT", "WEIGHT", "UOP", "IN", "Out"
+INCHES = 39.37
+
+
+def flow_sheet(ids: DataFrame, raw: DataFrame, max_day: int = 3) -> DataFrame:
+    """(id, height, weight, bmi, VITALS, urine, urine_flow, net, gross, balance, overload). ids: (id, admit, disch).
+
+    height (m) and weight are the first known of the days 0 to `max_day`, in the table's order. Each vital sign is an array of (low, high)
+    by day, and urine and its flow (by weight and hour) arrays by day, for days 0 to 2; what is missing is null. Fluids of a day count only if
+    it has one row of intake and one of output: net is the mean over days of in less out, balance its sum (0 without a day), gross the sum of in and
+    out over days 0 to 2 (0 without one); a negative gross makes net and gross null. overload: balance by weight and hours within the stay's first days, in percent.
+    """
+    days = [f"D{k}" for k in range(max_day + 1)]
+    sized = raw.where(F.col("DAY_NO").isin(days) & F.col("D_MIN_VAL").isNotNull() & ~F.isnan(F.col("D_MIN_VAL").cast("double")))
+    size = sized.groupBy("id").agg(*(F.min_by(F.when(F.col("TERM_GRP_NAME") == t, F.col("D_MIN_VAL").cast("double")), F.when(F.col("TERM_GRP_NAME") == t, F.col("place"))).alias(n) for n, t in (("inches", HEIGHT), ("weight", WEIGHT))))
+    cube = flow_cube(raw, [*VITALS.values(), URINE, TAKEN, GIVEN_OFF], days)
+    cells = cube.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("@", "term", "day"), F.struct("low", "high", "total", "n")))).alias("m"))  # one entry a term and day
+
+    def cell(term: str, day: str) -> Column:
+        return F.try_element_at("m", F.lit(f"{term}@{day}"))
+
+    def total(term: str, day: str) -> Column:
+        return F.when(cell(term, day)["n"] == 1, cell(term, day)["total"].cast("double"))
+
+    def over(parts: list[Column]) -> Column:
+        return sum((F.coalesce(x, F.lit(0.0)) for x in parts), F.lit(0.0))
+
+    f = ids.select("id", "admit", "disch").join(size, "id", "left").join(cells, "id", "left")
+    height = F.col("inches") / INCHES
+    nets, sums = [total(TAKEN, d) - total(GIVEN_OFF, d) for d in days], [total(TAKEN, d) + total(GIVEN_OFF, d) for d in days[:3]]
+    n_days = sum((x.isNotNull().cast("int") for x in nets), F.lit(0))
+    apart = F.datediff("disch", "admit")
+    first = 24 - F.hour("admit")
+    hours = F.when(apart == 0, F.timestamp_diff("MICROSECOND", F.col("admit"), F.col("disch")) / 3.6e9).when(apart > max_day, first + max_day * 24).otherwise(first + (apart - 1) * 24 + F.hour("disch"))
+    wrong = over(sums) < 0
+    urine = [cell(URINE, d)["total"].cast("double") for d in days[:3]]
+    return f.select(
+        "id", height.alias("height"), "weight", F.try_divide(F.col("weight"), height * height).alias("bmi"),
+        *(F.array(*(F.struct(cell(t, d)["low"].cast("double").alias("low"), cell(t, d)["high"].cast("double").alias("high")) for d in days[:3])).alias(n) for n, t in VITALS.items()),
+        F.array(*urine).alias("urine"), F.array(*(F.try_divide(u, F.col("weight")) / 24 for u in urine)).alias("urine_flow"),
+        F.when(~wrong, F.try_divide(over(nets), n_days)).alias("net"), F.when(~wrong, over(sums)).alias("gross"), over(nets).alias("balance"), (F.try_divide(F.try_divide(over(nets), F.col("weight")), hours) * 100).alias("overload"),
+    )
+
+
 def class_flags(ids: DataFrame, raw: DataFrame, classes: Sequence[str]) -> DataFrame:
     """(id, each class column's largest value, 0 if none)."""
     return ids.select("id").join(raw.groupBy("id").agg(*(F.max(c).alias(c) for c in classes)), "id", "left").fillna(0, list(classes))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajecta.operators import evaluation
 from trajecta.operators.quantiles import quantiles
 
 TOTAL = "Total"
@@ -55,6 +56,34 @@ def long_table(df: DataFrame, label: str, flags: Sequence[str], values: Sequence
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
+def chosen(df: DataFrame, label: str, value: str) -> DataFrame:
+    """(label, n, kind, a, b, c, p, mark) of each label and the total: mean and population deviation, or median and quartiles.
+
+    As the tables of the study have it, the mean is given where the Shapiro-Wilk test of all values rejects normality (p under 0.05), the median else.
+    Of two labels, p is that of the Kruskal-Wallis test if either's values fail D'Agostino's test, else of the t-test; 1 where a label has under 8
+    values. It stands in the second label's row with its mark (** under 0.01, * under 0.05); for other numbers of labels it is null.
+    """
+    known = df.where(F.col(label).isNotNull())
+    w = evaluation.shapiro(df, value).first()
+    if w is not None and w["p"] is not None and w["p"] < 0.05:
+        out = mean_sd(known, label, value).select(label, "n", F.lit("mean").alias("kind"), F.col("mean").alias("a"), F.col("sd").alias("b"), F.lit(None).cast("double").alias("c"))
+    else:
+        out = median_iqr(known, label, value).select(label, "n", F.lit("median").alias("kind"), F.col("median").alias("a"), F.col("q1").alias("b"), F.col("q3").alias("c"))
+    names = [r[0] for r in known.select(F.col(label).cast("string")).distinct().orderBy(label).limit(3).collect()]
+    p = None
+    if len(names) == 2:
+        tests = evaluation.moment_normality(known, value, label).collect()
+        if len(tests) < 2 or min(r["n"] for r in tests) < 8:
+            p = 1.0
+        elif any(r["p"] is not None and r["p"] < 0.05 for r in tests):
+            p = evaluation.kruskal(known, label, value).first()["p"]
+        else:
+            p = evaluation.pooled_t(known, label, value).first()["p"]
+    at = F.col(label) == (names[1] if p is not None else F.lit(None))
+    mark = "" if p is None or not p < 0.05 else "**" if p < 0.01 else "*"
+    return out.withColumns({"p": F.when(at, F.lit(p).cast("double")), "mark": F.when(at, mark)})
+
+
 def rate_spread(df: DataFrame, label: str, flag: str) -> DataFrame:
     """(max_spread, min_spread, mean_spread) of the absolute differences between the labels' rates of the flag."""
     rates = df.groupBy(label).agg(F.avg(F.col(flag).cast("double")).alias("r"))

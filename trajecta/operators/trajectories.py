@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trajecta.operators.evaluation import t_half_width_at
 from trajecta.operators.series import moves, turns
 
 
@@ -64,3 +65,22 @@ def pivoted(counts: DataFrame, key: str, name: str, values: list, prefix: str) -
     """One column for each value, 0 where a key lacks it."""
     wide = counts.groupBy(key).pivot(name, values).agg(F.sum("n")).fillna(0)
     return wide.select(key, *(F.col(f"`{v}`").alias(f"{prefix}{v}") for v in values))
+
+
+def position_statistics(series: DataFrame, values: str, *by: str, confidence: float = 0.95) -> DataFrame:
+    """(by, place, n, mean, sd, half): of the values at each place (from 0) of ragged arrays the mean, the population deviation and half the width of the mean's t interval.
+
+    Arrays are laid out by place and summed by (by, place); a null value doesn't count, and one value has no width.
+    """
+    tall = series.select(*by, F.posexplode(values).alias("place", "v")).where("v is not null")
+    g = tall.groupBy(*by, "place").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), (F.stddev_samp("v") / F.sqrt(F.count("*"))).alias("sem"))
+    half = t_half_width_at(F.coalesce("sem", F.lit(float("nan"))), (F.col("n") - 1).cast("double"), F.lit(confidence))
+    return g.withColumn("half", F.nanvl(half, F.lit(None).cast("double"))).select(*by, "place", "n", "mean", "sd", "half")
+
+
+def position_means(series: DataFrame, values: str, by: str, most: int | None = None) -> DataFrame:
+    """(by, values): arrays of the means by place, at most `most` long, as seeds of barycenters."""
+    means = position_statistics(series, values, by)
+    if most is not None:
+        means = means.where(F.col("place") < most)
+    return means.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "mean"))), lambda x: x["mean"]).alias(values))

@@ -386,9 +386,27 @@ def q_pivot_eav(spark, d):
     return e.withColumn("term", F.concat("event_type", F.lit("_d"), F.dayofmonth("ts"))).groupBy("user_id").pivot("term", terms).agg(r6(F.max("value")))
 
 
-@query("q_mean_ci", f"with {SEG}, g as (select seg, count(price) n, avg(price) m from s group by 1) select seg, n, round(m, 4) mean from g")
+#: A normal variable's chance to exceed z, by the series of the distribution function.
+def _above_sql(z: str) -> str:
+    series = f"list_sum(list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln(greatest(abs({z}), 1e-12)) - ((k + 1) * ln(2) + lgamma(k + 1.5) - 0.5 * ln(pi())))))"
+    return f"case when abs({z}) > 8 then ({z} < 0)::int::double else 0.5 - sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {series} end"
+
+
+def _t_quantile_sql(n: str) -> str:
+    """The deviate of a t variable that it stays within with a chance of 95 %, for many degrees of freedom, by powers of 1/n."""
+    z = "1.959963984540054"
+    terms = [(4, ((1, 3), (1, 1))), (96, ((5, 5), (16, 3), (3, 1))), (384, ((3, 7), (19, 5), (17, 3), (-15, 1))), (92160, ((79, 9), (776, 7), (1482, 5), (-1920, 3), (-945, 1)))]
+    return f"({z} + " + " + ".join(f"({' + '.join(f'{c} * pow({z}, {k})' for c, k in of)}) / ({d} * pow({n}, {i}))" for i, (d, of) in enumerate(terms, 1)) + ")"
+
+
+def _t_as_normal_sql(t: str, n: str) -> str:
+    """The normal deviate of a t variable's value, for many degrees of freedom."""
+    return f"({t} * (1 - (pow({t}, 2) + 1) / (4 * {n}) + (13 * pow({t}, 4) + 8 * pow({t}, 2) + 3) / (96 * pow({n}, 2)) - (35 * pow({t}, 6) + 19 * pow({t}, 4) + pow({t}, 2) - 15) / (384 * pow({n}, 3))))"
+
+
+@query("q_mean_ci", f"with {SEG}, g as (select seg, count(price) n, avg(price) m, stddev_samp(price) / sqrt(count(price)) e from s group by 1) select seg, n, round(m, 4) mean, round(m - e * {_t_quantile_sql('(n - 1)')}, 3) low, round(m + e * {_t_quantile_sql('(n - 1)')}, 3) high from g")
 def q_mean_ci(spark, d):
-    return evaluation.mean_interval(_segments(spark, d), "price", "seg").select("seg", "n", F.round("mean", 4).alias("mean"))
+    return evaluation.mean_interval(_segments(spark, d), "price", "seg").select("seg", "n", F.round("mean", 4).alias("mean"), F.round("low", 3).alias("low"), F.round("high", 3).alias("high"))
 
 
 # evaluation: a made score of the labelled documents
@@ -414,9 +432,13 @@ def q_auc(spark, d):
 
 
 @query("q_delong", f"""with {SCORED}, v as (select a.doc_id, a.y, avg(case when (a.y = 1 and a.p1 > b.p1) or (a.y = 0 and a.p1 < b.p1) then 1 when a.p1 = b.p1 then 0.5 else 0 end) v1, avg(case when (a.y = 1 and a.p2 > b.p2) or (a.y = 0 and a.p2 < b.p2) then 1 when a.p2 = b.p2 then 0.5 else 0 end) v2 from x a join x b on a.y <> b.y group by 1, 2),
- g as (select y, count(*) n, avg(v1) m1, avg(v2) m2, var_samp(v1 - v2) s from v group by 1) select round(max(m1) filter (y = 1), 6) auc1, round(max(m2) filter (y = 1), 6) auc2, round(sum(s / n), 6) variance from g""")
+ g as (select y, count(*) n, avg(v1) m1, avg(v2) m2, var_samp(v1 - v2) s, var_samp(v1) s1, var_samp(v2) s2 from v group by 1),
+ o as (select max(m1) filter (y = 1) a1, max(m2) filter (y = 1) a2, sum(s / n) v, sum(s1 / n) v1, sum(s2 / n) v2 from g), z as (select *, (a1 - a2) / sqrt(v) z, 1.959963984540054 k from o)
+ select round(a1, 6) auc1, round(a1 - k * sqrt(v1), 6) low1, round(a1 + k * sqrt(v1), 6) high1, round(a2, 6) auc2, round(a2 - k * sqrt(v2), 6) low2, round(a2 + k * sqrt(v2), 6) high2, round(a1 - a2, 6) + 0.0 difference,
+  round(a1 - a2 - k * sqrt(v), 6) + 0.0 low, round(a1 - a2 + k * sqrt(v), 6) + 0.0 high, round(v, 6) variance, round(2 * ({_above_sql("abs(z)")}), 5) p from z""")
 def q_delong(spark, d):
-    return evaluation.delong(_scored(spark, d)).select(r6("auc1").alias("auc1"), r6("auc2").alias("auc2"), r6("variance").alias("variance"))
+    got = evaluation.delong(_scored(spark, d))
+    return got.select(*(r6(c).alias(c) for c in got.columns if c not in ("z", "p")), F.round("p", 5).alias("p"))
 
 
 LEVEL = "((case when {p} >= 0.05 then 1 else 0 end) + (case when {p} >= 0.1 then 1 else 0 end) + (case when {p} >= 0.2 then 1 else 0 end))"
@@ -442,14 +464,61 @@ def q_roc(spark, d):
     return evaluation.roc(_scored(spark, d), "y", "p1").select(*(r6(c).alias(c) for c in ("p", "tpr", "fpr")))
 
 
-@query("q_welch", f"with {SEG}, m as (select seg l, count(*) n, avg(price) m, var_samp(price) v from s group by 1) select a.l label1, b.l label2, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 4) t, round(pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)), 2) df from m a join m b on a.l < b.l")
+@query("q_welch", f"""with {SEG}, m as (select seg l, count(*) n, avg(price) m, var_samp(price) v from s group by 1),
+ w as (select a.l label1, b.l label2, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) t, pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)) df from m a join m b on a.l < b.l), z as (select *, {_t_as_normal_sql("abs(t)", "df")} z from w)
+ select label1, label2, round(t, 4) t, round(df, 2) df, round(2 * ({_above_sql("z")}), 5) p from z""")
 def q_welch(spark, d):
-    return evaluation.welch(_segments(spark, d), "seg", "price").select("label1", "label2", F.round("t", 4).alias("t"), F.round("df", 2).alias("df"))
+    return evaluation.welch(_segments(spark, d), "seg", "price").select("label1", "label2", F.round("t", 4).alias("t"), F.round("df", 2).alias("df"), F.round("p", 5).alias("p"))
 
 
-@query("q_kruskal", f"with {SEG}, r as (select seg, price, (rank() over (order by price) + rank() over (order by price) + count(*) over (partition by price) - 1) / 2 rk from s), n as (select count(*)::double n from s), ti as (select sum(pow(c, 3) - c) t from (select count(*) c from s group by price)), g as (select sum(r * r / c) v, count(*) - 1 df from (select sum(rk) r, count(*) c from r group by seg)) select round((12 / (n * (n + 1)) * v - 3 * (n + 1)) / (1 - t / (n * n * n - n)), 4) h, df::double df from g, n, ti")
+@query("q_kruskal", f"with {SEG}, r as (select seg, price, (rank() over (order by price) + rank() over (order by price) + count(*) over (partition by price) - 1) / 2 rk from s), n as (select count(*)::double n from s), ti as (select sum(pow(c, 3) - c) t from (select count(*) c from s group by price)), g as (select sum(r * r / c) v, count(*) - 1 df from (select sum(rk) r, count(*) c from r group by seg)), k as (select (12 / (n * (n + 1)) * v - 3 * (n + 1)) / (1 - t / (n * n * n - n)) h, df::double df from g, n, ti) select round(h, 4) h, df, round(exp(-h / 2) * (1 + h / 2), 6) p from k")
 def q_kruskal(spark, d):
-    return evaluation.kruskal(_segments(spark, d), "seg", "price").select(F.round("h", 4).alias("h"), "df")
+    return evaluation.kruskal(_segments(spark, d), "seg", "price").select(F.round("h", 4).alias("h"), "df", r6("p").alias("p"))
+
+
+def _moments_sql(by: str) -> str:
+    """k2 and p of D'Agostino's test for rows (by, n, g1, g2) of mo."""
+    return f"""d1 as (select *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) b, (g2 + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) x,
+  6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) be from mo), d2 as (select *, sqrt(2 * (b - 1)) - 1 w2, 6 + 8 / be * (2 / be + sqrt(1 + 4 / (be * be))) a from d1),
+ d3 as (select *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) zs, 1 + x * sqrt(2 / (a - 4)) un from d2), d4 as (select *, (1 - 2 / (9 * a) - sign(un) * pow((1 - 2 / a) / abs(un), 1 / 3)) / sqrt(2 / (9 * a)) zk from d3),
+ dag as (select {by}, n, zs, zk, zs * zs + zk * zk k2, exp(-(zs * zs + zk * zk) / 2) p from d4)"""
+
+
+_MOMENTS = "mu as (select g, avg(x) m from src group by 1), mo as (select src.g, count(*)::double n, avg(pow(x - m, 3)) / pow(avg(pow(x - m, 2)), 1.5) g1, avg(pow(x - m, 4)) / pow(avg(pow(x - m, 2)), 2) - 3 g2 from src join mu using (g) group by 1)"
+
+
+@query("q_moment_normality", f"with src as (select c_nationkey g, c_acctbal::double x from customer), {_MOMENTS}, {_moments_sql('g')} select g as nation, n::bigint n, round(zs, 5) z_skewness, round(zk, 5) z_kurtosis, round(p, 6) p from dag where n >= 8 union all select g, n::bigint, null, null, null from dag where n < 8")
+def q_moment_normality(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").cast("double").alias("x"))
+    return evaluation.moment_normality(c, "x", "nation").select("nation", "n", F.round("z_skewness", 5).alias("z_skewness"), F.round("z_kurtosis", 5).alias("z_kurtosis"), r6("p").alias("p"))
+
+
+def _shapiro_sql() -> str:
+    """sh (g, n, w, p) of the rows (g, x) of src, for groups of 12 and more."""
+    step = lambda z: f"greatest({z} + (({_above_sql(z)}) - h) * sqrt(2 * pi()) * exp({z} * {z} / 2), 1e-12)"
+    outer = lambda k: f"m{k} / sqrt(q) + " + " + ".join(f"({c}) * pow(u, {i})" for i, c in enumerate(evaluation.WEIGHTS[k - 1], 1))
+    powers = lambda c: " + ".join(f"({v}) * pow(ln(n), {i})" for i, v in enumerate(c))
+    return f"""s1 as (select g, x, row_number() over (partition by g order by x) i, count(*) over (partition by g) n from src), s2 as (select *, (i - 0.375) / (n + 0.25) pr, least(pr, 1 - pr) h, sqrt(-2 * ln(h)) t from s1),
+ s3 as (select *, greatest(t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t), 1e-12) z from s2), s4 as (select * replace ({step("z")} as z) from s3), s5 as (select *, {step("z")} * sign(pr - 0.5) m from s4),
+ s6 as (select g, n::double n, sum(m * m) q, sum(m * x) s, max(x) filter (i = 1) x1, max(x) filter (i = 2) x2, max(x) filter (i = n - 1) x3, max(x) filter (i = n) x4, max(m) filter (i = n) m1, max(m) filter (i = n - 1) m2, var_pop(x) * n ss, 1 / sqrt(n) u from s5 group by g, n),
+ s7 as (select *, {outer(1)} a1, {outer(2)} a2 from s6), s8 as (select *, pow(a1 * (x4 - x1) + a2 * (x3 - x2) + (s - m1 * (x4 - x1) - m2 * (x3 - x2)) / sqrt((q - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)), 2) / ss w from s7),
+ s9 as (select *, (ln(1 - w) - ({powers(evaluation.LARGE[0])})) / exp({powers(evaluation.LARGE[1])}) z from s8), sh as (select g, n, w, {_above_sql("z")} p from s9)"""
+
+
+@query("q_shapiro", f"with src as (select c_mktsegment || '-' || (c_nationkey % 2)::varchar g, c_acctbal::double x from customer), {_shapiro_sql()} select g as part, n::bigint n, round(w, 6) w, round(p, 5) p from sh where n >= 12")
+def q_shapiro(spark, d):
+    c = table(spark, d, "customer").select(F.concat("c_mktsegment", F.lit("-"), (F.col("c_nationkey") % 2).cast("string")).alias("part"), F.col("c_acctbal").cast("double").alias("x"))
+    return evaluation.shapiro(c, "x", "part").where("n >= 12").select("part", "n", r6("w").alias("w"), F.round("p", 5).alias("p"))
+
+
+@query("q_chosen", f"""with {SEG}, src as (select 1 g, price x from s), {_shapiro_sql()}, how as (select p < 0.05 m from sh),
+ rk as (select fin, (rank() over (order by price) + rank() over (order by price) + count(*) over (partition by price) - 1) / 2 r from s), nn as (select count(*)::double n from s), ti as (select sum(pow(c, 3) - c) t from (select count(*) c from s group by price)), kr as (select sum(r * r / c) v from (select sum(r) r, count(*) c from rk group by fin)),
+ h as (select sqrt((12 / (n * (n + 1)) * v - 3 * (n + 1)) / (1 - t / (n * n * n - n))) z from kr, nn, ti), p as (select 2 * ({_above_sql("z")}) p from h),
+ t as (select coalesce(fin::varchar, 'Total') fin, count(*) n, case when any_value(m) then 'mean' else 'median' end kind, case when any_value(m) then avg(price) else quantile_cont(price, 0.5) end a, case when any_value(m) then stddev_pop(price) else quantile_cont(price, 0.25) end b, case when not any_value(m) then quantile_cont(price, 0.75) end c from s, how group by rollup (fin))
+ select t.fin, n, kind, round(a, 4) a, round(b, 4) b, round(c, 4) c, case when fin = '1' then round(p, 5) end p, case when fin = '1' then case when p < 0.01 then '**' when p < 0.05 then '*' else '' end end mark from t, p""")
+def q_chosen(spark, d):
+    """Mean or median of the prices of final and other orders, as their normality tells."""
+    return tables.chosen(_segments(spark, d), "fin", "price").select("fin", "n", "kind", *(F.round(c, 4).alias(c) for c in "abc"), F.round("p", 5).alias("p"), "mark")
 
 
 # distances of arrays
@@ -567,6 +636,23 @@ def q_ward_tree(spark, d):
     return clustering.linkage(_vector_edges(spark, d)).select("a", "b", r6("height").alias("height"), "size")
 
 
+@query("q_merged_centers")
+def q_merged_centers(spark, d):
+    """Distinct first weeks of the users, with how many have each, merged while pairs are nearest to each other."""
+    weeks = _stage_arrays(spark, d).groupBy("values").agg(F.min("id").alias("label"), F.count("*").alias("size"))
+    left, merges = clustering.merged_centers(weeks, alignment.Costs.of_weights([1.0, 1.2, 1.5, 1.3], 0.35), 0.25, 20.0)
+    return left.select("label", "size", F.transform("values", lambda x: F.round(x, 6) + F.lit(0.0)).alias("values"))
+
+
+@query("q_position_means", STAGES + f""", pv as (select id, stage, row_number() over (partition by id order by bin) - 1 place, max(stage) over (partition by id) peak from stages where day <= 7),
+ pm as (select peak, place, count(*) n, avg(stage) m, stddev_pop(stage) s, stddev_samp(stage) / sqrt(count(*)) e from pv group by 1, 2) select peak, place::int place, n, round(m, 6) mean, round(s, 6) sd, case when n > 60 then round(e * {_t_quantile_sql("(n - 1)")}, 4) end half from pm""")
+def q_position_means(spark, d):
+    """Users' first weeks by peak stage, place by place; SQL has the width of an interval by its series, for over 60 values."""
+    weeks = _stage_arrays(spark, d).withColumn("peak", F.array_max("values").cast("int"))
+    got = trajectories.position_statistics(weeks, "values", "peak")
+    return got.select("peak", "place", "n", r6("mean").alias("mean"), r6("sd").alias("sd"), F.when(F.col("n") > 60, F.round("half", 4)).alias("half"))
+
+
 @query("q_dba")
 def q_dba(spark, d):
     """Barycenters of the users' trajectories by peak stage, from constant seeds."""
@@ -593,9 +679,9 @@ def q_center_categories(spark, d):
     return clustering.center_categories(_stage_arrays(spark, d), "id", transient=True, stratified=True)
 
 
-@query("q_normality", f"with {SEG}, m as (select seg, avg(price) mu, count(*) n from s group by 1), k as (select s.seg, n, avg(pow(price - mu, 2)) m2, avg(pow(price - mu, 3)) m3, avg(pow(price - mu, 4)) m4 from s join m using (seg) group by all) select seg, n, round(m3 / pow(m2, 1.5), 5) skewness, round(m4 / (m2 * m2) - 3, 5) kurtosis from k")
+@query("q_normality", f"with {SEG}, m as (select seg, avg(price) mu, count(*) n from s group by 1), k as (select s.seg, n, avg(pow(price - mu, 2)) m2, avg(pow(price - mu, 3)) m3, avg(pow(price - mu, 4)) m4 from s join m using (seg) group by all), j as (select seg, n, m3 / pow(m2, 1.5) a, m4 / (m2 * m2) - 3 b from k) select seg, n, round(a, 5) skewness, round(b, 5) kurtosis, round(exp(-n / 6 * (a * a + b * b / 4) / 2), 6) p from j")
 def q_normality(spark, d):
-    return evaluation.normality(_segments(spark, d), "price", "seg").select("seg", "n", F.round("skewness", 5).alias("skewness"), F.round("kurtosis", 5).alias("kurtosis"))
+    return evaluation.normality(_segments(spark, d), "price", "seg").select("seg", "n", F.round("skewness", 5).alias("skewness"), F.round("kurtosis", 5).alias("kurtosis"), r6("p").alias("p"))
 
 
 @query("q_class_weights", "select doc_id, quality, round(count(*) over () / count(*) over (partition by quality), 6) weight from labels")
@@ -670,7 +756,7 @@ def q_balance_over(spark, d):
     return more.groupBy("doc_id").agg(F.count("*").alias("copies"))
 
 
-@query("q_similarity", LABELLED + " select x, y, round(exp(-d * d / (select pow(stddev_pop(d), 2) from e)), 5) s from e")
+@query("q_similarity", LABELLED + ", w as materialized (select pow(stddev_pop(d), 2) v from e) select x, y, round(exp(-d * d / v), 5) s from e, w")
 def q_similarity(spark, d):
     return clustering.similarity(_edges(spark, d)[0]).select("x", "y", F.round("s", 5).alias("s"))
 
@@ -741,6 +827,37 @@ def q_fluids(spark, d):
     return extracts.fluids(_ids(spark, d), raw, weights).select("id", *(r6(c).alias(c) for c in ("net", "gross", "overload", "balance")))
 
 
+FLOW = {
+    "TERM_GRP_NAME": "case o_orderkey // 4 % 9 when 0 then 'HEIGHT' when 1 then 'WEIGHT' when 2 then 'UOP' when 3 then 'IN' when 4 then 'Out' when 5 then 'TEMPERATURE' when 6 then 'MAP' when 7 then 'HEART RATE' else 'GLASGOW SCORE' end",
+    "DAY_NO": "'D' || cast(o_orderkey // 7 % 5 as varchar)", "D_MIN_VAL": "case when o_orderkey % 5 > 0 then 40.0 + o_orderkey % 60 end", "D_MAX_VAL": "50.0 + o_orderkey % 90", "D_SUM_VAL": "o_orderkey % 1700 - 100.0",
+}
+
+
+def _flow_sql() -> str:
+    cells = "select id, term, day, arg_min_null(lo, place) lo, arg_min_null(hi, place) hi, arg_min_null(su, place) su, count(*) n from r where day in ('D0', 'D1', 'D2', 'D3') group by 1, 2, 3"
+    at = lambda term, k, c, one="": f"max(case when term = '{term}' and day = 'D{k}'{one} then {c} end)"
+    sums = ", ".join(f"{at(t, k, 'su', ' and n = 1')} {n}{k}" for t, n in (("IN", "i"), ("Out", "o")) for k in range(4))
+    vital = lambda term: "[" + ", ".join(f"{at(term, k, c)}" for k in range(3) for c in ("lo", "hi")) + "]"
+    vitals = ", ".join(f"{vital(t)} {n}" for n, t in extracts.VITALS.items())
+    urine = "[" + ", ".join(at("UOP", k, "su") for k in range(3)) + "]"
+    both = lambda sign, days: " + ".join(f"coalesce(i{k} {sign} o{k}, 0)" for k in range(days))
+    count = " + ".join(f"(i{k} - o{k} is not null)::int" for k in range(4))
+    made = ", ".join(f"{x} as {n}" if n in ("term", "day") else f"({x})::double as {n}" for x, n in zip(FLOW.values(), ("term", "day", "lo", "hi", "su")))
+    return f"""with {IDS}, r as (select o_custkey id, o_orderkey place, {made} from orders), c as ({cells}),
+ z as (select id, arg_min(lo, place) filter (term = 'HEIGHT' and lo is not null) h, arg_min(lo, place) filter (term = 'WEIGHT' and lo is not null) w from r where day in ('D0', 'D1', 'D2', 'D3') group by 1),
+ m as (select id, {sums}, {vitals}, {urine} urine from c group by 1), k as (select ids.*, h / 39.37 height, w weight, m.* exclude (id), {both("-", 4)} bal, {both("+", 3)} gro, {count} nd from ids left join z using (id) left join m using (id))
+ select id, round(height, 6) height, weight, round(weight / (height * height), 6) bmi, {", ".join(f"coalesce({n}, [null, null, null, null, null, null]) {n}" for n in extracts.VITALS)}, coalesce(urine, [null, null, null]) urine,
+  [round(urine[1] / weight / 24, 6), round(urine[2] / weight / 24, 6), round(urine[3] / weight / 24, 6)] urine_flow, case when gro >= 0 and nd > 0 then round(bal / nd, 6) end net, case when gro >= 0 then gro end gross, bal as balance, round(bal / weight / ((24 - hour(admit)) + 3 * 24) * 100, 6) overload from k"""
+
+
+@query("q_flow_sheet", _flow_sql().replace("'D' || cast(o_orderkey // 7 % 5 as varchar)", "'D' || (o_orderkey // 7 % 5)::varchar"))
+def q_flow_sheet(spark, d):
+    raw = _rows(spark, d, **{c: (x if c in ("TERM_GRP_NAME", "DAY_NO") else f"cast({x} as double)").replace("o_orderkey // 4", "(o_orderkey div 4)").replace("o_orderkey // 7", "(o_orderkey div 7)").replace("as varchar", "as string") for c, x in FLOW.items()})
+    got = extracts.flow_sheet(_ids(spark, d), raw)
+    flat = [F.flatten(F.transform(n, lambda x: F.array(x["low"], x["high"]))).alias(n) for n in extracts.VITALS]
+    return got.select("id", r6("height").alias("height"), "weight", r6("bmi").alias("bmi"), *flat, "urine", F.transform("urine_flow", lambda x: F.round(x, 6) + F.lit(0.0)).alias("urine_flow"), r6("net").alias("net"), "gross", "balance", r6("overload").alias("overload"))
+
+
 @query("q_baseline", """with v as (select user_id id, ts::timestamp ts, value, event_type in ('view', 'click') inside, timestamp '2024-01-25' + to_days((user_id % 5)::int) admit from events),
  c as (select id, inside, ts, avg(value) as value, min(epoch_us(admit) - epoch_us(ts)) / 86400e6 age from v where epoch_us(admit) - epoch_us(ts) >= case when inside then 7 else 1 end * 86400000000 group by 1, 2, 3),
  r as (select *, row_number() over (partition by id, inside order by ts desc) n from c), k as (select * from r where n = 1 and age > case when inside then 7 else 1 end and age < 365),
