@@ -3,7 +3,7 @@
 Every word, and the start of a text, is a context with a restaurant of its own; every word, and the end of a text, is a dish of each.
 All restaurants share one parent over the words. A pair of words met once has one table, so it needs no seat: how many
 such pairs a context or a dish has follows from its count and its other pairs. Pairs met more often, their seats, contexts and
-dishes are Spark tables. What is broadcast holds words or pairs of a least share of all tokens, so at most one over that share of them.
+dishes are Spark tables. A word that is met once has one table everywhere, so all of these have the same terms and need no row. What is broadcast holds words or pairs of a least share of all tokens, so at most one over that share of them.
 
 A word is written as its rank if it has the share KNOWN, else as its hash with the highest bit set, so it is negative. Only
 how a word is found depends on that: all words are seated by one rule, and draws depend on words and pairs by their hashes.
@@ -233,6 +233,10 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([pa.array(lookup.value.code(h)), batch.column(1)], names=["w", "c"])
 
     vocab = scratch.table(vocab.mapInArrow(coded, "w long, c long"))
+    # of the words that aren't known those that are met once have equal terms: they are told by the filter of the others, in texts that were learned from
+    once = vocab.where("w < 0 and c = 1").select("w")
+    core = vocab.where("w >= 0 or c > 1")
+    n_once = once.count()
 
     # pairs; contexts and dishes with what their pairs that are met once come to
     pairs = scratch.table(_pairs(source.select("__learn", "__text"), lookup))
@@ -241,9 +245,9 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     of_w = many.groupBy("w").agg(F.sum("c").alias("in_many"), F.count("*").alias("rows"))
     zero = F.lit(0).cast("long")
     starts = learned.agg(F.lit(0).cast("long").alias("w"), F.count("*").alias("c"))
-    contexts = vocab.union(starts).select(F.col("w").alias("u"), F.col("c").alias("n")).join(of_u, "u", "left").select("u", "n", (F.col("n") - F.coalesce("in_many", zero)).alias("single"), F.coalesce("rows", zero).alias("rows"))
+    contexts = core.union(starts).select(F.col("w").alias("u"), F.col("c").alias("n")).join(of_u, "u", "left").select("u", "n", (F.col("n") - F.coalesce("in_many", zero)).alias("single"), F.coalesce("rows", zero).alias("rows"))
     contexts = scratch.table(contexts.select("u", "n", "single", (F.col("single") + F.col("rows")).cast("double").alias("t")))
-    dishes = vocab.join(of_w, "w", "left").select("w", (F.col("c") - F.coalesce("in_many", zero)).alias("alone"), F.coalesce("rows", zero).alias("rows"))
+    dishes = core.join(of_w, "w", "left").select("w", (F.col("c") - F.coalesce("in_many", zero)).alias("alone"), F.coalesce("rows", zero).alias("rows"))
     base, opened, served = 1.0 / (n_types + 1), float(n_types + 1), float(pairs.count())
     dishes = scratch.table(_over(dishes.withColumn("served", F.array(F.col("alone") + F.col("rows"))), lookup, 1, base, opened, 1))
     n_parts = many.count() // GROUP + 1
@@ -265,7 +269,7 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
         sat = [F.col("single") + F.coalesce(f"t{i}", zero) for i in range(samples)]
         contexts = scratch.table(contexts.drop("t").join(here, "u", "left").select("u", "n", "single", F.array(*sat).alias("sat"), (sum(sat[1:], sat[0]) / samples).alias("t")))
         totals = dishes.agg(*(F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0)) for c in ("served", "over") for i in range(samples))).first()
-        all_served, all_opened = totals[:samples], totals[samples:]
+        all_served, all_opened = ([x + n_once for x in part] for part in (totals[:samples], totals[samples:]))
         opened, served = max(float(sum(all_opened)) / samples, 1.0), max(float(sum(all_served)) / samples, 1.0)
         scratch.tidy()
 
@@ -274,6 +278,7 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     tops = F.array(*((F.greatest(F.get("served", F.lit(i)) - d0 * F.get("over", F.lit(i)), F.lit(0.0))) / (s0 + all_served[i]) + rest[i] for i in ks))
     backs = F.array(*((s1 + d1 * F.get("sat", F.lit(i))) / (s1 + F.col("n")) for i in ks))
     tops, backs = scratch.table(dishes.select("w", tops.alias("top"))), scratch.table(contexts.select("u", "n", backs.alias("back")))
+    top_once, back_once = [(1 - d0) / (s0 + t) + r for t, r in zip(all_served, rest)], (s1 + d1) / (s1 + 1)
 
     def mean_of(terms: list[Column]) -> Column:
         return F.log10(sum(terms[1:], terms[0]) / SAMPLES)
@@ -281,7 +286,9 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     ones = F.array(*(F.lit(1).cast("long") for _ in ks))
     laid = seats.select("u", "w", "c", "k", "tables").union(pairs.where("c = 1").select("u", "w", "c", "k", ones))
     laid = _attached(_attached(laid, "u", backs, "u"), "w", tops, "w")
-    of_pair = mean_of([F.get("back", F.lit(i)) * F.get("top", F.lit(i)) + (F.col("c") - d1 * F.get("tables", F.lit(i))) / (s1 + F.col("n")) for i in ks])
+    back = [F.coalesce(F.get("back", F.lit(i)), F.lit(back_once)) for i in ks]
+    top = [F.coalesce(F.get("top", F.lit(i)), F.lit(top_once[i])) for i in ks]
+    of_pair = mean_of([back[i] * top[i] + (F.col("c") - d1 * F.get("tables", F.lit(i))) / (s1 + F.coalesce("n", F.lit(1))) for i in ks])
 
     laid = scratch.table(laid.select("u", "w", "c", of_pair.alias("p"), "k"))
     scratch.drop(pairs, seats)
@@ -290,7 +297,10 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     order = np.argsort(frequent["k"].to_numpy())
     few = sc.broadcast((frequent["k"].to_numpy()[order], frequent["p"].to_numpy()[order]))
     bits = sc.broadcast(key_filter(laid, "k"))
-    arrays = {"top": np.tile(np.array(rest), (n_known + 1, 1)), "back": np.ones((n_known + 1, SAMPLES)), "n": np.zeros(n_known + 1)}
+    # by rank; the last entry is for words met once
+    arrays = {"top": np.tile(np.array(rest), (n_known + 2, 1)), "back": np.ones((n_known + 2, SAMPLES)), "n": np.zeros(n_known + 2)}
+    arrays["top"][-1], arrays["back"][-1], arrays["n"][-1] = top_once, back_once, 1
+    more = sc.broadcast(key_filter(core.where("w < 0"), "w"))
     for table, key, columns in ((tops, "w", ("top",)), (backs, "u", ("back", "n"))):
         got = table.where(F.col(key) >= 0).toArrow()
         for c in columns:
@@ -312,24 +322,31 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
         often = keys[place] == k if len(keys) else np.zeros(len(k), dtype=bool)
         return o, u, w, times, often, p[place[often]], ~often & passes(bits.value, k)
 
+    def resolved(code: np.ndarray, learned_from: np.ndarray) -> np.ndarray:
+        """Codes, with the last entry's number for words that are met once, where that can be told."""
+        return np.where((code < 0) & learned_from & ~passes(more.value, code), n_known + 1, code)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = lookup.value
+        times_met = np.append(look.count, 1)
         for batch in batches:
             m = batch.num_columns - 3
             learned_from = batch.column(m + 1).to_numpy(zero_copy_only=False)
             for a, b, of, value in _tokens(batch.column(m + 2)):
                 n = b - a
                 code = look.code(value)
-                there = code >= 0
-                counted = np.log10(look.count[np.where(there, code, 0)] + 1.0) - norm
+                known_code = resolved(code, learned_from[a:b][of])
+                there = known_code >= 0
+                counted = np.log10(times_met[np.where(there, known_code, 0)] + 1.0) - norm
                 o, u, w, times, often, p, passed = met(of, code)
                 s = np.bincount(o[often], p * times[often], minlength=n).astype(float)
                 top, back, n_u = terms.value
-                plain_pair = np.flatnonzero(~often & ~passed & (u >= 0) & (w >= 0))
-                pu, pw, po = u[plain_pair], w[plain_pair], o[plain_pair]
+                ru, rw = (resolved(x, learned_from[a:b][o]) for x in (u, w))
+                plain_pair = np.flatnonzero(~often & ~passed & (ru >= 0) & (rw >= 0))
+                pu, pw, po = ru[plain_pair], rw[plain_pair], o[plain_pair]
                 p = (back[pu] * top[pw]).mean(axis=1) + np.where(learned_from[a:b][po], (1 - d1) / (s1 + n_u[pu]), 0.0)
                 s += np.bincount(po, np.log10(p) * times[plain_pair], minlength=n)
-                far = np.flatnonzero(~often & ~passed & ((u < 0) | (w < 0)))
+                far = np.flatnonzero(~often & ~passed & ((ru < 0) | (rw < 0)))
                 rare, rare_of = code[~there], of[~there]
                 order, first = _grouped(rare_of, rare)
                 lists = [(rare_of[order][first], [rare[order][first], np.diff(np.append(first, len(rare))).astype(np.int32)]), (o[far], [u[far], w[far], times[far].astype(np.int32)])]
@@ -363,14 +380,29 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     scratch.tidy()
     pair = F.explode(F.arrays_zip("u", "w", F.col("pn").alias("n_here"))).alias("e")
     new = part.select("__key", "__learn", pair).select("__key", "__learn", "e.u", "e.w", "e.n_here").union(asked.where("u is not null").select("__key", "__learn", "u", "w", F.col("n_here").cast("int")))
+    # words met once of texts that weren't learned from: those that the filter lets through are joined
+    unsure = scratch.table(part.where("not __learn").select(F.explode("h").alias("w")).distinct())
+    wanted = sc.broadcast(key_filter(unsure, "w"))
+
+    def asked_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(wanted.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    met_once = scratch.table(once.mapInArrow(asked_for, "w long").join(unsure, "w", "left_semi"))
+    constant = F.array(*(F.lit(back_once) for _ in ks)), F.array(*(F.lit(x) for x in top_once))
+    backs = backs.unionByName(met_once.select(F.col("w").alias("u"), F.lit(1).cast("long").alias("n"), constant[0].alias("back")))
+    tops = tops.unionByName(met_once.select("w", constant[1].alias("top")))
     new = scratch.table(_attached(new, "u", backs, "u"))
     new = _attached(new, "w", tops, "w")
+    own = lambda here, unseen: F.when(F.col("__learn"), F.lit(here)).otherwise(F.lit(unseen))
     of_new = F.log10(
-        sum((F.coalesce(F.get("back", F.lit(i)), F.lit(1.0)) * F.coalesce(F.get("top", F.lit(i)), F.lit(rest[i])) for i in ks), F.lit(0.0)) / SAMPLES
-        + F.when(F.col("__learn"), (1 - d1) / (s1 + F.coalesce("n", zero))).otherwise(F.lit(0.0))
+        sum((F.coalesce(F.get("back", F.lit(i)), own(back_once, 1.0)) * F.coalesce(F.get("top", F.lit(i)), own(top_once[i], rest[i])) for i in ks), F.lit(0.0)) / SAMPLES
+        + F.when(F.col("__learn"), (1 - d1) / (s1 + F.coalesce("n", F.lit(1)))).otherwise(F.lit(0.0))
     )
     none = F.lit(0.0)
-    found = part.select("__key", F.explode(F.arrays_zip("h", "hn")).alias("e")).select("__key", F.col("e.h").alias("w"), F.col("e.hn").alias("n")).join(vocab.where("w < 0"), "w")
+    counts = core.where("w < 0").unionByName(met_once.select("w", F.lit(1).cast("long").alias("c")))
+    found = part.select("__key", "__learn", F.explode(F.arrays_zip("h", "hn")).alias("e")).select("__key", "__learn", F.col("e.h").alias("w"), F.col("e.hn").alias("n")).join(counts, "w", "left")
+    found = found.withColumn("c", F.coalesce("c", F.when(F.col("__learn"), 1))).where("c is not null")
     sums = found.select("__key", none.alias("s"), (F.col("n") * (F.log10(F.col("c") + 1.0) + F.lit(0.0))).alias("b"), F.col("n").cast("long").alias("k"), zero.alias("copies"))
     sums = sums.union(asked.where("u is null").select("__key", F.col("p"), none, zero, zero)).union(new.select("__key", of_new * F.col("n_here"), none, zero, zero)).union(part.select("__key", none, none, zero, F.lit(1).cast("long")))
     sums = sums.groupBy("__key").agg(*(F.sum(c).alias(f"__{c}") for c in ("s", "b", "k", "copies")))
