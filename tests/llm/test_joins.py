@@ -193,3 +193,11 @@ def test_spans_keep_columns_and_repeats(spark):
     assert got.columns == ["doc_id", "i", "h", "text", "n_sentences", "n_removed", "n_removed_words"]
     assert sorted((r["i"], r["n_removed"]) for r in got.collect()) == [("a", 0), ("a", 0), ("b", 3), ("c", 0)]
     assert spans.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_long_text_of_one_word(spark):
+    """Every place of the text meets every place of the item; and a text of two words in turn, which meets at every second one."""
+    docs = spark.createDataFrame([(1, "a " * 20_000), (2, "a b " * 5_000 + "c"), (3, "a " * 12)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a " * 60), (8, "b a " * 10)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"])) for r in winnow.contamination(docs, items).collect()}
+    assert got == {1: (20_000, 20_000, ["7"]), 2: (10_001, 10_000, ["8"]), 3: (12, 0, [])}

@@ -7,6 +7,7 @@ Fingerprints of documents and benchmark items are joined; each meeting is extend
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trajecta.llm.scratch import Scratch, plain
@@ -81,6 +82,8 @@ def _extended(met: DataFrame) -> DataFrame:
     """Adds the runs of equal words (start, len) that are long enough to `met` (ws, item words iw, shift: place in the document less place in the item).
 
     The two texts are laid over each other by the shift and compared word by word from end to end, so a meeting is extended as far as it goes.
+    Only the words that lie over each other are taken out of the document, never more than the item has, in the join that brings both sides
+    together: a text of which every place meets an item is not copied for each of them.
     """
     lo = "greatest(shift, 0)"
     n = f"least(size(ws) - {lo}, size(iw) - {lo} + shift)"
@@ -127,9 +130,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     for n in short:
         places = places.union(_whole(few, n).select("rid", F.posexplode_outer("w").alias("at", "g")).where("g is not null").select("rid", "g", "at"))
     shifts = scratch.table(places.join(prints, "g").select("rid", "iid", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
-    met = scratch.table(shifts.join(items, "iid").join(few.select("rid", "ws"), "rid"))
+    met = shifts.join(items, "iid").join(few.select("rid", "ws"), "rid")
     hits = scratch.table(_extended(met).select("rid", "item", F.explode_outer("runs").alias("run")).where("run is not null").select("rid", "item", "run.start", "run.len"))
-    covered = hits.select("rid", F.explode(F.expr("sequence(start, start + len - 1)")).alias("at")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
+    # words of runs that overlap count once: each run adds what lies behind the ends of those that start before it
+    runs = hits.select("rid", "start", (F.col("start") + F.col("len")).alias("end")).groupBy("rid", "start").agg(F.max("end").alias("end"))
+    before = F.max("end").over(W.partitionBy("rid").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
+    added = F.greatest(F.col("end") - F.greatest("start", F.coalesce(before, F.col("start"))), F.lit(0))
+    covered = runs.withColumn("added", added).groupBy("rid").agg(F.sum("added").cast("long").alias("n_hit"))
     which = hits.where("item is not null").select("rid", "item").distinct().groupBy("rid").agg(F.sort_array(F.collect_list("item")).alias("items"))
     covered, which = scratch.table(covered), scratch.table(which)
     out = every.drop("gs").join(covered, "rid", "left").join(which, "rid", "left")
