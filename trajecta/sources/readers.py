@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trajecta.operators.joins import first_rows
@@ -112,11 +114,24 @@ class Config:
     max_gap_hours: int = 24
     cohort: str = "a"
     version: str = "v1"
+    period: str = "icu"
+    weights_file: str | None = None
+    verbose: bool = False
 
     @staticmethod
-    def read(text: str) -> Config:
-        known = {k: v for k, v in json.loads(text).items() if k in Config.__dataclass_fields__}
-        return Config(**known)
+    def read(text: str, strict: bool = False) -> Config:
+        """Of a JSON object; `NAMES` are the names that other studies' files have. A name that is neither is passed over with a warning, or if `strict` an error."""
+        given = {NAMES.get(k, k): v for k, v in json.loads(text).items()}
+        unknown = sorted(set(given) - set(Config.__dataclass_fields__))
+        if unknown and strict:
+            raise ValueError(f"no such settings: {unknown}")
+        if unknown:
+            warnings.warn(f"no such settings: {unknown}", stacklevel=2)
+        return Config(**{k: v for k, v in given.items() if k not in unknown})
+
+
+#: Fixed names of study files and the settings they are.
+NAMES = {"basePath": "base_path", "cohortName": "cohort", "analyze": "period", "analysisDays": "analysis_days", "timeResolutionHrs": "hours", "verbose": "verbose", "transition_cost_file": "weights_file", "akiDayLim": "injury_days"}
 
 
 def as_times(df: DataFrame, *columns: str) -> DataFrame:
@@ -137,3 +152,55 @@ def unpivoted_treatments(raw: DataFrame, id_: str = "STUDY_PATIENT_ID") -> DataF
     kinds = [k for k in ("HD", "CRRT", "PD") if any(c.upper().startswith(k + "_START") for c in raw.columns)]
     marked = raw if "place" in raw.columns else raw.withColumn("place", F.monotonically_increasing_id())
     return marked.select(F.col(id_).alias("id"), "place", F.explode(F.array(*map(one, kinds))).alias("e")).select("id", "place", "e.*").where("start is not null")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(report, line, tokens) of the lines of text files that aren't blank; line from 0, tokens between white space. A file is one row of its reader, so it must be a report's size."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("report"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    tokens = F.array_remove(F.split("text", r"\s+"), "")
+    return whole.select("report", "line", tokens.alias("tokens")).where("size(tokens) > 0")
+
+
+def reclassification_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(report, statistic, value, low, high, p) of text reports of reclassification: nri_categorical, nri_continuous, nri_events, nri_nonevents, idi, auc_before and auc_after.
+
+    A line is known by its first words and its numbers by their places; the bounds of non-events stand in reverse. The first line of an area is
+    that of the model before, the second that of the one after, and so with the lines of their intervals. Lines of no statistic are passed over.
+    """
+    lines = _lines(spark, path)
+    t = lambda i: F.get("tokens", F.lit(i))
+    last = lambda i: F.get("tokens", F.size("tokens") - i)
+    row = lambda name, *numbers: F.struct(F.lit(name).alias("statistic"), *(x.try_cast("double").alias(n) for n, x in zip(("value", "low", "high", "p"), numbers)))
+    null = F.lit(None).cast("string")
+    full = lambda name: row(name, t(3), t(5), t(7), t(11))
+    bound = lambda i: F.get(F.regexp_extract_all(t(2), F.lit(r"([0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)"), F.lit(1)), F.lit(i))
+    found = F.when(t(0) == "NRI(Categorical)", full("nri_categorical")).when(t(0) == "NRI(Continuous)", full("nri_continuous"))
+    found = found.when((t(0) == "NRI") & (t(2) == "events"), row("nri_events", t(4), last(2), last(1), null)).when((t(0) == "NRI") & (t(2) == "non-events"), row("nri_nonevents", t(4), last(1), last(2), null))
+    found = found.when((t(0) == "IDI") & (t(1) != "SE"), full("idi")).when(t(0) == "Area", row("auc", last(1), null, null, null)).when(t(0) == "95%", row("auc_ends", null, bound(0), bound(1), null))
+    rows = lines.withColumn("f", found).where("f is not null").select("report", "line", "f.*")
+    order = F.row_number().over(W.partitionBy("report", "statistic").orderBy("line"))  # a report has few lines
+    named = rows.withColumn("n", order).withColumn("statistic", F.when(F.col("statistic").isin("auc", "auc_ends"), F.when(F.col("n") == 1, "auc_before").otherwise("auc_after")).otherwise(F.col("statistic")))
+    return named.groupBy("report", "statistic").agg(*(F.max(c).alias(c) for c in ("value", "low", "high", "p")))
+
+
+def coefficient_reports(spark: SparkSession, path: str, features: int, header: int = 12) -> DataFrame:
+    """(report, place, name, coefficient, low, high) of the `features` lines after the first `header` of text summaries of fitted models, blank ones included."""
+    lines = _lines(spark, path).where((F.col("line") >= header) & (F.col("line") < header + features))
+    number = lambda c, n: c.try_cast("double").alias(n)
+    last = lambda i: F.get("tokens", F.size("tokens") - i)
+    return lines.select("report", (F.col("line") - header).alias("place"), F.get("tokens", F.lit(0)).alias("name"), number(F.get("tokens", F.lit(1)), "coefficient"), number(last(2), "low"), number(last(1), "high"))
+
+
+def clustered_alignments(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """The stored alignments (`writers.clustered_alignments`) of the pairs `wanted` (id1, id2 in either order), read from the ranges that can hold them.
+
+    The ranges' bounds are a table of one row a range; those that a wanted pair lies in are partition values of the read, so the other
+    ranges' files are never opened.
+    """
+    pairs = wanted.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct()
+    bounds = spark.read.parquet(f"{path}/bounds")
+    key = F.struct("id1", "id2")
+    met = pairs.join(F.broadcast(bounds), (key >= F.col("least")) & (key <= F.col("most")))  # one row a range
+    parts = [r[0] for r in met.select("part").distinct().collect()]
+    rows = spark.read.parquet(f"{path}/rows").where(F.col("part").isin(parts))
+    return rows.join(pairs, ["id1", "id2"], "left_semi").drop("part")
