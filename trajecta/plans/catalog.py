@@ -943,3 +943,57 @@ def _apache_sql() -> str:
 @query("q_apache", _apache_sql())
 def q_apache(spark, d):
     return scores.apache(table(spark, d, "customer").selectExpr("c_custkey as id", *(f"{x} as {c}" for c, x in _apache_of().items())))
+
+
+OUTCOMES = ("died_inp", "died_90", "died_window", "esrd_review", "esrd_status", "esrd_90", "esrd_window", "dialysis_review", "dialysis")
+
+
+def _outcomes_sql() -> str:
+    mdrd = "175 * pow(c, -1.154) * pow(age, -0.203) * (case when male = 1 then 1 else 0.742 end) * (case when black = 1 then 1.212 else 1 end)"
+    flags = ", ".join(f"case when died_90 = 0 then coalesce({x}, 0) else 0 end {n}" for n, x in (("esrd_review", "er"), ("dialysis_review", "dr"), ("esrd_status", "es"), ("esrd_90", "(ra > 0 and ra < 90)::int"), ("esrd_window", "(ra > 0 and ra < 120)::int"), ("dialysis", "dia")))
+    drops = ", ".join(f"case when coalesce(dia, 0) = 0 and died_90 = 0 then coalesce((gfr90 / bg * 100 < {100 - k})::int, 0) else 0 end drop_{k}" for k in (25, 30, 50))
+    return f"""with f as (select o_custkey id, min(o_orderdate)::timestamp f from orders group by 1),
+ p as (select id, f + interval 20 day ref, f + interval 25 day hosp, (id % 13 = 0)::int died_inp, case when id % 4 = 0 then f + to_days((id % 200)::int) end death, (id % 2)::int male, (id % 3 = 0)::int black, (20 + id % 60)::int age, 60.0 + id % 40 bg from f),
+ d as (select *, coalesce(epoch_us(death) - epoch_us(ref) < 90 * 86400e6, false)::int died_90, coalesce(epoch_us(death) - epoch_us(ref) < 120 * 86400e6, false)::int died_window from p),
+ rv as (select o_custkey id, max((o_orderkey % 2 = 1)::int) er, max((o_orderkey % 3 = 0)::int) dr from orders where o_orderkey % 17 = 0 group by 1), st as (select o_custkey id, max((o_orderkey % 2 = 0)::int) es from orders where o_orderkey % 11 = 0 group by 1), rg as (select o_custkey id, min(o_orderdate)::timestamp failed from orders where o_orderkey % 23 = 0 group by 1),
+ di as (select id, max(((s < hosp - interval 2 day and e > hosp - interval 2 day) or (s >= hosp - interval 2 day and s < hosp))::int) dia from (select o_custkey id, o_orderdate::timestamp s, o_orderdate::timestamp + to_days((o_orderkey % 9)::int) e from orders where o_orderkey % 6 = 0) join p using (id) group by 1),
+ v as (select id, o_orderdate::timestamp ts, 0.6 + o_orderkey % 40 / 10.0 c, (epoch_us(o_orderdate::timestamp) - epoch_us(ref)) / 86400e6 a, male, black, age from orders join p on o_custkey = id),
+ w as (select *, floor(90 - a)::int off, {mdrd} gfr from v where a > 0 and a < 120 and floor(a) > 7), r as (select *, row_number() over (partition by id order by abs(off), ts, c) n from w qualify n <= 3),
+ s as (select *, max(off) over u - min(off) over u span, avg(gfr) over u m from r window u as (partition by id order by n rows unbounded preceding)), g as (select id, arg_max(m, n) gfr90, max(n) n_used, arg_min(off, n) nearest from s where span <= 30 or n = 1 group by 1),
+ j as (select d.*, er, dr, es, dia, gfr90, n_used, nearest, (epoch_us(failed) - epoch_us(ref)) / 86400e6 ra from d left join rv using (id) left join st using (id) left join rg using (id) left join di using (id) left join g using (id)),
+ o as (select id, died_inp, died_90, died_window, {flags}, {drops}, n_used::int n_used, nearest from j)
+ select *, {", ".join(f"greatest({', '.join(OUTCOMES)}, drop_{k}) d{k}" for k in (25, 30, 50))} from o"""
+
+
+@query("q_kidney_outcomes", _outcomes_sql())
+def q_kidney_outcomes(spark, d):
+    """Outcomes at 90 days of customers as patients, their orders as values, treatments, reviews and registry."""
+    rows = table(spark, d, "orders").selectExpr("o_custkey as id", "o_orderkey as k", "cast(o_orderdate as timestamp) as ts")
+    p = rows.groupBy("id").agg(F.min("ts").alias("f")).selectExpr(
+        "id", "f + interval 10 days as icu_admit", "f + interval 20 days as icu_disch", "f + interval 25 days as hosp_disch", "cast(id % 13 = 0 as int) as died_inp", "case when id % 4 = 0 then f + make_dt_interval(cast(id % 200 as int)) end as death",
+        "cast(id % 2 as int) as male", "cast(id % 3 = 0 as int) as black", "cast(20 + id % 60 as int) as age", "60.0D + id % 40 as baseline_gfr",
+    )
+    got = outcomes.kidney_outcomes(
+        p, rows.selectExpr("id", "ts", "0.6D + (k % 40) / 10.0D as creatinine"), rows.where("k % 6 = 0").selectExpr("id", "ts as start", "ts + make_dt_interval(cast(k % 9 as int)) as stop"),
+        rows.where("k % 17 = 0").selectExpr("id", "cast(k % 2 as int) as during", "cast(k % 3 = 0 as int) as rrt_dependent"), rows.where("k % 11 = 0").selectExpr("id", "if(k % 2 = 0, 'Y', 'N') as during"), rows.where("k % 23 = 0").selectExpr("id", "ts as failed_on"), buffer=30, count=3,
+    )
+    return got.withColumn("n_used", F.col("n_used").cast("int"))
+
+
+@query("q_cohort_exclusions", STAGES + f""", pt as (select distinct user_id id, case when user_id % 10 > 0 then (user_id % 2)::int end male, (user_id % 3 = 0)::int black, case when user_id % 17 > 0 then date '1950-01-01' end birth, (10 + user_id % 80)::int age, case when user_id % 41 > 0 then timestamp '2024-01-10' end admit,
+  case when user_id % 19 > 0 then 0.5 + user_id % 50 / 10.0 end base, case when user_id % 3 = 0 then timestamp '2024-01-10' + to_days((user_id % 40)::int) end death, (user_id % 29 = 0)::int st, (user_id % 31 = 0)::int rg, case when user_id % 2 = 0 then (user_id % 4 = 0)::int end rv from events),
+ vv as (select id, count(ts) n, epoch_us(max(ts)) - epoch_us(min(ts)) sp from ev group by 1), ww as (select id, max(stage) worst from stages where day <= 3 group by 1), gr as (select user_id id, max((event_id % 97 = 0 or event_id % 89 = 0)::int) t1, max((event_id % 83 = 0)::int) t2 from events group by 1),
+ jj as (select *, case when st <> rg and rv is not null then rv else greatest(st, rg) end es, 175 * pow(base, -1.154) * pow(age, -0.203) * (case when male = 1 then 1 else 0.742 end) * (case when black = 1 then 1.212 else 1 end) gfr from pt left join vv using (id) left join ww using (id) left join gr using (id)),
+ fl as (select id, (n = 0)::int no_values, (n = 1)::int one_value, (n > 1 and sp < 6 * 3600e6)::int short_span, (male is null or black is null)::int no_sex_or_race, (birth is null)::int no_birth_date, (admit is null or base is null)::int no_admission_or_base, coalesce(base >= 4, false)::int high_base, (age < 18)::int minor,
+  coalesce(date_diff('day', admit::date, death::date) <= 3, false)::int early_death, (es = 1)::int esrd, coalesce(gfr < 15, false)::int low_gfr, (t1 + t2 > 0)::int transplant, (coalesce(worst, 0) = 0)::int no_injury from jj)
+ select *, {"case " + " ".join(f"when {n} = 1 then '{n}'" for n in cohort.EXCLUSIONS) + " end"} reason, greatest({", ".join(cohort.EXCLUSIONS)}) = 0 kept from fl""")
+def q_cohort_exclusions(spark, d):
+    """The thirteen exclusions of users as patients, with their series' stages and made diagnoses and surgeries."""
+    e = table(spark, d, "events").selectExpr("user_id as id", "event_id as k")
+    p = e.select("id").distinct().selectExpr(
+        "id", "case when id % 10 > 0 then cast(id % 2 as int) end as male", "cast(id % 3 = 0 as int) as black", "case when id % 17 > 0 then date'1950-01-01' end as birth", "cast(10 + id % 80 as int) as age", "case when id % 41 > 0 then timestamp'2024-01-10' end as admit",
+        "case when id % 19 > 0 then 0.5D + (id % 50) / 10.0D end as base", "case when id % 3 = 0 then timestamp'2024-01-10' + make_dt_interval(cast(id % 40 as int)) end as death", "cast(id % 29 = 0 as int) as esrd_status", "cast(id % 31 = 0 as int) as esrd_registry", "case when id % 2 = 0 then cast(id % 4 = 0 as int) end as esrd_review",
+    )
+    diagnoses = e.selectExpr("id", "if(k % 97 = 0, 'Transplanted kidney', null) as text", "if(k % 89 = 0, 'V42.0', '401') as code")
+    surgeries = e.selectExpr("id", "if(k % 83 = 0, 'renal transplant', 'other') as text")
+    return cohort.exclusions(p, measurements(spark, d).select("id", "ts"), stages(spark, d), diagnoses, surgeries)
