@@ -226,3 +226,39 @@ def test_flow_sheet(spark):
     assert (one["net"], one["gross"], one["balance"]) == (450.0, 700.0, 900.0) and abs(one["overload"] - 900 / 80 / (18 + 24 + 12) * 100) < 1e-9
     assert (two["net"], two["gross"], two["balance"], two["overload"]) == (None, None, -600.0, None)
     assert (three["height"], three["net"], three["gross"], three["balance"]) == (None, None, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("count", [1, 3])
+def test_paired_values(spark, count):
+    """By loops: values near each other are one, a value too far before uses up a turn."""
+    r = np.random.default_rng(count)
+    ref = dt.datetime(2024, 1, 1)
+    rows = [(i, ref + dt.timedelta(minutes=int(m)), round(float(c), 2)) for i in range(30) for m, c in zip(np.round(r.choice([86, 87, 88, 90, 91, 40, 20, 3, 95], 7) * 1440 + r.integers(0, 200, 7)), r.uniform(0.5, 4, 7))]
+    want = {}
+    for i in range(30):
+        v = sorted((abs(90 - d), d, c) for k, t, c in rows for d in [(t - ref).total_seconds() / 86400] if k == i and 7 < d < 94)
+        if not v:
+            continue
+        taken, j, turns = [], 0, 0
+        while j < len(v) and turns < count:
+            if turns == 0 or v[0][1] - v[j][1] < 30:
+                if j + 1 < len(v) and abs(v[j][1] - v[j + 1][1]) * 24 <= 2:
+                    taken.append((v[j][2] + v[j + 1][2]) / 2)
+                    j += 1
+                else:
+                    taken.append(v[j][2])
+            j += 1
+            turns += 1
+        want[i] = (round(sum(taken) / len(taken), 9), len(taken))
+    patients = spark.createDataFrame([(i, ref, 1, 0, 50) for i in range(30)], "id int, ref timestamp, male int, black int, age int")
+    got = outcomes.paired_gfr(patients, spark.createDataFrame(rows, "id int, ts timestamp, creatinine double"), 4, count).collect()
+    assert {x["id"]: (round(x["creatinine90"], 9), x["n_used"]) for x in got} == want and len({n for _, n in want.values()}) == count
+
+
+def test_located_values(spark):
+    v = frame(spark, "row int, id int, ts timestamp", (1, 1, D(1)), (2, 1, D(5)), (3, 1, D(9)), (4, 2, D(1)), (5, 1, None))
+    icu = frame(spark, "id int, start timestamp, stop timestamp", (1, D(4), D(6)), (1, D(4), D(7)), (2, D(0), None))
+    hospital = frame(spark, "id int, start timestamp, stop timestamp", (1, D(0), D(8)))
+    on = frame(spark, "id int, kind string, start timestamp, stop timestamp", (1, "HD", D(0), D(0)), (1, "PD", D(4), D(5)), (1, "CRRT", D(3), None))
+    got = {r["row"]: (r["place"], r["on_hd"], r["on_crrt"], r["on_pd"], r["on_any"]) for r in cohort.located_values(v, icu, hospital, on).collect()}
+    assert got == {1: (1, 1, 0, 0, 1), 2: (2, 0, 1, 1, 1), 3: (0, 0, 0, 0, 0), 4: (0, 0, 0, 0, 0), 5: (0, 0, 0, 0, 0)}

@@ -51,6 +51,19 @@ def dialysis_mask(values: DataFrame, treatments: DataFrame, key: str = "id", at:
     return values.join(bits, row, "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
 
 
+def located_values(values: DataFrame, icu: DataFrame, hospital: DataFrame, treatments: DataFrame, key: str = "id", at: str = "ts", row: str = "row", closed: bool = True) -> DataFrame:
+    """values with place (2 in intensive care, 1 elsewhere in hospital, 0 outside), on_hd, on_crrt, on_pd and on_any (0/1).
+
+    icu, hospital: (key, start, stop), one window a key or several. treatments as in `dialysis_mask`. Windows and treatments are met by
+    `joins.stab`, each in a join of its own, and summed by row, so values are never multiplied; a null time is outside and on nothing.
+    """
+    inside = [stab(values.select(key, row, at), w.where(F.col("stop").isNotNull()).select(key, "start", "stop"), key, at, "start", "stop", 0).select(row, F.lit(k).alias("place")) for w, k in ((icu, 2), (hospital, 1))]
+    place = inside[0].unionByName(inside[1]).groupBy(row).agg(F.max("place").alias("place"))
+    out = dialysis_mask(values, treatments, key, at, row, closed).join(place, row, "left").withColumn("place", F.coalesce("place", F.lit(0)))
+    on = {f"on_{n}": (F.col("mask").bitwiseAND(bit) > 0).cast("int") for n, bit in (("hd", HD), ("crrt", CRRT), ("pd", PD))}
+    return out.withColumns(on).withColumn("on_any", (F.col("mask") > 0).cast("int")).drop("mask")
+
+
 def baselines(values: DataFrame, patients: DataFrame, key: str = "id", outpatient: tuple[float, float] = (1, 365), inpatient: tuple[float, float] = (7, 365)) -> DataFrame:
     """(key, base, kind, base_at): creatinine before admission.
 

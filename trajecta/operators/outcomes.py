@@ -87,3 +87,30 @@ def cross_table(make: Sequence[tuple[str, DataFrame]]) -> DataFrame:
 def free_days(stay_days: Column, died: Column, span: int = 28) -> Column:
     """Days of the span outside; 0 if the patient died or stayed longer."""
     return F.when(died == 1, 0.0).otherwise(F.greatest(F.lit(0.0), span - stay_days))
+
+
+def paired_gfr(patients: DataFrame, values: DataFrame, buffer: int = 0, count: int = 1, min_day: float = 7, key: str = "id", hours: float = 2.0) -> DataFrame:
+    """(key, creatinine90, gfr90, n_used): the second cohort's rule, by values in order of their distance from day 90.
+
+    The nearest value counts, and up to `count` in all of those that lie less than 30 days before it or at any time after it; one that doesn't
+    uses up its turn. A value and the next one in that order are one, their mean, if they are at most `hours` apart. The filtration is that of the
+    values' mean. patients: id, ref, male, black, age; values: id, ts, creatinine. Patients without a value have no row.
+    """
+    f = values.join(patients.select(key, "ref", "male", "black", "age"), key).withColumn("day", _days(F.col("ref"), F.col("ts")))
+    f = f.where((F.col("day") > min_day) & (F.col("day") < DAYS + buffer))
+    listed = F.array_sort(F.collect_list(F.struct(F.abs(DAYS - F.col("day")).alias("off"), F.col("ts").alias("ts"), F.col("creatinine").cast("double").alias("v"), F.col("day").alias("day"))))  # a patient's values of some months
+    g = f.groupBy(key).agg(listed.alias("l"), *(F.first(c).alias(c) for c in ("male", "black", "age")))
+    g = g.withColumn("l", F.transform("l", lambda x, i: F.struct(x["v"].alias("v"), x["day"].alias("day"), F.get("l", i + 1)["v"].alias("next"), F.coalesce(F.abs(x["day"] - F.get("l", i + 1)["day"]) * 24 <= hours, F.lit(False)).alias("paired"))))
+
+    def step(s: Column, x: Column) -> Column:
+        value = F.when(x["paired"], (x["v"] + x["next"]) / 2).otherwise(x["v"])
+        first = s["turns"] == 0
+        turn = ~s["skip"] & (s["turns"] < count)
+        taken = turn & (first | (s["day"] - x["day"] < 30))
+        return F.struct(
+            (taken & x["paired"]).alias("skip"), (s["turns"] + turn.cast("int")).alias("turns"), (s["n"] + taken.cast("int")).alias("n"), F.when(taken, s["total"] + value).otherwise(s["total"]).alias("total"), F.when(first, x["day"]).otherwise(s["day"]).alias("day"),
+        )
+
+    start = F.struct(F.lit(False).alias("skip"), F.lit(0).alias("turns"), F.lit(0).alias("n"), F.lit(0.0).alias("total"), F.lit(0.0).alias("day"))
+    g = g.withColumn("s", F.aggregate("l", start, step)).withColumn("creatinine90", F.col("s.total") / F.col("s.n"))
+    return g.select(key, "creatinine90", gfr_mdrd(F.col("creatinine90"), F.col("male"), F.col("black"), F.col("age")).alias("gfr90"), F.col("s.n").alias("n_used"))

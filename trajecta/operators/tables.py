@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trajecta.operators import evaluation
@@ -84,6 +85,28 @@ def chosen(df: DataFrame, label: str, value: str) -> DataFrame:
     return out.withColumns({"p": F.when(at, F.lit(p).cast("double")), "mark": F.when(at, mark)})
 
 
+def label_order(df: DataFrame, label: str, flag: str) -> DataFrame:
+    """(label, rate, place): labels by the share of rows with the flag, the lowest first (place 1), of equal ones the first by name."""
+    rates = df.groupBy(label).agg(F.avg(F.coalesce(F.col(flag).cast("double"), F.lit(0.0))).alias("rate"))
+    return rates.withColumn("place", F.row_number().over(W.orderBy("rate", label)))  # one row a label
+
+
+def feature_pairs(df: DataFrame, label: str, flag: str, features: Sequence[str]) -> DataFrame:
+    """(feature, label1, label2, mean1, mean2, t, p): for each feature and each pair of labels, in order of their rates of the flag, the means and the t-test with one variance.
+
+    Features are unpivoted once and summed by (feature, label); the tests are of these sums. Null and NaN are left out; a label without a value of the feature has no pair of it.
+    """
+    values = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")).alias("v")) for f in features)))
+    sums = df.select(F.col(label).alias("label"), values.alias("e")).select("label", "e.*").where("v is not null").groupBy("feature", "label").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.coalesce(F.var_samp("v"), F.lit(0.0)).alias("s"))
+    sums = sums.join(label_order(df, label, flag).select(F.col(label).alias("label"), "place"), "label")  # one row a feature and label
+    one, two = (sums.select("feature", *(F.col(c).alias(f"{c}{k}") for c in ("label", "n", "m", "s", "place"))) for k in (1, 2))
+    pairs = one.join(two, "feature").where("place1 < place2").withColumn("df", (F.col("n1") + F.col("n2") - 2).cast("double"))
+    pooled = F.try_divide((F.col("n1") - 1) * F.col("s1") + (F.col("n2") - 1) * F.col("s2"), F.col("df"))
+    pairs = pairs.withColumn("t", F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2")))))
+    p = F.nanvl(evaluation.t_p_value(F.coalesce("t", F.lit(float("nan"))), "df"), F.lit(None).cast("double"))
+    return pairs.select("feature", "label1", "label2", F.col("m1").alias("mean1"), F.col("m2").alias("mean2"), "t", p.alias("p"))
+
+
 def rate_spread(df: DataFrame, label: str, flag: str) -> DataFrame:
     """(max_spread, min_spread, mean_spread) of the absolute differences between the labels' rates of the flag."""
     rates = df.groupBy(label).agg(F.avg(F.col(flag).cast("double")).alias("r"))

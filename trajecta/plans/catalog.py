@@ -997,3 +997,43 @@ def q_cohort_exclusions(spark, d):
     diagnoses = e.selectExpr("id", "if(k % 97 = 0, 'Transplanted kidney', null) as text", "if(k % 89 = 0, 'V42.0', '401') as code")
     surgeries = e.selectExpr("id", "if(k % 83 = 0, 'renal transplant', 'other') as text")
     return cohort.exclusions(p, measurements(spark, d).select("id", "ts"), stages(spark, d), diagnoses, surgeries)
+
+
+@query("q_paired_gfr", """with f as (select o_custkey id, min(o_orderdate)::timestamp ref from orders group by 1), v as (select id, 0.6 + o_orderkey % 40 / 10.0 c, o_orderdate::timestamp + to_hours((o_orderkey % 5)::int) ts, ref from f join orders on o_custkey = id),
+ w as (select *, (epoch_us(ts) - epoch_us(ref)) / 86400e6 d from v), l as (select id, list(c order by abs(90 - d), ts, c) c, list(d order by abs(90 - d), ts, c) d from w where d > 7 and d < 720 group by 1),
+ a as (select *, len(c) n, len(c) > 1 and abs(d[1] - d[2]) * 24 <= 2 p, case when p then 3 else 2 end j from l), b as (select *, case when p then (c[1] + c[2]) / 2 else c[1] end x, n >= j and d[1] - d[j] < 30 q, case when n > j and abs(d[j] - d[j + 1]) * 24 <= 2 then (c[j] + c[j + 1]) / 2 else c[j] end y from a),
+ m as (select id, case when q then (x + y) / 2 else x end m, 1 + q::int n_used from b)
+ select id, round(m, 6) creatinine90, round(175 * pow(m, -1.154) * pow(20 + id % 60, -0.203) * (case when id % 2 = 1 then 1 else 0.742 end) * (case when id % 3 = 0 then 1.212 else 1 end), 6) gfr90, n_used from m""")
+def q_paired_gfr(spark, d):
+    v = table(spark, d, "orders").selectExpr("o_custkey as id", "cast(o_orderdate as timestamp) as day", "cast(o_orderdate as timestamp) + make_dt_interval(0, cast(o_orderkey % 5 as int)) as ts", "0.6D + (o_orderkey % 40) / 10.0D as creatinine")
+    p = v.groupBy("id").agg(F.min("day").alias("ref")).selectExpr("id", "ref", "cast(id % 2 as int) as male", "cast(id % 3 = 0 as int) as black", "cast(20 + id % 60 as int) as age")
+    return outcomes.paired_gfr(p, v, buffer=630, count=2).select("id", r6("creatinine90").alias("creatinine90"), r6("gfr90").alias("gfr90"), "n_used")
+
+
+@query("q_located_values", f"""with {EV}, w as (select id, min(ts) a, max(ts) z from ev group by 1), t as (select user_id id, case event_type when 'error' then 1 when 'signup' then 2 when 'view' then 4 end b, ts s from events where event_type in ('error', 'signup', 'view')),
+ m as (select ev.tie, coalesce(bit_or(b), 0) mask from ev left join t on ev.id = t.id and ev.ts between s and s + interval 48 hours group by 1)
+ select ev.tie, case when ts between a + interval 2 day and a + interval 6 day then 2 when ts between a + interval 1 day and z - interval 3 day then 1 else 0 end place, (m.mask & 1)::int on_hd, ((m.mask & 2) > 0)::int on_crrt, ((m.mask & 4) > 0)::int on_pd, (m.mask > 0)::int on_any from ev join w using (id) join m using (tie)""")
+def q_located_values(spark, d):
+    ms = measurements(spark, d)
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "error", "HD").when(F.col("event_type") == "signup", "CRRT").when(F.col("event_type") == "view", "PD")
+    treatments = e.select(F.col("user_id").alias("id"), kind.alias("kind"), F.col("ts").alias("start"), F.col("ts").alias("stop")).where("kind is not null")
+    w = ms.groupBy("id").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
+    icu = w.select("id", (F.col("a") + F.expr("interval 2 days")).alias("start"), (F.col("a") + F.expr("interval 6 days")).alias("stop"))
+    hospital = w.select("id", (F.col("a") + F.expr("interval 1 day")).alias("start"), (F.col("z") - F.expr("interval 3 days")).alias("stop"))
+    return cohort.located_values(ms.select("id", "tie", "ts"), icu, hospital, treatments, row="tie").select("tie", "place", "on_hd", "on_crrt", "on_pd", "on_any")
+
+
+@query("q_feature_pairs", f"""with {SEG}, t as (select seg, fin, f, v from (select seg, fin, unnest(['price', 'root']) f, unnest([price::double, sqrt(price::double)]) v from s)), r as (select seg, row_number() over (order by avg(fin), seg) k from s group by 1),
+ m as (select f, t.seg, k, count(*)::double n, avg(v) m, var_samp(v) v from t join r using (seg) group by 1, 2, 3), w as (select a.f feature, a.seg label1, b.seg label2, a.m mean1, b.m mean2, a.n + b.n - 2 df, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n)) t from m a join m b on a.f = b.f and a.k < b.k),
+ z as (select *, {_t_as_normal_sql("abs(t)", "df")} z from w) select feature, label1, label2, round(mean1, 4) mean1, round(mean2, 4) mean2, round(t, 5) t, round(2 * ({_above_sql("z")}), 5) p from z""")
+def q_feature_pairs(spark, d):
+    s = _segments(spark, d).withColumn("root", F.sqrt("price"))
+    return tables.feature_pairs(s, "seg", "fin", ["price", "root"]).select("feature", "label1", "label2", F.round("mean1", 4).alias("mean1"), F.round("mean2", 4).alias("mean2"), F.round("t", 5).alias("t"), F.round("p", 5).alias("p"))
+
+
+@query("q_cartesian", "select p_partkey, [[p_size, 0, p_partkey], [p_size, 1, p_partkey], [p_size + 1, 0, p_partkey], [p_size + 1, 1, p_partkey]] combos from (select p_partkey::bigint p_partkey, p_size::bigint p_size from part)")
+def q_cartesian(spark, d):
+    p = table(spark, d, "part").selectExpr("cast(p_partkey as long) as p_partkey", "cast(p_size as long) as p_size")
+    combos = sequences.cartesian(F.array("p_size", F.col("p_size") + 1), F.array(F.lit(0).cast("long"), F.lit(1).cast("long")), F.array("p_partkey"))
+    return p.select("p_partkey", combos.alias("combos"))
