@@ -10,8 +10,10 @@ import numpy as np
 from trajecta.llm.arrowtext import mix
 
 
-#: Customers up to which the weights of all table counts of a row are listed; numbers of a matrix of them; parts of a larger row's range.
-LISTED, CELLS, PARTS = 128, 2_000_000, 48
+#: Customers up to which the weights of all table counts of a row are listed; numbers of a matrix of them (so that it stays in a core's cache); parts of a larger row's range.
+#: Customers up to which weights are multiplied as they are: they stay within 10^200 for restaurants of up to 10^9 customers.
+LISTED, CELLS, PARTS = 128, 200_000, 48
+PLAIN = 16
 #: Terms of the series for a large row's weights.
 TERMS = 60
 
@@ -90,17 +92,21 @@ def drawn_tables(c: np.ndarray, outer: np.ndarray, rise: np.ndarray, over: np.nd
         j = np.where(fixed[i], 1.0, over[i])
         return own + np.where(fixed[i], 0.0, log_gamma(rise[i] + t) - log_gamma(rise[i]) - log_gamma(j + t) + log_gamma(j))
 
-    known = listed_ways(d)
+    known, plain = listed_ways(d), np.exp(listed_ways(d)[: PLAIN + 1, : PLAIN + 1])
     least = 1
-    for most in (2, 4, 8, 16, 48, LISTED):
+    for most in (2, 3, 4, 6, 8, PLAIN, 48, LISTED):
         rows = np.flatnonzero((c > least) & (c <= most))
         j = np.arange(most)
         for a in range(0, len(rows), CELLS // most):
             i = rows[a : a + CELLS // most]
             f = fixed[i][:, None]
-            ratio = np.where(f, 1.0, (rise[i][:, None] + j) / np.where(f, 1.0, over[i][:, None] + j))
-            w = known[c[i], 1 : most + 1] + np.cumsum(np.log(ratio * outer[i][:, None]), axis=1)
-            sums = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+            ratio = np.where(f, 1.0, (rise[i][:, None] + j) / np.where(f, 1.0, over[i][:, None] + j)) * outer[i][:, None]
+            if most <= PLAIN:  # numbers that need no logarithms
+                w = plain[c[i], 1 : most + 1] * np.cumprod(ratio, axis=1)
+            else:
+                w = known[c[i], 1 : most + 1] + np.cumsum(np.log(ratio), axis=1)
+                w = np.exp(w - w.max(axis=1, keepdims=True))
+            sums = np.cumsum(w, axis=1)
             out[i] = 1 + (sums < (draw[0, i] * sums[:, -1])[:, None]).sum(axis=1)
         least = most
     rows = np.flatnonzero(c > LISTED)
