@@ -152,7 +152,7 @@ def drawn_tables(c: np.ndarray, outer: np.ndarray, rise: np.ndarray, over: np.nd
 def draws(keys: np.ndarray, number: int) -> np.ndarray:
     """(2, rows) numbers from 0 to 1 that depend on the row's key and the number of the draw alone."""
     k = keys.astype(np.int64, copy=False).view(np.uint64) * np.uint64(0xD1342543DE82EF95)
-    return np.stack([mix(k + np.uint64(2 * number + j + 1) * np.uint64(0x9E3779B97F4A7C15)) for j in (0, 1)]) / 2.0**64
+    return np.stack([mix(k + np.uint64((2 * number + j + 1) * 0x9E3779B97F4A7C15 % 2**64)) for j in (0, 1)]) / 2.0**64
 
 
 def gibbs(
