@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from corpus import FOLD, SPACED, documents, prose, word
 
-from trajecta.llm import lm, pages, quality, rules, seating, urls
+from trajecta.llm import arrowtext, lm, pages, quality, rules, seating, urls
 from trajecta.llm.boosting import boosted
 from trajecta.llm.seating import drawn_tables, gibbs
 
@@ -80,6 +80,38 @@ def test_ranking_learns_and_tells_apart(spark):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_ranking_learns_from_every_labelled_row_and_pair(spark):
+    """24,000 labelled rows of 80 texts, against all pairs of a row of label 1 and one of label 0, by text."""
+    r = random.Random(21)
+    texts = [" ".join(word(r).upper() + "!" if r.random() < i / 160 else word(r) for _ in range(r.randrange(20, 90))) for i in range(80)]
+    rows = [(i, i % 80, int(r.random() > 0.1 + 0.5 * (i % 80) / 80)) for i in range(24_000)]
+    df = spark.createDataFrame(rows, "doc_id long, t int, quality int").join(spark.createDataFrame(list(enumerate(texts)), "t int, text string"), "t")
+    got = {}
+    for x in quality.ranked(df.select("doc_id", "t", "text"), df.select("doc_id", "quality"), quality.F.lit(True), keep=("t",)).distinct().collect():
+        got[x["t"]] = x["score"]
+    good, bad = (np.bincount([t for _, t, y in rows if y == side], minlength=80).astype(float) for side in (1, 0))
+    x = quality._measured(*arrowtext.buffers(arrowtext.pa.array(texts)))
+    n = good + bad
+    mean = n @ x / n.sum()
+    scale = np.sqrt(n @ (x - mean) ** 2 / n.sum())
+    z = (x - mean) / np.where(scale > 1e-9, scale, 1)
+    w, m = np.zeros(z.shape[1]), z.shape[1]
+    share = good[:, None] * bad[None, :] / (good.sum() * bad.sum())
+    d = z[:, None] - z[None]
+    for _ in range(30):
+        p = 1 / (1 + np.exp(d @ w))
+        bend = np.einsum("ij,ijk,ijl->kl", share * p * (1 - p), d, d) + 1e-3 * np.eye(m)
+        w += np.linalg.solve(bend, np.einsum("ij,ijk->k", share * p, d) - 1e-3 * w)
+    s = z @ w
+    of_rows, of_good = (np.repeat(s, c.astype(int)) for c in (n, good))
+    f = bad.sum() / n.sum()
+    low, cut, high = np.quantile(of_rows, [0.98 * f, f, 1.02 * f])
+    threshold = (low + high) / 2 if high > low else cut
+    slope = (math.log(9) - math.log(3 / 7)) / (np.quantile(of_good, 0.5) - threshold)
+    expected = 1 / (1 + np.exp(-((s - threshold) * slope + math.log(3 / 7))))
+    assert len(got) == 80 and max(abs(got[t] - expected[t]) for t in range(80)) < 1e-3
+
+
 def test_gibbs_finds_the_mean_of_few_customers():
     """Two customers of one dish sit together or apart with weights 1 - d and the weight of a new table."""
     n, weight, d = 4000, 0.8, 0.4

@@ -6,18 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajecta.llm.arrowtext import SPACED, blocks, words
 from trajecta.llm.partenum import shingles
-from trajecta.llm.scratch import Scratch, plain
+from trajecta.llm.scratch import Scratch, key_filter, passes, plain
+from trajecta.operators.quantiles import quantiles
+from trajecta.sources.steps import Steps
 
-#: Labelled rows used for fitting, about; drawn by hash where there are more. Less preferred partners of each preferred row.
-LABELLED, PARTNERS = 20_000, 4
+#: Scores up to so far apart are summed up together while pairs are compared; pull of the weights to 0; most passes over the labelled rows.
+WIDTH, PULL, PASSES = 1 / 16, 1e-3, 60
 #: A score of 0.3 stands at the threshold, one of 0.9 at the median of the preferred rows.
 AT_THRESHOLD, AT_MEDIAN = 0.3, 0.9
 
@@ -54,13 +54,15 @@ def _measured(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack(columns, axis=1) * full[:, None]
 
 
-def features(docs: DataFrame, keep: list[str], text: str, out: str = "x") -> DataFrame:
-    """The columns `keep` with `out`, the features of each whole text."""
+def features(docs: DataFrame, keep: list[str], text: str, out: str = "x", bits=None) -> DataFrame:
+    """The columns `keep` with `out`, the features of each whole text; with `bits` (a broadcast `key_filter`) only of rows whose first kept column passes."""
     fields = docs.select(*map(plain, keep)).schema.add(out, T.ArrayType(T.DoubleType()))
     names, m = fields.names, len(FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if bits is not None:
+                batch = batch.filter(pa.array(passes(bits.value, batch.column(0).to_numpy(zero_copy_only=False))))
             for a, b, raw, at in blocks(batch.column(len(keep))):
                 x = _measured(raw, at)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * m), pa.array(x.ravel()))
@@ -69,12 +71,92 @@ def features(docs: DataFrame, keep: list[str], text: str, out: str = "x") -> Dat
     return docs.select(*(plain(c).alias(f"f{i}") for i, c in enumerate(keep)), plain(text).alias("__features_of")).mapInArrow(run, fields)
 
 
-def ranked(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", keep: tuple[str, ...] = ("doc_id",), labelled: int = LABELLED) -> DataFrame:
+def _by_score(fit: DataFrame, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, n_parts: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]:
+    """For label 1 and for label 0, by ranges of score of WIDTH: rows, sums of the scaled features, sums of their products."""
+    m = len(mean)
+
+    def summed(y: np.ndarray, at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((at, y))
+        y, at = y[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], (y[1:] != y[:-1]) | (at[1:] != at[:-1])]))
+        return y[first], at[first], np.add.reduceat(values[order], first)
+
+    def lists(values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z = (batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, m) - mean) / scale
+            values = np.concatenate([np.ones((len(z), 1)), z, (z[:, :, None] * z[:, None, :]).reshape(-1, m * m)], axis=1)
+            new = summed(batch.column(0).to_numpy(zero_copy_only=False), np.floor(z @ weights / WIDTH).astype(np.int64), values)
+            held = new if held is None else summed(*(np.concatenate(pair) for pair in zip(held, new)))
+        if held is not None:
+            y, at, values = held
+            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(at), lists(values)], names=["y", "at", "v"])
+
+    def merged(key: tuple, part: pa.Table) -> pa.Table:
+        v = part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 1 + m + m * m)
+        y, at, values = summed(part["y"].to_numpy(), part["at"].to_numpy(), v)
+        return pa.table({"y": y, "at": at, "v": lists(values)})
+
+    kinds = "y long, at long, v array<double>"
+    parts = fit.select(F.col("y").cast("long"), "x").mapInArrow(run, kinds).withColumn("part", F.pmod("at", F.lit(n_parts)))
+    got = parts.groupBy("part").applyInArrow(lambda key, part: merged(key, part.drop_columns(["part"])), kinds).toArrow()
+    y, at = got["y"].to_numpy(), got["at"].to_numpy()
+    v = got["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 1 + m + m * m)
+    sides = (np.flatnonzero(y == side)[np.argsort(at[y == side])] for side in (1, 0))
+    return tuple((v[i, 0], v[i, 1 : m + 1], v[i, m + 1 :].reshape(-1, m, m)) for i in sides)
+
+
+def preferred(fit: DataFrame, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Weights of the scaled features: least mean logistic loss over all pairs of a row of label 1 and a row of label 0, with PULL / 2 times their squares.
+
+    Newton steps, of which each takes one pass over the rows (y, x). Rows of a label whose scores lie in one range of WIDTH are compared
+    together, by the range's mean score and its second moments, so every pair counts and the work grows with the rows, not with the pairs.
+    """
+    m = len(mean)
+    n_parts = fit.sparkSession.sparkContext.defaultParallelism
+    best, loss, step = np.zeros(m), np.inf, np.zeros(m)
+    for _ in range(PASSES):
+        weights = best + step
+        (n, x, xx), (k, y, yy) = _by_score(fit, mean, scale, weights, n_parts)
+        s, t = x @ weights / n, y @ weights / k
+        x_off, y_off = xx @ weights - s[:, None] * x, yy @ weights - t[:, None] * y  # sums of the features times the score's distance from the mean
+        s_var, t_var = x_off @ weights / n, y_off @ weights / k
+        value, gradient, bend = 0.0, np.zeros(m), np.zeros((m, m))
+        for a in range(0, len(n), 256):
+            part = slice(a, a + 256)
+            apart = s[part, None] - t[None, :]
+            p = 1 / (1 + np.exp(np.clip(apart, -500, 500)))
+            q = p * (1 - p)
+            var = s_var[part, None] + t_var[None, :]
+            value += float(n[part] @ (np.logaddexp(0, -apart) + q * var / 2) @ k)
+            slope = p + q * (1 - 2 * p) * var / 2
+            gradient += (slope.T @ n[part]) @ y - (slope @ k) @ x[part] + (q.T @ n[part]) @ y_off + (q @ k) @ x_off[part]
+            mixed = x[part].T @ q @ y
+            bend += np.tensordot(q @ k, xx[part], 1) + np.tensordot(q.T @ n[part], yy, 1) - mixed - mixed.T
+        pairs = n.sum() * k.sum()
+        value = value / pairs + PULL / 2 * float(weights @ weights)
+        if value > loss + 1e-6:  # too far
+            step = step / 2
+            continue
+        best, loss = weights, value
+        down = -(gradient / pairs + PULL * weights)
+        step = np.linalg.solve(bend / pairs + PULL * np.eye(m), down)
+        if down @ step < 1e-8:
+            return best + step
+    return best
+
+
+def ranked(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of `docs` with score (0 to 1) and predicted (1 from AT_THRESHOLD on).
 
-    learn: a condition on doc_id for the labelled rows that may be learned from; about `labelled` of them at most are
-    used. Each row of label 1 is preferred to PARTNERS rows of label 0 drawn by hash; logistic loss on the differences of
-    their features gives the weights of a document's score. The threshold is the quantile of the learned rows' scores
+    learn: a condition on doc_id for the labelled rows that are learned from, all of them. Each row of label 1 is preferred
+    to each row of label 0; logistic loss on the differences of their features, over all of these pairs, gives the weights
+    of a document's score (`preferred`). The threshold is the quantile of the learned rows' scores
     at their share of label 0. Null and empty texts have all features 0 and get that score; null labels are not used,
     rows that repeat a label count again, repeated documents get equal scores and rows without an id are scored but not
     learned from; a kept column named score or predicted gives way to the result; with labels of one kind only, or none, every score is 0.5.
@@ -85,10 +167,10 @@ def ranked(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc
     names = [f"k{i}" for i in range(len(kept))]
     source = docs.select(*(plain(c).alias(k) for c, k in zip(kept, names)), plain(doc_id).alias("__id"), plain(text).alias("__text"))
     known = labels.select(plain(doc_id).alias("__id"), plain(label).alias("y"), learn.alias("use")).where("use and y in (0, 1)").select("__id", "y")
-    n = known.count()
-    share = min(1.0, labelled / max(n, 1))
-    known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_003)) < F.lit(1_000_003 * share))
-    fit = scratch.table(features(source.select("__id", "__text").join(F.broadcast(known), "__id"), ["__id", "y"], "__text", "x"))  # about `labelled` rows at most
+    known = scratch.table(known.withColumn("h", F.xxhash64("__id")))
+    bits = spark.sparkContext.broadcast(key_filter(known, "h"))
+    labelled = features(source.select(F.xxhash64("__id").alias("h"), "__id", "__text"), ["h", "__id"], "__text", "x", bits)
+    fit = scratch.table(labelled.select("__id", "x").join(known.select("__id", "y"), "__id"))
     x = features(source, names, "__text", "__x")
     stats = fit.agg(F.count("*").alias("n"), F.sum("y").alias("good"), *(F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(len(FEATURES))), *(F.stddev_pop(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(len(FEATURES)))).first()
     good, bad = int(stats["good"] or 0), int(stats["n"] - (stats["good"] or 0))
@@ -97,22 +179,15 @@ def ranked(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc
     mean = np.array([stats[f"m{i}"] for i in range(len(FEATURES))])
     scale = np.array([stats[f"s{i}"] if stats[f"s{i}"] > 1e-9 else 1.0 for i in range(len(FEATURES))])
 
-    # pairs: about PARTNERS rows of label 0 meet a row of label 1 in its bucket
-    buckets = max(1, bad // PARTNERS)
-    scaled = F.transform(F.arrays_zip(F.col("x").alias("v"), F.array(*map(F.lit, scale.tolist())).alias("s")), lambda e: e["v"] / e["s"])
-    z = fit.select("y", scaled.alias("z"), F.pmod(F.xxhash64("__id", F.lit("bucket")), F.lit(buckets)).alias("bucket"))
-    pairs = z.where("y = 1").select("bucket", F.col("z").alias("a")).join(z.where("y = 0").select("bucket", F.col("z").alias("b")), "bucket")
-    pairs = pairs.select(F.zip_with("a", "b", lambda p, q: p - q).alias("d"), F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("sign"))
-    pairs = pairs.select(array_to_vector(F.transform("d", lambda v: v * F.col("sign"))).alias("features"), ((F.col("sign") + 1) / 2).alias("label"))
-    model = LogisticRegression(fitIntercept=False, standardization=False, regParam=1e-3, maxIter=60).fit(scratch.table(pairs.repartition(spark.sparkContext.defaultParallelism)))
-    weights = model.coefficients.toArray() / scale
+    weights = preferred(fit, mean, scale) / scale
 
     def weighted(column: str) -> Column:
         return sum((F.get(column, F.lit(i)) * F.lit(float(w)) for i, w in enumerate(weights)), F.lit(float(-(weights * mean).sum())))
 
-    s = fit.select("y", weighted("x").alias("s"))
-    low, cut, high = s.select(F.percentile("s", F.array(*(F.lit(min(1.0, bad / (good + bad) * f)) for f in (0.98, 1.0, 1.02))))).first()[0]
-    middle = s.where("y = 1").select(F.percentile("s", F.lit(0.5))).first()[0]
+    s = fit.select(weighted("x").alias("s"), F.when(F.col("y") == 1, weighted("x")).alias("of_good"))
+    shares = [min(1.0, bad / (good + bad) * f) for f in (0.98, 1.0, 1.02)]
+    at = {r["column"]: r["q"] for r in quantiles(s, ["s", "of_good"], [*shares, 0.5], steps=Steps(spark, "quality")).collect()}
+    low, cut, high, middle = *at["s"][:3], at["of_good"][3]
     threshold = (low + high) / 2 if high > low else cut
     logit = lambda p: float(np.log(p / (1 - p)))
     slope = (logit(AT_MEDIAN) - logit(AT_THRESHOLD)) / max(middle - threshold, 1e-6)
