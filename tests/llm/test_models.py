@@ -311,6 +311,31 @@ def test_lm_joins_what_it_does_not_look_up(spark, monkeypatch):
             assert abs(r["base_score"] - two[i]["base_score"]) < 1e-6 and abs(r["score"] - two[i]["score"]) < 1e-6
 
 
+def test_pairs_travel_in_parts(spark):
+    """Counts of pairs against plain ones, whatever the number of parts and which words are known; a part is a row of the shuffle, not a pair."""
+    rows = [(i % 3 > 0, t) for i, t in DOCS]
+    df = spark.createDataFrame(rows, "learn boolean, text string").coalesce(1)
+    learned, asked = Counter(), set()
+    for learn, t in rows:
+        w = ["<", *SPACED.findall((t or "").translate(FOLD)), ">"]
+        (learned.update if learn else asked.update)(zip(w, w[1:]))
+    expected = sorted(c for pair, c in learned.items() if c > 1 or pair in asked)
+    hashes = np.unique(np.concatenate([v for _, _, _, v in lm._tokens(arrowtext.pa.array([t for _, t in rows], arrowtext.pa.string()))])).view(np.int64)
+    for n_parts, known in ((1, hashes), (7, hashes[::2]), (7, hashes[:0])):
+        lookup = spark.sparkContext.broadcast(lm.Lookup(known, np.arange(len(known), dtype=np.int64)))
+        got = lm._pairs(df, lookup, n_parts).collect()
+        assert sorted(r["c"] for r in got) == expected and len({(r["u"], r["w"]) for r in got}) == len(got) == len({r["k"] for r in got})
+
+
+def test_places_of_keys():
+    r = np.random.default_rng(5)
+    keys = np.unique(np.concatenate([r.integers(-(2**63), 2**63 - 1, 5000), np.arange(300)]))
+    for some in (keys, keys[:1], keys[:0]):
+        asked = np.concatenate([keys, r.integers(-(2**63), 2**63 - 1, 1000), [-(2**63), 2**63 - 1, 0]])
+        at, found = lm.Places(some).find(asked)
+        assert np.array_equal(found, np.isin(asked, some)) and np.array_equal(some[at[found]], asked[found])
+
+
 def test_lm_knows_the_context_of_words_of_any_share(spark):
     """After each of 300 words one other follows, in a corpus of which each is under the thousandth part."""
     r = random.Random(4)

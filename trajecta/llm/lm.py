@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +35,8 @@ END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 SIGN = np.int64(-(2**63))
 #: Tokens that a task gathers before it sums them up.
 GATHERED = 2_000_000
-#: Rows seated together in a group.
-GROUP = 250_000
+#: Rows seated together in a group; tokens for each part that pairs are dealt to.
+GROUP, DEALT = 250_000, 1_000_000
 #: What `score` gives besides the columns kept.
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -74,6 +75,32 @@ def _counted(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+class Places:
+    """Where values stand among sorted, mixed 64-bit keys: by a table of the first key of each range of their top bits."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self._range(keys), np.arange((1 << bits) + 1)).astype(np.int32)
+        self.keys = np.append(keys, 0)
+
+    def _range(self, value: np.ndarray) -> np.ndarray:
+        return ((value.view(np.uint64) ^ np.uint64(1 << 63)) >> self.shift).astype(np.int64)
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether the value is there)."""
+        of = self._range(value)
+        at, end = self.first[of], self.first[of + 1]
+        found = (self.keys[at] == value) & (at < end)
+        left = np.flatnonzero(~found & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            hit = self.keys[at[left]] == value[left]
+            found[left] = hit
+            left = left[~hit & (at[left] + 1 < end[left])]
+        return at, found
+
+
 class Lookup:
     """Known words: their ranks by count, from 1, and counts. Rank 0 is the start of a text."""
 
@@ -81,16 +108,13 @@ class Lookup:
         rank = np.lexsort((h, -c))
         self.count = np.concatenate([[0], c[rank]])
         order = np.argsort(h[rank])
-        self.h, self.rank = h[rank][order], order + 1
+        self.places, self.rank = Places(h[rank][order]), np.append(order + 1, 0)
         self.names = np.concatenate([START.view(np.int64)[None], h[rank]]) | SIGN
 
     def code(self, value: np.ndarray) -> np.ndarray:
         v = value.view(np.int64)
-        other = v | SIGN
-        if not len(self.h):
-            return other
-        at = np.minimum(np.searchsorted(self.h, v), len(self.h) - 1)
-        return np.where(self.h[at] == v, self.rank[at], other)
+        at, found = self.places.find(v)
+        return np.where(found, self.rank[at], v | SIGN)
 
     def name(self, code: np.ndarray) -> np.ndarray:
         """The code that a word would have if it weren't known."""
@@ -128,19 +152,54 @@ def _grouped(*columns: np.ndarray, of: np.ndarray | None = None) -> tuple[np.nda
     return order, np.flatnonzero(new)
 
 
-def _pairs(docs: DataFrame, lookup) -> DataFrame:
+def _dealt(part: np.ndarray, n_parts: int, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each part that has rows: its number and the bytes of its rows' columns, so that a shuffle moves few large rows."""
+    order = np.argsort(part.astype(np.uint16) if n_parts <= 1 << 16 else part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(n_parts + 1))
+    some = np.flatnonzero(np.diff(bounds))
+    at = np.append(bounds[some], bounds[-1])
+    blobs = [pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x[order]))]) for x in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *blobs], names=["part", *columns])
+
+
+def _opened(part: pa.Table, name: str, kind: type) -> np.ndarray:
+    """The column of all rows of a part of `_dealt`."""
+    return np.concatenate([np.zeros(0, dtype=kind), *(np.frombuffer(x.as_buffer(), dtype=kind) for x in part[name] if x.is_valid)])
+
+
+def _packed(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether both words of a pair are known, and those pairs as one number each, in half the bytes."""
+    both = (u >= 0) & (w >= 0)
+    return both, u[both] << np.int64(32) | w[both]
+
+
+def _unpacked(uw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return uw >> np.int64(32), uw & np.int64(0xFFFFFFFF)
+
+
+def _part_of(k: np.ndarray, n_parts: int) -> np.ndarray:
+    return ((k.view(np.uint64) >> np.uint64(20)) % np.uint64(n_parts)).astype(np.int64)
+
+
+def _pairs(docs: DataFrame, lookup, n_parts: int) -> DataFrame:
     """(u, w, c, k) of `docs` (learn, text): pairs that were learned twice or more, c times, or once and stand in a text that wasn't learned from. k: `Lookup.pair`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
-        def summed() -> pa.RecordBatch:
+        def summed() -> Iterator[pa.RecordBatch]:
             u, w, c = (np.concatenate(x) for x in zip(*held))
             order, first = _grouped(u, w)
             at = order[first]
             n, every = np.add.reduceat(c[order].astype(np.int64), first), np.diff(np.append(first, len(u)))
-            return pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(w[at]), pa.array(n.astype(np.int32)), pa.array((every > n).astype(np.int32))], names=["u", "w", "c", "asked"])
+            u, w = u[at], w[at]
+            part, n, asked = _part_of(lookup.value.pair(u, w), n_parts), n.astype(np.int32), every > n
+            both, uw = _packed(u, w)
+            for some, columns in ((both, {"uw": uw}), (~both, {"u": u[~both], "w": w[~both]})):
+                dealt = _dealt(part[some], n_parts, **columns, c=n[some], asked=asked[some])
+                none = pa.nulls(dealt.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([dealt["part"], *(dealt[x] if x in columns else none for x in ("uw", "u", "w")), dealt["c"], dealt["asked"]], names=["part", "uw", "u", "w", "c", "asked"])
 
         for batch in batches:
             learn = batch.column(0).to_numpy(zero_copy_only=False)
@@ -149,19 +208,35 @@ def _pairs(docs: DataFrame, lookup) -> DataFrame:
                 held.append((_before(text, code), code, learn[a:b][text]))
                 size += len(value)
                 if size >= GATHERED:
-                    yield summed()
+                    yield from summed()
                     held, size = [], 0
         if held:
-            yield summed()
-
-    sums = docs.mapInArrow(run, "u long, w long, c int, asked int").groupBy("u", "w").agg(F.sum("c").alias("c"), F.max("asked").alias("asked"))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lookup.value.pair(u, w))], names=["u", "w", "c", "k"])
-
-    return sums.where("c > 1 or (c = 1 and asked = 1)").select("u", "w", "c").mapInArrow(keyed, "u long, w long, c long, k long")
+            yield from summed()
+
+    def merged(key: tuple, part: pa.Table) -> pa.Table:
+        packed = pa.compute.is_valid(part["uw"])
+        near, far = part.filter(packed), part.filter(pa.compute.invert(packed))
+        (u, w), more = _unpacked(_opened(near, "uw", np.int64)), [_opened(far, name, np.int64) for name in ("u", "w")]
+        u, w = np.concatenate([u, more[0]]), np.concatenate([w, more[1]])
+        c, asked = (np.concatenate([_opened(x, name, kind) for x in (near, far)]) for name, kind in (("c", np.int32), ("asked", bool)))
+        k = lookup.value.pair(u, w)
+        order = np.argsort(k)
+        u, w, k = u[order], w[order], k[order]
+        new = np.ones(len(k), dtype=bool)
+        new[1:] = k[1:] != k[:-1]
+        other = np.zeros(len(k), dtype=bool)
+        other[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
+        if (other & ~new).any():  # two pairs of one key
+            again = np.lexsort((w, u))
+            order, u, w, k = order[again], u[again], w[again], k[again]
+            new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
+        first = np.flatnonzero(new)
+        c, asked = np.add.reduceat(c[order].astype(np.int64), first), np.logical_or.reduceat(asked[order], first)
+        stay = (c > 1) | ((c == 1) & asked)
+        at = first[stay]
+        return pa.table({"u": u[at], "w": w[at], "c": c[stay], "k": k[at]})
+
+    return docs.mapInArrow(run, "part int, uw binary, u binary, w binary, c binary, asked binary").groupBy("part").applyInArrow(merged, "u long, w long, c long, k long")
 
 
 def _seated(rows: DataFrame, opened: float, served: float, base: float, n_parts: int, burn: int, samples: int, seed: int) -> DataFrame:
@@ -249,7 +324,8 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     n_once = once.count()
 
     # pairs; contexts and dishes with what their pairs that are met once come to
-    pairs = scratch.table(_pairs(source.select("__learn", "__text"), lookup))
+    n_dealt = int(total) // DEALT + 1
+    pairs = scratch.table(_pairs(source.select("__learn", "__text"), lookup, n_dealt))
     many = pairs.where("c > 1")
     of_u = many.groupBy("u").agg(F.sum("c").alias("in_many"), F.count("*").alias("rows"))
     of_w = many.groupBy("w").agg(F.sum("c").alias("in_many"), F.count("*").alias("rows"))
@@ -305,7 +381,7 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     scratch.tidy()
     frequent = laid.where(F.col("c") >= F.lit(FREQUENT * total)).select("k", "p").toArrow()
     order = np.argsort(frequent["k"].to_numpy())
-    few = sc.broadcast((frequent["k"].to_numpy()[order], frequent["p"].to_numpy()[order]))
+    few = sc.broadcast((Places(frequent["k"].to_numpy()[order]), frequent["p"].to_numpy()[order]))
     bits = sc.broadcast(key_filter(laid, "k"))
     # by rank; the last entry is for words met once
     arrays = {"top": np.tile(np.array(rest), (n_known + 2, 1)), "back": np.ones((n_known + 2, SAMPLES)), "n": np.zeros(n_known + 2)}
@@ -328,69 +404,131 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
         o, u, w, times = of[at], u[at], code[at], np.diff(np.append(first, len(of)))
         k = lookup.value.pair(u, w)
         keys, p = few.value
-        place = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-        often = keys[place] == k if len(keys) else np.zeros(len(k), dtype=bool)
+        place, often = keys.find(k)
         return o, u, w, times, often, p[place[often]], ~often & passes(bits.value, k)
 
     def resolved(code: np.ndarray, learned_from: np.ndarray) -> np.ndarray:
         """Codes, with the last entry's number for words that are met once, where that can be told."""
         return np.where((code < 0) & learned_from & ~passes(more.value, code), n_known + 1, code)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"key": np.int64, "learn": bool, "u": np.int64, "w": np.int64, "n": np.int32}
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What is known of each text at once (sums), and its words (rare) and pairs (far) that must be joined; by parts, its pairs that may have been learned (asked)."""
         look = lookup.value
         times_met = np.append(look.count, 1)
+        held: dict[str, list[tuple[np.ndarray, ...]]] = {"sums": [], "rare": [], "far": [], "asked": []}
+        size = 0
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            joined = {name: [np.concatenate(x) for x in zip(*rows)] for name, rows in held.items()}
+            key, learned_from, u, w, n = joined["asked"]
+            part = _part_of(look.pair(u, w), n_dealt)
+            both, uw = _packed(u, w)
+            yield whole(_dealt(part[both], n_dealt, near_key=key[both], near_learn=learned_from[both], near_uw=uw, near_n=n[both]))
+            key, learned_from, u, w, n, part = (x[~both] for x in (key, learned_from, u, w, n, part))
+            yield whole(_dealt(part, n_dealt, key=key, learn=learned_from, u=u, w=w, n=n))
+            columns = {f"{name}_{c}": x for name in held if name != "asked" for c, x in zip(also[name], joined[name])}
+            part = int(_part_of(columns["sums_key"][:1], n_dealt)[0])
+            yield whole(pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns.values())], names=["part", *columns]))
+
         for batch in batches:
-            m = batch.num_columns - 3
-            learned_from = batch.column(m + 1).to_numpy(zero_copy_only=False)
-            for a, b, of, value in _tokens(batch.column(m + 2)):
-                n = b - a
+            learn_of, key_of = batch.column(1).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, of, value in _tokens(batch.column(2)):
+                n, keys, learned_from = b - a, key_of[a:b], learn_of[a:b].astype(bool)
                 code = look.code(value)
-                known_code = resolved(code, learned_from[a:b][of])
+                known_code = resolved(code, learned_from[of])
                 there = known_code >= 0
                 counted = np.log10(times_met[np.where(there, known_code, 0)] + 1.0) - norm
                 o, u, w, times, often, p, passed = met(of, code)
+                times = times.astype(np.int32)
                 s = np.bincount(o[often], p * times[often], minlength=n).astype(float)
                 top, back, n_u = terms.value
-                ru, rw = (resolved(x, learned_from[a:b][o]) for x in (u, w))
+                ru, rw = (resolved(x, learned_from[o]) for x in (u, w))
                 plain_pair = np.flatnonzero(~often & ~passed & (ru >= 0) & (rw >= 0))
                 pu, pw, po = ru[plain_pair], rw[plain_pair], o[plain_pair]
-                p = (back[pu] * top[pw]).mean(axis=1) + np.where(learned_from[a:b][po], (1 - d1) / (s1 + n_u[pu]), 0.0)
+                p = (back[pu] * top[pw]).mean(axis=1) + np.where(learned_from[po], (1 - d1) / (s1 + n_u[pu]), 0.0)
                 s += np.bincount(po, np.log10(p) * times[plain_pair], minlength=n)
-                far = np.flatnonzero(~often & ~passed & ((ru < 0) | (rw < 0)))
+                far, wanted_pair = np.flatnonzero(~often & ~passed & ((ru < 0) | (rw < 0))), np.flatnonzero(passed)
                 rare, rare_of = code[~there], of[~there]
                 order, first = _grouped(rare, of=rare_of)
-                lists = [(rare_of[order][first], [rare[order][first], np.diff(np.append(first, len(rare))).astype(np.int32)]), (o[far], [u[far], w[far], times[far].astype(np.int32)])]
-                out = [batch.column(i).slice(a, n) for i in range(m + 2)]
-                out += [pa.array(np.bincount(of, minlength=n)), pa.array(np.bincount(of[there], minlength=n)), pa.array(np.bincount(of, np.where(there, counted, 0.0), minlength=n)), pa.array(s)]
-                for owner, values in lists:
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32))
-                    out += [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
-                yield pa.RecordBatch.from_arrays(out, names=fields.names)
+                by = rare_of[order][first]
+                held["rare"].append((keys[by], learned_from[by], rare[order][first], np.diff(np.append(first, len(rare))).astype(np.int32)))
+                held["sums"].append((keys, learned_from, np.bincount(of, minlength=n), np.bincount(of[there], minlength=n), np.bincount(of, np.where(there, counted, 0.0), minlength=n) - norm * np.bincount(rare_of, minlength=n), s))
+                for name, i in (("far", far), ("asked", wanted_pair)):
+                    held[name].append((keys[o[i]], learned_from[o[i]], u[i], w[i], times[i]))
+                size += len(value)
+                if size >= GATHERED:
+                    yield from dealt()
+                    held, size = {name: [] for name in held}, 0
+        if held["sums"]:
+            yield from dealt()
 
-    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    also = {"sums": {"key": np.int64, "learn": bool, "n_tokens": np.int64, "n_known": np.int64, "b": np.float64, "s": np.float64}, "rare": {c: k for c, k in kinds.items() if c != "u"}, "far": kinds, "near": {"key": np.int64, "learn": bool, "uw": np.int64, "n": np.int32}}
+    blobs = [*kinds, *(f"{name}_{c}" for name, columns in also.items() for c in columns)]
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """With all blobs, null where the batch hasn't them."""
+        have = set(batch.schema.names)
+        return pa.RecordBatch.from_arrays([batch["part"], *(batch[c] if c in have else pa.nulls(batch.num_rows, pa.binary()) for c in blobs)], names=["part", *blobs])
+
+    def laying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, of, value in _tokens(batch.column(2)):
-                o, u, w, times, _, _, passed = met(of, lookup.value.code(value))
-                key, learned_from = (batch.column(i).slice(a, b - a).take(pa.array(o[passed])) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([key, learned_from, pa.array(u[passed]), pa.array(w[passed]), pa.array(times[passed].astype(np.int32))], names=["__key", "__learn", "u", "w", "n_here"])
-
-    fields = source.drop("__text").schema
-    for c, kind in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("s", T.DoubleType())):
-        fields = fields.add(c, kind)
-    for c, kind in (("h", T.LongType()), ("hn", T.IntegerType()), ("u", T.LongType()), ("w", T.LongType()), ("pn", T.IntegerType())):
-        fields = fields.add(c, T.ArrayType(kind))
-    # pairs that may have been learned: those that were have their score; the others are as those that the filter told apart
-    asked = source.select("__key", "__learn", "__text").mapInArrow(asking, "__key long, __learn boolean, u long, w long, n_here int").join(laid.select("u", "w", "p"), ["u", "w"], "left")
-    told = F.col("p").isNull()
-    asked = asked.groupBy("__key", "__learn", F.when(told, F.col("u")).alias("u"), F.when(told, F.col("w")).alias("w")).agg(F.sum("n_here").alias("n_here"), F.sum(F.col("p") * F.col("n_here")).alias("p"))
-    asked = scratch.table(asked)
+            if batch.num_rows:
+                u, w, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                yield _dealt(_part_of(lookup.value.pair(u, w), n_dealt), n_dealt, u=u, w=w, p=p)
+
+    def answered(asks: pa.Table, learned_pairs: pa.Table) -> pa.Table:
+        """Rows of four kinds: sums of texts, rare words of texts, pairs of texts that weren't learned or are far; and, dealt by the texts, sums of learned pairs."""
+        near = {c: _opened(asks, f"near_{c}", k) for c, k in also["near"].items()}
+        near["u"], near["w"] = _unpacked(near["uw"])
+        got = {c: np.concatenate([near[c], _opened(asks, c, k)]) for c, k in kinds.items()}
+        lu, lw, lp = (_opened(learned_pairs, c, k) for c, k in (("u", np.int64), ("w", np.int64), ("p", np.float64)))
+        lk = lookup.value.pair(lu, lw)
+        order = np.argsort(lk)
+        lu, lw, lp, lk = lu[order], lw[order], lp[order], lk[order]
+        twice = np.flatnonzero(lk[1:] == lk[:-1])
+        k = lookup.value.pair(got["u"], got["w"])
+        place = np.searchsorted(lk, k)
+        found = np.zeros(len(k), dtype=bool)
+        for _ in range(len(twice) + 1):  # one key of several pairs: on to the next
+            here = np.minimum(place, max(len(lk) - 1, 0))
+            if len(lk):
+                found = (lu[here] == got["u"]) & (lw[here] == got["w"])
+            if not len(twice) or found.all():
+                break
+            place = np.where(~found & (place + 1 < len(lk)) & (lk[np.minimum(place + 1, len(lk) - 1)] == k), place + 1, place)
+        at = np.flatnonzero(found)
+        key, owner = np.unique(got["key"][at], return_inverse=True)
+        s = np.bincount(owner, lp[here[at]] * got["n"][at], minlength=len(key)).astype(float) if len(at) else np.zeros(0)
+        packed = _dealt(_part_of(key, n_dealt), n_dealt, key=key, s=s)
+        left = np.flatnonzero(~found)
+        sums, rare, far = ({c: _opened(asks, f"{name}_{c}", k) for c, k in also[name].items()} for name in ("sums", "rare", "far"))
+        rows = [
+            pa.table({"kind": np.full(packed.num_rows, 3, dtype=np.int32), "to": packed["part"], "keys": packed["key"], "of_keys": packed["s"]}),
+            pa.table({"kind": np.full(len(sums["key"]), 0, dtype=np.int32), **sums, "copies": np.ones(len(sums["key"]), dtype=np.int64)}),
+            pa.table({"kind": np.full(len(rare["key"]), 1, dtype=np.int32), **rare}),
+            pa.table({"kind": np.full(len(far["key"]), 2, dtype=np.int32), **far}),
+            pa.table({"kind": np.full(len(left), 2, dtype=np.int32), **{c: x[left] for c, x in got.items()}}),
+        ]
+        empty = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("learn", pa.bool_()), ("u", pa.int64()), ("w", pa.int64()), ("n", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("b", pa.float64()), ("s", pa.float64()), ("copies", pa.int64()), ("to", pa.int32()), ("keys", pa.binary()), ("of_keys", pa.binary())]).empty_table()
+        return pa.concat_tables([empty, *rows], promote_options="default")
+
+    def summed_by_text(key: tuple, part: pa.Table) -> pa.Table:
+        keys, owner = np.unique(_opened(part, "keys", np.int64), return_inverse=True)
+        return pa.table({"key": keys, "s": np.bincount(owner, _opened(part, "of_keys", np.float64), minlength=len(keys)).astype(float)})
+
+    # pairs that may have been learned meet those that were, part by part; the others are as those that the filter told apart
+    asks = source.select("__key", "__learn", "__text").mapInArrow(asking, "part int, " + ", ".join(f"{c} binary" for c in blobs))
+    learned_pairs = laid.select("u", "w", "p").mapInArrow(laying, "part int, u binary, w binary, p binary")
+    answers = asks.groupBy("part").cogroup(learned_pairs.groupBy("part")).applyInArrow(answered, "kind int, key long, learn boolean, u long, w long, n int, n_tokens long, n_known long, b double, s double, copies long, to int, keys binary, of_keys binary")
+    answers = scratch.table(answers)
     scratch.drop(laid)
     scratch.tidy()
-    part = scratch.table(source.mapInArrow(run, fields))
-    pair = F.explode(F.arrays_zip("u", "w", F.col("pn").alias("n_here"))).alias("e")
-    new = part.select("__key", "__learn", pair).select("__key", "__learn", "e.u", "e.w", "e.n_here").union(asked.where("u is not null").select("__key", "__learn", "u", "w", F.col("n_here").cast("int")))
+    new = answers.where("kind = 2").select(F.col("key").alias("__key"), F.col("learn").alias("__learn"), "u", "w", F.col("n").alias("n_here"))
+    rare = answers.where("kind = 1")
     # words met once of texts that weren't learned from: those that the filter lets through are joined
-    unsure = scratch.table(part.where("not __learn").select(F.explode("h").alias("w")).distinct())
+    unsure = scratch.table(rare.where("not learn").select("w").distinct())
     wanted = sc.broadcast(key_filter(unsure, "w"))
 
     def asked_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,16 +548,19 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     )
     none = F.lit(0.0)
     counts = core.where("w < 0").unionByName(met_once.select("w", F.lit(1).cast("long").alias("c")))
-    found = part.select("__key", "__learn", F.explode(F.arrays_zip("h", "hn")).alias("e")).select("__key", "__learn", F.col("e.h").alias("w"), F.col("e.hn").alias("n")).join(counts, "w", "left")
+    found = rare.select(F.col("key").alias("__key"), F.col("learn").alias("__learn"), "w", "n").join(counts, "w", "left")
     found = found.withColumn("c", F.coalesce("c", F.when(F.col("__learn"), 1))).where("c is not null")
-    sums = found.select("__key", none.alias("s"), (F.col("n") * (F.log10(F.col("c") + 1.0) + F.lit(0.0))).alias("b"), F.col("n").cast("long").alias("k"), zero.alias("copies"))
-    sums = sums.union(asked.where("u is null").select("__key", F.col("p"), none, zero, zero)).union(new.select("__key", of_new * F.col("n_here"), none, zero, zero)).union(part.select("__key", none, none, zero, F.lit(1).cast("long")))
-    sums = sums.groupBy("__key").agg(*(F.sum(c).alias(f"__{c}") for c in ("s", "b", "k", "copies")))
-    out = part.join(sums, "__key").withColumn("k", (F.col("__k") / F.col("__copies")).cast("long"))
-    rare = F.aggregate("hn", zero, lambda x, y: x + y)
+    whole_sums = ("s", "b", "n_tokens", "n_known", "copies")
+    sums = answers.where("kind = 0").select(F.col("key").alias("__key"), *whole_sums)
+    of_pairs = answers.where("kind = 3").select("to", "keys", "of_keys").groupBy("to").applyInArrow(summed_by_text, "key long, s double")
+    sums = sums.union(of_pairs.select("key", "s", none, zero, zero, zero))
+    sums = sums.union(found.select("__key", none, F.col("n") * F.log10(F.col("c") + 1.0), zero, F.col("n").cast("long"), zero)).union(new.select("__key", of_new * F.col("n_here"), none, zero, zero, zero))
+    sums = sums.groupBy("__key").agg(*(F.sum(c).alias(f"__{c}") for c in whole_sums))
+    out = source.drop("__text", "__learn").join(sums, "__key")
+    each = lambda c: (F.col(f"__{c}") / F.col("__copies"))
     return out.select(
-        *(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), "n_tokens", (F.col("n_known") + F.col("k")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.col("__b") / F.col("__copies") - norm * rare).alias("base_score"), (F.col("s") + F.col("__s") / F.col("__copies")).alias("score"),
+        *(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), each("n_tokens").cast("long").alias("n_tokens"), each("n_known").cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        each("b").alias("base_score"), each("s").alias("score"),
     )
 
 
