@@ -3,40 +3,43 @@
 Every word, and the start of a text, is a context with a restaurant of its own; every word, and the end of a text, is a dish of each.
 All restaurants share one parent over the words. A pair of words met once has one table, so it needs no seat: how many
 such pairs a context or a dish has follows from its count and its other pairs. Pairs met more often, their seats, contexts and
-dishes are Spark tables. A word that is met once has one table everywhere, so all of these have the same terms and need no row. What is broadcast holds words or pairs of a least share of all tokens, so at most one over that share of them.
+dishes are Spark tables of `lmtables`, dealt by words and by pairs. A word that is met once, and in no text that isn't learned, has
+one table everywhere, so all of these have the same terms and need no row.
 
-A word is written as its rank if it has the share KNOWN, else as its hash with the highest bit set, so it is negative. Only
-how a word is found depends on that: all words are seated by one rule, and draws depend on words and pairs by their hashes.
+The other words are numbered, those of most tokens first, so a pair is one number. Numbers, and so all draws, depend on the texts
+alone. Nothing is broadcast but where the numbers of each part of the words start; chunks of texts, parts of the pairs and
+parts of the words ask and tell each other, each distinct word or pair once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from trajecta.llm import lmtables
 from trajecta.llm.arrowtext import blocks, mix, words
-from trajecta.llm.scratch import Scratch, key_filter, passes, plain
-from trajecta.llm.seating import gibbs, parent_tables
+from trajecta.llm.lmtables import ROW, each, gathered, met, thick
+from trajecta.llm.scratch import Scratch, plain
 
-#: Least share of all tokens of a word, and of a pair of words, that is looked up without a join: at most 1,000,000 and 2,000,000 of them.
+#: Shares of all tokens from which `Lookup` may take words and pairs: at most 1,000,000 and 2,000,000 of them. `score` looks up none.
 KNOWN, FREQUENT = 1e-6, 5e-7
 #: Discount and strength of the context restaurants and of their parent.
 INNER, PARENT = (0.7, 2.0), (0.5, 2.0)
 #: Sweeps before the first sample, samples averaged, parts of the rows that take turns in a sweep, rounds of sweeps.
 BURN, SAMPLES, MOVES, ROUNDS = 1, 3, 2, 2
-#: Hashes of the end of a text and of what is before its first token.
+#: Hashes of the end of a text and, for `Lookup`, of what is before its first token.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 SIGN = np.int64(-(2**63))
-#: Tokens that a task gathers before it sums them up.
+#: Tokens of a chunk of texts; a longer text is a chunk of its own.
 GATHERED = 2_000_000
-#: Rows seated together in a group; tokens for each part that pairs are dealt to.
-GROUP, DEALT = 250_000, 1_000_000
+#: Tokens for each part that words and pairs are dealt to; the pairs of a part are seated together.
+PART = 2_000_000
 #: What `score` gives besides the columns kept.
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -53,28 +56,6 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         yield a, b, np.insert(w.text, ends, np.arange(b - a)), np.insert(w.hash, ends, np.full(b - a, END))
 
 
-def _counted(texts: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def summed() -> pa.RecordBatch:
-            value, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["h", "c"])
-
-        for batch in batches:
-            for _, _, _, value in _tokens(batch.column(0)):
-                held.append(value)
-                size += len(value)
-                if size >= GATHERED:
-                    yield summed()
-                    held, size = [], 0
-        if held:
-            yield summed()
-
-    return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
 class Places:
     """Where values stand among sorted, mixed 64-bit keys: by a table of the first key of each range of their top bits."""
 
@@ -182,7 +163,7 @@ def _part_of(k: np.ndarray, n_parts: int) -> np.ndarray:
 
 
 def _pairs(docs: DataFrame, lookup, n_parts: int) -> DataFrame:
-    """(u, w, c, k) of `docs` (learn, text): pairs that were learned twice or more, c times, or once and stand in a text that wasn't learned from. k: `Lookup.pair`."""
+    """(u, w, c, k) of `docs` (learn, text), a row a pair (`score` has them as blocks): pairs that were learned twice or more, c times, or once and stand in a text that wasn't learned from. k: `Lookup.pair`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -297,271 +278,73 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    sc = spark.sparkContext
-    ks = range(SAMPLES)
-    d1, s1 = INNER
-    d0, s0 = PARENT
     names = [c for c in keep if c not in RESULTS]
     source = docs.select(*(plain(c).alias(f"k{i}") for i, c in enumerate(names)), F.xxhash64(plain(doc_id), plain(text)).alias("__key"), F.coalesce(learn, F.lit(False)).alias("__learn"), plain(text).alias("__text"))
-    learned = source.where("__learn").select(F.col("__text").alias("text"))
 
-    # words
-    vocab = scratch.table(_counted(learned))
-    total, n_types = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    known = vocab.where(F.col("c") >= F.lit(KNOWN * total)).toArrow()
-    lookup = sc.broadcast(Lookup(known["h"].to_numpy(), known["c"].to_numpy()))
-    n_known = known.num_rows
+    # words get numbers, and chunks of texts the numbers of their words
+    chunked = scratch.table(lmtables.chunks(source.select("__key", "__learn", "__text"), _tokens, GATHERED))
+    n_tokens, n_starts = chunked.where("kind = 2").agg(F.coalesce(F.sum("to"), F.lit(0)), F.coalesce(F.sum("at"), F.lit(0))).first()
+    n_parts = n_tokens // PART + 1
+    asked = chunked.where("kind = 1").mapInArrow(each(partial(lmtables.by_hash, n_parts=n_parts)), ROW)
+    vocab = scratch.table(gathered(asked, lmtables.vocabulary))
+    sizes, classes = np.zeros(3, dtype=np.int64), np.zeros((n_parts, 64), dtype=np.int64)
+    for _, _, at, data in vocab.where("kind = 1").collect():
+        sizes += thick(data[0])
+        classes[at] = thick(data[1])
+    total, n_types, n_once = (int(x) for x in sizes)
+    down = classes[:, ::-1].T.ravel()  # the words of most times first
+    starts = (1 + np.cumsum(down) - down).reshape(64, n_parts).T[:, ::-1]
+    by = lmtables.Numbers(max(1, int(classes.sum()).bit_length()), n_parts)
+    numbers = met(asked, vocab.where("kind = 0"), partial(lmtables.named, starts=starts))
+    texts = scratch.table(met(chunked.where("kind = 0"), numbers, partial(lmtables.numbered, norm=float(np.log10(total + n_types + 1)))))
+    scratch.drop(chunked)
+    scratch.tidy()
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(lookup.value.code(h)), batch.column(1)], names=["w", "c"])
-
-    vocab = scratch.table(vocab.mapInArrow(coded, "w long, c long"))
-    # of the words that aren't known those that are met once have equal terms: they are told by the filter of the others, in texts that were learned from
-    once = vocab.where("w < 0 and c = 1").select("w")
-    core = vocab.where("w >= 0 or c > 1")
-    n_once = once.count()
-
-    # pairs; contexts and dishes with what their pairs that are met once come to
-    n_dealt = int(total) // DEALT + 1
-    pairs = scratch.table(_pairs(source.select("__learn", "__text"), lookup, n_dealt))
-    many = pairs.where("c > 1")
-    of_u = many.groupBy("u").agg(F.sum("c").alias("in_many"), F.count("*").alias("rows"))
-    of_w = many.groupBy("w").agg(F.sum("c").alias("in_many"), F.count("*").alias("rows"))
-    zero = F.lit(0).cast("long")
-    starts = learned.agg(F.lit(0).cast("long").alias("w"), F.count("*").alias("c"))
-    contexts = core.union(starts).select(F.col("w").alias("u"), F.col("c").alias("n")).join(of_u, "u", "left").select("u", "n", (F.col("n") - F.coalesce("in_many", zero)).alias("single"), F.coalesce("rows", zero).alias("rows"))
-    contexts = scratch.table(contexts.select("u", "n", "single", (F.col("single") + F.col("rows")).cast("double").alias("t")))
-    dishes = core.join(of_w, "w", "left").select("w", (F.col("c") - F.coalesce("in_many", zero)).alias("alone"), F.coalesce("rows", zero).alias("rows"))
-    base, opened, served = 1.0 / (n_types + 1), float(n_types + 1), float(pairs.count())
-    dishes = scratch.table(_over(dishes.withColumn("served", F.array(F.col("alone") + F.col("rows"))), lookup, 1, base, opened, 1))
-    n_parts = many.count() // GROUP + 1
-    seats = None
+    # pairs, and words with what their pairs that are met once come to
+    pairs = scratch.table(gathered(texts.mapInArrow(each(partial(lmtables.paired, by=by)), ROW), lmtables.merged))
+    scratch.tidy()
+    base, opened = 1.0 / (n_types + 1), float(n_types + 1)
+    served = float(pairs.where("kind = 2").agg(F.coalesce(F.sum("to"), F.lit(0))).first()[0])
+    counts = vocab.where("kind = 0").mapInArrow(each(partial(lmtables.counted, by=by, starts=starts)), ROW)
+    seats, routes = pairs.where("kind = 0"), pairs.where("kind = 1")
+    reseated = partial(lmtables.reseated, by=by, base=base, parent=PARENT)
+    told = seats.mapInArrow(each(partial(lmtables.told, by=by, start=True)), ROW)
+    state = scratch.table(met(counts, told, partial(reseated, opened=opened, seed=1, samples=1, n_starts=n_starts)))
+    scratch.drop(vocab)
+    scratch.tidy()
 
+    all_served, all_opened = [0] * SAMPLES, [1] * SAMPLES
     for turn in range(1, ROUNDS + 1):
         samples = SAMPLES if turn == ROUNDS else 1
-        rows = many.withColumn("t", F.lit(1).cast("long")) if seats is None else seats.select("u", "w", "c", "k", F.get("tables", F.lit(0)).alias("t"))
-        rows = _attached(rows, "u", contexts.select("u", (s1 + d1 * F.col("t")).alias("a")), "u")
-        rows = _attached(rows, "w", dishes.select("w", F.get("served", F.lit(0)).alias("s"), F.get("over", F.lit(0)).alias("o")), "w")
-        held, seats = seats, scratch.table(_seated(rows, opened, served, base, n_parts, BURN, samples, 100 * turn))
-        if held is not None:
-            scratch.drop(held)
-        sat = [F.sum(F.get("tables", F.lit(i))) for i in range(samples)]
-        below = seats.groupBy("w").agg(*(x.alias(f"t{i}") for i, x in enumerate(sat)))
-        dishes = dishes.drop("served", "over").join(below, "w", "left").withColumn("served", F.array(*(F.col("alone") + F.coalesce(f"t{i}", zero) for i in range(samples))))
-        dishes = scratch.table(_over(dishes.select("w", "alone", "served"), lookup, samples, base, opened, turn + 1))
-        here = seats.groupBy("u").agg(*(x.alias(f"t{i}") for i, x in enumerate(sat)))
-        sat = [F.col("single") + F.coalesce(f"t{i}", zero) for i in range(samples)]
-        contexts = scratch.table(contexts.drop("t").join(here, "u", "left").select("u", "n", "single", F.array(*sat).alias("sat"), (sum(sat[1:], sat[0]) / samples).alias("t")))
-        totals = dishes.agg(*(F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0)) for c in ("served", "over") for i in range(samples))).first()
-        all_served, all_opened = ([x + n_once for x in part] for part in (totals[:samples], totals[samples:]))
-        opened, served = max(float(sum(all_opened)) / samples, 1.0), max(float(sum(all_served)) / samples, 1.0)
+        sat = partial(lmtables.sat_down, by=by, base=base, inner=INNER, over=(*PARENT, opened, served), burn=BURN, samples=samples, moves=MOVES, seed=100 * turn)
+        held, seats = (seats, state), scratch.table(met(seats, state.where("kind = 1"), sat))
+        told = seats.mapInArrow(each(partial(lmtables.told, by=by, start=False)), ROW)
+        state = scratch.table(met(state.where("kind = 0"), told, partial(reseated, opened=opened, seed=turn + 1, samples=samples)))
+        scratch.drop(*held)
         scratch.tidy()
+        totals = np.zeros((2, samples), dtype=np.int64) + n_once
+        for row in state.where("kind = 2").select("data").collect():
+            totals += [thick(x) for x in row["data"]]
+        all_served, all_opened = totals.tolist()
+        opened, served = max(float(sum(all_opened)) / samples, 1.0), max(float(sum(all_served)) / samples, 1.0)
 
-    # probabilities: of a word whatever the context, of leaving a context for its parent, of learned pairs
-    rest = [(s0 + d0 * o) / (s0 + t) * base for t, o in zip(all_served, all_opened)]
-    tops = F.array(*((F.greatest(F.get("served", F.lit(i)) - d0 * F.get("over", F.lit(i)), F.lit(0.0))) / (s0 + all_served[i]) + rest[i] for i in ks))
-    backs = F.array(*((s1 + d1 * F.get("sat", F.lit(i))) / (s1 + F.col("n")) for i in ks))
-    tops, backs = scratch.table(dishes.select("w", tops.alias("top"))), scratch.table(contexts.select("u", "n", backs.alias("back")))
-    top_once, back_once = [(1 - d0) / (s0 + t) + r for t, r in zip(all_served, rest)], (s1 + d1) / (s1 + 1)
-
-    def mean_of(terms: list[Column]) -> Column:
-        return F.log10(sum(terms[1:], terms[0]) / SAMPLES)
-
-    ones = F.array(*(F.lit(1).cast("long") for _ in ks))
-    laid = seats.select("u", "w", "c", "k", "tables").union(pairs.where("c = 1").select("u", "w", "c", "k", ones))
-    laid = _attached(_attached(laid, "u", backs, "u"), "w", tops, "w")
-    back = [F.coalesce(F.get("back", F.lit(i)), F.lit(back_once)) for i in ks]
-    top = [F.coalesce(F.get("top", F.lit(i)), F.lit(top_once[i])) for i in ks]
-    of_pair = mean_of([back[i] * top[i] + (F.col("c") - d1 * F.get("tables", F.lit(i))) / (s1 + F.coalesce("n", F.lit(1))) for i in ks])
-
-    laid = scratch.table(laid.select("u", "w", "c", of_pair.alias("p"), "k"))
-    scratch.drop(pairs, seats)
-    scratch.tidy()
-    frequent = laid.where(F.col("c") >= F.lit(FREQUENT * total)).select("k", "p").toArrow()
-    order = np.argsort(frequent["k"].to_numpy())
-    few = sc.broadcast((Places(frequent["k"].to_numpy()[order]), frequent["p"].to_numpy()[order]))
-    bits = sc.broadcast(key_filter(laid, "k"))
-    # by rank; the last entry is for words met once
-    arrays = {"top": np.tile(np.array(rest), (n_known + 2, 1)), "back": np.ones((n_known + 2, SAMPLES)), "n": np.zeros(n_known + 2)}
-    arrays["top"][-1], arrays["back"][-1], arrays["n"][-1] = top_once, back_once, 1
-    more = sc.broadcast(key_filter(core.where("w < 0"), "w"))
-    for table, key, columns in ((tops, "w", ("top",)), (backs, "u", ("back", "n"))):
-        got = table.where(F.col(key) >= 0).toArrow()
-        for c in columns:
-            value = got[c].combine_chunks() if got.num_rows else None
-            if value is not None:
-                arrays[c][got[key].to_numpy()] = value.flatten().to_numpy().reshape(-1, SAMPLES) if c != "n" else value.to_numpy()
-    terms = sc.broadcast((arrays["top"], arrays["back"], arrays["n"]))
-    norm = float(np.log10(total + n_types + 1))
-
-    def met(of: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, context, word, times, pair) of the distinct pairs of each text of a block, and which are frequent with their scores, or pass the filter."""
-        u = _before(of, code)
-        order, first = _grouped(u, code, of=of)
-        at = order[first]
-        o, u, w, times = of[at], u[at], code[at], np.diff(np.append(first, len(of)))
-        k = lookup.value.pair(u, w)
-        keys, p = few.value
-        place, often = keys.find(k)
-        return o, u, w, times, often, p[place[often]], ~often & passes(bits.value, k)
-
-    def resolved(code: np.ndarray, learned_from: np.ndarray) -> np.ndarray:
-        """Codes, with the last entry's number for words that are met once, where that can be told."""
-        return np.where((code < 0) & learned_from & ~passes(more.value, code), n_known + 1, code)
-
-    kinds = {"key": np.int64, "learn": bool, "u": np.int64, "w": np.int64, "n": np.int32}
-
-    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What is known of each text at once (sums), and its words (rare) and pairs (far) that must be joined; by parts, its pairs that may have been learned (asked)."""
-        look = lookup.value
-        times_met = np.append(look.count, 1)
-        held: dict[str, list[tuple[np.ndarray, ...]]] = {"sums": [], "rare": [], "far": [], "asked": []}
-        size = 0
-
-        def dealt() -> Iterator[pa.RecordBatch]:
-            joined = {name: [np.concatenate(x) for x in zip(*rows)] for name, rows in held.items()}
-            key, learned_from, u, w, n = joined["asked"]
-            part = _part_of(look.pair(u, w), n_dealt)
-            both, uw = _packed(u, w)
-            yield whole(_dealt(part[both], n_dealt, near_key=key[both], near_learn=learned_from[both], near_uw=uw, near_n=n[both]))
-            key, learned_from, u, w, n, part = (x[~both] for x in (key, learned_from, u, w, n, part))
-            yield whole(_dealt(part, n_dealt, key=key, learn=learned_from, u=u, w=w, n=n))
-            columns = {f"{name}_{c}": x for name in held if name != "asked" for c, x in zip(also[name], joined[name])}
-            part = int(_part_of(columns["sums_key"][:1], n_dealt)[0])
-            yield whole(pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns.values())], names=["part", *columns]))
-
-        for batch in batches:
-            learn_of, key_of = batch.column(1).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, of, value in _tokens(batch.column(2)):
-                n, keys, learned_from = b - a, key_of[a:b], learn_of[a:b].astype(bool)
-                code = look.code(value)
-                known_code = resolved(code, learned_from[of])
-                there = known_code >= 0
-                counted = np.log10(times_met[np.where(there, known_code, 0)] + 1.0) - norm
-                o, u, w, times, often, p, passed = met(of, code)
-                times = times.astype(np.int32)
-                s = np.bincount(o[often], p * times[often], minlength=n).astype(float)
-                top, back, n_u = terms.value
-                ru, rw = (resolved(x, learned_from[o]) for x in (u, w))
-                plain_pair = np.flatnonzero(~often & ~passed & (ru >= 0) & (rw >= 0))
-                pu, pw, po = ru[plain_pair], rw[plain_pair], o[plain_pair]
-                p = (back[pu] * top[pw]).mean(axis=1) + np.where(learned_from[po], (1 - d1) / (s1 + n_u[pu]), 0.0)
-                s += np.bincount(po, np.log10(p) * times[plain_pair], minlength=n)
-                far, wanted_pair = np.flatnonzero(~often & ~passed & ((ru < 0) | (rw < 0))), np.flatnonzero(passed)
-                rare, rare_of = code[~there], of[~there]
-                order, first = _grouped(rare, of=rare_of)
-                by = rare_of[order][first]
-                held["rare"].append((keys[by], learned_from[by], rare[order][first], np.diff(np.append(first, len(rare))).astype(np.int32)))
-                held["sums"].append((keys, learned_from, np.bincount(of, minlength=n), np.bincount(of[there], minlength=n), np.bincount(of, np.where(there, counted, 0.0), minlength=n) - norm * np.bincount(rare_of, minlength=n), s))
-                for name, i in (("far", far), ("asked", wanted_pair)):
-                    held[name].append((keys[o[i]], learned_from[o[i]], u[i], w[i], times[i]))
-                size += len(value)
-                if size >= GATHERED:
-                    yield from dealt()
-                    held, size = {name: [] for name in held}, 0
-        if held["sums"]:
-            yield from dealt()
-
-    also = {"sums": {"key": np.int64, "learn": bool, "n_tokens": np.int64, "n_known": np.int64, "b": np.float64, "s": np.float64}, "rare": {c: k for c, k in kinds.items() if c != "u"}, "far": kinds, "near": {"key": np.int64, "learn": bool, "uw": np.int64, "n": np.int32}}
-    blobs = [*kinds, *(f"{name}_{c}" for name, columns in also.items() for c in columns)]
+    # chunks are told of their pairs and words
+    of_pairs = met(seats, routes, partial(lmtables.pairs_answered, samples=SAMPLES))
+    of_words = met(state.where("kind = 0"), texts.mapInArrow(each(partial(lmtables.words_asked, by=by)), ROW), lmtables.words_answered)
+    answers = of_pairs.union(of_words)
+    result = partial(lmtables.scored, by=by, inner=INNER, parent=PARENT, served=all_served, opened=all_opened, base=base)
 
-    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """With all blobs, null where the batch hasn't them."""
-        have = set(batch.schema.names)
-        return pa.RecordBatch.from_arrays([batch["part"], *(batch[c] if c in have else pa.nulls(batch.num_rows, pa.binary()) for c in blobs)], names=["part", *blobs])
+    def finished(key: tuple, chunk: pa.Table, told: pa.Table) -> pa.Table:
+        return pa.table(dict(zip(("__key", *(f"__{c}" for c in sums)), result(lmtables.rows_of(chunk)[0], lmtables.rows_of(told)))))
 
-    def laying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                u, w, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                yield _dealt(_part_of(lookup.value.pair(u, w), n_dealt), n_dealt, u=u, w=w, p=p)
-
-    def answered(asks: pa.Table, learned_pairs: pa.Table) -> pa.Table:
-        """Rows of four kinds: sums of texts, rare words of texts, pairs of texts that weren't learned or are far; and, dealt by the texts, sums of learned pairs."""
-        near = {c: _opened(asks, f"near_{c}", k) for c, k in also["near"].items()}
-        near["u"], near["w"] = _unpacked(near["uw"])
-        got = {c: np.concatenate([near[c], _opened(asks, c, k)]) for c, k in kinds.items()}
-        lu, lw, lp = (_opened(learned_pairs, c, k) for c, k in (("u", np.int64), ("w", np.int64), ("p", np.float64)))
-        lk = lookup.value.pair(lu, lw)
-        order = np.argsort(lk)
-        lu, lw, lp, lk = lu[order], lw[order], lp[order], lk[order]
-        twice = np.flatnonzero(lk[1:] == lk[:-1])
-        k = lookup.value.pair(got["u"], got["w"])
-        place = np.searchsorted(lk, k)
-        found = np.zeros(len(k), dtype=bool)
-        for _ in range(len(twice) + 1):  # one key of several pairs: on to the next
-            here = np.minimum(place, max(len(lk) - 1, 0))
-            if len(lk):
-                found = (lu[here] == got["u"]) & (lw[here] == got["w"])
-            if not len(twice) or found.all():
-                break
-            place = np.where(~found & (place + 1 < len(lk)) & (lk[np.minimum(place + 1, len(lk) - 1)] == k), place + 1, place)
-        at = np.flatnonzero(found)
-        key, owner = np.unique(got["key"][at], return_inverse=True)
-        s = np.bincount(owner, lp[here[at]] * got["n"][at], minlength=len(key)).astype(float) if len(at) else np.zeros(0)
-        packed = _dealt(_part_of(key, n_dealt), n_dealt, key=key, s=s)
-        left = np.flatnonzero(~found)
-        sums, rare, far = ({c: _opened(asks, f"{name}_{c}", k) for c, k in also[name].items()} for name in ("sums", "rare", "far"))
-        rows = [
-            pa.table({"kind": np.full(packed.num_rows, 3, dtype=np.int32), "to": packed["part"], "keys": packed["key"], "of_keys": packed["s"]}),
-            pa.table({"kind": np.full(len(sums["key"]), 0, dtype=np.int32), **sums, "copies": np.ones(len(sums["key"]), dtype=np.int64)}),
-            pa.table({"kind": np.full(len(rare["key"]), 1, dtype=np.int32), **rare}),
-            pa.table({"kind": np.full(len(far["key"]), 2, dtype=np.int32), **far}),
-            pa.table({"kind": np.full(len(left), 2, dtype=np.int32), **{c: x[left] for c, x in got.items()}}),
-        ]
-        empty = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("learn", pa.bool_()), ("u", pa.int64()), ("w", pa.int64()), ("n", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("b", pa.float64()), ("s", pa.float64()), ("copies", pa.int64()), ("to", pa.int32()), ("keys", pa.binary()), ("of_keys", pa.binary())]).empty_table()
-        return pa.concat_tables([empty, *rows], promote_options="default")
-
-    def summed_by_text(key: tuple, part: pa.Table) -> pa.Table:
-        keys, owner = np.unique(_opened(part, "keys", np.int64), return_inverse=True)
-        return pa.table({"key": keys, "s": np.bincount(owner, _opened(part, "of_keys", np.float64), minlength=len(keys)).astype(float)})
-
-    # pairs that may have been learned meet those that were, part by part; the others are as those that the filter told apart
-    asks = source.select("__key", "__learn", "__text").mapInArrow(asking, "part int, " + ", ".join(f"{c} binary" for c in blobs))
-    learned_pairs = laid.select("u", "w", "p").mapInArrow(laying, "part int, u binary, w binary, p binary")
-    answers = asks.groupBy("part").cogroup(learned_pairs.groupBy("part")).applyInArrow(answered, "kind int, key long, learn boolean, u long, w long, n int, n_tokens long, n_known long, b double, s double, copies long, to int, keys binary, of_keys binary")
-    answers = scratch.table(answers)
-    scratch.drop(laid)
+    sums = {"n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double"}
+    found = texts.groupBy("to").cogroup(answers.groupBy("to")).applyInArrow(finished, "__key long, " + ", ".join(f"__{c} {kind}" for c, kind in sums.items()))
+    found = scratch.table(found.groupBy("__key").agg(*(F.max(f"__{c}").alias(f"__{c}") for c in sums)))  # equal rows have equal sums
+    scratch.drop(texts, pairs, seats, state)
     scratch.tidy()
-    new = answers.where("kind = 2").select(F.col("key").alias("__key"), F.col("learn").alias("__learn"), "u", "w", F.col("n").alias("n_here"))
-    rare = answers.where("kind = 1")
-    # words met once of texts that weren't learned from: those that the filter lets through are joined
-    unsure = scratch.table(rare.where("not learn").select("w").distinct())
-    wanted = sc.broadcast(key_filter(unsure, "w"))
-
-    def asked_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(passes(wanted.value, batch.column(0).to_numpy(zero_copy_only=False))))
-
-    met_once = scratch.table(once.mapInArrow(asked_for, "w long").join(unsure, "w", "left_semi"))
-    constant = F.array(*(F.lit(back_once) for _ in ks)), F.array(*(F.lit(x) for x in top_once))
-    backs = backs.unionByName(met_once.select(F.col("w").alias("u"), F.lit(1).cast("long").alias("n"), constant[0].alias("back")))
-    tops = tops.unionByName(met_once.select("w", constant[1].alias("top")))
-    new = scratch.table(_attached(new, "u", backs, "u"))
-    new = _attached(new, "w", tops, "w")
-    own = lambda here, unseen: F.when(F.col("__learn"), F.lit(here)).otherwise(F.lit(unseen))
-    of_new = F.log10(
-        sum((F.coalesce(F.get("back", F.lit(i)), own(back_once, 1.0)) * F.coalesce(F.get("top", F.lit(i)), own(top_once[i], rest[i])) for i in ks), F.lit(0.0)) / SAMPLES
-        + F.when(F.col("__learn"), (1 - d1) / (s1 + F.coalesce("n", F.lit(1)))).otherwise(F.lit(0.0))
-    )
-    none = F.lit(0.0)
-    counts = core.where("w < 0").unionByName(met_once.select("w", F.lit(1).cast("long").alias("c")))
-    found = rare.select(F.col("key").alias("__key"), F.col("learn").alias("__learn"), "w", "n").join(counts, "w", "left")
-    found = found.withColumn("c", F.coalesce("c", F.when(F.col("__learn"), 1))).where("c is not null")
-    whole_sums = ("s", "b", "n_tokens", "n_known", "copies")
-    sums = answers.where("kind = 0").select(F.col("key").alias("__key"), *whole_sums)
-    of_pairs = answers.where("kind = 3").select("to", "keys", "of_keys").groupBy("to").applyInArrow(summed_by_text, "key long, s double")
-    sums = sums.union(of_pairs.select("key", "s", none, zero, zero, zero))
-    sums = sums.union(found.select("__key", none, F.col("n") * F.log10(F.col("c") + 1.0), zero, F.col("n").cast("long"), zero)).union(new.select("__key", of_new * F.col("n_here"), none, zero, zero, zero))
-    sums = sums.groupBy("__key").agg(*(F.sum(c).alias(f"__{c}") for c in whole_sums))
-    out = source.drop("__text", "__learn").join(sums, "__key")
-    each = lambda c: (F.col(f"__{c}") / F.col("__copies"))
-    return out.select(
-        *(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), each("n_tokens").cast("long").alias("n_tokens"), each("n_known").cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        each("b").alias("base_score"), each("s").alias("score"),
-    )
+    out = source.drop("__text", "__learn").join(found, "__key")
+    of = lambda c: F.col(f"__{c}").alias(c)
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(names)), of("n_tokens"), of("n_known"), F.lit(total).cast("long").alias("train_tokens"), of("base_score"), of("score"))
 
 
 def perplexity(score: Column, n_tokens: Column) -> Column:
