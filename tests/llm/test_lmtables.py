@@ -3,6 +3,7 @@ import time
 
 import numpy as np
 import pytest
+from corpus import documents
 
 from trajecta.llm import lm, lmtables
 
@@ -60,3 +61,19 @@ def test_pairs_have_numbers_of_their_own():
         assert sum(s.stop - s.start for _, s in by.sliced(np.sort(pair))) == len(pair)
     with pytest.raises(ValueError):
         lmtables.Numbers(32, 5)
+
+
+def test_chunks_and_parts_ask_and_tell_each_other(spark, monkeypatch):
+    """Many chunks change no score; many parts no count, and scores as another seed does."""
+    df = spark.createDataFrame(documents(), "doc_id long, text string").repartition(2, "doc_id").localCheckpoint()
+    learn = lm.remainder(df["doc_id"], 7) != 2
+    one = {r["doc_id"]: r for r in lm.score(df, learn).collect()}
+    for size, part in ((700, lm.PART), (700, 900)):
+        monkeypatch.setattr(lm, "GATHERED", size)
+        monkeypatch.setattr(lm, "PART", part)
+        two = {r["doc_id"]: r for r in lm.score(df, learn).collect()}
+        assert one.keys() == two.keys()
+        for i, r in one.items():
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (two[i]["n_tokens"], two[i]["n_known"], two[i]["train_tokens"])
+            assert abs(r["base_score"] - two[i]["base_score"]) < 1e-6
+            assert abs(r["score"] - two[i]["score"]) < (1e-9 if part > 900 else 0.05 * r["n_tokens"] + 0.1), (i, r, two[i])
