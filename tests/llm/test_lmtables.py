@@ -1,7 +1,9 @@
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpus import documents
 
@@ -77,3 +79,56 @@ def test_chunks_and_parts_ask_and_tell_each_other(spark, monkeypatch):
             assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (two[i]["n_tokens"], two[i]["n_known"], two[i]["train_tokens"])
             assert abs(r["base_score"] - two[i]["base_score"]) < 1e-6
             assert abs(r["score"] - two[i]["score"]) < (1e-9 if part > 900 else 0.05 * r["n_tokens"] + 0.1), (i, r, two[i])
+
+
+def test_bytes_of_a_token(monkeypatch):
+    """What a task takes for each token of its chunk or part, at its peak."""
+    r = np.random.default_rng(9)
+    size = 400_000
+    words = np.minimum(r.pareto(0.6, size), 50_000).astype(int)
+    lines = np.array([f"w{i}" for i in range(50_001)])[words].reshape(-1, 1000)
+    texts = pa.record_batch([pa.array(range(len(lines)), pa.int64()), pa.array([i % 7 != 2 for i in range(len(lines))]), pa.array([" ".join(x) for x in lines])], names=["key", "learn", "text"])
+    taken = {}
+
+    def traced(f, *args, **more):
+        tracemalloc.start()
+        try:
+            found = list(f(*args, **more))
+            taken[f.__name__] = tracemalloc.get_traced_memory()[1] / size
+        finally:
+            tracemalloc.stop()
+        return found
+
+    class Texts:
+        def mapInArrow(self, run, schema):
+            def chunked(batches):
+                return run(batches)
+
+            return chunked
+
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(lmtables, "TaskContext", Context)
+    tokens = list(lm._tokens(texts.column(2)))  # whose own blocks count apart
+    text, asked, _ = (row for batch in traced(lmtables.chunks(Texts(), lambda _: tokens, 2 * size), iter([texts])) for row in lmtables.rows_of(batch))
+    n_words = lmtables.risen(asked[3][0]).size
+    norm = float(np.log10(size + n_words + 1))
+    vocab = list(lmtables.vocabulary(0, list(lmtables.by_hash(asked, 1))))
+    classes = lmtables.thick(vocab[1][3][1])[None]
+    starts = (1 + np.cumsum(classes[:, ::-1]) - classes[:, ::-1])[:, ::-1]
+    by = lmtables.Numbers(int(classes.sum()).bit_length(), 1)
+    told = list(lmtables.named(0, list(lmtables.by_hash(asked, 1)), vocab[:1], starts))
+    (chunk,) = traced(lmtables.numbered, 0, [text], told, norm)
+    pairs = traced(lmtables.merged, 0, traced(lmtables.paired, chunk, by))
+    seats, routes = ([r for r in pairs if r[0] == k] for k in (0, 1))
+    base, opened = 1 / (n_words + 1), n_words + 1.0
+    first = list(lmtables.reseated(0, list(lmtables.counted(vocab[0], by, starts)), list(lmtables.told(seats[0], by, True)), by, base, lm.PARENT, opened, 1, 1, n_starts=len(lines)))
+    seats = list(lmtables.sat_down(0, seats, [r for r in first if r[0] == 1], by, base, lm.INNER, (*lm.PARENT, opened, opened), 1, 3, 2, 100))
+    state = list(lmtables.reseated(0, first[:1], list(lmtables.told(seats[0], by, False)), by, base, lm.PARENT, opened, 2, 3))
+    answers = [*lmtables.pairs_answered(0, seats, routes, 3), *lmtables.words_answered(0, state[:1], traced(lmtables.words_asked, chunk, by))]
+    served, opened = (lmtables.thick(x).tolist() for x in state[-1][3])
+    *_, sizes, _, _, score = traced(lmtables.scored, chunk, answers, by, lm.INNER, lm.PARENT, served, opened, base)
+    assert sizes.sum() == size + len(lines) and (score < -sizes).all() and (score > -9 * sizes).all()
+    assert {k: round(x) for k, x in taken.items() if x > 56} == {}, taken

@@ -23,6 +23,8 @@ SCHEMA = pa.schema([("kind", pa.int32()), ("to", pa.int64()), ("at", pa.int64())
 ONCE, NEW, START = -1, -2, 0
 #: Most bits of a word's number, of which a pair has two.
 WORD_BITS = 31
+#: Tokens that are handled at once where a number of each is enough to keep, so that a chunk takes few bytes a token.
+STEP = 1 << 16
 #: Odd factors that spread the numbers of pairs.
 FACTORS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
@@ -43,15 +45,15 @@ def rows_of(part: pa.Table | pa.RecordBatch) -> list[Row]:
 def thin(x: np.ndarray) -> bytes:
     """Numbers from 0 on, first all lowest bytes, then the next ones, as far as there are any; they are compressed well like this."""
     size = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([size]) + np.ascontiguousarray(x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+    return bytes([size]) + np.ascontiguousarray(x.astype(f"<u{x.itemsize}", copy=False).view(np.uint8).reshape(-1, x.itemsize)[:, :size].T).tobytes()
 
 
-def thick(data: bytes) -> np.ndarray:
+def thick(data: bytes, kind: str = "<i8") -> np.ndarray:
     raw = np.frombuffer(data, dtype=np.uint8)
     planes = raw[1:].reshape(raw[0], -1)
-    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out = np.zeros((planes.shape[1], np.dtype(kind).itemsize), dtype=np.uint8)
     out[:, : len(planes)] = planes.T
-    return out.view("<i8")[:, 0]
+    return out.view(kind)[:, 0]
 
 
 def rising(x: np.ndarray) -> bytes:
@@ -71,9 +73,12 @@ def order_of(x: np.ndarray) -> np.ndarray:
     """Sorts numbers from 0 on: their highest bits with their places as one number, which is far faster than argsort and seldom not enough."""
     low = np.uint64(len(x).bit_length())
     bits = int(x.max()).bit_length() if len(x) else 0
-    packed = x.view(np.uint64) >> np.uint64(max(0, bits - 64 + int(low))) << low | np.arange(len(x), dtype=np.uint64)
+    packed = x.view(np.uint64) >> np.uint64(max(0, bits - 64 + int(low)))
+    packed <<= low
+    packed |= np.arange(len(x), dtype=np.uint64)
     packed.sort()
-    order = (packed & np.uint64((1 << int(low)) - 1)).view(np.int64)
+    packed &= np.uint64((1 << int(low)) - 1)
+    order = packed.view(np.int64)
     y = x[order]
     return order if (y[1:] >= y[:-1]).all() else np.argsort(x, kind="stable")
 
@@ -115,7 +120,7 @@ def gathered(rows: DataFrame, f: Callable[[int, list[Row]], Iterator[Row]]) -> D
     return rows.groupBy("to").applyInArrow(run, ROW)
 
 
-def chunks(texts: DataFrame, tokens: Callable, size: int) -> DataFrame:
+def chunks(texts: DataFrame, tokens: Callable, most: int) -> DataFrame:
     """Chunks of the texts (key, learn, text): rows of kind 0 with the keys, whether they are learned, tokens of each and the words' places; of kind 1 with the sorted hashes of the words and twice the times that each is learned, plus 1 if it stands in another text; of kind 2, with the number of tokens and of learned texts in place of to and at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,15 +129,21 @@ def chunks(texts: DataFrame, tokens: Callable, size: int) -> DataFrame:
 
         def chunk() -> Iterator[pa.RecordBatch]:
             keys, learn, sizes, h = (np.concatenate(x) for x in zip(*held))
-            order = order_of(h)
-            new = firsts(h[order])
-            words, place = h[order][new], np.empty(len(h), dtype=np.int64)
-            place[order] = np.cumsum(new) - 1
+            held.clear()
+            order, size = order_of(h), len(h)
+            h = h[order]
+            new = firsts(h)
+            words = h[new]
+            del h
+            place = np.empty(size, dtype=np.int32)
+            place[order] = np.cumsum(new, dtype=np.int32)
+            del order, new
+            place -= 1
             learned = np.repeat(learn, sizes)
             times = np.bincount(place[learned], minlength=len(words))
             other = np.bincount(place[~learned], minlength=len(words)) > 0
             yield from table(
-                [(0, number, number, [keys.tobytes(), learn.tobytes(), thin(sizes), thin(place)]), (1, number, number, [rising(words), thin(times << 1 | other)]), (2, len(h), int(learn.sum()), [])]
+                [(0, number, number, [keys.tobytes(), learn.tobytes(), thin(sizes), thin(place)]), (1, number, number, [rising(words), thin(times << 1 | other)]), (2, size, int(learn.sum()), [])]
             ).to_batches()
 
         for batch in batches:
@@ -140,7 +151,7 @@ def chunks(texts: DataFrame, tokens: Callable, size: int) -> DataFrame:
             for a, b, of, h in tokens(batch.column(2)):
                 held.append((key_of[a:b], learn_of[a:b], np.bincount(of, minlength=b - a), h))
                 n += len(h)
-                if n >= size:
+                if n >= most:
                     yield from chunk()
                     held, n, number = [], 0, number + 1
         if held:
@@ -205,10 +216,12 @@ def numbered(chunk: int, texts: list[Row], answers: list[Row], norm: float) -> I
     """The chunk with its words' numbers, and by text the tokens that are learned and the sum of log10 of one more than their times, less norm for each token."""
     keys, learn, sizes, place = texts[0][3]
     word, c = (joined([thick(r[3][i]) for r in answers]) for i in (0, 1))
-    place, n = thick(place), thick(sizes)
+    place, n = thick(place, "<i4"), thick(sizes)
     of = np.repeat(np.arange(len(n)), n)
     b = np.bincount(of, np.log10(c + 1.0)[place], minlength=len(n)) - norm * n
-    yield 0, chunk, chunk, [keys, learn, sizes, thin(word[place]), thin(np.bincount(of[c[place] > 0], minlength=len(n))), b.astype(float).tobytes()]
+    known = np.bincount(of[(c > 0)[place]], minlength=len(n))
+    del of
+    yield 0, chunk, chunk, [keys, learn, sizes, thin(word[place]), thin(known), b.astype(float).tobytes()]
 
 
 class Numbers:
@@ -251,28 +264,41 @@ class Numbers:
         return ((i, slice(a, b), place[a:b]) for i, (a, b) in enumerate(zip(at, [*at[1:], len(part)])) if a < b)
 
 
-def tokens_of(chunk: Row, by: Numbers) -> tuple[np.ndarray, ...]:
-    """(text, whether it is learned, word before, word) of the tokens, and of those of which both have numbers: places in order of their pairs, the first place there of each pair, and the distinct pairs."""
-    n, w = thick(chunk[3][2]), thick(chunk[3][3]) + NEW
-    of = np.repeat(np.arange(len(n)), n)
-    learned = np.frombuffer(chunk[3][1], dtype=bool)[of]
-    u = np.full(len(w), START)
-    u[1:] = np.where(of[1:] == of[:-1], w[:-1], START)
-    at = np.flatnonzero((u >= 0) & (w >= 0))
-    pair = by.pair(u[at], w[at])
+def words_of(chunk: Row) -> np.ndarray:
+    """The word of each token."""
+    w = thick(chunk[3][3], "<u4")
+    w -= np.uint32(-NEW)
+    return w.view(np.int32)
+
+
+def pairs_of(chunk: Row, w: np.ndarray, by: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens (words w) that have a number, as the word before has: places in order of their pairs, the first place there of each pair, and the distinct pairs."""
+    n = thick(chunk[3][2])
+    u = np.empty_like(w)
+    u[1:] = w[:-1]
+    u[np.cumsum(n) - n] = START  # a text has one token at least
+    at = np.flatnonzero((u >= 0) & (w >= 0)).astype(np.int32)
+    pair = np.empty(len(at), dtype=np.int64)
+    for a in range(0, len(at), STEP):
+        some = at[a : a + STEP]
+        pair[a : a + STEP] = by.pair(u[some].astype(np.int64), w[some].astype(np.int64))
+    del u
     order = order_of(pair)
-    pair = pair[order]
+    at, pair = at[order], pair[order]
+    del order
     first = np.flatnonzero(firsts(pair))
-    return of, learned, u, w, at[order], first, pair[first]
+    return at, first, pair[first]
 
 
 def paired(chunk: Row, by: Numbers) -> Iterator[Row]:
     """The distinct pairs of a chunk to their parts, with twice the times that each is learned, plus 1 if it stands in another text."""
-    _, learned, _, _, at, first, pair = tokens_of(chunk, by)
+    at, first, pair = pairs_of(chunk, words_of(chunk), by)
     if not len(pair):
         return
-    times = np.add.reduceat(learned[at].astype(np.int64), first)
+    learned = np.repeat(np.frombuffer(chunk[3][1], dtype=bool), thick(chunk[3][2]))[at]
+    times = np.add.reduceat(learned, first, dtype=np.int64)
     times = times << 1 | (np.diff(np.append(first, len(at))) > times)
+    del at, first, learned
     for part, some in by.sliced(pair):
         yield 0, part, chunk[2], [rising(pair[some]), thin(times[some])]
 
@@ -280,23 +306,23 @@ def paired(chunk: Row, by: Numbers) -> Iterator[Row]:
 def merged(part: int, asked: list[Row]) -> Iterator[Row]:
     """Kind 2: their number, in place of to. Kind 0: the pairs of a part that were learned twice or more, or once and stand in a text that wasn't learned, with their times. Kind 1: for each chunk which of its pairs these are, and at which places."""
     found = [risen(r[3][0]) for r in asked]
-    pair, times = joined(found), joined([thick(r[3][1]) for r in asked])
+    pair, bounds = joined(found), np.cumsum([0, *map(len, found)]).tolist()
+    del found
     order = order_of(pair)
-    pair = pair[order]
-    new = firsts(pair)
-    first = np.flatnonzero(new)
-    c, other = np.add.reduceat(times[order] >> 1, first), np.bitwise_or.reduceat(times[order] & 1, first) > 0
-    stay = (c > 1) | ((c == 1) & other)
+    pair, times = pair[order], joined([thick(r[3][1]) for r in asked])[order]
+    first = np.flatnonzero(firsts(pair))
+    c, other = np.add.reduceat(times >> 1, first), np.bitwise_or.reduceat(times & 1, first) > 0
+    stay, every = (c > 1) | ((c == 1) & other), np.diff(np.append(first, len(pair)))
+    pair = pair[first[stay]]
+    del times, first
     yield 2, int(stay.sum()), part, []
-    yield 0, part, part, [rising(pair[first][stay]), thin(c[stay])]
-    place = np.where(stay, np.cumsum(stay), 0)  # from 1
-    of_row = np.empty(len(pair), dtype=np.int64)
-    of_row[order] = place[np.cumsum(new) - 1]
-    a = 0
-    for r, x in zip(asked, found):
-        mine = of_row[a : a + len(x)]
-        a += len(x)
-        yield 1, part, r[2], [thin(np.array([len(x)])), np.packbits(mine > 0).tobytes(), rising(mine[mine > 0])]
+    yield 0, part, part, [rising(pair), thin(c[stay])]
+    of_row = np.empty(len(order), dtype=np.int32)
+    of_row[order] = np.repeat(np.where(stay, np.cumsum(stay, dtype=np.int32), np.int32(0)), every)  # from 1
+    del order
+    for r, a, b in zip(asked, bounds, bounds[1:]):
+        mine = of_row[a:b]
+        yield 1, part, r[2], [thin(np.array([b - a])), np.packbits(mine > 0).tobytes(), rising(mine[mine > 0])]
 
 
 class Part:
@@ -412,12 +438,12 @@ def pairs_answered(part: int, old: list[Row], asked: list[Row], samples: int) ->
 
 
 def words_asked(chunk: Row, by: Numbers) -> Iterator[Row]:
-    for to, _, place in by.seats(seats_of(thick(chunk[3][3]) + NEW, by)):
+    for to, _, place in by.seats(seats_of(words_of(chunk), by)):
         yield 0, to, chunk[2], [rising(place)]
 
 
 def seats_of(w: np.ndarray, by: Numbers) -> np.ndarray:
-    return np.unique(by.seat(np.append(np.unique(w[w >= 0]), START)))
+    return np.unique(by.seat(np.append(np.unique(w[w >= 0]).astype(np.int64), START)))
 
 
 def words_answered(part: int, old: list[Row], asked: list[Row]) -> Iterator[Row]:
@@ -432,8 +458,7 @@ def scored(chunk: Row, answers: list[Row], by: Numbers, inner: tuple[float, floa
     d1, s1 = inner
     d0, s0 = parent
     samples = len(served)
-    of, learned, u, w, at, first, pair = tokens_of(chunk, by)
-    seats = seats_of(w, by)
+    w, sizes = words_of(chunk), thick(chunk[3][2])
     known, told_words = ([r for r in answers if r[0] == k] for k in (1, 2))
     n, *state = (joined([thick(r[3][i]) for r in told_words]) for i in range(1 + 3 * samples))
     # terms of the words by place, then of a new word and one that is learned once (so that places -2 and -1 are theirs)
@@ -441,26 +466,38 @@ def scored(chunk: Row, answers: list[Row], by: Numbers, inner: tuple[float, floa
     n = np.concatenate([n, [0, 1]])
     top = [np.concatenate([np.maximum(state[i] - d0 * state[samples + i], 0) / (s0 + served[i]) + rest[i], [rest[i], (1 - d0) / (s0 + served[i]) + rest[i]]]) for i in range(samples)]
     back = [np.concatenate([(s1 + d1 * state[2 * samples + i]) / (s1 + n[:-2]), [1.0, (s1 + d1) / (s1 + 1)]]) for i in range(samples)]
+    # times and tables of the distinct pairs that are known, to their tokens
+    found = joined([np.unpackbits(np.frombuffer(r[3][1], dtype=np.uint8), count=int(thick(r[3][0])[0])).astype(bool) for r in known], bool)
+    c = joined([thick(r[3][2]) for r in known])
+    more = c - d1 * sum((joined([thick(r[3][3 + i]) for r in known]) for i in range(samples)), np.zeros(len(c))) / samples
+    at, first, pair = pairs_of(chunk, w, by)
+    times = np.diff(np.append(first, len(at)))
+    del first, pair
+    at = at[np.repeat(found, times)]
+    more = np.repeat(more, times[found])
+    del times
+    own = np.where(np.repeat(np.frombuffer(chunk[3][1], dtype=bool), sizes), 1 - d1, 0.0)  # a pair that isn't listed is met once, here
+    for a in range(0, len(at), STEP):
+        own[at[a : a + STEP]] = more[a : a + STEP]
+    del at, more, found, c
     # words are found by an own sorted list of their numbers
+    seats = seats_of(w, by)
     word = (seats & np.int64(0xFFFFFFFF)) * by.n_parts + (seats >> np.int64(32))
     order = np.argsort(word)
     word = word[order]
-    place = np.where(w >= 0, order[np.minimum(np.searchsorted(word, w), len(word) - 1)], w)
     begin = order[np.searchsorted(word, START)]
-    before = np.full(len(w), begin)
-    before[1:] = np.where(of[1:] == of[:-1], place[:-1], begin)
-    # times and tables of the distinct pairs that are known
-    found = joined([np.unpackbits(np.frombuffer(r[3][1], dtype=np.uint8), count=int(thick(r[3][0])[0])).astype(bool) for r in known], bool)
-    c = joined([thick(r[3][2]) for r in known])
-    weight = 1 / (s1 + n[before])
-    own = np.where(learned, 1 - d1, 0.0)  # a pair that isn't listed is met once, here
-    more = np.zeros(len(pair))
-    more[found] = c - d1 * sum((joined([thick(r[3][3 + i]) for r in known]) for i in range(samples)), np.zeros(len(c))) / samples
-    row = np.repeat(np.arange(len(pair)), np.diff(np.append(first, len(at))))
-    listed = found[row] if len(row) else np.zeros(0, bool)
-    own[at[listed]] = more[row[listed]]
-    p = own * weight
-    for i in range(samples):
-        p += back[i][before] * top[i][place] / samples
-    sizes = thick(chunk[3][2])
-    return np.frombuffer(chunk[3][0], dtype=np.int64), sizes, thick(chunk[3][4]), np.frombuffer(chunk[3][5], dtype=np.float64), np.bincount(of, np.log10(p), minlength=len(sizes)).astype(float)
+    starts = np.cumsum(sizes) - sizes
+    last = begin
+    for a in range(0, len(w), STEP):
+        some = w[a : a + STEP].astype(np.int64)
+        place = np.where(some >= 0, order[np.minimum(np.searchsorted(word, some), len(word) - 1)], some)
+        before = np.insert(place[:-1], 0, last)
+        before[starts[slice(*np.searchsorted(starts, (a, a + len(some))))] - a] = begin
+        last = place[-1]
+        p = own[a : a + STEP] * (1 / (s1 + n[before]))
+        for i in range(samples):
+            p += back[i][before] * top[i][place] / samples
+        own[a : a + STEP] = np.log10(p)
+    del w
+    total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), own, minlength=len(sizes)).astype(float)
+    return np.frombuffer(chunk[3][0], dtype=np.int64), sizes, thick(chunk[3][4]), np.frombuffer(chunk[3][5], dtype=np.float64), total
