@@ -4,10 +4,12 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
 import pytest
 from corpus import documents
 
 from trajecta.llm import lm, lmtables
+from trajecta.llm.scratch import Scratch
 
 
 def written(spark):
@@ -132,3 +134,13 @@ def test_bytes_of_a_token(monkeypatch):
     *_, sizes, _, _, score = traced(lmtables.scored, chunk, answers, by, lm.INNER, lm.PARENT, served, opened, base)
     assert sizes.sum() == size + len(lines) and (score < -sizes).all() and (score > -9 * sizes).all()
     assert {k: round(x) for k, x in taken.items() if x > 56} == {}, taken
+
+
+def test_stored_blocks_need_no_buffers_outside_the_heap(spark):
+    """Snappy's codec keeps two of the size of a page, here of all rows, for each reader and writer."""
+    rows = [(0, i, i, [bytes([i]) * 3, np.random.default_rng(i).bytes(300_000)]) for i in range(8)]
+    scratch = Scratch(spark, "stored", **lmtables.STORED)
+    back = scratch.table(spark.createDataFrame(rows, lmtables.ROW).coalesce(1))
+    assert sorted((r["kind"], r["to"], r["at"], [bytes(x) for x in r["data"]]) for r in back.collect()) == rows
+    (file,) = pa.dataset.dataset(scratch.places[0][1].removeprefix("file://")).get_fragments()
+    assert {file.metadata.row_group(0).column(i).compression for i in range(4)} == {"ZSTD"}

@@ -277,7 +277,7 @@ def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     The result doesn't depend on the number of executors or partitions. `perplexity` gives the figure by token.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
+    scratch = Scratch(spark, "lm", **lmtables.STORED)
     names = [c for c in keep if c not in RESULTS]
     source = docs.select(*(plain(c).alias(f"k{i}") for i, c in enumerate(names)), F.xxhash64(plain(doc_id), plain(text)).alias("__key"), F.coalesce(learn, F.lit(False)).alias("__learn"), plain(text).alias("__text"))
 

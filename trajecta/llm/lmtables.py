@@ -19,6 +19,8 @@ from trajecta.llm.seating import gibbs, parent_tables
 
 ROW = "kind int, to long, at long, data array<binary>"
 SCHEMA = pa.schema([("kind", pa.int32()), ("to", pa.int64()), ("at", pa.int64()), ("data", pa.list_(pa.binary()))])
+#: How tables are stored: rows are megabytes, and so are pages; this codec needs no buffers of a page outside the heap, of which an executor would keep several.
+STORED = {"compression": "zstd"}
 #: A word that is learned once and stands in no other text, and one that isn't learned. The start of a text is word 0.
 ONCE, NEW, START = -1, -2, 0
 #: Most bits of a word's number, of which a pair has two.

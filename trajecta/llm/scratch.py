@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 
 class Scratch:
-    """A folder of tables that belong to one job. Tables are read back with a fresh, short lineage."""
+    """A folder of tables that belong to one job. Tables are read back with a fresh, short lineage. options: of the Parquet writer."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, **options: str):
+        self.spark, self.options = spark, options
         self.path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
         self.places: list[tuple[DataFrame, str]] = []
@@ -23,7 +23,7 @@ class Scratch:
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
         place = f"{self.path}/{self.n}"
-        df.write.parquet(place)
+        df.write.options(**self.options).parquet(place)
         back = self.spark.read.schema(df.schema).parquet(place)
         self.places.append((back, place))
         return back
