@@ -124,7 +124,9 @@ def turns(names: tuple[str, str, str] = ("n_peaks", "up_down", "down_up")) -> li
 
 
 def relative_change(df: DataFrame, value: str = "value", base: str = "base") -> DataFrame:
-    return df.withColumns({"relative": F.try_divide(F.col(value), F.col(base)), "change": F.col(value) - F.col(base)})
+    """Adds value / base, over a base of zero an infinity or NaN as of doubles, and value - base."""
+    v, b = F.col(value).cast("double"), F.col(base).cast("double")
+    return df.withColumns({"relative": F.when(b == 0, v * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(v, b)), "change": F.col(value) - F.col(base)})
 
 
 def masked(df: DataFrame, mask: str, chosen: int | list[int] = 1) -> DataFrame:
