@@ -39,3 +39,9 @@ def test_relative_over_zero(spark, tmp_path):
     rows = [(3 * i + u, T0 + timedelta(hours=7 * i), u, "view", v) for u, vs in enumerate([[0.0, 2.5, 1.0, 0.0], [0.5, -1.0, 3.0, 4.25], [-2.0, 0.0, 1.0, 5.0]]) for i, v in enumerate(vs)]
     got = same_as_sql(spark, tmp_path, "q_relative", events=(rows, "event_id long, ts timestamp, user_id long, event_type string, value double"))
     assert any(x["relative"] == float("inf") for x in got)
+
+
+def test_equal_rows_are_contained(spark, tmp_path):
+    lines = [(1, 1, T0 + timedelta(days=3)), (1, 1, T0 + timedelta(days=3)), (1, 2, T0 + timedelta(days=45, hours=5)), (1, 3, T0 + timedelta(days=45, hours=7)), (2, 1, T0)]
+    got = same_as_sql(spark, tmp_path, "q_containing", lineitem=(lines, "l_orderkey long, l_linenumber int, l_shipdate timestamp"), orders=([(1, T0 + timedelta(hours=6)), (2, T0 + timedelta(hours=6))], "o_orderkey long, o_orderdate timestamp"))
+    assert [tuple(x)[:2] for x in sorted(got)] == [(1, 1), (1, 1), (1, 2)]
