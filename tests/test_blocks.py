@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.test_twins import same_as_sql
 from trajecta.functions import sequences
-from trajecta.operators import blocks
+from trajecta.operators import blocks, clustering
 from trajecta.plans import catalog
 
 BY = {"braycurtis": sequences.bray_curtis, "euclidean": sequences.norm_euclidean, "cityblock": sequences.norm_cityblock}
@@ -38,6 +38,14 @@ def test_distances_of_blocks(spark, how, keys, rows):
     assert plain(blocks.pair_distances(df, "k", "v", how, rows=rows)) == plain(want)
 
 
+def test_sums_by_label(spark):
+    df = spark.createDataFrame(odd_rows(500), "k long, v array<double>, l int")
+    edges = clustering.both_ways(blocks.pair_distances(df, "k", "v", "cityblock"), "key", "key2")
+    want = clustering.label_sums(edges, df.select(F.col("k").alias("id"), F.col("l").alias("label")))
+    by = lambda df: {(x["id"], x["label"], x["other"]): (None if x["total"] is None else round(x["total"], 9), x["n"]) for x in df.collect()}
+    assert by(blocks.label_sums(df, "k", "v", "l", "cityblock", rows=200)) == by(want)
+
+
 def test_moments(spark):
     df = spark.createDataFrame(odd_rows(400), "k long, v array<double>, l int")
     d = [x["d"] for x in blocks.pair_distances(df, "k", "v", "cityblock").where("d is not null").collect()]
@@ -50,10 +58,16 @@ def test_rounding():
     assert blocks.rounded(np.array([0.000005, 0.00000499, 1.5, np.inf, np.nan, 0.0]), 5).tolist()[:4] == [1e-5, 0.0, 1.5, np.inf]
 
 
-@pytest.mark.parametrize("name", ["q_braycurtis", "q_euclid", "q_cityblock"])
+@pytest.mark.parametrize("name", ["q_braycurtis", "q_euclid", "q_cityblock", "q_intra_inter"])
 def test_no_pair_is_a_row_of_a_join(spark, tmp_path, name):
     r = random.Random(2)
     given = [(i, [r.uniform(-1, 1) for _ in range(64)], r.randrange(5)) for i in range(90)]
     same_as_sql(spark, tmp_path, name, embeddings=(given, "vec_id long, embedding array<float>, label int"))
     plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "Join" not in plan
+
+
+def test_shared_ids_have_all_their_labels(spark, tmp_path):
+    r = random.Random(3)
+    given = [(i // 2 if i < 20 else i, [r.uniform(-1, 1) for _ in range(64)], r.randrange(3)) for i in range(60)]
+    same_as_sql(spark, tmp_path, "q_intra_inter", embeddings=(given, "vec_id long, embedding array<float>, label int"))
