@@ -58,7 +58,7 @@ def test_rounding():
     assert blocks.rounded(np.array([0.000005, 0.00000499, 1.5, np.inf, np.nan, 0.0]), 5).tolist()[:4] == [1e-5, 0.0, 1.5, np.inf]
 
 
-@pytest.mark.parametrize("name", ["q_braycurtis", "q_euclid", "q_cityblock", "q_intra_inter", "q_silhouette", "q_medoid"])
+@pytest.mark.parametrize("name", ["q_braycurtis", "q_euclid", "q_cityblock", "q_intra_inter", "q_silhouette", "q_medoid", "q_similarity"])
 def test_no_pair_is_a_row_of_a_join(spark, tmp_path, name):
     r = random.Random(2)
     given = [(i, [r.uniform(-1, 1) for _ in range(64)], r.randrange(5)) for i in range(90)]
