@@ -38,7 +38,7 @@ def test_small_trees_of_vectors(spark):
     assert clustering.vector_linkage(df.limit(1), "id", "v").count() == 0 and clustering.vector_linkage(df.where("id > 9"), "id", "v").count() == 0
 
 
-@pytest.mark.parametrize("name", ["q_ward"])
+@pytest.mark.parametrize("name", ["q_ward", "q_ward_tree"])
 def test_no_table_of_pairs(spark, tmp_path, monkeypatch, name):
     """Of 300 vectors there are 44,850 pairs; no table that is kept between the steps has more rows than vectors."""
     r = random.Random(6)
